@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scatterloom.functions import vec
 from scatterloom.operators.selections import SYSTEM, is_in
@@ -181,7 +182,7 @@ def _best_rotations(k: np.ndarray) -> np.ndarray:
     return left @ right
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _rotation(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for k in parts:
         m = np.stack(k.to_numpy()).reshape(-1, 3, 3)

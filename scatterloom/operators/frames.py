@@ -100,7 +100,7 @@ def keep_frames(df: DataFrame, chosen: DataFrame) -> DataFrame:
 def pack_blocks(coords: DataFrame, block_atoms: int = BLOCK_ATOMS) -> DataFrame:
     """``coords`` as frame blocks: arrays of at most ``block_atoms`` consecutive atoms."""
     first = (F.floor(F.col("atom_id") / block_atoms) * block_atoms).cast("bigint")
-    atom = F.struct("atom_id", F.col("x").cast("float"), F.col("y").cast("float"), F.col("z").cast("float"))
+    atom = F.struct("atom_id", *(F.col(c).cast("float").alias(c) for c in "xyz"))
     packed = coords.groupBy("frame", first.alias("first_atom")).agg(
         F.array_sort(F.collect_list(atom)).alias("a")
     )

@@ -157,7 +157,7 @@ def rotation_walk(steps: DataFrame, block: int = PRODUCT_BLOCK) -> DataFrame:
     ends = local.groupBy("__block").agg(
         *(F.max_by(c, "frame").alias(c) for c in align.MATRIX)
     ).withColumnRenamed("__block", "frame")
-    before = ends.groupBy(F.lit(0)).applyInPandas(lambda pdf: across(pdf), ddl)
+    before = ends.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(lambda pdf: across(pdf), ddl)
     before = before.select(
         F.col("frame").alias("__block"), *(F.col(c).alias(f"p{c}") for c in align.MATRIX)
     )

@@ -183,9 +183,9 @@ def moments_sphere(spark: SparkSession, order: int = 20) -> DataFrame:
 
 def moments_cylinder(spark: SparkSession, order: int = 20) -> DataFrame:
     """(0, 0) and (l, 0..3) for 1 <= l <= ``order``."""
-    top = F.when(F.col("id") == 0, 0).otherwise(3)
+    top = F.when(F.col("id") == 0, 0).otherwise(3).cast("bigint")
     pairs = spark.range(order + 1).select(
-        F.col("id").alias("l"), F.explode(F.sequence(F.lit(0), top)).cast("bigint").alias("m")
+        F.col("id").alias("l"), F.explode(F.sequence(F.lit(0).cast("bigint"), top)).alias("m")
     )
     number = F.when(F.col("l") == 0, 0).otherwise(4 * F.col("l") - 3 + F.col("m")).cast("bigint")
     return pairs.select(number.alias("m_id"), "l", "m")

@@ -62,7 +62,9 @@ def xyz_lines(df: DataFrame) -> DataFrame:
         F.inline(
             F.array(
                 F.struct(F.lit(-2).cast("bigint").alias("ord"), F.col("n").cast("string").alias("value")),
-                F.struct(F.lit(-1).cast("bigint"), F.concat(F.lit("frame "), "frame")),
+                F.struct(
+                    F.lit(-1).cast("bigint").alias("ord"), F.concat(F.lit("frame "), "frame").alias("value")
+                ),
             )
         ),
     )

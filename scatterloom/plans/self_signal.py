@@ -128,7 +128,8 @@ def self_sums(
                 F.array(
                     F.struct(F.lit(MEAN).cast("bigint").alias("tau"),
                              F.col("fq_re").alias("re"), F.col("fq_im").alias("im")),
-                    F.struct(F.lit(MEAN_SQUARED).cast("bigint"), F.col("fq2_re"), F.col("fq2_im")),
+                    F.struct(F.lit(MEAN_SQUARED).cast("bigint").alias("tau"),
+                             F.col("fq2_re").alias("re"), F.col("fq2_im").alias("im")),
                 )
             ),
         )

@@ -7,6 +7,7 @@ A series is the rows of one key (vector, orientation, perhaps atom) with ``frame
 from __future__ import annotations
 
 import math
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -62,7 +63,7 @@ def _schema(df: DataFrame, keys, *extra: str) -> str:
 def _in_task(df: DataFrame, keys, n_frames: int, correlate) -> DataFrame:
     out = _schema(df, keys, "frame bigint", "re double", "im double")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         a = np.zeros(n_frames, dtype=np.complex128)
         a[pdf["frame"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
         c = correlate(a)
@@ -104,7 +105,7 @@ def _across_tasks(df: DataFrame, keys, n_frames: int, tile: int = TILE) -> DataF
 
     names = [*keys, "k_tile", "n_tile", "re", "im"]
 
-    def forward(key, pdf):
+    def forward(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         *series, n_tile = key
         a = np.zeros((n1, tile), dtype=np.complex128)
         t = pdf["frame"].to_numpy()
@@ -122,7 +123,7 @@ def _across_tasks(df: DataFrame, keys, n_frames: int, tile: int = TILE) -> DataF
             out[at] = (np.asarray(re) + 1j * np.asarray(im)).reshape(tile, tile)
         return out
 
-    def middle(key, pdf):
+    def middle(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         *series, k_tile = key
         a = np.zeros((tile, n2), dtype=np.complex128)
         for at, part in gather(pdf, "n_tile").items():
@@ -135,7 +136,7 @@ def _across_tasks(df: DataFrame, keys, n_frames: int, tile: int = TILE) -> DataF
             pack(series, rows, k_tile, n_tile, b[:, n_tile * tile : (n_tile + 1) * tile])
         return frame_of(rows, names)
 
-    def backward(key, pdf):
+    def backward(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         *series, n_tile = key
         a = np.zeros((n1, tile), dtype=np.complex128)
         for at, part in gather(pdf, "k_tile").items():

@@ -1,32 +1,24 @@
-"""Column layouts of the tables the library exchanges."""
+"""Column layouts of the tables the library exchanges, as DDL."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-ATOMS = _struct("atom_id BIGINT, pdb_name STRING, label STRING, beta STRING, segid STRING")
-ELEMENTS = _struct(
+ATOMS = "atom_id BIGINT, pdb_name STRING, label STRING, beta STRING, segid STRING"
+ELEMENTS = (
     "label STRING, name_regex STRING, mass DOUBLE,"
     " vol_type INT, vol_params ARRAY<DOUBLE>, excl_type INT, excl_params ARRAY<DOUBLE>,"
     " sf_type INT, sf_params ARRAY<DOUBLE>"
 )
-SELECTIONS = _struct("selection STRING, atom_id BIGINT")
-KAPPAS = _struct("selection STRING, value DOUBLE, ord INT")
-COORDS = _struct("frame BIGINT, atom_id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE")
-FRAME_BLOCKS = _struct(
+SELECTIONS = "selection STRING, atom_id BIGINT"
+KAPPAS = "selection STRING, value DOUBLE, ord INT"
+COORDS = "frame BIGINT, atom_id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE"
+FRAME_BLOCKS = (
     "frame BIGINT, first_atom BIGINT, x ARRAY<FLOAT>, y ARRAY<FLOAT>, z ARRAY<FLOAT>"
 )
-QVECTORS = _struct("q_id BIGINT, qx DOUBLE, qy DOUBLE, qz DOUBLE, ql DOUBLE")
-ORIENTATIONS = _struct("m_id BIGINT, ux DOUBLE, uy DOUBLE, uz DOUBLE")
-MOMENTS = _struct("m_id BIGINT, l BIGINT, m BIGINT")
-AMPLITUDES = _struct("q_id BIGINT, m_id BIGINT, frame BIGINT, re DOUBLE, im DOUBLE")
-FQT = _struct(
+QVECTORS = "q_id BIGINT, qx DOUBLE, qy DOUBLE, qz DOUBLE, ql DOUBLE"
+ORIENTATIONS = "m_id BIGINT, ux DOUBLE, uy DOUBLE, uz DOUBLE"
+MOMENTS = "m_id BIGINT, l BIGINT, m BIGINT"
+AMPLITUDES = "q_id BIGINT, m_id BIGINT, frame BIGINT, re DOUBLE, im DOUBLE"
+FQT = (
     "q_id BIGINT, qx DOUBLE, qy DOUBLE, qz DOUBLE, tau BIGINT, re DOUBLE, im DOUBLE"
 )
-FRAME_INDEX = _struct("path STRING, frame BIGINT, byte_offset BIGINT")
-SCAN = "STRUCT<bx: DOUBLE, by: DOUBLE, bz: DOUBLE, lo: DOUBLE, hi: DOUBLE, points: INT, exponent: DOUBLE>"
+FRAME_INDEX = "path STRING, frame BIGINT, byte_offset BIGINT"

@@ -21,29 +21,44 @@ SIGNATURE_HALF = 1 << 20  # bytes taken from each end of a file
 BATCH_LINES = 1 << 16
 
 
-def _resolve(path: str):
+def resolve(path: str):
     if "://" in path or path.startswith("file:"):
         return pafs.FileSystem.from_uri(path)
     return pafs.LocalFileSystem(), path
 
 
 def open_file(path: str) -> io.BufferedReader:
-    fs, name = _resolve(path)
+    fs, name = resolve(path)
     return io.BufferedReader(fs.open_input_file(name), 1 << 20)
 
 
 def file_size(path: str) -> int:
-    fs, name = _resolve(path)
+    fs, name = resolve(path)
     info = fs.get_file_info(name)
     if info.type != pafs.FileType.File:
         raise FileNotFoundError(path)
     return info.size
 
 
+def list_folder(path: str) -> list[str]:
+    """Data files directly in a folder, in name order; markers and drafts are left out."""
+    fs, name = resolve(path)
+    prefix = path[: len(path) - len(name)] if path.endswith(name) else ""
+    found = fs.get_file_info(pafs.FileSelector(name))
+    return sorted(
+        prefix + i.path for i in found
+        if i.type == pafs.FileType.File and not i.base_name.startswith(("_", "."))
+    )
+
+
 def paths_table(spark: SparkSession, paths) -> DataFrame:
-    """``(ord, path)`` from a list of paths, a single path or a table of that form."""
+    """``(ord, path)`` from a path, a folder, a list of paths or a table of that form."""
     if isinstance(paths, DataFrame):
         return paths.select("ord", "path")
+    if isinstance(paths, str):
+        fs, name = resolve(paths)
+        if fs.get_file_info(name).type == pafs.FileType.Directory:
+            paths = list_folder(paths)
     paths = [paths] if isinstance(paths, str) else list(paths)
     return spark.createDataFrame(list(enumerate(paths)), "ord bigint, path string")
 
@@ -136,6 +151,7 @@ def _batch(row, found, n, names):
 
 def number_lines(lines: DataFrame, name: str) -> DataFrame:
     """Add ``name``: the number of a line within its file, from counts per chunk."""
+    lines = lines.repartition("ord", "path", "chunk")  # one exchange for the counts and the rows
     counts = lines.groupBy("ord", "path", "chunk").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("ord", "path").orderBy("chunk").rowsBetween(
         Window.unboundedPreceding, -1

@@ -75,7 +75,7 @@ def parse_ndx(lines: DataFrame, pattern: str = ".*") -> DataFrame:
             F.raise_error(F.concat(F.lit("missing ] in index file: "), F.col("value")))
         ), r"\[\s*([^\]\s]*)", 1),
     )
-    rows = lines.withColumn("__name", name)
+    rows = lines.repartition("ord", "path", "chunk").withColumn("__name", name)
     last = rows.groupBy("ord", "path", "chunk").agg(
         F.max_by("__name", F.when(F.col("__name").isNotNull(), F.col("idx"))).alias("__last")
     )
@@ -95,9 +95,8 @@ def parse_ndx(lines: DataFrame, pattern: str = ".*") -> DataFrame:
     numbers = named.where(
         F.col("__name").isNull() & F.col("selection").isNotNull() & (F.trim("value") != "")
     ).where(F.col("selection").rlike(f"^(?:{pattern})$"))
-    return numbers.select(
-        "selection", (F.explode(F.split(F.trim("value"), r"\s+")).cast("bigint") - 1).alias("atom_id")
-    )
+    words = numbers.select("selection", F.explode(F.split(F.trim("value"), r"\s+")).alias("n"))
+    return words.select("selection", (F.col("n").cast("bigint") - 1).alias("atom_id"))
 
 
 def sel_ndx(
