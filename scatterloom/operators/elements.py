@@ -84,17 +84,17 @@ def exclusion_of(q: Column) -> Column:
 def effective_factors(species: DataFrame, qvectors: DataFrame, background: float | Column = 0.0) -> DataFrame:
     """``(q_id, species, f)`` with f = scattering factor - background * exclusion factor.
 
-    Evaluated on distinct lengths of q, then joined back to the vectors.
+    One evaluation per vector and species; ``background`` may be a column such as a
+    scalar subquery of :func:`background_density`.
     """
     rho = F.lit(background) if not isinstance(background, Column) else background
-    lengths = qvectors.select("ql").distinct()
     kinds = species.select(
         "species", "kappa", "vol_type", "vol_params", "excl_type", "excl_params", "sf_type", "sf_params"
     )
-    by_length = fan_out(lengths, kinds, ["species"]).select(
-        "ql", "species", (raw_factor(F.col("ql")) - rho * exclusion_of(F.col("ql"))).alias("f")
+    q = F.col("ql")
+    return fan_out(qvectors.select("q_id", "ql"), kinds, ["species"]).select(
+        "q_id", "species", (raw_factor(q) - rho * exclusion_of(q)).alias("f")
     )
-    return qvectors.select("q_id", "ql").join(by_length, "ql").select("q_id", "species", "f")
 
 
 def background_density(atoms: DataFrame, elements: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Pairing data with parameter tables (scattering vectors, orientations, species).
 
 A parameter table is described by the user, not by the trajectory, so it is small;
-still its size is counted before it is shipped, and a larger one is worked off in
+still its size is checked before it is shipped, and a larger one is worked off in
 several passes over the data.
 """
 
@@ -10,18 +10,44 @@ from __future__ import annotations
 import functools
 import math
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PART_ROWS = 100_000  # rows of a parameter table shipped to every task at once
 
 
+def local_table(spark: SparkSession, rows, ddl: str) -> DataFrame:
+    """Rows given on the driver as a table that is part of the plan itself."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shape = spark.createDataFrame([], ddl).schema
+    columns = list(zip(*rows)) if rows else [[] for _ in shape]
+    arrow = to_arrow_schema(shape)
+    arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), shape)
+
+
+def _up_to(params: DataFrame, limit: int) -> DataFrame | None:
+    """The table as part of the plan if it has at most ``limit`` rows."""
+    table = params.limit(limit + 1).toArrow()
+    if table.num_rows > limit:
+        return None
+    return params.sparkSession.createDataFrame(table, params.schema)
+
+
+def localize(params: DataFrame, limit: int = PART_ROWS) -> DataFrame:
+    """A small parameter table evaluated once; a large one is left as it is."""
+    small = _up_to(params, limit)
+    return params if small is None else small
+
+
 def bounded_parts(params: DataFrame, keys, limit: int = PART_ROWS) -> list[DataFrame]:
     """Split ``params`` by ``keys`` into parts of about ``limit`` rows or fewer."""
-    rows = params.count()
-    if rows <= limit:
-        return [params]
-    n = math.ceil(2 * rows / limit)
+    small = _up_to(params, limit)
+    if small is not None:
+        return [small]
+    n = math.ceil(2 * params.count() / limit)
     part = F.pmod(F.xxhash64(*keys), F.lit(n))
     return [params.where(part == i) for i in range(n)]
 

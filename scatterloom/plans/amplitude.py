@@ -8,6 +8,8 @@ one to use) and ``sql`` (expressions only).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from scatterloom import schema
 from scatterloom.functions import special, vec
+from scatterloom.functions.waves import PlaneWaves
 from scatterloom.operators.params import bounded_parts, union_all
 from scatterloom.plans import kernel
 
@@ -58,17 +61,10 @@ def amplitude_all(coords: DataFrame, factors: DataFrame, subvectors: DataFrame,
         table, f = kernel.to_driver(part, factors)
         if f is None:
             continue
-        q = np.ascontiguousarray(table[["qx", "qy", "qz"]].to_numpy().T)
-
-        def waves(x, y, z, q=q):
-            phase = np.stack([x, y, z], axis=1) @ q
-            out = np.empty(phase.shape, dtype=np.complex128)
-            np.cos(phase, out=out.real)
-            np.sin(phase, out=out.imag)
-            return out
-
+        waves = PlaneWaves(table[["qx", "qy", "qz"]].to_numpy(), table["m_id"].to_numpy())
+        q_id, m_id = (table[c].to_numpy()[waves.rows] for c in ("q_id", "m_id"))
         passes.append(
-            kernel.partial_sums(coords, ["x", "y", "z"], table["q_id"], table["m_id"], f, waves)
+            kernel.partial_sums(coords, ["x", "y", "z"], q_id, m_id, f.reordered(waves.rows), waves)
         )
     return kernel.add_up(union_all(passes)) if passes else _empty(coords)
 
@@ -83,6 +79,13 @@ def amplitude_self(coords: DataFrame, factors: DataFrame, subvectors: DataFrame)
     )
 
 
+class Blocks(NamedTuple):
+    """Waves given as a function that yields them in blocks of ``width`` columns."""
+
+    blocks: Callable
+    width: int
+
+
 def _moment_passes(coords, factors, qvectors, moments, columns, make_waves) -> DataFrame:
     lm = moments.orderBy("m_id").toPandas()
     if lm.empty:
@@ -110,22 +113,20 @@ def amplitude_multipole_sphere(coords, factors, qvectors, moments) -> DataFrame:
     def make_waves(table, lm):
         ql = table["ql"].to_numpy()
         pairs = [(int(l), int(m)) for l, m in zip(lm["l"], lm["m"])]
-        lmax = max(l for l, _ in pairs)
+        lmax, mmax = max(l for l, _ in pairs), max(abs(m) for _, m in pairs)
         order = np.array([l for l, _ in pairs])
         turn = 4 * math.pi * (1j ** (order % 4))
 
         def waves(r, phi, theta):
             legendre = special.legendre_normalised(lmax, np.cos(theta))
-            y = np.stack(
-                [np.conj(special.harmonic(legendre, phi, l, m)) for l, m in pairs], axis=1
-            )
+            turns = special.powers(mmax, -phi)
+            y = np.stack([special.harmonic(legendre, turns, l, m) for l, m in pairs], axis=1)
             y *= turn
-            out = np.empty((len(r), len(ql), len(pairs)), dtype=np.complex128)
             for i, q in enumerate(ql):
-                out[:, i, :] = special.spherical_bessel(lmax, q * r)[order].T * y
-            return out.reshape(len(r), -1)
+                part = slice(i * len(pairs), (i + 1) * len(pairs))
+                yield part, special.spherical_bessel(lmax, q * r)[order].T * y
 
-        return waves
+        return Blocks(waves, len(pairs))
 
     return _moment_passes(coords, factors, qvectors, moments, ["r", "phi", "theta"], make_waves)
 
@@ -149,8 +150,8 @@ def amplitude_multipole_cylinder(
         where = {n: i for i, n in enumerate(distinct)}
 
         def waves(r, phi, z):
-            out = np.empty((len(r), len(across), len(pairs)), dtype=np.complex128)
             for i in range(len(across)):
+                out = np.empty((len(r), len(pairs)), dtype=np.complex128)
                 bessel = special.cylinder_bessel(distinct, across[i] * r)
                 psi = phi - angle[i]
                 height = along[i] * z
@@ -162,9 +163,9 @@ def amplitude_multipole_cylinder(
                         turn = np.cos(n * psi) if m % 2 == 0 else np.sin(n * psi)
                         sign = (-1) ** l if m < 2 else 1j * (-1) ** (l - 1)
                         wave = math.sqrt(2.0) * sign * wave * turn
-                    out[:, i, k] = wave
-            return out.reshape(len(r), -1)
+                    out[:, k] = wave
+                yield slice(i * len(pairs), (i + 1) * len(pairs)), out
 
-        return waves
+        return Blocks(waves, len(pairs))
 
     return _moment_passes(coords, factors, qvectors, moments, ["r", "phi", "z"], make_waves)

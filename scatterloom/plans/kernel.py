@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_CELLS = 1 << 18  # rows x vectors evaluated at once: 2 MB per array, stays in cache
+SLICE_CELLS = 1 << 15  # rows x vectors evaluated at once: 512 KB of complex values
 HELD_CELLS = 1 << 22  # frames x vectors held before partial sums are passed on: 64 MB
 VECTOR_ROWS = 4096  # vectors per pass over the data, which also bounds the factors shipped
 OUT_ROWS = 1 << 16
@@ -73,6 +73,12 @@ class Factors:
         wide = table.pivot(index="species", columns="q_id", values="f")
         self.values = wide.reindex(index=self.species, columns=q_id).to_numpy()
 
+    def reordered(self, rows: np.ndarray) -> "Factors":
+        """The same with the vectors in another order."""
+        out = Factors.__new__(Factors)
+        out.species, out.values = self.species, np.ascontiguousarray(self.values[:, rows])
+        return out
+
     def codes(self, column: pa.Array) -> np.ndarray:
         code = pc.index_in(column, value_set=pa.array(self.species, type=column.type))
         if code.null_count:
@@ -84,16 +90,15 @@ class Factors:
 def batch_sums(batch, columns, factors: Factors, waves, sums: FrameSums):
     """Add the rows of one batch to ``sums``.
 
-    ``waves(*columns)`` gives complex values (rows, vectors) without factors. Rows are
-    ordered by (frame, species), so that factors are applied to sums, not to rows.
+    ``waves.blocks(*columns)`` yields complex values (rows, some vectors) without factors.
+    Rows are ordered by (frame, species), so that factors are applied to sums, not to rows.
     """
     frame = batch.column("frame").to_numpy(zero_copy_only=False)
     code = factors.codes(batch.column("species"))
     order = np.lexsort((code, frame))
     frame, code = frame[order], code[order]
     data = [batch.column(c).to_numpy(zero_copy_only=False)[order] for c in columns]
-    width = len(sums.q_id)
-    step = max(1, SLICE_CELLS // max(1, width))
+    step = max(1, SLICE_CELLS // waves.width)
     for lo in range(0, len(frame), step):
         hi = min(lo + step, len(frame))
         f, s = frame[lo:hi], code[lo:hi]
@@ -103,7 +108,9 @@ def batch_sums(batch, columns, factors: Factors, waves, sums: FrameSums):
         new_group = new_frame.copy()
         new_group[1:] |= s[1:] != s[:-1]
         at = np.flatnonzero(new_group)
-        grouped = np.add.reduceat(waves(*(d[lo:hi] for d in data)), at, axis=0)
+        grouped = np.empty((len(at), len(sums.q_id)), dtype=np.complex128)
+        for part, values in waves.blocks(*(d[lo:hi] for d in data)):
+            grouped[:, part] = np.add.reduceat(values, at, axis=0)
         grouped *= factors.values[s[at]]
         first = np.flatnonzero(new_frame[at])
         sums.add(f[at][first], np.add.reduceat(grouped, first, axis=0))
@@ -138,7 +145,9 @@ def add_up(partial: DataFrame) -> DataFrame:
 
 def to_driver(params: DataFrame, factors: DataFrame) -> tuple[pd.DataFrame, Factors | None]:
     """One bounded part of the vectors with the factors that belong to it."""
-    table = params.toPandas()
+    table = params.toPandas().sort_values(
+        [c for c in ("q_id", "m_id") if c in params.columns], ignore_index=True
+    )
     if table.empty:
         return table, None
     wanted = params.select("q_id").distinct()

@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scatterloom.functions.waves import PlaneWaves
 from scatterloom.operators.params import bounded_parts, union_all
 from scatterloom.operators.staging import stage_atoms
 from scatterloom.plans import kernel, series
 from scatterloom.plans.amplitude import amplitude_self
 
+SERIES_CELLS = 1 << 18  # frames x vectors transformed at once: 4 MB of complex values
 MEAN, MEAN_SQUARED = -1, -2  # rows beside the lags 0..n-1
 KEYS = ["q_id", "m_id", "atom_id"]
 
@@ -66,10 +68,31 @@ def _joined(parts):
     )
 
 
+def _row_slices(groups: np.ndarray, width: int):
+    """Rows of the table in slices of at most ``width``, whole groups together if they fit."""
+    order = np.argsort(groups, kind="stable")
+    _, starts, counts = np.unique(groups[order], return_index=True, return_counts=True)
+    held = []
+    for start, count in zip(starts, counts):
+        if held and len(held) + count > width:
+            yield np.array(held)
+            held = []
+        if count > width:
+            for lo in range(start, start + count, width):
+                yield order[lo : min(lo + width, start + count)]
+        else:
+            held.extend(order[start : start + count])
+    if held:
+        yield np.array(held)
+
+
 def _one_pass(staged: DataFrame, table, factors, n_frames: int, dsp: str, method: str) -> DataFrame:
     q_ids, q_of = np.unique(table["q_id"].to_numpy(), return_inverse=True)
-    q = np.ascontiguousarray(table[["qx", "qy", "qz"]].to_numpy().T)
-    width = max(1, kernel.SLICE_CELLS // n_frames)
+    q, groups = table[["qx", "qy", "qz"]].to_numpy(), table["m_id"].to_numpy()
+    slices = []
+    for rows in _row_slices(groups, max(1, SERIES_CELLS // n_frames)):
+        waves = PlaneWaves(q[rows], groups[rows])
+        slices.append((rows[waves.rows], waves))
 
     def run(batches):
         lags = np.zeros((len(q_ids), n_frames), dtype=np.complex128)
@@ -78,19 +101,15 @@ def _one_pass(staged: DataFrame, table, factors, n_frames: int, dsp: str, method
         seen = False
         for code, frame, xyz in _atoms(batches, factors):
             seen = True
-            for lo in range(0, q.shape[1], width):
-                part = slice(lo, min(lo + width, q.shape[1]))
-                phase = xyz @ q[:, part]
-                a = np.zeros((n_frames, phase.shape[1]), dtype=np.complex128)
-                wave = np.empty(phase.shape, dtype=np.complex128)
-                np.cos(phase, out=wave.real)
-                np.sin(phase, out=wave.imag)
-                a[frame] = wave * factors.values[code, part]
+            for rows, waves in slices:
+                a = np.zeros((n_frames, len(rows)), dtype=np.complex128)
+                a[frame] = waves(*xyz.T) * factors.values[code, rows]
                 a = _dsp(a, dsp, method)
                 m = a.sum(axis=0) / n_frames
-                np.add.at(lags, q_of[part], a.T)
-                np.add.at(mean, q_of[part], m)
-                np.add.at(mean2, q_of[part], m.real**2 + m.imag**2)
+                for k, i in enumerate(q_of[rows]):
+                    lags[i] += a[:, k]
+                np.add.at(mean, q_of[rows], m)
+                np.add.at(mean2, q_of[rows], m.real**2 + m.imag**2)
         if not seen:
             return
         tau = np.concatenate([np.arange(n_frames), [MEAN, MEAN_SQUARED]])

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from scatterloom.operators import qspace
 from scatterloom.operators.align import with_representation
+from scatterloom.operators.params import localize
+from scatterloom.operators.staging import spread_frames
 from scatterloom.plans import amplitude, self_signal, series
 from scatterloom.scratch import write_and_reread
 
@@ -98,17 +100,22 @@ def scatter(
     dsp: str = "autocorrelate",
     method: str = "fft",
     engine: str = "kernel",
+    stage: bool = False,
     materialize: bool = False,
 ) -> Signal:
     """The signal of a trajectory.
 
     ``coords`` has ``frame, species, x, y, z`` (and ``atom_id`` for ``kind='self'``).
     ``kind='all'`` sums amplitudes over atoms before the transform in time, with plain,
-    oriented or multipole vectors; ``kind='self'`` sums after it. ``materialize`` keeps
-    the amplitudes in the scratch folder, so that several outputs share them.
+    oriented or multipole vectors; ``kind='self'`` sums after it.
+
+    ``stage`` brings the rows of a frame together first, which pays where they lie
+    scattered over many files or where the input has too few parts to keep all cores busy. ``materialize`` keeps the amplitudes in the
+    scratch folder, so that several outputs share them.
     """
     if n_frames < 1:
         raise ValueError("nothing to compute: no frames")
+    qvectors, factors = localize(qvectors), localize(factors)
     _require(coords, "atoms")
     _require(qvectors, "scattering vectors")
     q = qvectors.select(*Q)
@@ -116,7 +123,7 @@ def scatter(
     if kind == "self":
         if isinstance(average, Multipole):
             raise ValueError("a self signal has no multipole expansion")
-        vectors = subvectors(qvectors, average)
+        vectors = localize(subvectors(qvectors, average))
         sums = self_signal.self_sums(coords, factors, vectors, n_frames, dsp, method)
         if materialize:
             sums = write_and_reread(sums, "self")
@@ -128,11 +135,12 @@ def scatter(
         )
         norm = _per_orientation(vectors)
     elif kind == "all":
+        coords = spread_frames(coords) if stage else coords
         if isinstance(average, Multipole):
             amplitudes, factor = _multipole(coords, factors, qvectors, average)
             norm = qvectors.select("q_id", F.lit(factor).alias("norm"))
         else:
-            vectors = subvectors(qvectors, average)
+            vectors = localize(subvectors(qvectors, average))
             amplitudes = amplitude.amplitude_all(coords, factors, vectors, engine)
             norm = _per_orientation(vectors)
         if materialize:

@@ -16,6 +16,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scatterloom.operators.params import local_table
+
 CHUNK_BYTES = 64 << 20
 SIGNATURE_HALF = 1 << 20  # bytes taken from each end of a file
 BATCH_LINES = 1 << 16
@@ -60,7 +62,7 @@ def paths_table(spark: SparkSession, paths) -> DataFrame:
         if fs.get_file_info(name).type == pafs.FileType.Directory:
             paths = list_folder(paths)
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.createDataFrame(list(enumerate(paths)), "ord bigint, path string")
+    return local_table(spark, list(enumerate(paths)), "ord bigint, path string")
 
 
 def spread(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scatterloom.functions import vec
 from scatterloom.operators import qspace
+from scatterloom.operators.params import local_table
 from scatterloom.schema import ELEMENTS
 from scatterloom.sources import files
 
@@ -55,7 +56,7 @@ def read_moments(spark: SparkSession, path: str) -> DataFrame:
 def element_table(spark: SparkSession, source) -> DataFrame:
     """Element constants from a JSON or Parquet path, or from rows."""
     if not isinstance(source, str):
-        return spark.createDataFrame(source, ELEMENTS)
+        return local_table(spark, source, ELEMENTS)
     if source.endswith(".json") or source.endswith(".jsonl"):
         return spark.read.schema(ELEMENTS).json(source)
     return spark.read.schema(ELEMENTS).parquet(source)

@@ -19,7 +19,7 @@ from scatterloom.scratch import scratch_path
 from scatterloom.sources import files, tables as readers, trajectory
 from workload import tables as t
 from workload.sql import (
-    ELEMENTS, FACTORS, LI, ORIENT, PI, SCAN_Q, SUPPLIER_Q, TRAJ, VOLUME,
+    ELEMENTS, FACTORS, LI, NATION_Q, ORIENT, PI, SCAN_Q, SUPPLIER_Q, TRAJ, VOLUME,
     element_values, exclusion, normal, on_sphere, r, scattering, xyz,
 )
 
@@ -639,7 +639,8 @@ def subvectors_parallel(spark, sf):
     return _sub_out(qspace.subvectors_cylinder(t.supplier_q(spark, sf), qspace.orient_circle(spark, 12, 3)))
 
 
-@query("pending_vectors", f"WITH {SUPPLIER_Q} SELECT q_id, {r('qx', 'qx')}, {r('qy', 'qy')}, {r('qz', 'qz')} FROM q WHERE q_id % 3 <> 1")
+@query("pending_vectors", f"""WITH {SUPPLIER_Q} SELECT q_id, {r('qx', 'qx')}, {r('qy', 'qy')}, {r('qz', 'qz')} FROM q
+ WHERE (qx, qy, qz) NOT IN (SELECT (qx, qy, qz) FROM q WHERE q_id % 3 = 1)""")
 def pending_vectors(spark, sf):
     """Vectors that a result does not hold yet."""
     q = t.supplier_q(spark, sf)
@@ -1225,15 +1226,15 @@ def signal_multipole_cylinder(spark, sf):
     return _fqt_out(s.fqt, 4)
 
 
-SUPPLIER_AMP = f"{LI}, {SUPPLIER_Q}, {LI_FACTORS}, {SUB1}, {_amp_sql('li')}"
+NATION_AMP = f"{LI}, {NATION_Q}, {LI_FACTORS}, {SUB1}, {_amp_sql('li')}"
 LI_N = "(SELECT 500.0::DOUBLE)"
 
 
-@query("result_resume", f"""WITH {SUPPLIER_AMP}, sq AS (SELECT q_id, m_id, frame, re*re + im*im AS re, 0.0::DOUBLE AS im FROM amp), {_fq_sql('sq', '1', 'q_id, m_id', LI_N, 2)}""")
+@query("result_resume", f"""WITH {NATION_AMP}, sq AS (SELECT q_id, m_id, frame, re*re + im*im AS re, 0.0::DOUBLE AS im FROM amp), {_fq_sql('sq', '1', 'q_id, m_id', LI_N, 2)}""")
 def result_resume(spark, sf):
     """A result written for some vectors, then resumed for those still missing."""
     path = scratch_path(spark, "signal")
-    traj, q = t.li_traj(spark, sf), t.supplier_q(spark, sf)
+    traj, q = t.li_traj(spark, sf), t.nation_q(spark, sf)
     f = t.factors(spark, q)
     done = scatter(traj, q.where("q_id % 3 = 0"), f, t.LI_FRAMES, dsp="square", materialize=True)
     write_signal(done, path, {"dsp": "square", "elements": t.ELEMENT_ROWS})
@@ -1243,13 +1244,14 @@ def result_resume(spark, sf):
     return _fq_out(read_signal(spark, path)[1], 2)
 
 
-@query("result_shape", f"""WITH {LI}, k AS (SELECT l_returnflag AS flag, l_orderkey % 500 AS frame FROM lineitem)
- SELECT ascii(flag)::BIGINT AS q_id, max(frame) + 1 AS n_lags, count(DISTINCT frame) AS n_rows FROM k GROUP BY flag
- HAVING max(frame) + 1 <> 500 OR count(DISTINCT frame) <> 500""")
+@query("result_shape", """SELECT l_linenumber::BIGINT AS q_id, CAST(max(l_quantity) AS BIGINT) + 1 AS n_lags, count(DISTINCT l_quantity) AS n_rows
+ FROM lineitem GROUP BY l_linenumber HAVING max(l_quantity) + 1 <> 51 OR count(DISTINCT l_quantity) <> 51""")
 def result_shape(spark, sf):
     """K3: vectors of a result whose series have another length than the trajectory."""
-    result = t.li_traj(spark, sf).select(F.ascii("species").cast("bigint").alias("q_id"), F.col("frame").alias("tau")).distinct()
-    return check_length(result, t.LI_FRAMES)
+    result = t.read(spark, sf, "lineitem").select(
+        F.col("l_linenumber").cast("bigint").alias("q_id"), F.col("l_quantity").cast("bigint").alias("tau")
+    )
+    return check_length(result.distinct(), 51)
 
 
 @query("result_meta", "SELECT s_suppkey AS q_id, 'run' || s_suppkey AS run_id FROM supplier")

@@ -29,6 +29,11 @@ SUPPLIER_Q = """q AS (
            (s_suppkey % 7 + 1) / 4.0::DOUBLE AS qz
     FROM supplier))"""
 
+NATION_Q = """q AS (
+  SELECT q_id, qx, qy, qz, sqrt(qx*qx + qy*qy + qz*qz) AS ql FROM (
+    SELECT n_nationkey::BIGINT AS q_id, (n_nationkey + 1) / 13.0::DOUBLE AS qx,
+           (n_regionkey - 2) / 3.0::DOUBLE AS qy, 0.25::DOUBLE AS qz FROM nation))"""
+
 SCAN_Q = """q AS (
   SELECT j AS q_id, 0.1 + (j / 4.0::DOUBLE) * 1.9 AS qx, 0.0::DOUBLE AS qy, 0.0::DOUBLE AS qz,
          0.1 + (j / 4.0::DOUBLE) * 1.9 AS ql

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from scatterloom.operators import elements as el
 from scatterloom.operators import qspace
-from scatterloom.schema import ELEMENTS, KAPPAS
+from scatterloom.operators.params import local_table
+from scatterloom.schema import KAPPAS
 from scatterloom.sources import files
+from scatterloom.sources import tables as readers
 
 ATOMS_PER_VECTOR = 22  # 3 * 22 = 66 values: all 64 of an embedding, the first two again
 
@@ -37,7 +39,7 @@ def elements(spark: SparkSession, patterns: dict | None = None) -> DataFrame:
     rows = ELEMENT_ROWS
     if patterns:
         rows = [(r[0], patterns[r[0]], *r[2:]) for r in rows]
-    return spark.createDataFrame(rows, ELEMENTS)
+    return readers.element_table(spark, rows)
 
 
 def emb_traj(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +112,18 @@ def supplier_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.withColumn("ql", F.sqrt(F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2))
 
 
+def nation_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scattering vector per nation."""
+    df = read(spark, sf_dir, "nation")
+    q = df.select(
+        F.col("n_nationkey").cast("bigint").alias("q_id"),
+        ((F.col("n_nationkey") + 1) / 13.0).alias("qx"),
+        ((F.col("n_regionkey") - 2) / 3.0).alias("qy"),
+        F.lit(0.25).alias("qz"),
+    )
+    return q.withColumn("ql", F.sqrt(F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2))
+
+
 def scan_q(spark: SparkSession, points: int = 5) -> DataFrame:
     """A scan along x from 0.1 to 2."""
     return qspace.q_from_scans(spark, [qspace.scan((1.0, 0.0, 0.0), 0.1, 2.0, points, 1.0)])
@@ -124,7 +138,7 @@ DIRECTIONS = [
 
 def directions(spark: SparkSession) -> DataFrame:
     rows = [(i, *v) for i, v in enumerate(DIRECTIONS)]
-    return spark.createDataFrame(rows, "m_id bigint, ux double, uy double, uz double")
+    return local_table(spark, rows, "m_id bigint, ux double, uy double, uz double")
 
 
 def factors(spark: SparkSession, q: DataFrame, background: float = 0.0) -> DataFrame:
@@ -134,7 +148,7 @@ def factors(spark: SparkSession, q: DataFrame, background: float = 0.0) -> DataF
 
 def kappas(spark: SparkSession) -> DataFrame:
     rows = [("Brand#1", 1.2, 0), ("small", 0.8, 1), ("Brand#2", 1.1, 2)]
-    return spark.createDataFrame(rows, KAPPAS)
+    return local_table(spark, rows, KAPPAS)
 
 
 # -- files made from the tables, for the file readers -----------------------------------------
