@@ -18,18 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scatterloom.functions import vec
+from scatterloom.operators.frames import join_per_frame
 from scatterloom.operators.selections import SYSTEM, is_in
 
-BROADCAST_FRAMES = 1_000_000  # rows of at most 16 doubles each
-
-
-def join_per_frame(df: DataFrame, per_frame: DataFrame, n_frames: int | None = None) -> DataFrame:
-    """Left join of a one-row-per-frame table; broadcast if ``n_frames`` is known to be small."""
-    if n_frames is not None and n_frames <= BROADCAST_FRAMES:
-        per_frame = F.broadcast(per_frame)
-    return df.join(per_frame, "frame", "left")
-
-
 def tagged(coords: DataFrame, atoms: DataFrame) -> DataFrame:
     """Coordinates with the mass and the selection flags of their atom."""
     extra = [c for c in atoms.columns if c == "atom_id" or c not in coords.columns]

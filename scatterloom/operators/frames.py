@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ATOMS = 1 << 16
+BROADCAST_FRAMES = 1_000_000  # rows of at most 16 doubles each
 
 
 def frame_count(df: DataFrame) -> int:
@@ -22,6 +23,18 @@ def _count_of(df: DataFrame) -> Column:
     return df.agg(F.coalesce(F.max("frame") + 1, F.lit(0)).alias("n")).scalar()
 
 
+def join_per_frame(
+    df: DataFrame, per_frame: DataFrame, n_frames: int | None = None, how: str = "left"
+) -> DataFrame:
+    """Join with a one-row-per-frame table; broadcast if ``n_frames`` is known to be small.
+
+    Otherwise the join is left to the optimizer, which splits a frame with too many rows.
+    """
+    if n_frames is not None and n_frames <= BROADCAST_FRAMES:
+        per_frame = F.broadcast(per_frame)
+    return df.join(per_frame, "frame", how)
+
+
 def trim_frames(df: DataFrame, first: int = 0, last: int | None = None, stride: int = 1) -> DataFrame:
     """Keep frames ``first..last`` (both included) whose number is a multiple of ``stride``.
 
@@ -71,7 +84,7 @@ def clone_frames(df: DataFrame, copies: int, n_frames: int | None = None) -> Dat
     ).drop("__copy", "__size")
 
 
-def locate_frames(df: DataFrame, framesets: DataFrame) -> DataFrame:
+def locate_frames(df: DataFrame, framesets: DataFrame, n_frames: int | None = None) -> DataFrame:
     """Add ``frameset`` and ``local_frame`` from ``framesets(frameset, offset, n)``.
 
     The ranges are written out as one row per frame, which turns the range lookup
@@ -85,7 +98,7 @@ def locate_frames(df: DataFrame, framesets: DataFrame) -> DataFrame:
         "frameset",
         F.col("pos").cast("bigint").alias("local_frame"),
     )
-    return df.join(places, "frame")
+    return join_per_frame(df, places, n_frames, "inner")
 
 
 def keep_frames(df: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from scatterloom.functions import draws, vec
 from scatterloom.operators import align
+from scatterloom.operators.frames import join_per_frame
 from scatterloom.operators.prefix import running_total
 from scatterloom.operators.selections import SYSTEM
 
@@ -78,7 +79,7 @@ def walk(steps: DataFrame, block: int | None = None) -> DataFrame:
 
 def motion_walk(df, shifts: DataFrame, selection=SYSTEM, n_frames=None) -> DataFrame:
     """Translate ``selection`` by the shift of its frame."""
-    joined = align.join_per_frame(df, shifts.select("frame", "tx", "ty", "tz"), n_frames)
+    joined = join_per_frame(df, shifts.select("frame", "tx", "ty", "tz"), n_frames)
     t = vec.Vec(*(F.coalesce(F.col(f"t{c}"), F.lit(0.0)) for c in "xyz"))
     return align.translate(joined, t, selection).drop("tx", "ty", "tz")
 
@@ -181,11 +182,11 @@ def motion_rotation(df, rotations: DataFrame, selection=SYSTEM, reference=None,
     Without a reference the centre of ``reference_selection`` in the current frame is used.
     """
     if reference is None:
-        df2 = align.join_per_frame(df, align.center_of_mass(df, reference_selection), n_frames)
+        df2 = join_per_frame(df, align.center_of_mass(df, reference_selection), n_frames)
         centre = vec.columns("cx", "cy", "cz")
     else:
         df2, centre = df, align._reference_centre(reference)
-    joined = align.join_per_frame(df2, rotations.select("frame", *align.MATRIX), n_frames)
+    joined = join_per_frame(df2, rotations.select("frame", *align.MATRIX), n_frames)
     v = vec.sub(vec.columns(), centre)
     moved = vec.add(align._row_times_matrix(v), centre)
     hit = align.is_in(selection) & F.col("r00").isNotNull()

@@ -102,6 +102,7 @@ def scatter(
     engine: str = "kernel",
     stage: bool = False,
     materialize: bool = False,
+    check: bool = True,
 ) -> Signal:
     """The signal of a trajectory.
 
@@ -111,12 +112,15 @@ def scatter(
 
     ``stage`` brings the rows of a frame together first, which pays where they lie
     scattered over many files or where the input has too few parts to keep all cores busy. ``materialize`` keeps the amplitudes in the
-    scratch folder, so that several outputs share them.
+    scratch folder, so that several outputs share them: use it before writing a result.
+    ``check`` looks for a first atom; switch it off where preparing the coordinates is
+    costly, since that work would be started twice.
     """
     if n_frames < 1:
         raise ValueError("nothing to compute: no frames")
     qvectors, factors = localize(qvectors), localize(factors)
-    _require(coords, "atoms")
+    if check:
+        _require(coords, "atoms")
     _require(qvectors, "scattering vectors")
     q = qvectors.select(*Q)
 

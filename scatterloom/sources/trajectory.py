@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from scatterloom.operators.frames import keep_frames, trim_frames
 from scatterloom.operators.prefix import running_total
+from scatterloom.scratch import write_and_reread
 from scatterloom.sources import files, formats
 
 SLICE_ATOMS = 1 << 20
@@ -69,7 +70,7 @@ def _pdb_index(paths: DataFrame, chunk_bytes: int) -> DataFrame:
 
 def build_frame_index(
     spark: SparkSession, paths, fmt: str, keep: DataFrame | None = None,
-    chunk_bytes: int = files.CHUNK_BYTES,
+    chunk_bytes: int = files.CHUNK_BYTES, signed: bool = True,
 ) -> DataFrame:
     """Frames of each file with their byte offset and the signature of the file.
 
@@ -85,6 +86,8 @@ def build_frame_index(
         raise ValueError(f"no reader for format {fmt!r}")
     if keep is not None:
         index = keep_frames(index, keep)
+    if not signed:
+        return index.select(*INDEX)
     return index.join(files.signatures(table), ["ord", "path"]).select(*INDEX, "signature")
 
 
@@ -133,7 +136,26 @@ def frameset_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _work(index: DataFrame) -> DataFrame:
-    return files.spread(index.select(*INDEX), "path", "byte_offset", "frame")
+    """Index rows in runs of neighbouring frames, several to a task."""
+    n = 4 * index.sparkSession.sparkContext.defaultParallelism
+    order = ["path", "byte_offset", "frame"]
+    return index.select(*INDEX).repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
+def _frames_of(batches):
+    """Yield (open file, path, frame, byte offset); a file stays open for its neighbours."""
+    current, f = None, None
+    try:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["path"] != current:
+                    if f is not None:
+                        f.close()
+                    current, f = row["path"], formats.open_file(row["path"])
+                yield f, current, row["frame"], row["byte_offset"]
+    finally:
+        if f is not None:
+            f.close()
 
 
 def _read_dcd(index: DataFrame) -> DataFrame:
@@ -142,25 +164,21 @@ def _read_dcd(index: DataFrame) -> DataFrame:
     )
 
     def run(batches):
-        layouts = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                path, at = row["path"], row["byte_offset"]
-                if path not in layouts:
-                    layouts[path] = formats.dcd_layout(path)
-                d = layouts[path]
-                with formats.open_file(path) as f:
-                    for lo in range(0, d.n_atoms, SLICE_ATOMS):
-                        hi = min(lo + SLICE_ATOMS, d.n_atoms)
-                        xyz = [formats.dcd_block(f, at, b, lo, hi) for b in (d.x, d.y, d.z)]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(hi - lo, row["frame"], dtype=np.int64)),
-                                pa.array(np.arange(lo, hi, dtype=np.int64)),
-                                *(pa.array(v.astype(np.float64)) for v in xyz),
-                            ],
-                            schema=schema,
-                        )
+        known, d = None, None
+        for f, path, frame, at in _frames_of(batches):
+            if path != known:
+                known, d = path, formats.dcd_layout(path)
+            for lo in range(0, d.n_atoms, SLICE_ATOMS):
+                hi = min(lo + SLICE_ATOMS, d.n_atoms)
+                xyz = [formats.dcd_block(f, at, b, lo, hi) for b in (d.x, d.y, d.z)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(hi - lo, frame, dtype=np.int64)),
+                        pa.array(np.arange(lo, hi, dtype=np.int64)),
+                        *(pa.array(v.astype(np.float64)) for v in xyz),
+                    ],
+                    schema=schema,
+                )
 
     return _work(index).mapInArrow(
         run, "frame bigint, atom_id bigint, x double, y double, z double"
@@ -182,17 +200,15 @@ def pdb_records(index: DataFrame) -> DataFrame:
                 ["frame", "atom_id", "value"],
             )
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                first, found = 0, []
-                with formats.open_file(row["path"]) as f:
-                    for line in formats.pdb_frame(f, row["byte_offset"], formats.ATOM):
-                        found.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
-                        if len(found) == files.BATCH_LINES:
-                            yield out(row["frame"], first, found)
-                            first, found = first + len(found), []
-                if found:
-                    yield out(row["frame"], first, found)
+        for f, _, frame, at in _frames_of(batches):
+            first, found = 0, []
+            for line in formats.pdb_frame(f, at, formats.ATOM):
+                found.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
+                if len(found) == files.BATCH_LINES:
+                    yield out(frame, first, found)
+                    first, found = first + len(found), []
+            if found:
+                yield out(frame, first, found)
 
     return _work(index).mapInArrow(run, "frame bigint, atom_id bigint, value string")
 
@@ -222,7 +238,9 @@ def read_frames(
     if fmt == "parquet":
         df = spark.read.parquet(paths)
         return trim_frames(df, first, last, stride)
-    index = build_frame_index(spark, paths, fmt)
+    index = build_frame_index(spark, paths, fmt, signed=False)
+    if fmt == "pdb":
+        index = write_and_reread(index, "frame-index")  # finding the frames reads whole files
     return read_indexed(join_files(index, first, last, stride, clones), fmt)
 
 
@@ -250,33 +268,26 @@ def read_unit_cells(index: DataFrame, fmt: str) -> DataFrame:
         out = "frame bigint, " + ", ".join(f"{c} double" for c in CELL)
 
         def run(batches):
-            import pandas as pd
-
-            for pdf in batches:
-                rows = []
-                for path, at, frame in zip(pdf["path"], pdf["byte_offset"], pdf["frame"]):
-                    with formats.open_file(path) as f:
-                        rows.append((frame, *formats.dcd_cell(f, at, formats.dcd_layout(path))))
-                yield pd.DataFrame(rows, columns=["frame", *CELL])
+            known, d = None, None
+            for f, path, frame, at in _frames_of(batches):
+                if path != known:
+                    known, d = path, formats.dcd_layout(path)
+                row = {"frame": frame, **dict(zip(CELL, formats.dcd_cell(f, at, d)))}
+                yield pa.RecordBatch.from_pylist([row])
 
-        return _work(index).mapInPandas(run, out)
+        return _work(index).mapInArrow(run, out)
 
     def lines(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for path, at, frame in zip(pdf["path"], pdf["byte_offset"], pdf["frame"]):
-                with formats.open_file(path) as f:
-                    own = list(formats.pdb_frame(f, at, formats.CELL))
-                    if not own:
-                        f.seek(0)
-                        own = [next((x for x in f if x.startswith(formats.CELL)), b"")]
-                rows.append((frame, own[-1].decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["frame", "value"])
-
-    found = _work(index).mapInPandas(lines, "frame bigint, value string")
-    return cell_vectors(found)
+        known, default = None, None
+        for f, path, frame, at in _frames_of(batches):
+            own = list(formats.pdb_frame(f, at, formats.CELL))
+            if not own and path != known:
+                f.seek(0)
+                known, default = path, next((x for x in f if x.startswith(formats.CELL)), b"")
+            value = (own[-1] if own else default).decode("utf-8", "replace")
+            yield pa.RecordBatch.from_pylist([{"frame": frame, "value": value}])
+
+    return cell_vectors(_work(index).mapInArrow(lines, "frame bigint, value string"))
 
 
 def cell_vectors(lines: DataFrame) -> DataFrame:
