@@ -25,15 +25,29 @@ def local_table(spark: SparkSession, rows, ddl: str) -> DataFrame:
     columns = list(zip(*rows)) if rows else [[] for _ in shape]
     arrow = to_arrow_schema(shape)
     arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
-    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), shape)
+    return _as_plan(spark, pa.Table.from_arrays(arrays, schema=arrow), shape)
+
+
+def _as_plan(spark: SparkSession, table: pa.Table, shape) -> DataFrame:
+    df = spark.createDataFrame(table, shape)
+    df._rows_on_driver = table
+    return df
+
+
+def on_driver(params: DataFrame) -> pa.Table | None:
+    """The rows of a table made by :func:`localize` or :func:`local_table`, else nothing."""
+    return getattr(params, "_rows_on_driver", None)
 
 
 def _up_to(params: DataFrame, limit: int) -> DataFrame | None:
     """The table as part of the plan if it has at most ``limit`` rows."""
+    table = on_driver(params)
+    if table is not None:
+        return params if table.num_rows <= limit else None
     table = params.limit(limit + 1).toArrow()
     if table.num_rows > limit:
         return None
-    return params.sparkSession.createDataFrame(table, params.schema)
+    return _as_plan(params.sparkSession, table, params.schema)
 
 
 def localize(params: DataFrame, limit: int = PART_ROWS) -> DataFrame:

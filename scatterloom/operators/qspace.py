@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scatterloom.functions import draws, vec
-from scatterloom.operators.params import fan_out
+from scatterloom.operators.params import fan_out, local_table
+from scatterloom.schema import QVECTORS
 
 MAX_SCANS = 3
 PARALLEL = 1e-12  # part of |q| across the axis below which q counts as parallel to it
@@ -21,13 +22,15 @@ def _with_length(df: DataFrame) -> DataFrame:
     return df.withColumn("ql", vec.length(vec.columns("qx", "qy", "qz")))
 
 
+def _count(spark: SparkSession, n: int) -> DataFrame:
+    """0..n-1, in one task unless there are many."""
+    return spark.range(0, n, 1, max(1, n // 100_000))
+
+
 def q_single(spark: SparkSession, x: float = 1.0, y: float = 0.0, z: float = 0.0) -> DataFrame:
-    return _with_length(
-        spark.range(1).select(
-            F.col("id").alias("q_id"), F.lit(float(x)).alias("qx"), F.lit(float(y)).alias("qy"),
-            F.lit(float(z)).alias("qz"),
-        )
-    )
+    length = math.sqrt(x * x + y * y + z * z)
+    row = (0, float(x), float(y), float(z), length)
+    return local_table(spark, [row], QVECTORS)
 
 
 def scan(base=(1.0, 0.0, 0.0), lo=0.0, hi=1.0, points=100, exponent=1.0) -> Column:
@@ -52,20 +55,22 @@ def _step(s: Column, j: Column) -> Column:
     )
 
 
-def q_grid(specs: DataFrame, keys=()) -> DataFrame:
+def q_grid(specs: DataFrame, keys=(), most: int = MAX_SCANS) -> DataFrame:
     """Unfold ``specs(*keys, scans ARRAY<scan>)``: all sums of one vector from each scan.
 
     Up to three scans per row; a row with more fails the query, and a scan with no
-    points gives no vectors. ``q_id`` counts the vectors of a row from 0.
+    points gives no vectors. ``q_id`` counts the vectors of a row from 0. ``most`` is the
+    largest number of scans in a row where the caller knows it.
     """
     keys = list(keys)
-    limited = F.when(F.size("scans") <= MAX_SCANS, F.col("scans")).otherwise(
-        F.raise_error("more than 3 scans cannot be combined")
+    most = min(most, MAX_SCANS)
+    limited = F.when(F.size("scans") <= most, F.col("scans")).otherwise(
+        F.raise_error(F.lit(f"more than {most} scans cannot be combined"))
     )
     df = specs.select(*keys, limited.alias("scans")).where(F.size("scans") > 0)
     nothing = F.array().cast("array<int>")
     total, index = vec.literal((0, 0, 0)), F.lit(0).cast("bigint")
-    for k in range(MAX_SCANS):
+    for k in range(most):
         s, j = F.get("scans", F.lit(k)), f"__j{k}"
         steps = (
             F.when(s.isNull(), F.array(F.lit(0)))
@@ -73,7 +78,7 @@ def q_grid(specs: DataFrame, keys=()) -> DataFrame:
             .otherwise(nothing)
         )
         df = df.withColumn(j, F.explode(steps))
-    for k in range(MAX_SCANS):
+    for k in range(most):
         s, j = F.get("scans", F.lit(k)), F.col(f"__j{k}")
         here = _step(s, j)
         shift = vec.Vec(*(F.coalesce(s[b] * here, F.lit(0.0)) for b in ("bx", "by", "bz")))
@@ -90,7 +95,7 @@ def q_from_scans(spark: SparkSession, scans: list) -> DataFrame:
     """The vectors of 1-3 scans given on the driver."""
     if len(scans) > MAX_SCANS:
         raise ValueError("more than 3 scans cannot be combined")
-    return q_grid(spark.range(1).select(F.array(*scans).alias("scans")))
+    return q_grid(_count(spark, 1).select(F.array(*scans).alias("scans")), most=len(scans))
 
 
 # -- orientations -----------------------------------------------------------------
@@ -98,7 +103,7 @@ def q_from_scans(spark: SparkSession, scans: list) -> DataFrame:
 
 def _directions(spark: SparkSession, n: int, direction) -> DataFrame:
     x, y, z = direction(F.col("id"))
-    return spark.range(n).select(
+    return _count(spark, n).select(
         F.col("id").alias("m_id"), x.alias("ux"), y.alias("uy"), z.alias("uz")
     )
 
@@ -175,7 +180,7 @@ def subvectors_cylinder(qvectors: DataFrame, orientations: DataFrame, axis=(0.0,
 
 def moments_sphere(spark: SparkSession, order: int = 20) -> DataFrame:
     """All (l, m) with l <= ``order`` and |m| <= l."""
-    pairs = spark.range(order + 1).select(
+    pairs = _count(spark, order + 1).select(
         F.col("id").alias("l"), F.explode(F.sequence(-F.col("id"), F.col("id"))).alias("m")
     )
     return pairs.select((F.col("l") * F.col("l") + F.col("l") + F.col("m")).alias("m_id"), "l", "m")
@@ -184,7 +189,7 @@ def moments_sphere(spark: SparkSession, order: int = 20) -> DataFrame:
 def moments_cylinder(spark: SparkSession, order: int = 20) -> DataFrame:
     """(0, 0) and (l, 0..3) for 1 <= l <= ``order``."""
     top = F.when(F.col("id") == 0, 0).otherwise(3).cast("bigint")
-    pairs = spark.range(order + 1).select(
+    pairs = _count(spark, order + 1).select(
         F.col("id").alias("l"), F.explode(F.sequence(F.lit(0).cast("bigint"), top)).alias("m")
     )
     number = F.when(F.col("l") == 0, 0).otherwise(4 * F.col("l") - 3 + F.col("m")).cast("bigint")

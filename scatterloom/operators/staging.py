@@ -22,7 +22,7 @@ def spread_frames(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy("frame").agg(F.count("*").alias("rows"))
-    share = counts.agg(F.sum("rows") / (SHARES * n)).scalar()
+    share = df.agg(F.count("*") / (SHARES * n)).scalar()
     large = counts.withColumn("share", share).where("rows > share").select(
         "frame", F.ceil(F.col("rows") / F.col("share")).alias("ways")
     )

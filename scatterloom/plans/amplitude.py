@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from scatterloom import schema
 from scatterloom.functions import special, vec
 from scatterloom.functions.waves import PlaneWaves
-from scatterloom.operators.params import bounded_parts, union_all
+from scatterloom.operators.params import bounded_parts, localize, union_all
 from scatterloom.plans import kernel
 
 AMPLITUDE = ["q_id", "m_id", "frame", "re", "im"]
@@ -87,48 +87,67 @@ class Blocks(NamedTuple):
 
 
 def _moment_passes(coords, factors, qvectors, moments, columns, make_waves) -> DataFrame:
-    lm = moments.orderBy("m_id").toPandas()
-    if lm.empty:
-        return _empty(coords)
-    limit = max(1, kernel.VECTOR_ROWS // len(lm))
     passes = []
-    for part in bounded_parts(qvectors, ["q_id"], limit):
-        table, _ = kernel.to_driver(part, factors)
-        if table.empty:
+    for some in bounded_parts(moments, ["m_id"], kernel.VECTOR_ROWS):
+        lm = kernel.rows_of(some).sort_values("m_id", ignore_index=True)
+        if lm.empty:
             continue
-        q_id = np.repeat(table["q_id"].to_numpy(), len(lm))
-        used = factors.join(part.select("q_id").distinct(), "q_id", "left_semi").toPandas()
-        passes.append(
-            kernel.partial_sums(
-                coords, columns, q_id, np.tile(lm["m_id"].to_numpy(), len(table)),
-                kernel.Factors(used, q_id), make_waves(table, lm),
+        for part in bounded_parts(qvectors, ["q_id"], max(1, kernel.VECTOR_ROWS // len(lm))):
+            table, found = kernel.to_driver(part, factors)
+            if found is None:
+                continue
+            at = np.repeat(np.arange(len(table)), len(lm))
+            passes.append(
+                kernel.partial_sums(
+                    coords, columns, table["q_id"].to_numpy()[at],
+                    np.tile(lm["m_id"].to_numpy(), len(table)),
+                    found.reordered(at), make_waves(table, lm),
+                )
             )
-        )
     return kernel.add_up(union_all(passes)) if passes else _empty(coords)
 
 
 def amplitude_multipole_sphere(coords, factors, qvectors, moments) -> DataFrame:
-    """A_lm = 4 pi i^l * sum of f * j_l(q r) * conj(Y_lm) on coordinates (r, phi, theta)."""
+    """A_lm = 4 pi i^l * sum of f * j_l(q r) * conj(Y_lm) on coordinates (r, phi, theta).
+
+    The sums are evaluated for m >= 0. Those for -m are their conjugates up to a sign,
+    since f and j_l are real, and come with the factor 4 pi i^l from a join with the moments.
+    """
+    moments = localize(moments)
+    half = (F.expr("l * (l + 1) div 2") + F.abs("m")).alias("half")
+    needed = moments.select(half.alias("m_id"), "l", F.abs("m").alias("m")).distinct()
 
     def make_waves(table, lm):
         ql = table["ql"].to_numpy()
         pairs = [(int(l), int(m)) for l, m in zip(lm["l"], lm["m"])]
-        lmax, mmax = max(l for l, _ in pairs), max(abs(m) for _, m in pairs)
+        lmax, mmax = max(l for l, _ in pairs), max(m for _, m in pairs)
         order = np.array([l for l, _ in pairs])
-        turn = 4 * math.pi * (1j ** (order % 4))
 
         def waves(r, phi, theta):
             legendre = special.legendre_normalised(lmax, np.cos(theta))
             turns = special.powers(mmax, -phi)
             y = np.stack([special.harmonic(legendre, turns, l, m) for l, m in pairs], axis=1)
-            y *= turn
-            for i, q in enumerate(ql):
-                part = slice(i * len(pairs), (i + 1) * len(pairs))
-                yield part, special.spherical_bessel(lmax, q * r)[order].T * y
+            bessel = special.spherical_bessel(lmax, np.outer(ql, r).ravel())
+            bessel = bessel.reshape(lmax + 1, len(ql), len(r))
+            for i in range(len(ql)):
+                yield slice(i * len(pairs), (i + 1) * len(pairs)), bessel[order, i].T * y
 
         return Blocks(waves, len(pairs))
 
-    return _moment_passes(coords, factors, qvectors, moments, ["r", "phi", "theta"], make_waves)
+    sums = _moment_passes(coords, factors, qvectors, needed, ["r", "phi", "theta"], make_waves)
+    full = sums.withColumnRenamed("m_id", "half").join(
+        moments.select("m_id", "l", "m", half), "half"
+    )
+    odd_minus = (F.col("m") < 0) & (F.col("m") % 2 != 0)
+    k = F.when(odd_minus, -4 * math.pi).otherwise(4 * math.pi)
+    re = k * F.col("re")
+    im = k * F.when(F.col("m") < 0, -F.col("im")).otherwise(F.col("im"))
+    quarter = F.col("l") % 4
+    return full.select(
+        "q_id", "m_id", "frame",
+        F.when(quarter == 0, re).when(quarter == 1, -im).when(quarter == 2, -re).otherwise(im).alias("re"),
+        F.when(quarter == 0, im).when(quarter == 1, re).when(quarter == 2, -im).otherwise(-re).alias("im"),
+    )
 
 
 def amplitude_multipole_cylinder(
@@ -150,9 +169,11 @@ def amplitude_multipole_cylinder(
         where = {n: i for i, n in enumerate(distinct)}
 
         def waves(r, phi, z):
+            every = special.cylinder_bessel(distinct, np.outer(across, r).ravel())
+            every = every.reshape(len(distinct), len(across), len(r))
             for i in range(len(across)):
                 out = np.empty((len(r), len(pairs)), dtype=np.complex128)
-                bessel = special.cylinder_bessel(distinct, across[i] * r)
+                bessel = every[:, i]
                 psi = phi - angle[i]
                 height = along[i] * z
                 plane = np.exp(1j * (np.abs(height) if legacy_parallel else height))

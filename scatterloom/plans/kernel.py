@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scatterloom.operators.params import on_driver
+
 SLICE_CELLS = 1 << 15  # rows x vectors evaluated at once: 512 KB of complex values
 HELD_CELLS = 1 << 22  # frames x vectors held before partial sums are passed on: 64 MB
 VECTOR_ROWS = 4096  # vectors per pass over the data, which also bounds the factors shipped
@@ -145,11 +147,17 @@ def add_up(partial: DataFrame) -> DataFrame:
 
 def to_driver(params: DataFrame, factors: DataFrame) -> tuple[pd.DataFrame, Factors | None]:
     """One bounded part of the vectors with the factors that belong to it."""
-    table = params.toPandas().sort_values(
+    table = rows_of(params).sort_values(
         [c for c in ("q_id", "m_id") if c in params.columns], ignore_index=True
     )
     if table.empty:
         return table, None
-    wanted = params.select("q_id").distinct()
-    used = factors.join(wanted, "q_id", "left_semi").toPandas()
-    return table, Factors(used, table["q_id"].to_numpy())
+    if on_driver(factors) is None:
+        factors = factors.join(params.select("q_id").distinct(), "q_id", "left_semi")
+    return table, Factors(rows_of(factors), table["q_id"].to_numpy())
+
+
+def rows_of(params: DataFrame) -> pd.DataFrame:
+    """Rows of a parameter table whose size has been checked."""
+    table = on_driver(params)
+    return params.toPandas() if table is None else table.to_pandas()

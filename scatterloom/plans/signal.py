@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scatterloom.operators import qspace
 from scatterloom.operators.align import with_representation
-from scatterloom.operators.params import localize
+from scatterloom.operators.params import local_table, localize, on_driver
 from scatterloom.operators.staging import spread_frames
 from scatterloom.plans import amplitude, self_signal, series
 from scatterloom.scratch import write_and_reread
@@ -85,7 +85,8 @@ def subvectors(qvectors: DataFrame, average: Vectors | None) -> DataFrame:
 
 
 def _require(df: DataFrame, what: str) -> None:
-    if df.isEmpty():
+    table = on_driver(df)
+    if df.isEmpty() if table is None else table.num_rows == 0:
         raise ValueError(f"nothing to compute: no {what}")
 
 
@@ -169,10 +170,18 @@ def scatter(
 
 
 def _per_orientation(vectors: DataFrame) -> DataFrame:
-    return vectors.groupBy("q_id").agg((1.0 / F.count("*")).alias("norm"))
+    table = on_driver(vectors)
+    if table is None:
+        return vectors.groupBy("q_id").agg((1.0 / F.count("*")).alias("norm"))
+    counts = table.to_pandas()["q_id"].value_counts()
+    rows = [(int(q), 1.0 / int(n)) for q, n in counts.items()]
+    return local_table(vectors.sparkSession, rows, "q_id bigint, norm double")
 
 
 def _multipole(coords, factors, qvectors, average: Multipole):
+    bad = qspace.validate_moments(average.moments, average.kind).first()
+    if bad is not None:
+        raise ValueError(f"{bad['problem']}: l={bad['l']}, m={bad['m']}")
     if average.kind == "sphere":
         ball = with_representation(coords, "spherical")
         found = amplitude.amplitude_multipole_sphere(ball, factors, qvectors, average.moments)

@@ -249,16 +249,33 @@ def read_frame_list(spark: SparkSession, list_path: str, fmt: str, **cut) -> Dat
     return read_frames(spark, frameset_list(spark, list_path), fmt, **cut)
 
 
-def read_structure(spark: SparkSession, path: str) -> DataFrame:
-    """``(atom_id, pdb_name, beta, segid)`` of a structure file; the first frame counts."""
-    top = spark.createDataFrame(
-        [(0, path, 0, 0)], "ord bigint, path string, frame bigint, byte_offset bigint"
+def read_structures(
+    spark: SparkSession, paths, chunk_bytes: int = files.CHUNK_BYTES
+) -> DataFrame:
+    """``(ord, atom_id, pdb_name, beta, segid)`` of structure files; atoms count from 0 in each.
+
+    The atoms of a file are those before its first END line.
+    """
+    atom, end = formats.ATOM, formats.END
+    lines = files.scan_lines(
+        files.paths_table(spark, paths), lambda line: line.startswith((atom, end)), chunk_bytes
     )
-    return pdb_records(top).select(
-        "atom_id", *(_field(c).alias(c) for c in ("pdb_name", "beta", "segid"))
+    numbered = files.number_lines(lines, "atom_id")
+    is_end = F.col("value").startswith(end.decode())
+    ends = numbered.where(is_end).groupBy("ord").agg(F.min("atom_id").alias("n_atoms"))
+    return (
+        numbered.where(~is_end)
+        .join(ends, "ord", "left")
+        .where(F.col("n_atoms").isNull() | (F.col("atom_id") < F.col("n_atoms")))
+        .select("ord", "atom_id", *(_field(c).alias(c) for c in ("pdb_name", "beta", "segid")))
     )
 
 
+def read_structure(spark: SparkSession, path: str, chunk_bytes: int = files.CHUNK_BYTES) -> DataFrame:
+    """``(atom_id, pdb_name, beta, segid)`` of one structure file."""
+    return read_structures(spark, [path], chunk_bytes).drop("ord")
+
+
 CELL = [f"{v}{c}" for v in "abc" for c in "xyz"]
 
 

@@ -55,10 +55,11 @@ def test_pdb_cells(spark, tmp_path):
     assert np.isclose(cells[0]["cz"], 30.0) and np.isclose(cells[0]["cx"], 0.0)
 
 
-def test_structure_and_selections(spark, tmp_path):
+@pytest.mark.parametrize("chunk", [64, 1 << 20])
+def test_structure(spark, tmp_path, chunk):
     path = str(tmp_path / "a.pdb")
     open(path, "w").write(pdb_text())
-    rows = trajectory.read_structure(spark, path).orderBy("atom_id").collect()
+    rows = trajectory.read_structure(spark, path, chunk).orderBy("atom_id").collect()
     assert [tuple(r) for r in rows] == [
         (0, "N", "0.00", "AA"), (1, "CA", "1.00", "AA"), (2, "N", "0.00", "BB"), (3, "CA", "1.00", "BB"),
     ]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scatterloom.functions import constants, vec
 from scatterloom.operators import align, frames, motions, qspace, selections, staging
 from scatterloom.operators import elements as el
+from scatterloom.operators.prefix import running_total
 from scatterloom.plans import amplitude, series
 from scatterloom.plans.coordinates import prepare_coordinates
 from scatterloom.plans.signal import (
@@ -61,9 +62,10 @@ TAGGED = "tagged AS (SELECT *, atom_id BETWEEN 0 AND 9 AS core, atom_id BETWEEN
 # == sources ==================================================================================
 
 
-@query("structure_scan", "SELECT p_partkey AS atom_id, p_type AS pdb_name, CAST(p_size AS VARCHAR) AS beta, substr(p_brand, 7) AS segid FROM part")
+@query("structure_scan", """SELECT row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS atom_id, substr(p_type, 1, 4) AS pdb_name,
+ CAST(p_size AS VARCHAR) AS beta, substr(p_brand, 7) AS segid FROM part""")
 def structure_scan(spark, sf):
-    """A structure file made of the parts."""
+    """Structure files made of the parts, one per brand."""
     atoms = t.part_atoms(spark, sf)
     line = F.format_string(
         "ATOM  %5d %-4s MOL  %4d    %8.3f%8.3f%8.3f%6.2f%6s      %-4s",
@@ -71,15 +73,12 @@ def structure_scan(spark, sf):
         F.lit(0.0), F.lit(1.0), "beta", F.substring("segid", 7, 4),
     )
     path = scratch_path(spark, "structure")
-    atoms.select(F.lit(0).alias("k"), "atom_id", line.alias("value")).repartition(1).sortWithinPartitions(
-        "atom_id"
-    ).select("value").write.text(path)
-    found = trajectory.read_structure(spark, files.list_folder(path)[0])
-    # a name in the file has four characters; the full one is looked up
-    names = atoms.select(F.substring("pdb_name", 1, 4).alias("short"), F.col("pdb_name").alias("full")).distinct()
-    return found.join(names, F.col("pdb_name") == F.col("short")).select(
-        "atom_id", F.col("full").alias("pdb_name"), "beta", "segid"
-    )
+    lines = atoms.select("segid", "atom_id", line.alias("value"))
+    lines.repartition("segid").sortWithinPartitions("segid", "atom_id").drop("atom_id").write.partitionBy(
+        "segid"
+    ).text(path)
+    found = trajectory.read_structures(spark, [files.list_folder(p)[0] for p in _subfolders(path)])
+    return found.drop("ord")
 
 
 def _pdb_files(spark, sf):
@@ -106,7 +105,7 @@ def pdb_unit_cells(spark, sf):
 
 def _dcd_files(spark, sf):
     path = scratch_path(spark, "dcd")
-    t.write_dcd(t.emb_traj(spark, sf), path, max(2, t.n_frames(spark, sf) // 200))
+    t.write_dcd(t.emb_traj(spark, sf), path)
     return path
 
 
@@ -118,15 +117,15 @@ def dcd_trajectory(spark, sf):
     return coords_out(trajectory.read_frames(spark, _dcd_files(spark, sf), "dcd"), 4)
 
 
-@query("frame_list_clones", f"""WITH {TRAJ}, nf3 AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 3 = 0 AND vec_id >= 5),
- half AS (SELECT frame // 3 - 2 AS frame, atom_id, x, y, z FROM traj WHERE frame % 3 = 0 AND frame >= 5)
- SELECT frame + k * n AS frame, atom_id, {r('CAST(CAST(x AS FLOAT) AS DOUBLE)', 'x', 4)} FROM half, nf3, range(2) c(k)""")
+@query("frame_list_clones", f"""WITH {TRAJ}, kept AS (SELECT frame // {t.DCD_FRAMES} AS file, (frame % {t.DCD_FRAMES}) // 3 - 2 AS local, atom_id, x
+   FROM traj WHERE frame % {t.DCD_FRAMES} >= 5 AND (frame % {t.DCD_FRAMES}) % 3 = 0),
+ sizes AS (SELECT file, max(local) + 1 AS n FROM kept GROUP BY file),
+ starts AS (SELECT file, n, 2 * (sum(n) OVER (ORDER BY file) - n)::BIGINT AS start FROM sizes)
+ SELECT start + k * n + local AS frame, atom_id, {r('CAST(CAST(x AS FLOAT) AS DOUBLE)', 'x', 4)} FROM kept JOIN starts USING (file), range(2) c(k)""")
 def frame_list_clones(spark, sf):
-    """S4 with L1 and L3: a list file naming one trajectory, cut and read twice."""
-    path = scratch_path(spark, "dcd")
-    t.write_dcd(t.emb_traj(spark, sf), path, 1)
+    """S4 with L1 and L3: a list file naming trajectories, each cut and read twice."""
     names = scratch_path(spark, "list")
-    lines = ["# trajectories", *files.list_folder(path)]
+    lines = ["# trajectories", *files.list_folder(_dcd_files(spark, sf))]
     spark.createDataFrame([(s,) for s in lines], "value string").coalesce(1).write.text(names)
     df = trajectory.read_frame_list(spark, files.list_folder(names)[0], "dcd", first=5, stride=3, clones=2)
     return rounded(df.select("frame", "atom_id", "x"), "x", digits=4)
@@ -135,16 +134,15 @@ def frame_list_clones(spark, sf):
 @query("frame_index_keep", f"""WITH {TRAJ}, chosen AS (SELECT c_custkey AS position, (c_custkey * 7) % n AS frame FROM customer, nf)
  SELECT position AS frame, atom_id, {r('CAST(CAST(z AS FLOAT) AS DOUBLE)', 'z', 4)} FROM traj JOIN chosen USING (frame)""")
 def frame_index_keep(spark, sf):
-    """A frame index reduced to a list of frames, written, checked and read through."""
-    path = scratch_path(spark, "dcd")
-    t.write_dcd(t.emb_traj(spark, sf), path, 1)
+    """A frame index written, checked, reduced to a list of frames and read through."""
     chosen = t.read(spark, sf, "customer").select(
         F.col("c_custkey").alias("position"), (F.col("c_custkey") * 7 % t.n_frames(spark, sf)).alias("frame")
     )
     index_path = scratch_path(spark, "index")
-    trajectory.build_frame_index(spark, path, "dcd", keep=chosen).write.parquet(index_path)
-    index = trajectory.validate_frame_index(spark.read.parquet(index_path))
-    df = trajectory.read_indexed(index, "dcd")
+    index = trajectory.join_files(trajectory.build_frame_index(spark, _dcd_files(spark, sf), "dcd"))
+    index.write.parquet(index_path)
+    checked = trajectory.validate_frame_index(spark.read.parquet(index_path))
+    df = trajectory.read_indexed(frames.keep_frames(checked, chosen), "dcd")
     return rounded(df.select("frame", "atom_id", "z"), "z", digits=4)
 
 
@@ -225,10 +223,8 @@ def xyz_text_lines(spark, sf):
     body = files.number_lines(lines, "n").where(F.size(parts) == 4)
     per = t.ATOMS_PER_VECTOR + 2
     # one running number over the part files gives the frame back
-    sizes = lines.groupBy("ord").agg(F.count("*").alias("c"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.ord") < F.col("a.ord"), "left").groupBy("a.ord").agg(
-        F.coalesce(F.sum("b.c"), F.lit(0)).alias("before")
-    )
+    sizes = lines.groupBy("ord").agg(F.count("*").alias("c")).withColumn("upto", F.col("c"))
+    before = running_total(sizes, "ord", ["upto"]).select("ord", (F.col("upto") - F.col("c")).alias("before"))
     found = body.join(before, "ord").select(
         F.expr(f"(n + before) div {per}").alias("frame"), parts.getItem(1).cast("double").alias("x")
     )
@@ -1254,12 +1250,11 @@ def result_shape(spark, sf):
     return check_length(result.distinct(), 51)
 
 
-@query("result_meta", "SELECT s_suppkey AS q_id, 'run' || s_suppkey AS run_id FROM supplier")
+@query("result_meta", "SELECT n_name AS name, n_regionkey::BIGINT AS value FROM nation")
 def result_meta(spark, sf):
-    """K2: settings kept beside the results; here the vector a run was for, read back from them."""
+    """K2: the settings of a run kept beside its results, and read back."""
     path = scratch_path(spark, "signal")
-    ids = [r[0] for r in t.read(spark, sf, "supplier").select("s_suppkey").collect()]
-    write_meta(spark, path, "run", {"q_ids": ids})
-    meta = spark.read.parquet(f"{path}/meta")
-    found = meta.select(F.explode(F.from_json("settings", "q_ids array<bigint>")["q_ids"]).alias("q_id"))
-    return found.select("q_id", F.concat(F.lit("run"), "q_id").alias("run_id"))
+    nations = t.read(spark, sf, "nation").select("n_name", "n_regionkey").collect()  # always 25 rows
+    write_meta(spark, path, "run", {r["n_name"]: r["n_regionkey"] for r in nations})
+    settings = F.from_json("settings", "map<string,bigint>")
+    return spark.read.parquet(f"{path}/meta").select(F.explode(settings).alias("name", "value"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import struct
 import uuid
+from typing import Any
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,29 +180,31 @@ def write_lines(lines: DataFrame, path: str, parts: int, *keys: str) -> None:
     lines.repartitionByRange(parts, keys[0]).sortWithinPartitions(*keys).select("value").write.text(path)
 
 
-def write_dcd(traj: DataFrame, path: str, parts: int, cell: bool = True) -> None:
-    """One binary trajectory file per range of frames, for the reader to read back.
+DCD_FRAMES = 100  # frames per file
+
+
+def write_dcd(traj: DataFrame, path: str, cell: bool = True) -> None:
+    """Binary trajectory files of 100 frames each, for the reader to read back.
 
     A file is written under a name of its own and then moved into place, so a repeated
     task leaves the same file.
     """
 
-    def run(batches):
+    def write(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         fs, folder = files.resolve(path)
-        tables = [b for b in batches if b.num_rows]
-        if tables:
-            pdf = pa.Table.from_batches(tables).to_pandas().sort_values(["frame", "atom_id"])
-            name = f"{folder}/part-{int(pdf['frame'].iloc[0]):012d}.dcd"
-            draft = f"{name}.{uuid.uuid4().hex}"
-            fs.create_dir(folder, recursive=True)
-            with fs.open_output_stream(draft) as f:
-                f.write(dcd_bytes([g[["x", "y", "z"]].to_numpy() for _, g in pdf.groupby("frame")], cell))
-            fs.move(draft, name)
-            yield pa.RecordBatch.from_pandas(pd.DataFrame({"path": [name]}), preserve_index=False)
-
-    traj.select("frame", "atom_id", "x", "y", "z").repartitionByRange(parts, "frame").mapInArrow(
-        run, "path string"
-    ).write.format("noop").mode("overwrite").save()
+        name = f"{folder}/part-{key[0]:012d}.dcd"
+        draft = f"{name}.{uuid.uuid4().hex}"
+        pdf = pdf.sort_values(["frame", "atom_id"])
+        fs.create_dir(folder, recursive=True)
+        with fs.open_output_stream(draft) as f:
+            f.write(dcd_bytes([g[["x", "y", "z"]].to_numpy() for _, g in pdf.groupby("frame")], cell))
+        fs.move(draft, name)
+        return pd.DataFrame({"path": [name]})
+
+    written = traj.select("frame", "atom_id", "x", "y", "z").groupBy(
+        F.expr(f"frame div {DCD_FRAMES}").alias("file")
+    ).applyInPandas(write, "path string")
+    written.write.format("noop").mode("overwrite").save()
 
 
 def dcd_bytes(frames, cell: bool = False, extra: bool = False) -> bytes:
