@@ -70,7 +70,7 @@ BENCH = {
     "signal_self": self_signal,
     "signal_multipole_sphere": multipole_signal,
     "align_fitrottrans": fitted,
-    "prepare_pipeline": w.prepare_pipeline,
+    "prepare_steps": w.prepare_steps,
     "motion_randomwalk": w.motion_randomwalk,
     "autocorrelate_long": w.autocorrelate_long,
     "back_to_cartesian": w.back_to_cartesian,

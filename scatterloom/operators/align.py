@@ -215,8 +215,11 @@ def align_fitrottrans(
 ) -> DataFrame:
     """Least-squares rotation and translation on to the reference.
 
-    By default only atoms in both ``selection`` and the reference selection move.
+    By default only atoms in both ``selection`` and the reference selection move. Without a
+    reference a frame would be fitted to itself, which changes nothing.
     """
+    if reference is None:
+        return df
     target = _reference_centre(reference)
     return _fit(df, reference, selection, reference_selection, target, n_frames, apply_to)
 
@@ -225,5 +228,7 @@ def align_fitrot(
     df, reference, selection=SYSTEM, reference_selection=SYSTEM, n_frames=None, apply_to="common"
 ) -> DataFrame:
     """Least-squares rotation about the own centre, which stays where it is."""
+    if reference is None:
+        return df
     own = vec.columns("cx", "cy", "cz")
     return _fit(df, reference, selection, reference_selection, own, n_frames, apply_to)

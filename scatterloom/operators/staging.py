@@ -58,15 +58,15 @@ def atom_series(df: DataFrame, block: int = SERIES_BLOCK) -> DataFrame:
 def dump_coordinates(df: DataFrame, path: str, mode: str = "frame", partitions: int | None = None) -> None:
     """Write coordinates as Parquet in frame or in atom order."""
     if mode == "frame":
-        staged, key, size = stage_frames(df, partitions), "frame", FRAMES_PER_FOLDER
+        keys, size = ["frame", "atom_id"], FRAMES_PER_FOLDER
     elif mode == "atom":
-        staged, key, size = stage_atoms(df, partitions), "atom_id", ATOMS_PER_FOLDER
+        keys, size = ["atom_id", "frame"], ATOMS_PER_FOLDER
     else:
         raise ValueError("mode is 'frame' or 'atom'")
-    bucket = f"{key}_block"
-    order = [bucket, key, "atom_id" if mode == "frame" else "frame"]
-    staged = staged.withColumn(bucket, F.expr(f"{key} div {size}")).sortWithinPartitions(*order)
-    staged.write.partitionBy(bucket).parquet(path)
+    spread = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    bucket = f"{keys[0]}_block"
+    blocked = spread.withColumn(bucket, F.expr(f"{keys[0]} div {size}"))
+    blocked.sortWithinPartitions(bucket, *keys).write.partitionBy(bucket).parquet(path)
 
 
 def read_dump(spark, path: str) -> DataFrame:

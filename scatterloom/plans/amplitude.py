@@ -40,7 +40,7 @@ def with_factors(coords: DataFrame, factors: DataFrame, subvectors: DataFrame) -
     """
     missing = F.raise_error(F.concat(F.lit("no factors for species "), F.col("species")))
     wide = []
-    for part in bounded_parts(subvectors, ["q_id", "m_id"], kernel.VECTOR_ROWS):
+    for part in kernel.vector_parts(subvectors):
         table = part.join(factors.select("q_id", "species", "f"), "q_id")
         wide.append(coords.join(F.broadcast(table), "species", "left"))
     return union_all(wide).withColumn("f", F.coalesce(F.col("f"), missing.cast("double")))
@@ -57,7 +57,7 @@ def amplitude_all(coords: DataFrame, factors: DataFrame, subvectors: DataFrame,
     if engine != "kernel":
         raise ValueError("engine is 'kernel' or 'sql'")
     passes = []
-    for part in bounded_parts(subvectors, ["q_id", "m_id"], kernel.VECTOR_ROWS):
+    for part in kernel.vector_parts(subvectors):
         table, f = kernel.to_driver(part, factors)
         if f is None:
             continue

@@ -15,11 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scatterloom.operators.params import on_driver
+from scatterloom.operators.params import bounded_parts, localize, on_driver
 
 SLICE_CELLS = 1 << 15  # rows x vectors evaluated at once: 512 KB of complex values
 HELD_CELLS = 1 << 22  # frames x vectors held before partial sums are passed on: 64 MB
-VECTOR_ROWS = 4096  # vectors per pass over the data, which also bounds the factors shipped
+VECTOR_ROWS = 1 << 14  # vectors per pass over the data, which also bounds the factors shipped
 OUT_ROWS = 1 << 16
 
 PARTIAL = "q_id BIGINT, m_id BIGINT, frame BIGINT, re DOUBLE, im DOUBLE"
@@ -145,6 +145,17 @@ def add_up(partial: DataFrame) -> DataFrame:
     )
 
 
+def vector_parts(subvectors: DataFrame, limit: int | None = None) -> list[DataFrame]:
+    """Vectors for one pass each; the vectors of an orientation stay together if they can."""
+    limit = limit or VECTOR_ROWS
+    small = localize(subvectors, limit)
+    if on_driver(small) is not None:
+        return [small]
+    rows, directions = subvectors.agg(F.count("*"), F.count_distinct("m_id")).first()
+    together = directions >= 8 * rows / limit
+    return bounded_parts(subvectors, ["m_id"] if together else ["q_id", "m_id"], limit)
+
+
 def to_driver(params: DataFrame, factors: DataFrame) -> tuple[pd.DataFrame, Factors | None]:
     """One bounded part of the vectors with the factors that belong to it."""
     table = rows_of(params).sort_values(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scatterloom.functions.waves import PlaneWaves
-from scatterloom.operators.params import bounded_parts, union_all
+from scatterloom.operators.params import union_all
 from scatterloom.operators.staging import stage_atoms
 from scatterloom.plans import kernel, series
 from scatterloom.plans.amplitude import amplitude_self
@@ -160,7 +160,7 @@ def self_sums(
     staged = stage_atoms(needed)
     limit = max(1, min(kernel.VECTOR_ROWS, kernel.HELD_CELLS // n_frames))
     passes = []
-    for part in bounded_parts(subvectors, ["q_id", "m_id"], limit):
+    for part in kernel.vector_parts(subvectors, limit):
         table, f = kernel.to_driver(part, factors)
         if f is not None:
             passes.append(_one_pass(staged, table, f, n_frames, dsp, method))

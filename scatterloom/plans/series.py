@@ -195,13 +195,17 @@ def dense(df: DataFrame, keys, n_frames: int) -> DataFrame:
 
 
 def reduce_time(df: DataFrame, keys, n_frames: int) -> DataFrame:
-    """``(q_id, fq_re, fq_im, fq2_re, fq2_im)``: per series the time mean and its squared
-    magnitude, both summed over the series of a vector."""
+    """``(q_id, fq0_re, fq0_im, fq_re, fq_im, fq2_re, fq2_im)``: per series the value at 0, the
+    time mean and its squared magnitude, all summed over the series of a vector."""
     n = float(n_frames)
+    start = F.col("frame") == 0
     means = df.groupBy(*keys).agg(
-        (F.sum("re") / n).alias("mr"), (F.sum("im") / n).alias("mi")
+        F.sum(F.when(start, F.col("re"))).alias("sr"), F.sum(F.when(start, F.col("im"))).alias("si"),
+        (F.sum("re") / n).alias("mr"), (F.sum("im") / n).alias("mi"),
     )
     return means.groupBy("q_id").agg(
+        F.coalesce(F.sum("sr"), F.lit(0.0)).alias("fq0_re"),
+        F.coalesce(F.sum("si"), F.lit(0.0)).alias("fq0_im"),
         F.sum("mr").alias("fq_re"),
         F.sum("mi").alias("fq_im"),
         F.sum(F.col("mr") * F.col("mr") + F.col("mi") * F.col("mi")).alias("fq2_re"),

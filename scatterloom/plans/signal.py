@@ -54,9 +54,7 @@ class Signal:
 
     @property
     def fq0(self) -> DataFrame:
-        return self.fqt.where("tau = 0").select(
-            *Q, F.col("re").alias("fq0_re"), F.col("im").alias("fq0_im")
-        )
+        return self.means.select(*Q, "fq0_re", "fq0_im")
 
     @property
     def fq(self) -> DataFrame:
@@ -68,10 +66,8 @@ class Signal:
 
     @property
     def summary(self) -> DataFrame:
-        """One row per q with all three."""
-        return self.means.join(self.fq0.drop("qx", "qy", "qz"), "q_id").select(
-            *Q, "fq0_re", "fq0_im", "fq_re", "fq_im", "fq2_re", "fq2_im"
-        )
+        """One row per q with all three, from one pass over the series."""
+        return self.means
 
 
 def subvectors(qvectors: DataFrame, average: Vectors | None) -> DataFrame:
@@ -133,10 +129,12 @@ def scatter(
         if materialize:
             sums = write_and_reread(sums, "self")
         lags = sums.where("tau >= 0")
-        first = sums.where(F.col("tau") == self_signal.MEAN)
-        second = sums.where(F.col("tau") == self_signal.MEAN_SQUARED)
-        means = first.select("q_id", F.col("re").alias("fq_re"), F.col("im").alias("fq_im")).join(
-            second.select("q_id", F.col("re").alias("fq2_re"), F.col("im").alias("fq2_im")), "q_id"
+        kept = {0: "fq0", self_signal.MEAN: "fq", self_signal.MEAN_SQUARED: "fq2"}
+        means = sums.where(F.col("tau").isin(list(kept))).groupBy("q_id").agg(
+            *(
+                F.sum(F.when(F.col("tau") == tau, F.col(c))).alias(f"{name}_{c}")
+                for tau, name in kept.items() for c in ("re", "im")
+            )
         )
         norm = _per_orientation(vectors)
     elif kind == "all":
@@ -162,7 +160,7 @@ def scatter(
         *Q, F.col("tau").cast("bigint").alias("tau"),
         *((F.col(c) * F.col("norm")).alias(c) for c in ("re", "im")),
     )
-    parts = ["fq_re", "fq_im", "fq2_re", "fq2_im"]
+    parts = [f"{name}_{c}" for name in ("fq0", "fq", "fq2") for c in ("re", "im")]
     scaled = means.join(table, "q_id").select(
         *Q, *((F.col(c) * F.col("norm")).alias(c) for c in parts)
     )

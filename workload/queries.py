@@ -830,13 +830,13 @@ def align_fitrot(spark, sf):
     return coords_out(align.align_fitrot(copies, align.reference_coords(df, 0), n_frames=t.n_frames(spark, sf)), 5)
 
 
-@query("prepare_pipeline", f"""WITH {TRAJ}, {TAGGED}, {_com('core')},
+@query("prepare_steps", f"""WITH {TRAJ}, {TAGGED}, {_com('core')},
  s1 AS (SELECT frame, atom_id, mass, core, tail, x - cx AS x, y - cy AS y, z - cz AS z FROM tagged JOIN com USING (frame)),
  s2 AS (SELECT frame, atom_id, mass, core, tail, CASE WHEN core THEN x + frame*0.02 ELSE x END AS x, y, z FROM s1),
  c2 AS (SELECT frame, sum(mass*x)/sum(mass) AS cx, sum(mass*y)/sum(mass) AS cy, sum(mass*z)/sum(mass) AS cz FROM s2 WHERE tail GROUP BY frame),
  s3 AS (SELECT frame, atom_id, tail, x - cx AS x, y - cy AS y, z - cz AS z FROM s2 JOIN c2 USING (frame))
  SELECT frame, atom_id, {r('sqrt(x*x + y*y + z*z)', 'r')}, {r(_azimuth_sql('y', 'x'), 'phi')}, {r('acos(z / sqrt(x*x + y*y + z*z))', 'theta')} FROM s3 WHERE tail""")
-def prepare_pipeline(spark, sf):
+def prepare_steps(spark, sf):
     """Centre, add a motion, centre again, reduce, convert."""
     n = t.n_frames(spark, sf)
     atoms = t.emb_atoms(spark, sf)
