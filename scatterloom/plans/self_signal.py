@@ -35,7 +35,7 @@ def _dsp(a: np.ndarray, dsp: str, method: str) -> np.ndarray:
     if dsp != "autocorrelate":
         raise ValueError(f"no transform called {dsp!r}")
     if method == "direct" and len(a) <= series.DIRECT_FRAMES:
-        return np.stack([series._correlate_direct(c) for c in a.T], axis=1)
+        return series._correlate_direct(a)
     return series._correlate_fft(a)
 
 

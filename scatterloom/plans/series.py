@@ -11,6 +11,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,8 @@ def _correlate_fft(a: np.ndarray) -> np.ndarray:
 
 def _correlate_direct(a: np.ndarray) -> np.ndarray:
     n = len(a)
-    return np.correlate(a, a, "full")[n - 1 :] / (n - np.arange(n))
+    sums = [np.correlate(c, c, "full")[n - 1 :] for c in a.T]
+    return np.stack(sums, axis=1) / (n - np.arange(n))[:, None]
 
 
 def _schema(df: DataFrame, keys, *extra: str) -> str:
@@ -60,19 +62,64 @@ def _schema(df: DataFrame, keys, *extra: str) -> str:
     return ", ".join([f"{k} {types[k]}" for k in keys] + list(extra))
 
 
-def _in_task(df: DataFrame, keys, n_frames: int, correlate) -> DataFrame:
-    out = _schema(df, keys, "frame bigint", "re double", "im double")
+def _whole_series(batches, keys):
+    """Cut batches sorted by key into tables that hold whole series only."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cut = 0
+        for k in keys:
+            column = batch.column(k).to_numpy(zero_copy_only=False)
+            change = np.flatnonzero(column[1:] != column[:-1])
+            cut = max(cut, change[-1] + 1 if len(change) else 0)
+        first = tuple(batch.column(k)[0].as_py() for k in keys)
+        if held and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+        last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros(n_frames, dtype=np.complex128)
-        a[pdf["frame"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        c = correlate(a)
-        columns = dict(zip(keys, key))
-        return pd.DataFrame(
-            {**columns, "frame": np.arange(n_frames), "re": c.real, "im": c.imag}
-        )
 
-    return df.select(*keys, "frame", "re", "im").groupBy(*keys).applyInPandas(run, out)
+def _in_task(df: DataFrame, keys, n_frames: int, correlate) -> DataFrame:
+    """Series by series in the tasks that hold them, several at a time."""
+    out = _schema(df, keys, "frame bigint", "re double", "im double")
+    at_once = max(1, SERIES_IN_TASK // n_frames)
+
+    def run(batches):
+        for table in _whole_series(batches, keys):
+            new = np.zeros(table.num_rows, dtype=bool)
+            new[0] = True
+            for k in keys:
+                column = table.column(k).to_numpy()
+                new[1:] |= column[1:] != column[:-1]
+            starts = np.append(np.flatnonzero(new), len(new))
+            frame, re, im = (table.column(c).to_numpy() for c in ("frame", "re", "im"))
+            for lo in range(0, len(starts) - 1, at_once):
+                cuts = starts[lo : lo + at_once + 1]
+                rows = slice(cuts[0], cuts[-1])
+                series = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+                a = np.zeros((n_frames, len(cuts) - 1), dtype=np.complex128)
+                a[frame[rows], series] = re[rows] + 1j * im[rows]
+                c = np.ascontiguousarray(correlate(a).T)
+                each = pa.array(np.repeat(cuts[:-1], n_frames))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(table.column(k).combine_chunks().take(each) for k in keys),
+                        pa.array(np.tile(np.arange(n_frames), len(cuts) - 1)),
+                        pa.array(c.real.ravel()),
+                        pa.array(c.imag.ravel()),
+                    ],
+                    [*keys, "frame", "re", "im"],
+                )
+
+    staged = df.select(*keys, "frame", "re", "im").repartition(*keys).sortWithinPartitions(*keys)
+    return staged.mapInArrow(run, out)
 
 
 def _across_tasks(df: DataFrame, keys, n_frames: int, tile: int = TILE) -> DataFrame:
