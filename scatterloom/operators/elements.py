@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scatterloom.functions import constants
-from scatterloom.operators.params import fan_out
+from scatterloom.operators.params import fan_out, localize
 
 
 def resolve_labels(atoms: DataFrame, elements: DataFrame, name: str = "pdb_name") -> DataFrame:
     """Add ``label``: the one element whose pattern matches the whole atom name.
 
-    Patterns are tried on distinct names only. A name with no match or with several
-    fails the query.
+    Patterns are tried on distinct names only, and at once: a name with no match or with
+    several is an error. The names found are few and joined back without moving the atoms.
     """
     names = atoms.select(F.col(name).alias("__name")).distinct()
     patterns = elements.select("label", F.concat(F.lit("^(?:"), "name_regex", F.lit(")$")).alias("__re"))
@@ -27,7 +27,7 @@ def resolve_labels(atoms: DataFrame, elements: DataFrame, name: str = "pdb_name"
         F.lit("atom name matches "), F.col("__n").cast("string"), F.lit(" elements: "), "__name"
     )
     label = F.when(F.col("__n") == 1, F.col("__label")).otherwise(F.raise_error(problem))
-    one = found.select("__name", label.alias("label"))
+    one = localize(found.select("__name", label.alias("label")))
     return atoms.drop("label").join(one, atoms[name] == one["__name"]).drop("__name")
 
 

@@ -14,21 +14,19 @@ SHARES = 4  # parts that a task's fair share of rows is cut into
 
 
 def spread_frames(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Rows of a frame together in one task, but a frame with too many rows in several.
+    """Rows of a frame together in one task, but those of a very large frame dealt out evenly.
 
     For work that adds up per frame and can add up its parts later. A frame counts as
-    too large when it holds more than a quarter of a task's share of all rows; there are
-    at most four times as many of those as tasks, so they can be broadcast.
+    very large when it holds more than a quarter of a task's share of all rows; there are
+    fewer than four times as many of those as tasks, so they can be broadcast.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy("frame").agg(F.count("*").alias("rows"))
     share = df.agg(F.count("*") / (SHARES * n)).scalar()
-    large = counts.withColumn("share", share).where("rows > share").select(
-        "frame", F.ceil(F.col("rows") / F.col("share")).alias("ways")
-    )
-    part = F.coalesce(F.pmod(F.xxhash64(*df.columns), F.col("ways")), F.lit(0))
-    keyed = df.join(F.broadcast(large), "frame", "left").withColumn("part", part)
-    return keyed.repartition(n, "frame", "part").select(*df.columns)
+    large = F.broadcast(counts.withColumn("share", share).where("rows > share").select("frame"))
+    together = df.join(large, "frame", "left_anti").repartition(n, "frame")
+    dealt_out = df.join(large, "frame", "left_semi").repartition(n)
+    return together.unionByName(dealt_out).select(*df.columns)
 
 
 def stage_frames(df: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -117,6 +117,23 @@ def dcd_trajectory(spark, sf):
     return coords_out(trajectory.read_frames(spark, _dcd_files(spark, sf), "dcd"), 4)
 
 
+@query("detect_formats", f"""SELECT 'dcd' AS format, max(vec_id) // {t.DCD_FRAMES} + 1 AS n FROM embeddings
+ UNION ALL SELECT 'pdb', count(DISTINCT p_brand) FROM part
+ UNION ALL SELECT 'other', count(DISTINCT p_size) FROM part""")
+def detect_formats(spark, sf):
+    """Formats told apart by content."""
+    atoms = t.part_atoms(spark, sf)
+    pdb, other = scratch_path(spark, "pdb"), scratch_path(spark, "other")
+    named = atoms.select("segid", F.concat(F.lit("ATOM  "), "atom_id").alias("value"))
+    named.repartition("segid").write.partitionBy("segid").text(pdb)
+    sized = atoms.select("beta", F.concat(F.lit("atom "), "atom_id").alias("value"))
+    sized.repartition("beta").write.partitionBy("beta").text(other)
+    paths = [f for folder in (pdb, other) for s in _subfolders(folder) for f in files.list_folder(s)]
+    found = trajectory.detect_format(spark, [*paths, *files.list_folder(_dcd_files(spark, sf))])
+    kind = F.coalesce("format", F.lit("other"))
+    return found.groupBy(kind.alias("format")).agg(F.count("*").alias("n"))
+
+
 @query("frame_list_clones", f"""WITH {TRAJ}, kept AS (SELECT frame // {t.DCD_FRAMES} AS file, (frame % {t.DCD_FRAMES}) // 3 - 2 AS local, atom_id, x
    FROM traj WHERE frame % {t.DCD_FRAMES} >= 5 AND (frame % {t.DCD_FRAMES}) % 3 = 0),
  sizes AS (SELECT file, max(local) + 1 AS n FROM kept GROUP BY file),
@@ -552,7 +569,7 @@ def validate_elements(spark, sf):
    ELSE lo + pow(q_id / (n - 1)::DOUBLE, 2) * (hi - lo) END AS v FROM s, range(7) k(q_id) WHERE q_id < n)
  SELECT scan_id, q_id, {r('0.6 * v', 'qx')}, {r('0.8 * v', 'qz')}, {r('abs(v)', 'ql')} FROM j""")
 def scan_vectors(spark, sf):
-    """One scan per supplier with 0 to 6 points and exponent 2."""
+    """One scan per supplier with 0 to 6 points and exponent 2."""
     specs = t.read(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("scan_id"),
         F.array(qspace.scan((0.6, 0.0, 0.8), F.col("s_acctbal") / 7013, F.col("s_nationkey") / 5.0,
@@ -973,6 +990,14 @@ def amplitude_all_sql(spark, sf):
     return _amp_out(_li_amp(spark, sf, "sql"))
 
 
+@query("amplitude_single", f"""WITH {LI}, q AS (SELECT 0::BIGINT AS q_id, 1.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, 0.0::DOUBLE AS qz, 1.0::DOUBLE AS ql),
+ {LI_FACTORS}, {SUB1}, {_amp_sql('li')} SELECT {AMP_COLS} FROM amp""")
+def amplitude_single(spark, sf):
+    """F1, G1: one vector, by default (1, 0, 0)."""
+    q = qspace.q_single(spark)
+    return _amp_out(amplitude.amplitude_all(t.li_traj(spark, sf), t.factors(spark, q), qspace.subvectors_none(q)))
+
+
 @query("amplitude_self", f"""WITH {TRAJ}, {SCAN_Q}, {LI_FACTORS}, {SUB1}
  SELECT q_id, m_id, atom_id, frame, {r('f*cos(x*qx + y*qy + z*qz)', 're')}, {r('f*sin(x*qx + y*qy + z*qz)', 'im')}
  FROM traj JOIN factors USING (label) JOIN sub USING (q_id)""")
