@@ -25,6 +25,7 @@ CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 
 POINTS = 20  # scattering vectors
 ORIENTATIONS = 50
+WIDE = (100, 100)  # the same where the sums themselves take most of the time
 
 
 def run(df) -> None:
@@ -65,6 +66,7 @@ def fitted(spark, sf):
 
 BENCH = {
     "amplitude_kernel": big_amplitude("kernel"),
+    "amplitude_kernel_wide": big_amplitude("kernel", *WIDE),
     "amplitude_sql": big_amplitude("sql", 4, 10),
     "signal_coherent": coherent_signal,
     "signal_self": self_signal,
@@ -90,6 +92,7 @@ def main() -> None:
     atoms = t.li_traj(spark, SF_DIR).agg(F.count("*")).first()[0]
     rates = {
         "kernel": round(atoms * POINTS * ORIENTATIONS / seconds["amplitude_kernel"]),
+        "kernel_wide": round(atoms * WIDE[0] * WIDE[1] / seconds["amplitude_kernel_wide"]),
         "sql": round(atoms * 40 / seconds["amplitude_sql"]),
     }
     print(

@@ -74,6 +74,10 @@ class Factors:
         self.species = sorted(table["species"].unique())
         wide = table.pivot(index="species", columns="q_id", values="f")
         self.values = wide.reindex(index=self.species, columns=q_id).to_numpy()
+        missing = np.isnan(self.values).any(axis=1)
+        if missing.any():
+            names = [s for s, m in zip(self.species, missing) if m]
+            raise ValueError(f"no factors for species {names[:5]} and some of the vectors")
 
     def reordered(self, rows: np.ndarray) -> "Factors":
         """The same with the vectors in another order."""

@@ -205,6 +205,25 @@ def test_self_signal(world, dsp, method):
         assert np.isclose(means[i]["fq0_re"], moved[:, 0].sum().real / 4)
 
 
+def test_self_signal_in_several_passes_moves_coordinates_once(world, monkeypatch):
+    coords, q, factors, *_ = world
+    sub = qspace.subvectors_sphere(q, qspace.orient_sphere(q.sparkSession, 7, 2))
+    once = {tuple(r)[:2]: (r["re"], r["im"]) for r in self_signal.self_sums(coords, factors, sub, NF).collect()}
+    monkeypatch.setattr(kernel, "HELD_CELLS", 10 * NF)
+    df = self_signal.self_sums(coords, factors, sub, NF)
+    many = {tuple(r)[:2]: (r["re"], r["im"]) for r in df.collect()}
+    assert once.keys() == many.keys() and all(np.allclose(once[k], many[k]) for k in once)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") > 2
+    assert plan.count("ReusedExchange") >= plan.count("MapInArrow") - 1
+
+
+def test_factors_must_cover_all_vectors(world):
+    coords, q, factors, *_ = world
+    with pytest.raises(ValueError, match="some of the vectors"):
+        amplitude.amplitude_all(coords, factors.where("not (q_id = 1 and species = 'B')"), qspace.subvectors_none(q))
+
+
 def test_long_self_series(world):
     coords, q, factors, *_ = world
     sub = qspace.subvectors_none(q)

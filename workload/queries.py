@@ -200,12 +200,12 @@ def _lookup(column, by_folder):
     return out
 
 
-@query("frames_table_scan", f"WITH {TRAJ} SELECT frame, atom_id, {xyz()} FROM traj WHERE frame >= 10")
+@query("frames_table_scan", f"WITH {TRAJ} SELECT frame, atom_id, {xyz()} FROM traj")
 def frames_table_scan(spark, sf):
     """Coordinates written in frame order and scanned from Parquet."""
     path = scratch_path(spark, "dump")
     staging.dump_coordinates(t.emb_traj(spark, sf).drop("label", "species"), path, "frame")
-    return coords_out(staging.read_dump(spark, path).where("frame >= 10"))
+    return coords_out(staging.read_dump(spark, path))
 
 
 @query("atom_order_dump", f"WITH {TRAJ} SELECT frame, atom_id, {xyz()} FROM traj")
@@ -362,10 +362,10 @@ def frame_blocks(spark, sf):
 # == selections ===============================================================================
 
 
-@query("select_index", "SELECT p_partkey AS atom_id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("select_index", "SELECT p_partkey AS atom_id FROM part WHERE p_partkey IN (SELECT o_custkey FROM orders)")
 def select_index(spark, sf):
     """Atoms by a list of indices, with repeats in the list."""
-    ids = t.read(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("atom_id"))
+    ids = t.read(spark, sf, "orders").select(F.col("o_custkey").alias("atom_id"))
     return selections.sel_index(t.part_atoms(spark, sf), ids)
 
 
@@ -653,11 +653,11 @@ def subvectors_parallel(spark, sf):
 
 
 @query("pending_vectors", f"""WITH {SUPPLIER_Q} SELECT q_id, {r('qx', 'qx')}, {r('qy', 'qy')}, {r('qz', 'qz')} FROM q
- WHERE (qx, qy, qz) NOT IN (SELECT (qx, qy, qz) FROM q WHERE q_id % 3 = 1)""")
+ WHERE (qx, qy, qz) NOT IN (SELECT (qx, qy, qz) FROM q WHERE qx < 0.5)""")
 def pending_vectors(spark, sf):
     """Vectors that a result does not hold yet."""
     q = t.supplier_q(spark, sf)
-    done = q.where("q_id % 3 = 1").select("qx", "qy", "qz")
+    done = q.where("qx < 0.5").select("qx", "qy", "qz")
     return rounded(qspace.pending_vectors(q, done.unionByName(done)).drop("ql"), "qx", "qy", "qz")
 
 
@@ -1130,13 +1130,13 @@ def series_arithmetic(spark, sf):
     return rounded(series.total(both, ["q_id", "m_id"]), "re", "im", digits=4)
 
 
-@query("dense_series", f"""WITH {LI}, g AS (SELECT DISTINCT label FROM li), sel AS (SELECT label, frame, sum(x) AS re, sum(y) AS im FROM li WHERE frame % 7 <> 3 GROUP BY ALL)
+@query("dense_series", f"""WITH {LI}, g AS (SELECT DISTINCT label FROM li), sel AS (SELECT label, frame, sum(x) AS re, sum(y) AS im FROM li GROUP BY ALL)
  SELECT g.label AS species, f AS frame, {r('coalesce(re, 0)', 're', 4)}, {r('coalesce(im, 0)', 'im', 4)}
- FROM g CROSS JOIN range(500) k(f) LEFT JOIN sel ON sel.label = g.label AND sel.frame = f""")
+ FROM g CROSS JOIN range(600) k(f) LEFT JOIN sel ON sel.label = g.label AND sel.frame = f""")
 def dense_series(spark, sf):
     """Frames without a value filled with zero."""
-    sums = t.li_traj(spark, sf).where("frame % 7 <> 3").groupBy("species", "frame").agg(F.sum("x").alias("re"), F.sum("y").alias("im"))
-    return rounded(series.dense(sums, ["species"], t.LI_FRAMES), "re", "im", digits=4)
+    sums = t.li_traj(spark, sf).groupBy("species", "frame").agg(F.sum("x").alias("re"), F.sum("y").alias("im"))
+    return rounded(series.dense(sums, ["species"], t.LI_FRAMES + 100), "re", "im", digits=4)
 
 
 def _fqt_out(df, digits=5):
@@ -1257,7 +1257,7 @@ def result_resume(spark, sf):
     path = scratch_path(spark, "signal")
     traj, q = t.li_traj(spark, sf), t.nation_q(spark, sf)
     f = t.factors(spark, q)
-    done = scatter(traj, q.where("q_id % 3 = 0"), f, t.LI_FRAMES, dsp="square", materialize=True)
+    done = scatter(traj, q.where("qx < 1"), f, t.LI_FRAMES, dsp="square", materialize=True)
     write_signal(done, path, {"dsp": "square", "elements": t.ELEMENT_ROWS})
     _, fq = read_signal(spark, path)
     rest = qspace.pending_vectors(q, fq)
