@@ -176,7 +176,7 @@ def _best_rotations(k: np.ndarray) -> np.ndarray:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _rotation(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for k in parts:
-        m = np.stack(k.to_numpy()).reshape(-1, 3, 3)
+        m = np.array(k.to_list(), dtype=np.float64).reshape(-1, 3, 3)
         yield pd.Series(list(_best_rotations(m).reshape(-1, 9)))
 
 

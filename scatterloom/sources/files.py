@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -98,25 +99,32 @@ def chunks(paths: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     return spread(cut, "path", "chunk")
 
 
-def lines_of(path: str, start: int, end: int):
-    """Yield (offset, offset of the next line, line) for the lines that begin in [start, end)."""
+def line_pattern(*starts: bytes) -> bytes:
+    """Lines that begin with one of the given bytes."""
+    return rb"(?m)^(?:" + b"|".join(re.escape(x) for x in starts) + rb")[^\n]*\n?"
+
+
+ANY_LINE = rb"[^\n]*\n|[^\n]+"
+FILLED_LINE = rb"(?m)^[^\n]*[^\s][^\n]*\n?"
+
+
+def lines_of(path: str, start: int, end: int, pattern: bytes = ANY_LINE):
+    """Yield (offset, offset of the next line, line) for matching lines that begin in [start, end)."""
+    base = max(0, start - 1)
     with open_file(path) as f:
-        if start > 0:
-            f.seek(start - 1)
-            at = start - 1 + len(f.readline())
-        else:
-            at = 0
-        while at < end:
-            line = f.readline()
-            if not line:
-                return
-            yield at, at + len(line), line
-            at += len(line)
+        f.seek(base)
+        data = f.read(end - base)
+        if not data.endswith(b"\n"):
+            data += f.readline()
+    # a range that does not start a line leaves its first part to the range before
+    first = 0 if start == 0 else data.find(b"\n") + 1 or len(data)
+    for found in re.compile(pattern).finditer(data, first):
+        yield base + found.start(), base + found.end(), found.group()
 
 
-def scan_lines(paths: DataFrame, keep=None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def scan_lines(paths: DataFrame, pattern: bytes = ANY_LINE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``(ord, path, size, chunk, idx, offset, next_offset, value)`` for each line that
-    ``keep(bytes)`` accepts; ``idx`` counts them within the chunk."""
+    matches; ``idx`` counts them within the chunk."""
     out = (
         "ord bigint, path string, size bigint, chunk bigint, idx bigint,"
         " offset bigint, next_offset bigint, value string"
@@ -129,9 +137,7 @@ def scan_lines(paths: DataFrame, keep=None, chunk_bytes: int = CHUNK_BYTES) -> D
                 lo = row["chunk"] * chunk_bytes
                 hi = min(lo + chunk_bytes, row["size"])
                 found, n = [], 0
-                for a, b, line in lines_of(row["path"], lo, hi):
-                    if keep is not None and not keep(line):
-                        continue
+                for a, b, line in lines_of(row["path"], lo, hi, pattern):
                     found.append((a, b, line.rstrip(b"\r\n").decode("utf-8", "replace")))
                     n += 1
                     if len(found) == BATCH_LINES:

@@ -21,7 +21,7 @@ def parse_numbers(lines: DataFrame, id_name: str, names, kind: str) -> DataFrame
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    found = files.scan_lines(files.paths_table(spark, path), lambda line: line.strip())
+    found = files.scan_lines(files.paths_table(spark, path), files.FILLED_LINE)
     return files.number_lines(found, "id").select("id", "value")
 
 
@@ -104,4 +104,4 @@ def sel_ndx(
     spark: SparkSession, path: str, pattern: str = ".*", chunk_bytes: int = files.CHUNK_BYTES
 ) -> DataFrame:
     """All selections of an index file whose name matches the whole pattern."""
-    return parse_ndx(files.scan_lines(files.paths_table(spark, path), None, chunk_bytes), pattern)
+    return parse_ndx(files.scan_lines(files.paths_table(spark, path), chunk_bytes=chunk_bytes), pattern)

@@ -57,9 +57,8 @@ def _pdb_index(paths: DataFrame, chunk_bytes: int) -> DataFrame:
         return [(ord_, path)]
 
     checked = files.map_paths(paths, check, "ord bigint, path string")
-    end = formats.END
     ends = files.number_lines(
-        files.scan_lines(checked, lambda line: line.startswith(end), chunk_bytes), "n"
+        files.scan_lines(checked, files.line_pattern(formats.END), chunk_bytes), "n"
     )
     later = ends.where("next_offset < size").select(
         "ord", "path", (F.col("n") + 1).alias("frame"), F.col("next_offset").alias("byte_offset")
@@ -126,9 +125,8 @@ def join_files(
 
 def frameset_list(spark: SparkSession, path: str) -> DataFrame:
     """``(ord, path)`` of a text file that names trajectory files; lines with # are skipped."""
-    lines = files.scan_lines(
-        files.paths_table(spark, path), lambda line: line.strip() and not line.startswith(b"#")
-    )
+    lines = files.scan_lines(files.paths_table(spark, path), files.FILLED_LINE)
+    lines = lines.where(~F.col("value").startswith("#"))
     numbered = files.number_lines(lines, "line")
     names = numbered.select("line", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("pos", "path"))
     # a line holds few names; the order only has to be increasing
@@ -256,12 +254,10 @@ def read_structures(
 
     The atoms of a file are those before its first END line.
     """
-    atom, end = formats.ATOM, formats.END
-    lines = files.scan_lines(
-        files.paths_table(spark, paths), lambda line: line.startswith((atom, end)), chunk_bytes
-    )
+    pattern = files.line_pattern(formats.ATOM, formats.END)
+    lines = files.scan_lines(files.paths_table(spark, paths), pattern, chunk_bytes)
     numbered = files.number_lines(lines, "atom_id")
-    is_end = F.col("value").startswith(end.decode())
+    is_end = F.col("value").startswith(formats.END.decode())
     ends = numbered.where(is_end).groupBy("ord").agg(F.min("atom_id").alias("n_atoms"))
     return (
         numbered.where(~is_end)

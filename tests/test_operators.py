@@ -129,6 +129,13 @@ def test_spread_frames_splits_a_hot_frame(spark):
     assert out.groupBy("p").count().agg(F.max("count")).first()[0] < 2 * 30000 / 16
 
 
+def test_frame_ranges_are_contiguous_and_sorted(spark, small):
+    rows = staging.stage_frames(coords(spark, small), 3).withColumn("p", F.spark_partition_id()).collect()
+    got = [(r["p"], r["frame"], r["atom_id"]) for r in rows]
+    assert got == sorted(got)
+    assert [k[1:] for k in got] == [(f, a) for f in range(6) for a in range(5)]
+
+
 def test_staging_orders(spark, small):
     df = coords(spark, small)
     rows = staging.stage_atoms(df, 2).withColumn("p", F.spark_partition_id()).collect()

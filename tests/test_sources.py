@@ -124,7 +124,7 @@ def test_lines_and_numbers(spark, tmp_path, chunk):
     path = tmp_path / "t.txt"
     lines = [f"line {i} " + "x" * (i % 13) for i in range(40)]
     path.write_text("\n".join(lines))
-    df = files.number_lines(files.scan_lines(files.paths_table(spark, str(path)), None, chunk), "n")
+    df = files.number_lines(files.scan_lines(files.paths_table(spark, str(path)), chunk_bytes=chunk), "n")
     got = [r["value"] for r in df.orderBy("n").collect()]
     assert got == lines
     assert [r["n"] for r in df.orderBy("n").collect()] == list(range(40))

@@ -216,6 +216,14 @@ def atom_order_dump(spark, sf):
     return coords_out(staging.read_dump(spark, path))
 
 
+@query("spread_frames", f"""WITH {LI} SELECT frame, label AS species, count(*) AS n, {r('sum(x * y + z)', 's', 4)} FROM li GROUP BY ALL""")
+def spread_frames(spark, sf):
+    """Rows brought together by frame, the largest frames dealt out; nothing is lost."""
+    df = staging.spread_frames(t.li_traj(spark, sf), 4)
+    out = df.groupBy("frame", "species").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("y") + F.col("z")).alias("s"))
+    return rounded(out, "s", digits=4)
+
+
 @query("atom_series_arrays", f"""WITH {TRAJ} SELECT atom_id, count(*) AS n, min(frame) AS first,
   {r('sum(x * (frame + 1))', 'mx', 3)} FROM traj GROUP BY atom_id""")
 def atom_series_arrays(spark, sf):
