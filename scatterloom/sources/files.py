@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scatterloom.operators.params import local_table
+from scatterloom.scratch import write_and_reread
 
 CHUNK_BYTES = 64 << 20
 SIGNATURE_HALF = 1 << 20  # bytes taken from each end of a file
@@ -158,8 +159,12 @@ def _batch(row, found, n, names):
 
 
 def number_lines(lines: DataFrame, name: str) -> DataFrame:
-    """Add ``name``: the number of a line within its file, from counts per chunk."""
-    lines = lines.repartition("ord", "path", "chunk")  # one exchange for the counts and the rows
+    """Add ``name``: the number of a line within its file, from counts per chunk.
+
+    The matching lines are written to the scratch folder first, so that the files are read
+    once for the counts and the rows.
+    """
+    lines = write_and_reread(lines, "lines")
     counts = lines.groupBy("ord", "path", "chunk").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("ord", "path").orderBy("chunk").rowsBetween(
         Window.unboundedPreceding, -1

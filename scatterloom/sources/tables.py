@@ -9,6 +9,7 @@ from scatterloom.functions import vec
 from scatterloom.operators import qspace
 from scatterloom.operators.params import local_table
 from scatterloom.schema import ELEMENTS
+from scatterloom.scratch import write_and_reread
 from scatterloom.sources import files
 
 
@@ -76,7 +77,7 @@ def parse_ndx(lines: DataFrame, pattern: str = ".*") -> DataFrame:
             F.raise_error(F.concat(F.lit("missing ] in index file: "), F.col("value")))
         ), r"\[\s*([^\]\s]*)", 1),
     )
-    rows = lines.repartition("ord", "path", "chunk").withColumn("__name", name)
+    rows = lines.withColumn("__name", name)
     last = rows.groupBy("ord", "path", "chunk").agg(
         F.max_by("__name", F.when(F.col("__name").isNotNull(), F.col("idx"))).alias("__last")
     )
@@ -104,4 +105,5 @@ def sel_ndx(
     spark: SparkSession, path: str, pattern: str = ".*", chunk_bytes: int = files.CHUNK_BYTES
 ) -> DataFrame:
     """All selections of an index file whose name matches the whole pattern."""
-    return parse_ndx(files.scan_lines(files.paths_table(spark, path), chunk_bytes=chunk_bytes), pattern)
+    lines = files.scan_lines(files.paths_table(spark, path), chunk_bytes=chunk_bytes)
+    return parse_ndx(write_and_reread(lines, "lines"), pattern)  # the file is read once
