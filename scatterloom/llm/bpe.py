@@ -7,12 +7,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import map_texts
 
 #: Pre-tokens kept per generation of a worker's cache; two generations are alive.
 CACHE = 600_000
@@ -187,31 +187,29 @@ def codec(rank_file: str, pattern: str) -> Codec:
 def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``ids`` (array of int) of each row's whole text. A null or empty text has no ids.
 
-    ``rank_file`` is a path that every executor can open. Rows are independent: ids that are null
+    ``rank_file`` is a path that every executor can open. Rows are independent: those whose id is null
     or repeat come back as they are, other columns are left out. There is no shuffle.
     """
-    rows = df.select(df[id_col].alias("id"), whole_text(df, text_col).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str]) -> list[list]:
         c = codec(rank_file, pattern)
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "ids": [c.encode(t).astype(np.int32) for t in b["text"]]})
+        return [[c.encode(t).astype(np.int32) for t in texts]]
 
-    out = rows.mapInPandas(run, f"id {df.schema[id_col].dataType.simpleString()}, ids array<int>")
-    return out.select(F.col("id").alias(id_col), "ids")
+    return map_texts(df, id_col, text_col, {"ids": "array<int>"}, run)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col`` and ``data`` (binary) of each row's ids; null ids give no bytes, ids outside the vocabulary raise."""
+    kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("id"), F.coalesce(df[ids_col], F.array().cast("array<int>")).alias("ids"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_file, pattern)
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "data": [c.decode(np.asarray(i, np.uint32)) for i in b["ids"]]})
+            data = [c.decode(np.array(i, np.int64)) for i in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["id", "data"])
 
-    out = rows.mapInPandas(run, f"id {df.schema[id_col].dataType.simpleString()}, data binary")
-    return out.select(F.col("id").alias(id_col), "data")
+    return rows.mapInArrow(run, f"id {kind}, data binary").withColumnRenamed("id", id_col)
 
 
 def digests(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,18 +217,15 @@ def digests(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
 
     Encodes and decodes in one pass, so ids don't leave the worker. Nulls and repeats as in `encode`.
     """
-    rows = df.select(df[id_col].alias("id"), whole_text(df, text_col).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str]) -> list[list]:
         c = codec(rank_file, pattern)
-        for b in batches:
-            found = []
-            for text in b["text"]:
-                ids = c.encode(text)
-                found.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
-            out = pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "id", b["id"].to_numpy())
-            yield out
-
-    schema = f"id {df.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+        lengths, ids_sha, decoded_sha = [], [], []
+        for text in texts:
+            ids = c.encode(text)
+            lengths.append(len(ids))
+            ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
+            decoded_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
+        return [lengths, ids_sha, decoded_sha]
+
+    return map_texts(df, id_col, text_col, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, run)

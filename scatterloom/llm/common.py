@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..deploy import ship
 
@@ -28,3 +33,20 @@ def lower_ascii(col: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def map_texts(df: DataFrame, id_col: str, text_col: str, columns: dict[str, str], fn) -> DataFrame:
+    """The id column as it is and ``columns`` (name: type) that ``fn``, given a list of whole texts, returns as lists; batch by batch, without a shuffle.
+
+    Ids stay in Arrow: pandas would turn large ones next to a null into floating point.
+    """
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in columns.items())).fields])
+    kinds = [f.type for f in to_arrow_schema(schema)][1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = fn(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, made, kinds)], schema.names)
+
+    rows = df.select(df[id_col].alias("id"), whole_text(df, text_col).alias("text"))
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

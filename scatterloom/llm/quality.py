@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole_text
+from .common import map_texts, whole_text
 
 #: Words share this many vectors by hash, so the vectors of any corpus take BUCKETS x DIMS numbers.
 BUCKETS, DIMS = 1 << 14, 32
@@ -78,7 +78,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return draw.integers(0, DIMS, (BUCKETS, NONZERO)), draw.choice([-1, 1], (BUCKETS, NONZERO))
 
 
-def context_sums(texts: Iterator[str], places: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def context_sums(texts: Iterable[str], places: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of buckets, and sums of the index vectors of their neighbours."""
     counts, sums = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS * DIMS)
     flat: list[np.ndarray] = []
@@ -136,7 +136,7 @@ def word_vectors(df: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.
     return unit(unit(sums) + unit(own)).astype(np.float32), weight.astype(np.float32)
 
 
-def pooled(texts: Iterator[str], vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def pooled(texts: Iterable[str], vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """A row per text: the weighted mean of its words' vectors, how its tokens look, and its length's logarithm."""
     rows = []
     for text in texts:
@@ -211,27 +211,16 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts of ``df``; the network is fitted on at most ``sample`` labelled rows. A null text counts as empty; empty texts get a score like any other. Null ids are not
     held out. Rows that repeat come back as often. Other columns are left out.
     """
-    spark = df.sparkSession
     vectors, weights = word_vectors(df, text_col)
     ids = labels.where(labels[label_col].isin(0, 1) & labels[id_col].isNotNull() & ~held_out(labels[id_col]))
     ids = ids.groupBy(ids[id_col].alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = df.select(df[id_col].alias("id"), whole_text(df, text_col).alias("text"))
-
-    def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "y": b["y"], "x": list(pooled(b["text"], vectors, weights))})
-
-    kind = df.schema[id_col].dataType.simpleString()
-    known = texts.join(F.broadcast(ids), "id").mapInPandas(pool, f"id {kind}, y int, x array<double>")
-    # the sample bounds ids; a labelled text that repeats counts once
-    known = known.groupBy("id").agg(F.min(F.struct("y", "x")).alias("r")).select("id", "r.y", "r.x").toPandas().sort_values("id", ignore_index=True)
+    sampled = df.select(df[id_col].alias("id"), df[text_col].alias("text")).join(F.broadcast(ids), "id").withColumn("row", F.struct("id", "y"))
+    known = map_texts(sampled, "row", "text", {"x": "array<double>"}, lambda texts: [list(pooled(texts, vectors, weights))])
+    # a labelled text that repeats counts once, so the sample bounds this table, too
+    known = known.groupBy("row.id").agg(F.min(F.struct("row.y", "x")).alias("r")).select("id", "r.y", "r.x").toPandas().sort_values("id", ignore_index=True)
     x = np.array(known["x"].tolist()).reshape(len(known), DIMS + 4)
     net = fit(x, known["y"].to_numpy(np.float64))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "score": net.probability(pooled(b["text"], vectors, weights))})
-
-    scored = texts.mapInPandas(score, f"id {kind}, score double")
-    return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = map_texts(df, id_col, text_col, {"score": "double"}, lambda texts: [net.probability(pooled(texts, vectors, weights))])
+    return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, topk
+from . import bpe, quality, topk, warc
 from .common import table
 
 
@@ -27,7 +27,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN)
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op3_topk, op5_byte_bpe)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written into WARC archives and read back."""
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+QUERIES = {q.__name__: q for q in (op1_quality, op3_topk, op5_byte_bpe, op10_warc)}
 SQL = {
     "op3_topk": """
         WITH v AS (
