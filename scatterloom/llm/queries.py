@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, topk, warc
+from . import bpe, quality, secret_scan, topk, warc
 from .common import table
 
 
@@ -27,13 +27,48 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written into WARC archives and read back."""
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op3_topk, op5_byte_bpe, op10_warc)}
+QUERIES = {q.__name__: q for q in (op1_quality, op3_topk, op5_byte_bpe, op9_secrets, op10_warc)}
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_SECRET_RULES = ", ".join(f"({n}, {_quoted(r.kind)}, {_quoted(r.regex)}, {r.group}, {r.least}, {r.base})" for n, r in enumerate(secret_scan.RULES))
+
 SQL = {
+    "op9_secrets": f"""
+        WITH rules(rank, kind, regex, grp, least, base) AS (VALUES {_SECRET_RULES}),
+        d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        m AS (
+            SELECT doc_id, rank, kind, base, least, regexp_split_to_array(t, regex) AS before,
+                   regexp_extract_all(t, regex, 0) AS found,
+                   CASE grp WHEN 2 THEN regexp_extract_all(t, regex, 2) WHEN 1 THEN regexp_extract_all(t, regex, 1) ELSE regexp_extract_all(t, regex, 0) END AS part
+            FROM d, rules WHERE regexp_matches(t, regex)
+        ), u AS (SELECT *, unnest(generate_series(1, len(found))) AS i FROM m),
+        s AS (
+            SELECT doc_id, rank, kind, base, length(found[i]) AS size,
+                   CAST(list_sum([length(x) FOR x IN before[1:i]]) + coalesce(list_sum([length(x) FOR x IN found[1:i - 1]]), 0) AS BIGINT) AS start
+            FROM u WHERE length(part[i]) >= least
+        ), e AS (
+            SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                   count(*) FILTER (kind = 'hex') AS n_hex,
+                   coalesce(string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, rank) FILTER (base), '') AS own,
+                   string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, rank) AS spans
+            FROM s GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN e ON d.doc_id = e.doc_id
+    """,
     "op3_topk": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w
