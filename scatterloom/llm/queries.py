@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secret_scan, topk, warc
-from .common import table
+from . import bpe, licenses, quality, secret_scan, topk, warc
+from .common import LOWER, UPPER, table
+from .license_rules import REACH
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in every document."""
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best others of every twentieth vector."""
     vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
@@ -37,14 +43,47 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op3_topk, op5_byte_bpe, op9_secrets, op10_warc)}
+QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_topk, op5_byte_bpe, op9_secrets, op10_warc)}
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
 _SECRET_RULES = ", ".join(f"({n}, {_quoted(r.kind)}, {_quoted(r.regex)}, {r.group}, {r.least}, {r.base})" for n, r in enumerate(secret_scan.RULES))
 
+_LICENSE_RULES = ", ".join(
+    f"({n}, {_quoted(word)}, {r.priority}, {_quoted(r.label)}, {_quoted(f'^(?:{r.regex}) ')}, {r.base})"
+    for n, r in enumerate(licenses.rules())
+    for word in r.keywords
+)
+
 SQL = {
+    "op2_licenses": f"""
+        WITH rules(rule, word, priority, label, regex, base) AS (VALUES {_LICENSE_RULES}),
+        d AS (
+            SELECT doc_id, list_filter_empty AS words FROM (
+                SELECT doc_id, [w FOR w IN regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{licenses.BETWEEN}') IF w <> ''] AS list_filter_empty
+                FROM documents)
+        ), a AS (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS i FROM d),
+        h AS (
+            SELECT doc_id, i - 1 AS start, rule, priority, label, base,
+                   regexp_extract(array_to_string(words[i:i + {REACH - 1}], ' ') || ' ', regex) AS m
+            FROM a JOIN rules ON word = words[i]
+        ), f AS (SELECT *, start + length(m) - length(replace(m, ' ', '')) AS stop FROM h WHERE m <> ''),
+        k AS (
+            SELECT *, coalesce(CASE priority WHEN 1 THEN max(stop) FILTER (priority <= 1) OVER w WHEN 2 THEN max(stop) FILTER (priority <= 2) OVER w
+                   ELSE max(stop) OVER w END, -1) AS reach
+            FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY start, stop DESC, priority, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), e AS (
+            SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+                   array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels,
+                   array_to_string(list_sort(list_distinct(list(label) FILTER (base OR reach < stop))), ',') AS labels,
+                   max(CASE priority WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END) FILTER (reach < stop) AS score
+            FROM k GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+        FROM d LEFT JOIN e ON d.doc_id = e.doc_id
+    """,
     "op9_secrets": f"""
         WITH rules(rank, kind, regex, grp, least, base) AS (VALUES {_SECRET_RULES}),
         d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
