@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, quality, secret_scan, topk, warc
+from . import bpe, licenses, ordermin, quality, secret_scan, topk, warc
 from .common import LOWER, UPPER, table
 from .license_rules import REACH
 
@@ -33,6 +33,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return ordermin.compare(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
@@ -43,7 +48,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_topk, op5_byte_bpe, op9_secrets, op10_warc)}
+QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_topk, op5_byte_bpe, op6_fingerprints, op9_secrets, op10_warc)}
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
