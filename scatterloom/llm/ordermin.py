@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 
-#: Words of a k-mer, entries of a fingerprint, and k-mers that an entry takes.
-K, ENTRIES, PICKED = 3, 64, 2
+#: Words of a k-mer, and entries of a fingerprint; an entry takes two k-mers.
+K, ENTRIES = 3, 64
 #: Low bits of a number that hold a place; the others hold a hash. Later places share the last number.
 PLACE = (1 << 24) - 1
 #: Rows of a block of neighbouring ids, while there are at most MAX_BLOCKS; the bounds of blocks are all that reaches the driver.
@@ -33,8 +33,8 @@ def steps_of(array: Column) -> Column:
 def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with ``name``, an array of ENTRIES numbers (none for a text without words).
 
-    Words lie between characters up to U+0020. The k-mers of a text, K words each (all words, if fewer), get numbers for repeated ones and a
-    hash of k-mer and number. Entry b takes the PICKED smallest in the order of hashes rotated by b / ENTRIES of their range, puts them into text order and hashes them as a tuple.
+    Words lie between characters up to U+0020. The k-mers of a text, K words each (all words, if fewer), get a hash, repeated ones from the second on a
+    hash of their own and their number. Entry b takes the two smallest in the order of hashes rotated by b / ENTRIES of their range, puts them into text order and hashes them as a pair.
     Rotations need one sorted array per text: entry b's minima are the elements that follow its bound, cyclically.
     Columns that begin with ``__`` are the operator's own.
     """
@@ -53,18 +53,19 @@ def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     def numbered(v: Column, j: Column) -> Column:
         again = hash_of(F.get(kmers, j - 1)) == hash_of(v)
         first = lower_bound(kmers, v.bitwiseAND(F.lit(~PLACE)), steps)
-        return pack(F.xxhash64(hash_of(v), F.when(again, j - first).otherwise(0)), place(v))
+        return F.when(again, pack(F.xxhash64(hash_of(v), j - first), place(v))).otherwise(v)
 
     df = df.withColumn("__sorted", F.sort_array(F.transform(kmers, numbered))).drop("__kmers")
     chosen, n = F.col("__sorted"), F.size("__sorted")
 
-    def entry(b: Column) -> Column:
-        start = lower_bound(chosen, (b - ENTRIES // 2) * F.lit((1 << 64) // ENTRIES), steps)
-        picked = F.transform(F.sequence(F.lit(0), F.lit(PICKED - 1)), lambda j: F.get(chosen, (start + j) % n))
-        in_order = F.sort_array(F.transform(picked, lambda v: F.struct(place(v).alias("at"), hash_of(v).alias("hash"))))
-        return F.transform(F.array(in_order), lambda p: F.shiftright(F.xxhash64(*(p[i]["hash"] for i in range(PICKED))), 32).cast("int"))[0]
+    starts = F.transform(F.sequence(F.lit(-(ENTRIES // 2)).cast("bigint"), F.lit(ENTRIES // 2 - 1).cast("bigint")), lambda b: lower_bound(chosen, b * F.lit((1 << 64) // ENTRIES), steps))
 
-    entries = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(ENTRIES - 1).cast("bigint")), entry)
+    def entry(start: Column) -> Column:
+        one, two = (F.get(chosen, (start + j) % n) for j in (0, 1))
+        pair = F.when(place(one) <= place(two), F.xxhash64(hash_of(one), hash_of(two))).otherwise(F.xxhash64(hash_of(two), hash_of(one)))
+        return F.shiftright(pair, 32).cast("int")
+
+    entries = F.transform(starts, entry)
     return df.withColumn(name, F.when(n > 0, entries).otherwise(F.array().cast("array<int>"))).drop("__sorted", "__steps")
 
 
