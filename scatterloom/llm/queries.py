@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, ordermin, quality, secret_scan, topk, warc
+from . import bpe, licenses, minhash, ordermin, quality, secret_scan, topk, warc
 from .common import LOWER, UPPER, table
 from .license_rules import REACH
 
@@ -27,6 +27,11 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("id") % 20 == 0, 20)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents by shingles of four words."""
+    return minhash.cluster(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as counts and digests."""
     rank_file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -48,7 +53,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_topk, op5_byte_bpe, op6_fingerprints, op9_secrets, op10_warc)}
+QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_topk, op4_near_dedup, op5_byte_bpe, op6_fingerprints, op9_secrets, op10_warc)}
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
