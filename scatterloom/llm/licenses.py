@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import let, whole_text
 from .license_rules import BASE, REACH, TABLE
 
 #: What lies between words, in texts whose A-Z are lower case.
@@ -51,11 +51,6 @@ def words(df: DataFrame, text_col: str = "text") -> Column:
     return F.array_remove(F.split(low, BETWEEN, -1), "")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def rule_map(table: tuple[Rule, ...]) -> Column:
     """Rules by keyword; a constant of the plan."""
     by_word: dict[str, list[Column]] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, minhash, ordermin, quality, secret_scan, topk, warc
+from . import bpe, licenses, lines, minhash, ordermin, quality, secret_scan, topk, warc
 from .common import LOWER, UPPER, table
 from .license_rules import REACH
 
@@ -43,6 +43,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.compare(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that came before."""
+    rows = lines.dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
@@ -53,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_topk, op4_near_dedup, op5_byte_bpe, op6_fingerprints, op9_secrets, op10_warc)}
+QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_topk, op4_near_dedup, op5_byte_bpe, op6_fingerprints, op7_line_dedup, op9_secrets, op10_warc)}
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -67,6 +73,28 @@ _LICENSE_RULES = ", ".join(
 )
 
 SQL = {
+    "op7_line_dedup": f"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS raws FROM documents),
+        l AS (SELECT doc_id, unnest(generate_series(1, len(raws))) AS k, raws FROM d),
+        x AS (SELECT doc_id, k, raws[k] AS raw, trim(raws[k], ' ') AS line FROM l),
+        w AS (SELECT *, len(string_split(line, ' ')) AS n FROM x),
+        u AS (SELECT line, n, min((doc_id, k)) AS pos FROM w WHERE line <> '' AND n >= {lines.EXACT_WORDS} GROUP BY line, n),
+        v AS (
+            SELECT line, n, pos, i, list_concat(string_split(line, ' ')[1:i - 1], string_split(line, ' ')[i + 1:]) AS rest
+            FROM (SELECT *, unnest(generate_series(1, n)) AS i FROM u WHERE n >= {lines.NEAR_WORDS})
+        ), gone AS (
+            SELECT line FROM (SELECT line, pos, min(pos) OVER (PARTITION BY n, i, rest) AS first FROM v) WHERE first < pos
+            UNION SELECT v.line FROM v JOIN u ON array_to_string(v.rest, ' ') = u.line AND u.n = v.n - 1 AND u.n >= {lines.NEAR_WORDS} AND u.pos < v.pos
+            UNION SELECT u.line FROM v JOIN u ON array_to_string(v.rest, ' ') = u.line AND u.n = v.n - 1 AND u.n >= {lines.NEAR_WORDS} AND v.pos < u.pos
+        ), s AS (
+            SELECT w.*, w.line = '' OR w.n < {lines.EXACT_WORDS} OR (u.pos = (w.doc_id, w.k) AND g.line IS NULL) AS stays
+            FROM w LEFT JOIN u ON w.line = u.line LEFT JOIN gone g ON w.line = g.line
+        ), t AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, coalesce(string_agg(raw, chr(10) ORDER BY k) FILTER (stays), '') AS text
+            FROM s GROUP BY doc_id
+        )
+        SELECT doc_id, n_lines, n_dropped, length(text) AS n_chars, sha256(text) AS text_sha256 FROM t
+    """,
     "op2_licenses": f"""
         WITH rules(rule, word, priority, label, regex, base) AS (VALUES {_LICENSE_RULES}),
         d AS (
