@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, lines, minhash, ordermin, quality, secret_scan, topk, warc
+from . import bpe, licenses, lines, minhash, mixing, ordermin, quality, secret_scan, topk, warc
 from .common import LOWER, UPPER, table
 from .license_rules import REACH
 
@@ -49,6 +49,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents interleaved by source, at weights in proportion to the square roots of the sources' sizes."""
+    documents = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(documents, mixing.shares_by_size(documents))
+    return mixed.select("doc_id", "source", *(f"mix_{c}" for c in ("block", "slot", "release", "deadline", "start")))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
@@ -59,7 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_topk, op4_near_dedup, op5_byte_bpe, op6_fingerprints, op7_line_dedup, op9_secrets, op10_warc)}
+QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_topk, op4_near_dedup, op5_byte_bpe, op6_fingerprints, op7_line_dedup, op8_mixing, op9_secrets, op10_warc)}
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -73,6 +80,32 @@ _LICENSE_RULES = ", ".join(
 )
 
 SQL = {
+    "op8_mixing": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, '') AS s, text, length(coalesce(text, '')) AS chars, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+        z AS (SELECT s, sqrt(greatest(1, sum(chars))) AS w FROM d GROUP BY s),
+        c AS (SELECT s, CAST(greatest(1, floor({mixing.PERIOD} * w / (SELECT sum(w ORDER BY s) FROM z) + 0.5)) AS BIGINT) AS share FROM z),
+        p AS (SELECT list(share ORDER BY s) AS cs, list(s ORDER BY s) AS names, CAST(sum(share) AS BIGINT) AS period FROM c),
+        e(t, done, pick) AS (
+            SELECT CAST(-1 AS BIGINT), [CAST(0 AS BIGINT) FOR x IN cs], CAST(0 AS BIGINT) FROM p
+            UNION ALL
+            SELECT t + 1, [done[i] + CASE WHEN i = best THEN 1 ELSE 0 END FOR i IN range(1, len(done) + 1)], best
+            FROM (
+                SELECT t, done, CAST(list_position(k, list_min(k)) AS BIGINT) AS best
+                FROM (
+                    SELECT t, done, period, [CASE WHEN done[i] < cs[i] AND (done[i] * period) // cs[i] <= t + 1
+                                     THEN ((done[i] + 1) * period + cs[i] - 1) // cs[i] ELSE 1000000000000 END FOR i IN range(1, len(cs) + 1)] AS k
+                    FROM e, p WHERE t + 1 < period
+                )
+            )
+        ),
+        slots AS (SELECT names[pick] AS s, done[pick] - 1 AS turn, t AS slot FROM e, p WHERE t >= 0),
+        o AS (SELECT *, coalesce(CAST(sum(chars) OVER (PARTITION BY s ORDER BY h, doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start FROM d),
+        b AS (SELECT *, start // {mixing.BLOCK_CHARS} AS block FROM o)
+        SELECT doc_id, source, block AS mix_block, (block // share) * period + slot AS mix_slot,
+               (block // share) * period + (turn * period) // share AS mix_release,
+               (block // share) * period + ((turn + 1) * period + share - 1) // share AS mix_deadline, start AS mix_start
+        FROM b JOIN c ON b.s = c.s JOIN slots ON slots.s = b.s AND slots.turn = block % share, p
+    """,
     "op7_line_dedup": f"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS raws FROM documents),
         l AS (SELECT doc_id, unnest(generate_series(1, len(raws))) AS k, raws FROM d),
