@@ -203,13 +203,24 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """``id_col, held_out, score, predicted`` of each row of ``df``.
+@dataclass
+class Model:
+    """What scoring needs; its size doesn't depend on the corpus."""
+
+    vectors: np.ndarray
+    weights: np.ndarray
+    net: Network
+
+    def score(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """``id_col`` (of any type, a struct of whole rows for instance) and ``score`` of each row; a null text counts as empty, and empty texts get a score like any other."""
+        return map_texts(df, id_col, text_col, {"score": "double"}, lambda texts: [self.net.probability(pooled(texts, self.vectors, self.weights))])
+
+
+def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+    """A model with word vectors from all texts of ``df`` and a network fitted on at most ``sample`` labelled rows.
 
     ``labels`` has ``id_col`` and ``label_col`` (0 or 1; rows with another or no label, or no id, aren't used; of several labels of an id
-    the smallest counts; ids that aren't in ``df`` don't matter). Labels of held-out rows are never read. Word vectors come from all
-    texts of ``df``; the network is fitted on at most ``sample`` labelled rows. A null text counts as empty; empty texts get a score like any other. Null ids are not
-    held out. Rows that repeat come back as often. Other columns are left out.
+    the smallest counts; ids that aren't in ``df`` don't matter). Labels of held-out rows are never read. Other columns of either table are ignored.
     """
     vectors, weights = word_vectors(df, text_col)
     ids = labels.where(labels[label_col].isin(0, 1) & labels[id_col].isNotNull() & ~held_out(labels[id_col]))
@@ -220,7 +231,12 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # a labelled text that repeats counts once, so the sample bounds this table, too
     known = known.groupBy("row.id").agg(F.min(F.struct("row.y", "x")).alias("r")).select("id", "r.y", "r.x").toPandas().sort_values("id", ignore_index=True)
     x = np.array(known["x"].tolist()).reshape(len(known), DIMS + 4)
-    net = fit(x, known["y"].to_numpy(np.float64))
+    return Model(vectors, weights, fit(x, known["y"].to_numpy(np.float64)))
+
 
-    scored = map_texts(df, id_col, text_col, {"score": "double"}, lambda texts: [net.probability(pooled(texts, vectors, weights))])
+def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """``id_col, held_out, score, predicted`` of each row of ``df``, see `learn` and `Model.score`. Null ids are not
+    held out. Rows that repeat come back as often. Other columns are left out.
+    """
+    scored = learn(df, labels, id_col, text_col, label_col, sample).score(df, id_col, text_col)
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
