@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
@@ -26,6 +27,7 @@ MAX_HEAD, MAX_RECORD = 64 << 10, 1 << 30
 BATCH_BYTES = 8 << 20
 
 VERSION, MEMBER = b"WARC/1.", b"\x1f\x8b\x08"
+VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 FIELDS = ("path string, start bigint, end bigint, gap string, record_type string, record_id string, target_uri string, "
@@ -58,7 +60,7 @@ class Damaged(Exception):
 
 def parse(data: bytes, at: int) -> tuple[dict, int]:
     """The record that starts at ``at`` and where it ends; raises `Damaged` unless all its checks hold."""
-    if not data.startswith(VERSION, at):
+    if not VERSION_LINE.match(data, at):
         raise Damaged("no version line")
     head_end = data.find(b"\r\n\r\n", at, at + MAX_HEAD)
     if head_end < 0:
