@@ -7,7 +7,7 @@ a plain word, its keyword. Priority 1 names a licence with its version or quotes
 from __future__ import annotations
 
 #: Words that a match spans at most.
-REACH = 24
+REACH = 32
 
 #: Phrases that count as base places, with their labels.
 BASE = (

@@ -94,7 +94,8 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], ids: DataFrame, fi
     bounds = sorted(set(ids.agg(F.percentile_approx(id_col, shares, 10 * max(1000, blocks))).first()[0] or [])) if shares else []
     array = F.array(*map(F.lit, bounds)).cast("array<bigint>")
     key = F.col(id_col).cast("bigint") + 0
-    block = F.coalesce(F.transform(F.array(array), lambda a: lower_bound(a, key, F.lit([1 << e for e in range(len(bounds).bit_length(), -1, -1)])))[0], F.lit(-1))
+    steps = F.lit([1 << e for e in range(len(bounds).bit_length(), -1, -1)])
+    block = F.when(F.col(id_col).isNull(), -1).otherwise(F.transform(F.array(array), lambda a: lower_bound(a, key, steps))[0])
     ring = [r for r in ids.groupBy(block.alias("block")).agg(F.min(id_col).alias("id")).collect()]  # a row per block
     ring.sort(key=lambda r: r["block"])
     before = [(ring[i - 1]["block"], r["id"]) for i, r in enumerate(ring)]
