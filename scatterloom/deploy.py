@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
-_shipped: set[str] = set()
+_shipped: set[tuple[str, str]] = set()
+
+
+def _remove(path: str) -> None:
+    with contextlib.suppress(OSError):
+        os.unlink(path)
 
 
 def ship(spark: SparkSession, *folders: str) -> None:
     """Send this package, and other package ``folders``, to the executors of a session once."""
     app = spark.sparkContext.applicationId
-    if app in _shipped:
+    every = (os.path.dirname(os.path.abspath(__file__)), *map(os.path.abspath, folders))
+    folders = [f for f in every if (app, f) not in _shipped]
+    if not folders:
         return
-    folders = (os.path.dirname(os.path.abspath(__file__)), *folders)
     handle, path = tempfile.mkstemp(prefix="scatterloom-", suffix=".zip")
     os.close(handle)
+    atexit.register(_remove, path)  # executors fetch it from the driver while the session lasts
     with zipfile.ZipFile(path, "w") as z:
         for folder in folders:
             above = os.path.dirname(os.path.abspath(folder))
@@ -28,4 +37,4 @@ def ship(spark: SparkSession, *folders: str) -> None:
                         full = os.path.join(at, name)
                         z.write(full, os.path.relpath(full, above))
     spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
+    _shipped.update((app, f) for f in folders)

@@ -19,12 +19,18 @@ from pyspark.sql import types as T
 
 from scatterloom.functions import vec
 from scatterloom.operators.frames import join_per_frame
+from scatterloom.operators.params import localize, on_driver
 from scatterloom.operators.selections import SYSTEM, is_in
 
 def tagged(coords: DataFrame, atoms: DataFrame) -> DataFrame:
     """Coordinates with the mass and the selection flags of their atom."""
     extra = [c for c in atoms.columns if c == "atom_id" or c not in coords.columns]
-    return coords.join(atoms.select(*extra), "atom_id")
+    return coords.join(_shipped(localize(atoms.select(*extra))), "atom_id")
+
+
+def _shipped(params: DataFrame) -> DataFrame:
+    """A table whose size has been checked is broadcast; a larger one is joined as the optimizer likes."""
+    return params if on_driver(params) is None else F.broadcast(params)
 
 
 def _centre_sums(member, prefix="c"):
@@ -96,11 +102,21 @@ def with_representation(df: DataFrame, kind: str = "cartesian", axis=(0.0, 0.0,
 # -- references -------------------------------------------------------------------------
 
 
-def reference_coords(df: DataFrame, frame: int = 0, selection: str = SYSTEM) -> DataFrame:
-    """One frame as reference ``(atom_id, ux, uy, uz, mass)``; beyond the end the last frame."""
-    last = df.agg(F.max("frame").alias("n")).scalar()
-    at = df.where((F.col("frame") == F.least(F.lit(frame).cast("bigint"), last)) & is_in(selection))
-    return at.select("atom_id", *(F.col(c).alias(f"u{c}") for c in "xyz"), "mass")
+def reference_coords(
+    df: DataFrame, frame: int = 0, selection: str = SYSTEM, n_frames: int | None = None
+) -> DataFrame:
+    """One frame as reference ``(atom_id, ux, uy, uz, mass)``; beyond the end the last frame.
+
+    For frame 0, or with ``n_frames``, the scan is asked for that frame only; else the last one is looked up by the
+    query. A frame of up to ``params.PART_ROWS`` atoms is read once, here, and travels with the plan.
+    """
+    number = F.lit(frame).cast("bigint")
+    if n_frames is not None:
+        number = F.lit(max(0, min(frame, n_frames - 1))).cast("bigint")
+    elif frame > 0:
+        number = F.least(number, df.agg(F.max("frame").alias("n")).scalar())
+    at = df.where((F.col("frame") == number) & is_in(selection))
+    return localize(at.select("atom_id", *(F.col(c).alias(f"u{c}") for c in "xyz"), "mass"))
 
 
 def _reference_centre(reference: DataFrame) -> vec.Vec:
@@ -153,6 +169,8 @@ def fit_sums(df: DataFrame, reference: DataFrame) -> DataFrame:
     centred = reference.select(
         "atom_id", *(c.alias(f"u{n}") for n, c in zip("xyz", u))
     )
+    if on_driver(reference) is not None:
+        centred = F.broadcast(centred)
     matched = df.join(centred, "atom_id")
     m, v = F.col("mass"), vec.columns()
     sums = [

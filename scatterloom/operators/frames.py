@@ -13,12 +13,6 @@ BLOCK_ATOMS = 1 << 16
 BROADCAST_FRAMES = 1_000_000  # rows of at most 16 doubles each
 
 
-def frame_count(df: DataFrame) -> int:
-    """Number of frames of a densely numbered table."""
-    top = df.agg(F.max("frame")).first()[0]
-    return 0 if top is None else int(top) + 1
-
-
 def _count_of(df: DataFrame) -> Column:
     return df.agg(F.coalesce(F.max("frame") + 1, F.lit(0)).alias("n")).scalar()
 

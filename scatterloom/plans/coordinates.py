@@ -48,7 +48,3 @@ def prepare_coordinates(
     keep = ["frame", "atom_id", "x", "y", "z"] + [c for c in ("species", "label") if c in df.columns]
     return align.with_representation(df.select(*keep), representation, axis)
 
-
-def add_species(coords: DataFrame, atoms: DataFrame) -> DataFrame:
-    """Attach ``species`` of ``atoms(atom_id, species)`` to coordinates."""
-    return coords.join(atoms.select("atom_id", "species"), "atom_id")

@@ -34,7 +34,7 @@ def _dsp(a: np.ndarray, dsp: str, method: str) -> np.ndarray:
         return (a.real**2 + a.imag**2).astype(np.complex128)
     if dsp != "autocorrelate":
         raise ValueError(f"no transform called {dsp!r}")
-    if method == "direct" and len(a) <= series.DIRECT_FRAMES:
+    if method == "direct":
         return series._correlate_direct(a)
     return series._correlate_fft(a)
 
@@ -101,6 +101,7 @@ def _one_pass(staged: DataFrame, table, factors, n_frames: int, dsp: str, method
         seen = False
         for code, frame, xyz in _atoms(batches, factors):
             seen = True
+            series.once_each(frame)
             for rows, waves in slices:
                 a = np.zeros((n_frames, len(rows)), dtype=np.complex128)
                 a[frame] = waves(*xyz.T) * factors.values[code, rows]
@@ -135,8 +136,9 @@ def self_sums(
 
     Rows with tau ``MEAN`` and ``MEAN_SQUARED`` hold the sums of the time means and of
     their squared magnitudes. Series too long for a task go through the tables of
-    single-atom amplitudes instead.
+    single-atom amplitudes instead. Frames outside 0..n_frames-1 and a frame that an atom has twice raise.
     """
+    coords = series.in_range(coords, n_frames)
     if n_frames > in_task:
         amplitudes = amplitude_self(coords, factors, subvectors)
         moved = series.transform(amplitudes, KEYS, n_frames, dsp, method)

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SERIES_IN_TASK = 1 << 18  # longest series transformed inside one task: 4 MB of values
-DIRECT_FRAMES = 1 << 13  # longest series for the quadratic method
 TILE = 64
 
 
@@ -43,6 +42,20 @@ def total(df: DataFrame, keys) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
+def in_range(df: DataFrame, n_frames: int) -> DataFrame:
+    """The same rows; one whose frame is not one of 0..n_frames-1 raises when it is read."""
+    frame = F.col("frame")
+    told = F.concat(F.lit("frame "), frame.cast("string"), F.lit(f" in a series of {n_frames}"))
+    sound = (frame >= 0) & (frame < n_frames)
+    return df.withColumn("frame", F.when(sound, frame.cast("bigint")).otherwise(F.raise_error(told).cast("bigint")))
+
+
+def once_each(places: np.ndarray) -> None:
+    """Raise if a place of a series has more than one value."""
+    if len(np.unique(places)) != len(places):
+        raise ValueError("a series has two values for a frame")
+
+
 def _correlate_fft(a: np.ndarray) -> np.ndarray:
     """Along axis 0: mean over k of conj(a[k]) * a[k + tau]."""
     n = len(a)
@@ -105,6 +118,7 @@ def _in_task(df: DataFrame, keys, n_frames: int, correlate) -> DataFrame:
                 rows = slice(cuts[0], cuts[-1])
                 series = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
                 a = np.zeros((n_frames, len(cuts) - 1), dtype=np.complex128)
+                once_each(frame[rows] * (len(cuts) - 1) + series)
                 a[frame[rows], series] = re[rows] + 1j * im[rows]
                 c = np.ascontiguousarray(correlate(a).T)
                 each = pa.array(np.repeat(cuts[:-1], n_frames))
@@ -156,6 +170,7 @@ def _across_tasks(df: DataFrame, keys, n_frames: int, tile: int = TILE) -> DataF
         *series, n_tile = key
         a = np.zeros((n1, tile), dtype=np.complex128)
         t = pdf["frame"].to_numpy()
+        once_each(t)
         a[t // n2, t % n2 - n_tile * tile] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
         a = np.fft.fft(a, axis=0)
         a *= twist(np.arange(n1), n_tile * tile + np.arange(tile))
@@ -206,14 +221,17 @@ def autocorrelate(
 ) -> DataFrame:
     """C(tau) = 1/(n-tau) * sum over k of conj(A[k]) * A[k+tau]; the lag is in ``frame``.
 
-    ``direct`` is the quadratic sum, used for series up to ``DIRECT_FRAMES``; ``fft``
-    pads to twice the length. Both agree to rounding, so a longer series asked for
-    ``direct`` takes the other way.
+    ``direct`` is the quadratic sum of a series inside a task, and raises for series that a task
+    may not hold; ``fft`` pads to twice the length and is spread over tasks for these.
+    Frames outside 0..n_frames-1 and a frame that a series has twice raise.
     """
     keys = list(keys)
     if method not in ("fft", "direct"):
         raise ValueError("method is 'fft' or 'direct'")
-    if method == "direct" and n_frames <= min(DIRECT_FRAMES, in_task):
+    df = in_range(df, n_frames)
+    if method == "direct":
+        if n_frames > in_task:
+            raise ValueError(f"the direct sum takes series of at most {in_task} frames, not {n_frames}: use 'fft'")
         return _in_task(df, keys, n_frames, _correlate_direct)
     if n_frames <= in_task:
         return _in_task(df, keys, n_frames, _correlate_fft)

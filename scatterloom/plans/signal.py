@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,7 @@ class Signal:
     fqt: DataFrame
     means: DataFrame
     n_frames: int
+    remake: Callable[[], Signal] | None = None  # the same from amplitudes that are kept; none if they are
 
     @property
     def fq0(self) -> DataFrame:
@@ -109,13 +111,16 @@ def scatter(
 
     ``stage`` brings the rows of a frame together first, which pays where they lie
     scattered over many files or where the input has too few parts to keep all cores busy. ``materialize`` keeps the amplitudes in the
-    scratch folder, so that several outputs share them: use it before writing a result.
+    scratch folder, so that several outputs share them; `write_signal` does so by itself.
+    Frames outside 0..n_frames-1 raise.
     ``check`` looks for a first atom; switch it off where preparing the coordinates is
     costly, since that work would be started twice.
     """
     if n_frames < 1:
         raise ValueError("nothing to compute: no frames")
     qvectors, factors = localize(qvectors), localize(factors)
+    given = coords
+    coords = series.in_range(coords, n_frames)
     if check:
         _require(coords, "atoms")
     _require(qvectors, "scattering vectors")
@@ -160,11 +165,12 @@ def scatter(
         *Q, F.col("tau").cast("bigint").alias("tau"),
         *((F.col(c) * F.col("norm")).alias(c) for c in ("re", "im")),
     )
-    parts = [f"{name}_{c}" for name in ("fq0", "fq", "fq2") for c in ("re", "im")]
     scaled = means.join(table, "q_id").select(
-        *Q, *((F.col(c) * F.col("norm")).alias(c) for c in parts)
+        *Q, *((F.col(c) * F.col("norm")).alias(c) for c in PARTS)
     )
-    return Signal(q, fqt, scaled, n_frames)
+    again = dict(kind=kind, average=average, dsp=dsp, method=method, engine=engine, stage=stage, materialize=True, check=False)
+    remake = None if materialize else lambda: scatter(given, qvectors, factors, n_frames, **again)
+    return Signal(q, fqt, scaled, n_frames, remake)
 
 
 def _per_orientation(vectors: DataFrame) -> DataFrame:
@@ -200,13 +206,22 @@ def write_signal(signal: Signal, path: str, meta: dict | None = None) -> str:
     """Append a signal to the result at ``path``; returns the id of this append.
 
     The summary is written last. Rows of an append that did not get that far are not
-    seen by :func:`read_signal`, so a broken run can simply be repeated.
+    seen by :func:`read_signal`, so a broken run can simply be repeated. Amplitudes are kept in the
+    scratch folder first, so that both tables come from one pass over the trajectory. A result whose series have
+    another length raises, and nothing is written. Each block of vectors is one file of a table.
     """
+    spark = signal.qvectors.sparkSession
+    wrong = check_length(read_signal(spark, path)[0], signal.n_frames).first()
+    if wrong is not None:
+        raise ValueError(f"the result at {path} has series of {wrong['n_lags']} lags, not {signal.n_frames}")
+    if signal.remake is not None:
+        signal = signal.remake()
     run = uuid.uuid4().hex
     for name, df in (("fqt", signal.fqt), ("fq", signal.summary)):
         (
             df.withColumn("run_id", F.lit(run))
             .withColumn("q_block", F.expr(f"q_id div {Q_PER_FOLDER}"))
+            .repartition("q_block")
             .write.mode("append").partitionBy("q_block").parquet(f"{path}/{name}")
         )
         if name == "fqt" and meta is not None:
@@ -222,14 +237,35 @@ def write_meta(spark: SparkSession, path: str, run: str, meta: dict) -> None:
     ).parquet(f"{path}/meta")
 
 
+PARTS = [f"{name}_{c}" for name in ("fq0", "fq", "fq2") for c in ("re", "im")]
+
+
 def read_signal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(fqt, fq)`` of all complete appends."""
+    """``(fqt, fq)`` of all complete appends; without rows if nothing was written yet."""
+    if not _exists(spark, f"{path}/fq"):
+        q = "q_id bigint, qx double, qy double, qz double, "
+        empty = (q + "tau bigint, re double, im double", q + ", ".join(f"{c} double" for c in PARTS))
+        return tuple(spark.createDataFrame([], ddl) for ddl in empty)
     fq = spark.read.parquet(f"{path}/fq")
     runs = fq.select("run_id").distinct()
     fqt = spark.read.parquet(f"{path}/fqt").join(runs, "run_id", "left_semi")
     return fqt.drop("run_id", "q_block"), fq.drop("run_id", "q_block")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path that Spark can open."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def resume(coords: DataFrame, qvectors: DataFrame, factors: DataFrame, n_frames: int, path: str, meta: dict | None = None, **options) -> str | None:
+    """`scatter` for the vectors that the result at ``path`` lacks, appended to it; the id of the append, or none if there was nothing left to do."""
+    rest = localize(qspace.pending_vectors(qvectors, read_signal(qvectors.sparkSession, path)[1]))
+    if rest.isEmpty():
+        return None
+    return write_signal(scatter(coords, rest, factors, n_frames, **{**options, "materialize": True}), path, meta)
+
+
 def check_length(fqt: DataFrame, n_frames: int) -> DataFrame:
     """Vectors of a result whose series do not have ``n_frames`` lags; empty when all fit."""
     return (

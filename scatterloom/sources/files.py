@@ -45,13 +45,14 @@ def file_size(path: str) -> int:
 
 
 def list_folder(path: str) -> list[str]:
-    """Data files directly in a folder, in name order; markers and drafts are left out."""
+    """Data files in a folder and the folders below it, in the order of their paths; markers and drafts are left out."""
     fs, name = resolve(path)
     prefix = path[: len(path) - len(name)] if path.endswith(name) else ""
-    found = fs.get_file_info(pafs.FileSelector(name))
+    found = fs.get_file_info(pafs.FileSelector(name, recursive=True))
+    below = len(name.rstrip("/")) + 1
     return sorted(
         prefix + i.path for i in found
-        if i.type == pafs.FileType.File and not i.base_name.startswith(("_", "."))
+        if i.type == pafs.FileType.File and not any(x.startswith(("_", ".")) for x in i.path[below:].split("/"))
     )
 
 
@@ -62,7 +63,9 @@ def paths_table(spark: SparkSession, paths) -> DataFrame:
     if isinstance(paths, str):
         fs, name = resolve(paths)
         if fs.get_file_info(name).type == pafs.FileType.Directory:
-            paths = list_folder(paths)
+            folder, paths = paths, list_folder(paths)
+            if not paths:
+                raise FileNotFoundError(f"no data files in {folder}")
     paths = [paths] if isinstance(paths, str) else list(paths)
     return local_table(spark, list(enumerate(paths)), "ord bigint, path string")
 

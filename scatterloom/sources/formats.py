@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-from scatterloom.sources.files import open_file
+from scatterloom.sources.files import file_size, open_file
 
 # Fixed values of the binary format: record markers and identification.
 DCD_MARK = 84
@@ -55,9 +55,16 @@ def is_dcd(path: str) -> bool:
     return len(head) == DCD_HEAD_BYTES and head[:4] == mark and head[4:8] == DCD_NAME and head[-4:] == mark
 
 
-def is_pdb(path: str) -> bool:
+def is_pdb(path: str, block: int = 1 << 20) -> bool:
+    """Whether any line is an atom's; read in blocks, so lines may have any length."""
+    held = b"\n"
     with open_file(path) as f:
-        return any(line.startswith(ATOM) for line in f)
+        while data := f.read(block):
+            held += data
+            if b"\n" + ATOM in held:
+                return True
+            held = held[-len(ATOM) :]
+    return False
 
 
 def dcd_layout(path: str) -> DcdLayout:
@@ -81,12 +88,21 @@ def dcd_layout(path: str) -> DcdLayout:
         block = 4 * n_atoms + 8
         x, y, z = (at + k * block + 4 for k in range(3))
         size = at + 3 * block
-        if has_extra:
+        if has_extra and file_size(path) > first:
             f.seek(first + size)
             size += _int(f) + 8
     return DcdLayout(n_frames, n_atoms, first, size, cell, x, y, z)
 
 
+def checked_layout(path: str) -> DcdLayout:
+    """The layout of a file that holds as many frames as its head names; raises for others."""
+    d = dcd_layout(path)
+    held, rest = divmod(file_size(path) - d.first, d.size)
+    if rest or held != d.n_frames:
+        raise ValueError(f"{path}: its head names {d.n_frames} frames, but {held} frames and {rest} bytes follow")
+    return d
+
+
 def dcd_block(f, frame_at: int, block: int, lo: int, hi: int) -> np.ndarray:
     f.seek(frame_at + block + 4 * lo)
     return np.frombuffer(f.read(4 * (hi - lo)), dtype="<f4")

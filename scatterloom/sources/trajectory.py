@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scatterloom.operators.frames import keep_frames, trim_frames
+from scatterloom.operators.frames import clone_frames, concat_framesets, keep_frames, trim_frames
+from scatterloom.operators.params import localize
 from scatterloom.operators.prefix import running_total
 from scatterloom.scratch import write_and_reread
 from scatterloom.sources import files, formats
@@ -37,7 +38,7 @@ def detect_format(spark: SparkSession, paths) -> DataFrame:
 
 def _dcd_index(paths: DataFrame) -> DataFrame:
     def head(ord_, path):
-        d = formats.dcd_layout(path)
+        d = formats.checked_layout(path)
         return [(ord_, path, d.n_frames, d.first, d.size)]
 
     heads = files.map_paths(
@@ -128,9 +129,11 @@ def frameset_list(spark: SparkSession, path: str) -> DataFrame:
     lines = files.scan_lines(files.paths_table(spark, path), files.FILLED_LINE)
     lines = lines.where(~F.col("value").startswith("#"))
     numbered = files.number_lines(lines, "line")
-    names = numbered.select("line", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("pos", "path"))
-    # a line holds few names; the order only has to be increasing
-    return names.select((F.col("line") * 65536 + F.col("pos")).alias("ord"), "path")
+    named = numbered.select("line", F.split(F.trim("value"), r"\s+").alias("names"))
+    upto = running_total(named.withColumn("upto", F.size("names")), "line", ["upto"])
+    before = F.col("upto") - F.size("names")
+    names = upto.select(before.alias("before"), F.posexplode("names").alias("pos", "path"))
+    return names.select((F.col("before") + F.col("pos")).cast("bigint").alias("ord"), "path")
 
 
 def _work(index: DataFrame) -> DataFrame:
@@ -232,10 +235,19 @@ def read_frames(
     spark: SparkSession, paths, fmt: str, first: int = 0, last: int | None = None,
     stride: int = 1, clones: int = 1,
 ) -> DataFrame:
-    """Trajectory of one or more files, or a Parquet table of coordinates or frame blocks."""
+    """Trajectory of one or more files, or of Parquet tables of coordinates or frame blocks.
+
+    ``paths`` is a path, a list of paths or a table ``(ord, path)``. Several follow one after another, each cut alike and
+    then taken ``clones`` times. A Parquet path is a whole table, of however many files.
+    """
     if fmt == "parquet":
-        df = spark.read.parquet(paths)
-        return trim_frames(df, first, last, stride)
+        if isinstance(paths, DataFrame):  # a list that a user wrote down: a plan of one scan for each
+            paths = [r["path"] for r in localize(paths.orderBy("ord")).collect()]
+        paths = [paths] if isinstance(paths, str) else list(paths)
+        if not paths:
+            raise FileNotFoundError("no tables are named")
+        cut = [trim_frames(spark.read.parquet(p), first, last, stride) for p in paths]
+        return concat_framesets([clone_frames(df, clones) for df in cut])
     index = build_frame_index(spark, paths, fmt, signed=False)
     if fmt == "pdb":
         index = write_and_reread(index, "frame-index")  # finding the frames reads whole files

@@ -14,7 +14,7 @@ from scatterloom.operators.prefix import running_total
 from scatterloom.plans import amplitude, series
 from scatterloom.plans.coordinates import prepare_coordinates
 from scatterloom.plans.signal import (
-    Multipole, Vectors, check_length, read_signal, scatter, write_meta, write_signal,
+    Multipole, Vectors, check_length, read_signal, resume, scatter, write_meta,
 )
 from scatterloom.scratch import scratch_path
 from scatterloom.sources import files, tables as readers, trajectory
@@ -77,8 +77,7 @@ def structure_scan(spark, sf):
     lines.repartition("segid").sortWithinPartitions("segid", "atom_id").drop("atom_id").write.partitionBy(
         "segid"
     ).text(path)
-    found = trajectory.read_structures(spark, [files.list_folder(p)[0] for p in _subfolders(path)])
-    return found.drop("ord")
+    return trajectory.read_structures(spark, path).drop("ord")
 
 
 def _pdb_files(spark, sf):
@@ -128,7 +127,7 @@ def detect_formats(spark, sf):
     named.repartition("segid").write.partitionBy("segid").text(pdb)
     sized = atoms.select("beta", F.concat(F.lit("atom "), "atom_id").alias("value"))
     sized.repartition("beta").write.partitionBy("beta").text(other)
-    paths = [f for folder in (pdb, other) for s in _subfolders(folder) for f in files.list_folder(s)]
+    paths = [f for folder in (pdb, other) for f in files.list_folder(folder)]
     found = trajectory.detect_format(spark, [*paths, *files.list_folder(_dcd_files(spark, sf))])
     kind = F.coalesce("format", F.lit("other"))
     return found.groupBy(kind.alias("format")).agg(F.count("*").alias("n"))
@@ -163,41 +162,36 @@ def frame_index_keep(spark, sf):
     return rounded(df.select("frame", "atom_id", "z"), "z", digits=4)
 
 
-@query("frame_index_stale", "SELECT count(DISTINCT p_brand) AS n_changed FROM part")
+@query("frame_index_stale", """SELECT DISTINCT p_brand AS brand, CAST(substr(p_brand, 7) AS INTEGER) % 2 = 1 AS changed FROM part""")
 def frame_index_stale(spark, sf):
-    """Files rewritten after their index was built are found, one file per brand."""
+    """Of files rewritten after their index was built, one per brand, those with other content are found."""
     atoms = t.part_atoms(spark, sf)
-    path = scratch_path(spark, "stale")
-
-    def lines(shift):
-        value = F.format_string("ATOM  %5d X    MOL     1    %8.3f%8.3f%8.3f", F.col("atom_id") % 100000, F.lit(shift), F.lit(0.0), F.lit(0.0))
-        return atoms.select("segid", value.alias("value"))
-
-    lines(0.0).write.partitionBy("segid").mode("overwrite").text(path)
-    brands = sorted(p for p in _subfolders(path))
-    index = trajectory.build_frame_index(spark, [files.list_folder(b)[0] for b in brands], "pdb")
-    kept = scratch_path(spark, "index")
-    index.write.parquet(kept)
-    old = spark.read.parquet(kept)
-    again = scratch_path(spark, "stale")
-    lines(1.0).write.partitionBy("segid").text(again)
-    fresh = {p.rsplit("/", 1)[1]: files.list_folder(p)[0] for p in _subfolders(again)}
-    moved = old.withColumn("path", _lookup("path", fresh))
-    return trajectory.stale_files(moved).agg(F.count("*").alias("n_changed"))
-
-
-def _subfolders(path):
-    import pyarrow.fs as pafs
-
-    fs, name = files.resolve(path)
-    return [i.path for i in fs.get_file_info(pafs.FileSelector(name)) if i.type == pafs.FileType.Directory]
-
-
-def _lookup(column, by_folder):
-    out = F.col(column)
-    for folder, path in by_folder.items():
-        out = F.when(F.col(column).contains(f"/{folder}/"), F.lit(path)).otherwise(out)
-    return out
+    odd = F.substring("segid", 7, 4).cast("int") % 2 == 1
+
+    def written(shift):
+        x = F.when(odd, shift).otherwise(0.0)
+        value = F.format_string("ATOM  %5d X    MOL     1    %8.3f%8.3f%8.3f", F.col("atom_id") % 100000, x, F.lit(0.0), F.lit(0.0))
+        path = scratch_path(spark, "stale")
+        lines = atoms.select("segid", "atom_id", value.alias("value")).repartition("segid").sortWithinPartitions("segid", "atom_id")
+        lines.drop("atom_id").write.partitionBy("segid").text(path)
+        return path
+
+    brand = F.replace(F.regexp_extract("path", "segid=([^/]+)/", 1), F.lit("%23"), F.lit("#")).alias("brand")
+    before, after = written(0.0), written(1.0)
+    index = trajectory.build_frame_index(spark, before, "pdb")
+    now = files.paths_table(spark, after).select(brand, F.col("path").alias("now"))
+    moved = index.withColumn("brand", brand).join(now, "brand").withColumn("path", F.col("now")).select(*index.columns)
+    found = trajectory.stale_files(moved).select(brand, F.lit(True).alias("changed"))
+    return now.select("brand").join(found, "brand", "left").select("brand", F.coalesce("changed", F.lit(False)).alias("changed"))
+
+
+@query("frames_table_clones", f"""WITH {TRAJ}, kept AS (SELECT frame // 2 - 1 AS local, atom_id, x, y, z FROM traj WHERE frame >= 2 AND frame % 2 = 0),
+ s AS (SELECT max(local) + 1 AS n FROM kept) SELECT k * n + local AS frame, atom_id, {xyz()} FROM kept, s, range(3) c(k)""")
+def frames_table_clones(spark, sf):
+    """S7 with L1 and L3: a Parquet table of several files, cut and taken three times."""
+    path = scratch_path(spark, "table")
+    t.emb_traj(spark, sf).select("frame", "atom_id", "x", "y", "z").repartition(5).write.parquet(path)
+    return coords_out(trajectory.read_frames(spark, path, "parquet", first=2, stride=2, clones=3))
 
 
 @query("frames_table_scan", f"WITH {TRAJ} SELECT frame, atom_id, {xyz()} FROM traj")
@@ -1261,16 +1255,44 @@ LI_N = "(SELECT 500.0::DOUBLE)"
 
 @query("result_resume", f"""WITH {NATION_AMP}, sq AS (SELECT q_id, m_id, frame, re*re + im*im AS re, 0.0::DOUBLE AS im FROM amp), {_fq_sql('sq', '1', 'q_id, m_id', LI_N, 2)}""")
 def result_resume(spark, sf):
-    """A result written for some vectors, then resumed for those still missing."""
+    """A result begun, resumed for the vectors that it lacks, and resumed with nothing left to do."""
+    return _fq_out(read_signal(spark, _resumed(spark, sf))[1], 2)
+
+
+@query("result_series", f"""WITH {NATION_AMP}, sq AS (SELECT q_id, m_id, frame, re*re + im*im AS re, 0.0::DOUBLE AS im FROM amp) {_fqt_sql('sq', '1', 2)}""")
+def result_series(spark, sf):
+    """The series of the same result."""
+    return _fqt_out(read_signal(spark, _resumed(spark, sf))[0], 2)
+
+
+def _resumed(spark, sf):
     path = scratch_path(spark, "signal")
     traj, q = t.li_traj(spark, sf), t.nation_q(spark, sf)
     f = t.factors(spark, q)
-    done = scatter(traj, q.where("qx < 1"), f, t.LI_FRAMES, dsp="square", materialize=True)
-    write_signal(done, path, {"dsp": "square", "elements": t.ELEMENT_ROWS})
-    _, fq = read_signal(spark, path)
-    rest = qspace.pending_vectors(q, fq)
-    write_signal(scatter(traj, rest, f, t.LI_FRAMES, dsp="square", materialize=True), path, {"dsp": "square"})
-    return _fq_out(read_signal(spark, path)[1], 2)
+    for some in (q.where("qx < 1"), q, q):
+        last = resume(traj, some, f, t.LI_FRAMES, path, {"dsp": "square", "elements": t.ELEMENT_ROWS}, dsp="square")
+    assert last is None
+    return path
+
+
+@query("files_to_result", f"""WITH {TRAJ}, {SCAN_Q}, {LI_FACTORS}, {SUB1}, part AS (SELECT frame // 2 AS frame, label, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y,
+   CAST(CAST(z AS FLOAT) AS DOUBLE) AS z, mass FROM traj WHERE frame % 2 = 0),
+ c AS (SELECT frame, sum(mass*x)/sum(mass) AS cx, sum(mass*y)/sum(mass) AS cy, sum(mass*z)/sum(mass) AS cz FROM part GROUP BY frame),
+ moved AS (SELECT frame, label, x - cx AS x, y - cy AS y, z - cz AS z FROM part JOIN c USING (frame)), {_amp_sql('moved')},
+ sq AS (SELECT q_id, m_id, frame, re*re + im*im AS re, 0.0::DOUBLE AS im FROM amp) {_fqt_sql('sq', '1', 3)}""")
+def files_to_result(spark, sf):
+    """From a structure file and trajectory files to a result that is read back."""
+    structure = scratch_path(spark, "structure")
+    line = F.format_string("ATOM  %5d %-4s MOL     1    %8.3f%8.3f%8.3f", "atom_id", "pdb_name", F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    t.emb_atoms(spark, sf).select("atom_id", line.alias("value")).coalesce(1).sortWithinPartitions("atom_id").drop("atom_id").write.text(structure)
+    q, elements = t.scan_q(spark), t.elements(spark)
+    atoms = el.resolve_labels(trajectory.read_structure(spark, files.list_folder(structure)[0]), elements)
+    atoms = el.with_constants(atoms, elements).withColumn("species", F.col("label"))
+    coords = trajectory.read_frames(spark, _dcd_files(spark, sf), "dcd", stride=2)
+    ready = prepare_coordinates(coords, atoms, selections.Selections(atoms), pre=[align.align_center])
+    path = scratch_path(spark, "signal")
+    resume(ready, q, t.factors(spark, q), -(-t.n_frames(spark, sf) // 2), path, dsp="square")
+    return _fqt_out(read_signal(spark, path)[0], 3)
 
 
 @query("result_shape", """SELECT l_linenumber::BIGINT AS q_id, CAST(max(l_quantity) AS BIGINT) + 1 AS n_lags, count(DISTINCT l_quantity) AS n_rows
