@@ -57,15 +57,17 @@ def amplitude_all(coords: DataFrame, factors: DataFrame, subvectors: DataFrame,
     if engine != "kernel":
         raise ValueError("engine is 'kernel' or 'sql'")
     passes = []
-    for part in kernel.vector_parts(subvectors):
+    for part in kernel.vector_parts(subvectors, kernel.pass_rows(factors)):
         table, f = kernel.to_driver(part, factors)
         if f is None:
             continue
-        waves = PlaneWaves(table[["qx", "qy", "qz"]].to_numpy(), table["m_id"].to_numpy())
-        q_id, m_id = (table[c].to_numpy()[waves.rows] for c in ("q_id", "m_id"))
-        passes.append(
-            kernel.partial_sums(coords, ["x", "y", "z"], q_id, m_id, f.reordered(waves.rows), waves)
-        )
+        q, q_id, m_id = table[["qx", "qy", "qz"]].to_numpy(), table["q_id"].to_numpy(), table["m_id"].to_numpy()
+        tiles = []
+        for rows in kernel.row_slices(m_id, kernel.VECTOR_ROWS):
+            waves = PlaneWaves(q[rows], m_id[rows])
+            at = rows[waves.rows]
+            tiles.append(kernel.Tile(q_id[at], m_id[at], f.reordered(at), waves))
+        passes.append(kernel.partial_sums(coords, ["x", "y", "z"], tiles))
     return kernel.add_up(union_all(passes)) if passes else _empty(coords)
 
 
@@ -92,18 +94,21 @@ def _moment_passes(coords, factors, qvectors, moments, columns, make_waves) -> D
         lm = kernel.rows_of(some).sort_values("m_id", ignore_index=True)
         if lm.empty:
             continue
-        for part in bounded_parts(qvectors, ["q_id"], max(1, kernel.VECTOR_ROWS // len(lm))):
+        for part in bounded_parts(qvectors, ["q_id"], max(1, kernel.pass_rows(factors) // len(lm))):
             table, found = kernel.to_driver(part, factors)
             if found is None:
                 continue
-            at = np.repeat(np.arange(len(table)), len(lm))
-            passes.append(
-                kernel.partial_sums(
-                    coords, columns, table["q_id"].to_numpy()[at],
-                    np.tile(lm["m_id"].to_numpy(), len(table)),
-                    found.reordered(at), make_waves(table, lm),
+            tiles, width = [], max(1, kernel.VECTOR_ROWS // len(lm))
+            for lo in range(0, len(table), width):
+                some_q = table.iloc[lo : lo + width]
+                at = np.repeat(np.arange(lo, lo + len(some_q)), len(lm))
+                tiles.append(
+                    kernel.Tile(
+                        table["q_id"].to_numpy()[at], np.tile(lm["m_id"].to_numpy(), len(some_q)),
+                        found.reordered(at), make_waves(some_q, lm),
+                    )
                 )
-            )
+            passes.append(kernel.partial_sums(coords, columns, tiles))
     return kernel.add_up(union_all(passes)) if passes else _empty(coords)
 
 

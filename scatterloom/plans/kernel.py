@@ -8,6 +8,8 @@ partial sums of different tasks. Nothing is shuffled by atom.
 
 from __future__ import annotations
 
+from typing import Any, NamedTuple
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,7 +21,9 @@ from scatterloom.operators.params import bounded_parts, localize, on_driver
 
 SLICE_CELLS = 1 << 15  # rows x vectors evaluated at once: 512 KB of complex values
 HELD_CELLS = 1 << 22  # frames x vectors held before partial sums are passed on: 64 MB
-VECTOR_ROWS = 1 << 14  # vectors per pass over the data, which also bounds the factors shipped
+VECTOR_ROWS = 1 << 14  # vectors of a tile: a task works off one after another on the batch it has read
+PASS_ROWS = 1 << 18  # vectors per pass over the data, shipped to every task
+FACTOR_CELLS = 1 << 23  # species x vectors per pass: 64 MB of factors
 OUT_ROWS = 1 << 16
 
 PARTIAL = "q_id BIGINT, m_id BIGINT, frame BIGINT, re DOUBLE, im DOUBLE"
@@ -43,8 +47,9 @@ class FrameSums:
             else:
                 held += row
 
-    def full(self) -> bool:
-        return len(self.sums) * len(self.q_id) >= HELD_CELLS
+    def full(self, tiles: int = 1) -> bool:
+        """Whether this one of ``tiles`` holds its share."""
+        return tiles * len(self.sums) * len(self.q_id) >= HELD_CELLS
 
     def flush(self):
         width = len(self.q_id)
@@ -93,8 +98,17 @@ class Factors:
         return code.to_numpy(zero_copy_only=False)
 
 
-def batch_sums(batch, columns, factors: Factors, waves, sums: FrameSums):
-    """Add the rows of one batch to ``sums``.
+class Tile(NamedTuple):
+    """Some of the vectors, with their factors and waves, all in the same order."""
+
+    q_id: np.ndarray
+    m_id: np.ndarray
+    factors: Factors
+    waves: Any
+
+
+def batch_sums(batch, columns, factors: Factors, waves, sums: FrameSums, tiles: int = 1):
+    """Add the rows of one batch to ``sums``; yields what has to be passed on before the bound is reached.
 
     ``waves.blocks(*columns)`` yields complex values (rows, some vectors) without factors.
     Rows are ordered by (frame, species), so that factors are applied to sums, not to rows.
@@ -120,20 +134,21 @@ def batch_sums(batch, columns, factors: Factors, waves, sums: FrameSums):
         grouped *= factors.values[s[at]]
         first = np.flatnonzero(new_frame[at])
         sums.add(f[at][first], np.add.reduceat(grouped, first, axis=0))
+        if sums.full(tiles):
+            yield from sums.flush()
 
 
-def partial_sums(coords: DataFrame, columns, q_id, m_id, factors: Factors, waves) -> DataFrame:
-    """``(q_id, m_id, frame, re, im)`` partial sums, to be added up by the caller."""
-    q_id, m_id = np.asarray(q_id, dtype=np.int64), np.asarray(m_id, dtype=np.int64)
+def partial_sums(coords: DataFrame, columns, tiles: list[Tile]) -> DataFrame:
+    """``(q_id, m_id, frame, re, im)`` partial sums of all tiles from one pass, to be added up by the caller."""
 
     def run(batches):
-        sums = FrameSums(q_id, m_id)
+        held = [FrameSums(np.asarray(t.q_id, dtype=np.int64), np.asarray(t.m_id, dtype=np.int64)) for t in tiles]
         for batch in batches:
             if batch.num_rows:
-                batch_sums(batch, columns, factors, waves, sums)
-            if sums.full():
-                yield from sums.flush()
-        yield from sums.flush()
+                for t, sums in zip(tiles, held):
+                    yield from batch_sums(batch, columns, t.factors, t.waves, sums, len(tiles))
+        for sums in held:
+            yield from sums.flush()
 
     needed = coords.select(
         F.col("frame").cast("bigint").alias("frame"),
@@ -151,7 +166,7 @@ def add_up(partial: DataFrame) -> DataFrame:
 
 def vector_parts(subvectors: DataFrame, limit: int | None = None) -> list[DataFrame]:
     """Vectors for one pass each; the vectors of an orientation stay together if they can."""
-    limit = limit or VECTOR_ROWS
+    limit = limit or PASS_ROWS
     small = localize(subvectors, limit)
     if on_driver(small) is not None:
         return [small]
@@ -160,6 +175,34 @@ def vector_parts(subvectors: DataFrame, limit: int | None = None) -> list[DataFr
     return bounded_parts(subvectors, ["m_id"] if together else ["q_id", "m_id"], limit)
 
 
+def pass_rows(factors: DataFrame) -> int:
+    """Vectors of a pass, so that their factors stay within the bound for any number of species."""
+    table = on_driver(factors)
+    if table is None:
+        species = factors.agg(F.count_distinct("species")).first()[0]
+    else:
+        species = len(table.column("species").unique())
+    return max(1, min(PASS_ROWS, FACTOR_CELLS // max(1, species)))
+
+
+def row_slices(groups: np.ndarray, width: int):
+    """Rows of a table in slices of at most ``width``, whole groups together if they fit."""
+    order = np.argsort(groups, kind="stable")
+    _, starts, counts = np.unique(groups[order], return_index=True, return_counts=True)
+    held = []
+    for start, count in zip(starts, counts):
+        if held and len(held) + count > width:
+            yield np.array(held)
+            held = []
+        if count > width:
+            for lo in range(start, start + count, width):
+                yield order[lo : min(lo + width, start + count)]
+        else:
+            held.extend(order[start : start + count])
+    if held:
+        yield np.array(held)
+
+
 def to_driver(params: DataFrame, factors: DataFrame) -> tuple[pd.DataFrame, Factors | None]:
     """One bounded part of the vectors with the factors that belong to it."""
     table = rows_of(params).sort_values(

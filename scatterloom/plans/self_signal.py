@@ -1,8 +1,8 @@
 """Self (incoherent) signal, summed over atoms inside the task that holds them.
 
-Coordinates are moved once, by atom, and sorted in time. A task runs through the
-vectors for one atom after another and adds the transformed series up, so what is
-shuffled afterwards is one series per vector and task, not one per atom.
+Coordinates are moved by atom and sorted in time, once per tile of vectors whose sums a task
+can hold (one tile for short series). A task runs through the vectors of a tile for one atom after another and adds the
+transformed series up, so what is shuffled afterwards is one series per vector and task, not one per atom.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from scatterloom.functions.waves import PlaneWaves
 from scatterloom.operators.params import union_all
-from scatterloom.operators.staging import stage_atoms
 from scatterloom.plans import kernel, series
 from scatterloom.plans.amplitude import amplitude_self
 
@@ -40,24 +39,23 @@ def _dsp(a: np.ndarray, dsp: str, method: str) -> np.ndarray:
 
 
 def _atoms(batches, factors):
-    """Yield (species code, frames, positions) per atom from rows sorted by atom."""
+    """Yield (tile, species code, frames, positions) per atom from rows sorted by tile and atom."""
     held, current = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        atom = batch.column("atom_id").to_numpy(zero_copy_only=False)
+        tile, atom, frame = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "atom_id", "frame"))
         code = factors.codes(batch.column("species"))
-        frame = batch.column("frame").to_numpy(zero_copy_only=False)
         xyz = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "xyz"], axis=1)
-        cuts = np.flatnonzero(np.diff(atom)) + 1
+        cuts = np.flatnonzero((atom[1:] != atom[:-1]) | (tile[1:] != tile[:-1])) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(atom)]):
-            if held and current != atom[lo]:
-                yield _joined(held)
+            if held and current != (tile[lo], atom[lo]):
+                yield current[0], *_joined(held)
                 held = []
-            current = atom[lo]
+            current = tile[lo], atom[lo]
             held.append((code[lo], frame[lo:hi], xyz[lo:hi]))
     if held:
-        yield _joined(held)
+        yield current[0], *_joined(held)
 
 
 def _joined(parts):
@@ -68,51 +66,43 @@ def _joined(parts):
     )
 
 
-def _row_slices(groups: np.ndarray, width: int):
-    """Rows of the table in slices of at most ``width``, whole groups together if they fit."""
-    order = np.argsort(groups, kind="stable")
-    _, starts, counts = np.unique(groups[order], return_index=True, return_counts=True)
-    held = []
-    for start, count in zip(starts, counts):
-        if held and len(held) + count > width:
-            yield np.array(held)
-            held = []
-        if count > width:
-            for lo in range(start, start + count, width):
-                yield order[lo : min(lo + width, start + count)]
-        else:
-            held.extend(order[start : start + count])
-    if held:
-        yield np.array(held)
-
+def _one_pass(coords: DataFrame, table, factors, n_frames: int, dsp: str, method: str) -> DataFrame:
+    """Sums for one table of vectors: every atom goes to a task once per tile of vectors, whose sums a task can hold."""
+    q, groups, ids = table[["qx", "qy", "qz"]].to_numpy(), table["m_id"].to_numpy(), table["q_id"].to_numpy()
+    width = max(1, min(kernel.VECTOR_ROWS, kernel.HELD_CELLS // n_frames))
+    tiles = list(kernel.row_slices(groups, width))
 
-def _one_pass(staged: DataFrame, table, factors, n_frames: int, dsp: str, method: str) -> DataFrame:
-    q_ids, q_of = np.unique(table["q_id"].to_numpy(), return_inverse=True)
-    q, groups = table[["qx", "qy", "qz"]].to_numpy(), table["m_id"].to_numpy()
-    slices = []
-    for rows in _row_slices(groups, max(1, SERIES_CELLS // n_frames)):
-        waves = PlaneWaves(q[rows], groups[rows])
-        slices.append((rows[waves.rows], waves))
+    def waves_of(rows):
+        for some in kernel.row_slices(groups[rows], max(1, SERIES_CELLS // n_frames)):
+            waves = PlaneWaves(q[rows[some]], groups[rows[some]])
+            yield rows[some][waves.rows], waves
 
     def run(batches):
-        lags = np.zeros((len(q_ids), n_frames), dtype=np.complex128)
-        mean = np.zeros(len(q_ids), dtype=np.complex128)
-        mean2 = np.zeros(len(q_ids))
-        seen = False
-        for code, frame, xyz in _atoms(batches, factors):
-            seen = True
+        at = None
+        for tile, code, frame, xyz in _atoms(batches, factors):
+            if tile != at:
+                if at is not None:
+                    yield from told(q_ids, lags, mean, mean2)
+                at = tile
+                slices = list(waves_of(tiles[tile]))
+                q_ids = np.unique(ids[tiles[tile]])
+                lags = np.zeros((len(q_ids), n_frames), dtype=np.complex128)
+                mean, mean2 = np.zeros(len(q_ids), dtype=np.complex128), np.zeros(len(q_ids))
             series.once_each(frame)
             for rows, waves in slices:
                 a = np.zeros((n_frames, len(rows)), dtype=np.complex128)
                 a[frame] = waves(*xyz.T) * factors.values[code, rows]
                 a = _dsp(a, dsp, method)
                 m = a.sum(axis=0) / n_frames
-                for k, i in enumerate(q_of[rows]):
+                q_of = np.searchsorted(q_ids, ids[rows])
+                for k, i in enumerate(q_of):
                     lags[i] += a[:, k]
-                np.add.at(mean, q_of[rows], m)
-                np.add.at(mean2, q_of[rows], m.real**2 + m.imag**2)
-        if not seen:
-            return
+                np.add.at(mean, q_of, m)
+                np.add.at(mean2, q_of, m.real**2 + m.imag**2)
+        if at is not None:
+            yield from told(q_ids, lags, mean, mean2)
+
+    def told(q_ids, lags, mean, mean2):
         tau = np.concatenate([np.arange(n_frames), [MEAN, MEAN_SQUARED]])
         for i, qid in enumerate(q_ids):
             yield pa.RecordBatch.from_arrays(
@@ -125,6 +115,9 @@ def _one_pass(staged: DataFrame, table, factors, n_frames: int, dsp: str, method
                 schema=_ARROW,
             )
 
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(tiles) - 1))) if len(tiles) > 1 else F.lit(0)
+    keys = ["tile", "atom_id"]
+    staged = coords.withColumn("tile", every).repartition(*keys).sortWithinPartitions(*keys, "frame")
     return staged.mapInArrow(run, _OUT)
 
 
@@ -159,13 +152,11 @@ def self_sums(
         F.col("frame").cast("bigint").alias("frame"), "atom_id", "species",
         *(F.col(c).cast("double").alias(c) for c in "xyz"),
     )
-    staged = stage_atoms(needed)
-    limit = max(1, min(kernel.VECTOR_ROWS, kernel.HELD_CELLS // n_frames))
     passes = []
-    for part in kernel.vector_parts(subvectors, limit):
+    for part in kernel.vector_parts(subvectors, kernel.pass_rows(factors)):
         table, f = kernel.to_driver(part, factors)
         if f is not None:
-            passes.append(_one_pass(staged, table, f, n_frames, dsp, method))
+            passes.append(_one_pass(needed, table, f, n_frames, dsp, method))
     if not passes:
         return coords.sparkSession.createDataFrame([], _OUT)
     return union_all(passes).groupBy("q_id", "tau").agg(

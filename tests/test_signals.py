@@ -59,11 +59,28 @@ def test_several_passes_give_the_same(world, monkeypatch):
     sub = qspace.subvectors_sphere(q, qspace.orient_sphere(q.sparkSession, 9, 1))
     once = by_frame(amplitude.amplitude_all(coords, factors, sub), m=True)
     monkeypatch.setattr(kernel, "VECTOR_ROWS", 6)
-    for engine in ("kernel", "sql"):
-        many = by_frame(amplitude.amplitude_all(coords, factors, sub, engine), m=True)
+    tiled = amplitude.amplitude_all(coords.repartition(2), factors, sub)
+    assert tiled._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    monkeypatch.setattr(kernel, "PASS_ROWS", 10)
+    for engine in ("tiles", "kernel", "sql"):
+        many = by_frame(tiled if engine == "tiles" else amplitude.amplitude_all(coords, factors, sub, engine), m=True)
         assert once.keys() == many.keys() and all(np.allclose(once[k], many[k]) for k in once)
 
 
+def test_one_read_for_many_vectors(world):
+    coords, q, factors, *_ = world
+    sub = qspace.subvectors_sphere(q, qspace.orient_sphere(q.sparkSession, 14_000, 1))  # 42,000 vectors, three tiles
+    df = amplitude.amplitude_all(coords, factors, sub)
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert df.groupBy("q_id").count().orderBy("q_id").collect()[0]["count"] == 14_000 * NF
+
+
+def test_many_species_make_smaller_passes(world, monkeypatch):
+    _, _, factors, *_ = world
+    monkeypatch.setattr(kernel, "FACTOR_CELLS", 10)
+    assert kernel.pass_rows(factors) == 5 and kernel.pass_rows(factors.where("f > 0")) == 5
+
+
 def test_partial_sums_are_flushed_at_the_bound(monkeypatch):
     monkeypatch.setattr(kernel, "HELD_CELLS", 20)
     monkeypatch.setattr(kernel, "SLICE_CELLS", 8)
@@ -79,9 +96,7 @@ def test_partial_sums_are_flushed_at_the_bound(monkeypatch):
             [pa.array(frame[cut]), pa.array(["A"] * 50), *(pa.array(v[cut]) for v in xyz)],
             ["frame", "species", "x", "y", "z"],
         )
-        kernel.batch_sums(batch, ["x", "y", "z"], factors, waves, sums)
-        if sums.full():
-            out += list(sums.flush())
+        out += list(kernel.batch_sums(batch, ["x", "y", "z"], factors, waves, sums))
     out += list(sums.flush())
     assert len(out) > 1
     got = pa.Table.from_batches(out).to_pandas().groupby(["q_id", "frame"])[["re", "im"]].sum()
@@ -205,7 +220,7 @@ def test_self_signal(world, dsp, method):
         assert np.isclose(means[i]["fq0_re"], moved[:, 0].sum().real / 4)
 
 
-def test_self_signal_in_several_passes_moves_coordinates_once(world, monkeypatch):
+def test_self_signal_in_several_tiles_is_one_branch(world, monkeypatch):
     coords, q, factors, *_ = world
     sub = qspace.subvectors_sphere(q, qspace.orient_sphere(q.sparkSession, 7, 2))
     once = {tuple(r)[:2]: (r["re"], r["im"]) for r in self_signal.self_sums(coords, factors, sub, NF).collect()}
@@ -214,8 +229,7 @@ def test_self_signal_in_several_passes_moves_coordinates_once(world, monkeypatch
     many = {tuple(r)[:2]: (r["re"], r["im"]) for r in df.collect()}
     assert once.keys() == many.keys() and all(np.allclose(once[k], many[k]) for k in once)
     plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert plan.count("MapInArrow") > 2
-    assert plan.count("ReusedExchange") >= plan.count("MapInArrow") - 1
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning(tile") == 1
 
 
 def test_factors_must_cover_all_vectors(world):
