@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ATOMS = 1 << 16
+RANGE_BLOCK = 1 << 16
 BROADCAST_FRAMES = 1_000_000  # rows of at most 16 doubles each
 
 
@@ -29,6 +30,14 @@ def join_per_frame(
     return df.join(per_frame, "frame", how)
 
 
+def explode_range(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
+    """A row with ``name`` (bigint) for each whole number from ``first`` to ``last``, none if there is none; no row holds a long array."""
+    lo, hi = first.cast("bigint"), last.cast("bigint")
+    blocks = df.where(lo <= hi).withColumn("__lo", F.explode(F.sequence(lo, hi, F.lit(RANGE_BLOCK).cast("bigint"))))
+    upto = F.least(F.col("__lo") + (RANGE_BLOCK - 1), hi)
+    return blocks.withColumn(name, F.explode(F.sequence(F.col("__lo"), upto))).drop("__lo")
+
+
 def trim_frames(df: DataFrame, first: int = 0, last: int | None = None, stride: int = 1) -> DataFrame:
     """Keep frames ``first..last`` (both included) whose number is a multiple of ``stride``.
 
@@ -84,13 +93,8 @@ def locate_frames(df: DataFrame, framesets: DataFrame, n_frames: int | None = No
     The ranges are written out as one row per frame, which turns the range lookup
     into an equality join.
     """
-    places = framesets.where(F.col("n") > 0).select(
-        "frameset", F.posexplode(F.sequence("offset", F.col("offset") + F.col("n") - 1))
-    )
-    places = places.select(
-        F.col("col").cast("bigint").alias("frame"),
-        "frameset",
-        F.col("pos").cast("bigint").alias("local_frame"),
+    places = explode_range(framesets, F.lit(0), F.col("n") - 1, "local_frame").select(
+        (F.col("offset") + F.col("local_frame")).cast("bigint").alias("frame"), "frameset", "local_frame"
     )
     return join_per_frame(df, places, n_frames, "inner")
 

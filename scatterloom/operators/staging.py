@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scatterloom.operators.params import local_table
+
 FRAMES_PER_FOLDER = 10_000
 ATOMS_PER_FOLDER = 10_000
 SERIES_BLOCK = 1 << 16
@@ -21,12 +23,16 @@ def spread_frames(df: DataFrame, partitions: int | None = None) -> DataFrame:
     fewer than four times as many of those as tasks, so they can be broadcast.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.groupBy("frame").agg(F.count("*").alias("rows"))
-    share = df.agg(F.count("*") / (SHARES * n)).scalar()
-    large = F.broadcast(counts.withColumn("share", share).where("rows > share").select("frame"))
-    together = df.join(large, "frame", "left_anti").repartition(n, "frame")
-    dealt_out = df.join(large, "frame", "left_semi").repartition(n)
-    return together.unionByName(dealt_out).select(*df.columns)
+    most = SHARES * n
+    largest = df.groupBy("frame").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "frame").limit(most).collect()
+    total = df.count() if largest else 0
+    large = [(r["frame"],) for r in largest if r["rows"] * most > total]
+    if not large:
+        return df.repartition(n, "frame")
+    table = local_table(df.sparkSession, large, f"frame {df.schema['frame'].dataType.simpleString()}")
+    marked = df.join(F.broadcast(table.withColumn("__large", F.lit(True))), "frame", "left")
+    salt = F.when(F.col("__large"), F.monotonically_increasing_id() % n)
+    return marked.withColumn("__salt", salt).repartition(n, "frame", "__salt").select(*df.columns)
 
 
 def stage_frames(df: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scatterloom.operators.frames import explode_range
+
 SERIES_IN_TASK = 1 << 18  # longest series transformed inside one task: 4 MB of values
 TILE = 64
 
@@ -251,10 +253,8 @@ def transform(df: DataFrame, keys, n_frames: int, dsp: str = "plain", method: st
 
 def dense(df: DataFrame, keys, n_frames: int) -> DataFrame:
     """Add zero rows for the frames a series has no value for."""
-    grid = df.select(*keys).distinct().select(
-        *keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_frames - 1).cast("bigint"))).alias("frame"),
-        F.lit(0.0).alias("re"), F.lit(0.0).alias("im"),
-    )
+    grid = explode_range(df.select(*keys).distinct(), F.lit(0), F.lit(n_frames - 1), "frame")
+    grid = grid.select(*keys, "frame", F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
     both = df.select(*keys, "frame", "re", "im").unionByName(grid)
     return both.groupBy(*keys, "frame").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 

@@ -108,6 +108,14 @@ def dcd_block(f, frame_at: int, block: int, lo: int, hi: int) -> np.ndarray:
     return np.frombuffer(f.read(4 * (hi - lo)), dtype="<f4")
 
 
+def dcd_frames(f, first_at: int, n: int, layout: DcdLayout) -> list[np.ndarray]:
+    """x, y and z of all atoms of ``n`` frames that lie one after another."""
+    f.seek(first_at)
+    data = np.frombuffer(f.read(n * layout.size), dtype=np.uint8).reshape(n, layout.size)
+    parts = (np.ascontiguousarray(data[:, b : b + 4 * layout.n_atoms]) for b in (layout.x, layout.y, layout.z))
+    return [p.view("<f4").ravel() for p in parts]
+
+
 def dcd_cell(f, frame_at: int, layout: DcdLayout) -> tuple:
     """Nine numbers: three cell vectors (lower triangle of the six stored values)."""
     if layout.cell < 0:

@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scatterloom.operators.frames import clone_frames, concat_framesets, keep_frames, trim_frames
+from scatterloom.operators.frames import clone_frames, concat_framesets, explode_range, keep_frames, trim_frames
 from scatterloom.operators.params import localize
 from scatterloom.operators.prefix import running_total
 from scatterloom.scratch import write_and_reread
 from scatterloom.sources import files, formats
 
 SLICE_ATOMS = 1 << 20
+RUN_BYTES = 4 << 20  # neighbouring frames read at once
 INDEX = ["ord", "path", "frame", "byte_offset"]
 
 
@@ -44,9 +45,8 @@ def _dcd_index(paths: DataFrame) -> DataFrame:
     heads = files.map_paths(
         paths, head, "ord bigint, path string, n bigint, first bigint, size bigint"
     )
-    return heads.where("n > 0").select(
-        "ord", "path", F.posexplode(F.expr("sequence(first, first + (n - 1) * size, size)"))
-    ).select("ord", "path", F.col("pos").cast("bigint").alias("frame"), F.col("col").alias("byte_offset"))
+    rows = explode_range(heads, F.lit(0), F.col("n") - 1, "frame")
+    return rows.select("ord", "path", "frame", (F.col("first") + F.col("frame") * F.col("size")).alias("byte_offset"))
 
 
 def _pdb_index(paths: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -143,20 +143,18 @@ def _work(index: DataFrame) -> DataFrame:
     return index.select(*INDEX).repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
-def _frames_of(batches):
-    """Yield (open file, path, frame, byte offset); a file stays open for its neighbours."""
-    current, f = None, None
-    try:
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["path"] != current:
-                    if f is not None:
-                        f.close()
-                    current, f = row["path"], formats.open_file(row["path"])
-                yield f, current, row["frame"], row["byte_offset"]
-    finally:
-        if f is not None:
-            f.close()
+def _of_a_file(batches, most: int = 4096):
+    """Yield (path, [(frame, byte offset), ..]) for up to ``most`` index rows in a row that belong to one file."""
+    path, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and (row["path"] != path or len(rows) >= most):
+                yield path, rows
+                rows = []
+            path = row["path"]
+            rows.append((row["frame"], row["byte_offset"]))
+    if rows:
+        yield path, rows
 
 
 def _read_dcd(index: DataFrame) -> DataFrame:
@@ -164,22 +162,34 @@ def _read_dcd(index: DataFrame) -> DataFrame:
         [("frame", pa.int64()), ("atom_id", pa.int64())] + [(c, pa.float64()) for c in "xyz"]
     )
 
+    def rows(frames, atoms, xyz):
+        whole = (pa.array(np.asarray(v, dtype=np.int64)) for v in (frames, atoms))
+        return pa.RecordBatch.from_arrays([*whole, *(pa.array(v.astype(np.float64)) for v in xyz)], schema=schema)
+
+    def frames_at_once(f, d, run):
+        """Frames that lie next to each other, as one batch; a frame beyond RUN_BYTES in slices of atoms."""
+        if d.size > RUN_BYTES:
+            for frame, at in run:
+                for lo in range(0, d.n_atoms, SLICE_ATOMS):
+                    hi = min(lo + SLICE_ATOMS, d.n_atoms)
+                    xyz = [formats.dcd_block(f, at, b, lo, hi) for b in (d.x, d.y, d.z)]
+                    yield rows(np.full(hi - lo, frame), np.arange(lo, hi), xyz)
+            return
+        xyz = formats.dcd_frames(f, run[0][1], len(run), d)
+        yield rows(np.repeat([frame for frame, _ in run], d.n_atoms), np.tile(np.arange(d.n_atoms), len(run)), xyz)
+
     def run(batches):
-        known, d = None, None
-        for f, path, frame, at in _frames_of(batches):
-            if path != known:
-                known, d = path, formats.dcd_layout(path)
-            for lo in range(0, d.n_atoms, SLICE_ATOMS):
-                hi = min(lo + SLICE_ATOMS, d.n_atoms)
-                xyz = [formats.dcd_block(f, at, b, lo, hi) for b in (d.x, d.y, d.z)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(hi - lo, frame, dtype=np.int64)),
-                        pa.array(np.arange(lo, hi, dtype=np.int64)),
-                        *(pa.array(v.astype(np.float64)) for v in xyz),
-                    ],
-                    schema=schema,
-                )
+        for path, found in _of_a_file(batches):
+            d = formats.dcd_layout(path)
+            most = max(1, RUN_BYTES // d.size)
+            with formats.open_file(path) as f:
+                waiting = found[:1]
+                for frame, at in found[1:]:
+                    if at != waiting[-1][1] + d.size or len(waiting) >= most:
+                        yield from frames_at_once(f, d, waiting)
+                        waiting = []
+                    waiting.append((frame, at))
+                yield from frames_at_once(f, d, waiting)
 
     return _work(index).mapInArrow(
         run, "frame bigint, atom_id bigint, x double, y double, z double"
@@ -190,26 +200,23 @@ def pdb_records(index: DataFrame) -> DataFrame:
     """``(frame, atom_id, value)``: the atom lines of the indexed frames."""
 
     def run(batches):
-        def out(frame, first, found):
-            n = len(found)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, frame, dtype=np.int64)),
-                    pa.array(np.arange(first, first + n, dtype=np.int64)),
-                    pa.array(found),
-                ],
-                ["frame", "atom_id", "value"],
-            )
-
-        for f, _, frame, at in _frames_of(batches):
-            first, found = 0, []
-            for line in formats.pdb_frame(f, at, formats.ATOM):
-                found.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
-                if len(found) == files.BATCH_LINES:
-                    yield out(frame, first, found)
-                    first, found = first + len(found), []
-            if found:
-                yield out(frame, first, found)
+        def out(numbers, atoms, found):
+            whole = (pa.array(np.array(v, dtype=np.int64)) for v in (numbers, atoms))
+            return pa.RecordBatch.from_arrays([*whole, pa.array(found)], ["frame", "atom_id", "value"])
+
+        for path, rows in _of_a_file(batches):
+            with formats.open_file(path) as f:
+                numbers, atoms, found = [], [], []
+                for frame, at in rows:
+                    for n, line in enumerate(formats.pdb_frame(f, at, formats.ATOM)):
+                        numbers.append(frame)
+                        atoms.append(n)
+                        found.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
+                        if len(found) == files.BATCH_LINES:
+                            yield out(numbers, atoms, found)
+                            numbers, atoms, found = [], [], []
+                if found:
+                    yield out(numbers, atoms, found)
 
     return _work(index).mapInArrow(run, "frame bigint, atom_id bigint, value string")
 
@@ -293,24 +300,26 @@ def read_unit_cells(index: DataFrame, fmt: str) -> DataFrame:
         out = "frame bigint, " + ", ".join(f"{c} double" for c in CELL)
 
         def run(batches):
-            known, d = None, None
-            for f, path, frame, at in _frames_of(batches):
-                if path != known:
-                    known, d = path, formats.dcd_layout(path)
-                row = {"frame": frame, **dict(zip(CELL, formats.dcd_cell(f, at, d)))}
-                yield pa.RecordBatch.from_pylist([row])
+            for path, rows in _of_a_file(batches):
+                d = formats.dcd_layout(path)
+                with formats.open_file(path) as f:
+                    found = [{"frame": frame, **dict(zip(CELL, formats.dcd_cell(f, at, d)))} for frame, at in rows]
+                yield pa.RecordBatch.from_pylist(found)
 
         return _work(index).mapInArrow(run, out)
 
     def lines(batches):
         known, default = None, None
-        for f, path, frame, at in _frames_of(batches):
-            own = list(formats.pdb_frame(f, at, formats.CELL))
-            if not own and path != known:
-                f.seek(0)
-                known, default = path, next((x for x in f if x.startswith(formats.CELL)), b"")
-            value = (own[-1] if own else default).decode("utf-8", "replace")
-            yield pa.RecordBatch.from_pylist([{"frame": frame, "value": value}])
+        for path, rows in _of_a_file(batches):
+            found = []
+            with formats.open_file(path) as f:
+                for frame, at in rows:
+                    own = list(formats.pdb_frame(f, at, formats.CELL))
+                    if not own and path != known:
+                        f.seek(0)
+                        known, default = path, next((x for x in f if x.startswith(formats.CELL)), b"")
+                    found.append({"frame": frame, "value": (own[-1] if own else default).decode("utf-8", "replace")})
+            yield pa.RecordBatch.from_pylist(found)
 
     return cell_vectors(_work(index).mapInArrow(lines, "frame bigint, value string"))
 
