@@ -93,13 +93,13 @@ def pdb_trajectory(spark, sf):
     return coords_out(trajectory.read_frames(spark, _pdb_files(spark, sf), "pdb"), 3)
 
 
-@query("pdb_unit_cells", """SELECT vec_id AS frame, vec_id + 1.0::DOUBLE AS ax, round(vec_id + 2.0::DOUBLE, 3) AS by,
-  round(vec_id + 3.0::DOUBLE, 3) AS cz FROM embeddings""")
+@query("pdb_unit_cells", """SELECT vec_id AS frame, vec_id + 1.0::DOUBLE AS ax, 0.0::DOUBLE AS ay, 0.0::DOUBLE AS az, 0.0::DOUBLE AS bx,
+  round(vec_id + 2.0::DOUBLE, 3) AS by, 0.0::DOUBLE AS bz, 0.0::DOUBLE AS cx, 0.0::DOUBLE AS cy, round(vec_id + 3.0::DOUBLE, 3) AS cz FROM embeddings""")
 def pdb_unit_cells(spark, sf):
     """The unit cell of each frame."""
     index = trajectory.join_files(trajectory.build_frame_index(spark, _pdb_files(spark, sf), "pdb"))
     cells = trajectory.read_unit_cells(index, "pdb")
-    return rounded(cells.select("frame", "ax", "by", "cz"), "ax", "by", "cz", digits=3)
+    return rounded(cells.select("frame", *trajectory.CELL), *trajectory.CELL, digits=3)
 
 
 def _dcd_files(spark, sf):
@@ -133,22 +133,24 @@ def detect_formats(spark, sf):
     return found.groupBy(kind.alias("format")).agg(F.count("*").alias("n"))
 
 
-@query("frame_list_clones", f"""WITH {TRAJ}, kept AS (SELECT frame // {t.DCD_FRAMES} AS file, (frame % {t.DCD_FRAMES}) // 3 - 2 AS local, atom_id, x
+@query("frame_list_clones", f"""WITH {TRAJ}, kept AS (SELECT frame // {t.DCD_FRAMES} AS file, (frame % {t.DCD_FRAMES}) // 3 - 2 AS local, atom_id, x, y, z
    FROM traj WHERE frame % {t.DCD_FRAMES} >= 5 AND (frame % {t.DCD_FRAMES}) % 3 = 0),
  sizes AS (SELECT file, max(local) + 1 AS n FROM kept GROUP BY file),
  starts AS (SELECT file, n, 2 * (sum(n) OVER (ORDER BY file) - n)::BIGINT AS start FROM sizes)
- SELECT start + k * n + local AS frame, atom_id, {r('CAST(CAST(x AS FLOAT) AS DOUBLE)', 'x', 4)} FROM kept JOIN starts USING (file), range(2) c(k)""")
+ SELECT start + k * n + local AS frame, atom_id, {r('CAST(CAST(x AS FLOAT) AS DOUBLE)', 'x', 4)}, {r('CAST(CAST(y AS FLOAT) AS DOUBLE)', 'y', 4)},
+  {r('CAST(CAST(z AS FLOAT) AS DOUBLE)', 'z', 4)} FROM kept JOIN starts USING (file), range(2) c(k)""")
 def frame_list_clones(spark, sf):
     """S4 with L1 and L3: a list file naming trajectories, each cut and read twice."""
     names = scratch_path(spark, "list")
     lines = ["# trajectories", *files.list_folder(_dcd_files(spark, sf))]
     spark.createDataFrame([(s,) for s in lines], "value string").coalesce(1).write.text(names)
     df = trajectory.read_frame_list(spark, files.list_folder(names)[0], "dcd", first=5, stride=3, clones=2)
-    return rounded(df.select("frame", "atom_id", "x"), "x", digits=4)
+    return coords_out(df, 4)
 
 
 @query("frame_index_keep", f"""WITH {TRAJ}, chosen AS (SELECT c_custkey AS position, (c_custkey * 7) % n AS frame FROM customer, nf)
- SELECT position AS frame, atom_id, {r('CAST(CAST(z AS FLOAT) AS DOUBLE)', 'z', 4)} FROM traj JOIN chosen USING (frame)""")
+ SELECT position AS frame, atom_id, {r('CAST(CAST(x AS FLOAT) AS DOUBLE)', 'x', 4)}, {r('CAST(CAST(y AS FLOAT) AS DOUBLE)', 'y', 4)},
+  {r('CAST(CAST(z AS FLOAT) AS DOUBLE)', 'z', 4)} FROM traj JOIN chosen USING (frame)""")
 def frame_index_keep(spark, sf):
     """A frame index written, checked, reduced to a list of frames and read through."""
     chosen = t.read(spark, sf, "customer").select(
@@ -159,7 +161,7 @@ def frame_index_keep(spark, sf):
     index.write.parquet(index_path)
     checked = trajectory.validate_frame_index(spark.read.parquet(index_path))
     df = trajectory.read_indexed(frames.keep_frames(checked, chosen), "dcd")
-    return rounded(df.select("frame", "atom_id", "z"), "z", digits=4)
+    return coords_out(df, 4)
 
 
 @query("frame_index_stale", """SELECT DISTINCT p_brand AS brand, CAST(substr(p_brand, 7) AS INTEGER) % 2 = 1 AS changed FROM part""")
@@ -231,8 +233,7 @@ def atom_series_arrays(spark, sf):
     return rounded(out, "mx", digits=3)
 
 
-@query("xyz_text_lines", f"""WITH {TRAJ}, body AS (SELECT frame, round(x, 3) + 0.0 AS x FROM traj)
-  SELECT frame, count(*) AS n_lines, {r('sum(x)', 'sum_x', 3)} FROM body GROUP BY frame""")
+@query("xyz_text_lines", f"WITH {TRAJ} SELECT frame, atom_id, {xyz(digits=3)} FROM traj")
 def xyz_text_lines(spark, sf):
     """T4: text dump in frame order, read back as text."""
     path = scratch_path(spark, "xyz")
@@ -245,9 +246,10 @@ def xyz_text_lines(spark, sf):
     sizes = lines.groupBy("ord").agg(F.count("*").alias("c")).withColumn("upto", F.col("c"))
     before = running_total(sizes, "ord", ["upto"]).select("ord", (F.col("upto") - F.col("c")).alias("before"))
     found = body.join(before, "ord").select(
-        F.expr(f"(n + before) div {per}").alias("frame"), parts.getItem(1).cast("double").alias("x")
+        F.expr(f"(n + before) div {per}").alias("frame"), parts.getItem(0).cast("bigint").alias("atom_id"),
+        *(parts.getItem(i + 1).cast("double").alias(c) for i, c in enumerate("xyz")),
     )
-    return rounded(found.groupBy("frame").agg(F.count("*").alias("n_lines"), F.sum("x").alias("sum_x")), "sum_x", digits=3)
+    return coords_out(found, 3)
 
 
 def _text(spark, df, name):
@@ -827,14 +829,17 @@ def turned_copies(spark, sf):
     return both.select("frame", "atom_id", *(e.alias(n) for n, e in zip("xyz", v)), "mass", "in_core", "in_tail"), df
 
 
-@query("align_fitrottrans", f"""WITH {TRAJ}, z0 AS (SELECT atom_id, x, y, z FROM traj WHERE frame = 0)
- SELECT vec_id AS frame, atom_id, {xyz(digits=5)} FROM embeddings, z0 WHERE atom_id >= 7""")
+@query("align_fitrottrans", f"""WITH {TRAJ}, z0 AS (SELECT atom_id, x, y, z FROM traj WHERE frame = 0),
+ e AS (SELECT vec_id AS frame, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings)
+ SELECT frame, atom_id, {xyz(digits=5)} FROM e, z0 WHERE atom_id >= 7
+ UNION ALL SELECT frame, atom_id, {r('a + cos(5*b)*x - sin(5*b)*(cos(5*a)*y - sin(5*a)*z)', 'x', 5)},
+   {r('b + sin(5*b)*x + cos(5*b)*(cos(5*a)*y - sin(5*a)*z)', 'y', 5)}, {r('c + sin(5*a)*y + cos(5*a)*z', 'z', 5)} FROM e, z0 WHERE atom_id < 7""")
 def align_fitrottrans(spark, sf):
-    """A4: copies of a frame, turned and shifted, are brought back on to it."""
+    """A4: copies of a frame, turned and shifted, are brought back on to it; atoms outside the reference selection stay where they are."""
     copies, df = turned_copies(spark, sf)
     ref = align.reference_coords(df, 0, "tail")
     fitted = align.align_fitrottrans(copies, ref, "system", "tail", t.n_frames(spark, sf))
-    return coords_out(fitted.where("in_tail"), 5)
+    return coords_out(fitted, 5)
 
 
 @query("align_fitrot", f"""WITH {TRAJ}, z0 AS (SELECT atom_id, x, y, z, mass FROM traj WHERE frame = 0),
