@@ -199,12 +199,12 @@ def moments_cylinder(spark: SparkSession, order: int = 20) -> DataFrame:
 def validate_moments(moments: DataFrame, kind: str) -> DataFrame:
     """``moments`` that are not allowed for the expansion, with the reason; empty when fine."""
     l, m = F.col("l"), F.col("m")
-    problem = F.when(l < 0, "major moment must not be negative")
+    problem = F.when(l < 0, "l is below 0")
     if kind == "sphere":
-        problem = problem.when(F.abs(m) > l, "minor moment must lie between -major and +major")
+        problem = problem.when(F.abs(m) > l, "m is outside -l to l")
     elif kind == "cylinder":
-        problem = problem.when((m < 0) | (m > 3), "minor moment must lie between 0 and 3").when(
-            (l == 0) & (m != 0), "minor moment must be 0 for major 0"
+        problem = problem.when((m < 0) | (m > 3), "m is not one of the four kinds 0 to 3").when(
+            (l == 0) & (m != 0), "l = 0 has m = 0 only"
         )
     else:
         raise ValueError(f"no multipole expansion of kind {kind!r}")

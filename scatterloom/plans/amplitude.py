@@ -21,8 +21,6 @@ from scatterloom.functions.waves import PlaneWaves
 from scatterloom.operators.params import bounded_parts, localize, union_all
 from scatterloom.plans import kernel
 
-AMPLITUDE = ["q_id", "m_id", "frame", "re", "im"]
-
 
 def _empty(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema.AMPLITUDES)

@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-ATOMS = "atom_id BIGINT, pdb_name STRING, label STRING, beta STRING, segid STRING"
 ELEMENTS = (
     "label STRING, name_regex STRING, mass DOUBLE,"
     " vol_type INT, vol_params ARRAY<DOUBLE>, excl_type INT, excl_params ARRAY<DOUBLE>,"
     " sf_type INT, sf_params ARRAY<DOUBLE>"
 )
-SELECTIONS = "selection STRING, atom_id BIGINT"
 KAPPAS = "selection STRING, value DOUBLE, ord INT"
-COORDS = "frame BIGINT, atom_id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE"
-FRAME_BLOCKS = (
-    "frame BIGINT, first_atom BIGINT, x ARRAY<FLOAT>, y ARRAY<FLOAT>, z ARRAY<FLOAT>"
-)
 QVECTORS = "q_id BIGINT, qx DOUBLE, qy DOUBLE, qz DOUBLE, ql DOUBLE"
-ORIENTATIONS = "m_id BIGINT, ux DOUBLE, uy DOUBLE, uz DOUBLE"
-MOMENTS = "m_id BIGINT, l BIGINT, m BIGINT"
 AMPLITUDES = "q_id BIGINT, m_id BIGINT, frame BIGINT, re DOUBLE, im DOUBLE"
-FQT = (
-    "q_id BIGINT, qx DOUBLE, qy DOUBLE, qz DOUBLE, tau BIGINT, re DOUBLE, im DOUBLE"
-)
-FRAME_INDEX = "path STRING, frame BIGINT, byte_offset BIGINT"

@@ -283,12 +283,12 @@ def orientations_from_text(spark, sf):
 
 
 @query("moments_from_text", """WITH mo AS (SELECT l_linenumber::BIGINT - 2 AS l, CAST(l_quantity AS BIGINT) - 5 AS m FROM lineitem)
- SELECT 'sphere' AS kind, l, m, CASE WHEN l < 0 THEN 'major moment must not be negative'
-   ELSE 'minor moment must lie between -major and +major' END AS problem, count(*) AS n
+ SELECT 'sphere' AS kind, l, m, CASE WHEN l < 0 THEN 'l is below 0'
+   ELSE 'm is outside -l to l' END AS problem, count(*) AS n
  FROM mo WHERE l < 0 OR abs(m) > l GROUP BY ALL
  UNION ALL
- SELECT 'cylinder', l, m, CASE WHEN l < 0 THEN 'major moment must not be negative'
-   WHEN m < 0 OR m > 3 THEN 'minor moment must lie between 0 and 3' ELSE 'minor moment must be 0 for major 0' END, count(*)
+ SELECT 'cylinder', l, m, CASE WHEN l < 0 THEN 'l is below 0'
+   WHEN m < 0 OR m > 3 THEN 'm is not one of the four kinds 0 to 3' ELSE 'l = 0 has m = 0 only' END, count(*)
  FROM mo WHERE l < 0 OR m < 0 OR m > 3 OR (l = 0 AND m <> 0) GROUP BY ALL""")
 def moments_from_text(spark, sf):
     """Moments from text and their faults, for both expansions."""
