@@ -26,11 +26,6 @@ def whole_text(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(df[text].cast("string"), F.lit(""))
 
 
-def lower_ascii(col: Column) -> Column:
-    """A-Z in lower case, every other character as it is."""
-    return F.translate(col, UPPER, LOWER)
-
-
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]

@@ -142,8 +142,12 @@ def pooled(texts: Iterable[str], vectors: np.ndarray, weights: np.ndarray) -> np
     for text in texts:
         found = TOKENS(text)
         ids = token_buckets(found)
-        w = weights[ids]
-        mean = w @ vectors[ids] / max(float(w.sum()), 1e-9) if len(ids) else np.zeros(vectors.shape[1])
+        mean, weight = np.zeros(vectors.shape[1]), 0.0
+        for lo in range(0, len(ids), 1 << 16):  # a very long text takes no more memory than its tokens
+            w = weights[ids[lo : lo + (1 << 16)]]
+            mean += w @ vectors[ids[lo : lo + (1 << 16)]]
+            weight += float(w.sum())
+        mean /= max(weight, 1e-9)
         rows.append(np.concatenate((mean, looks(found, ids), [np.log1p(len(ids)) / 10])))
     return np.array(rows).reshape(len(rows), vectors.shape[1] + 4)
 

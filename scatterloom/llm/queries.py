@@ -80,6 +80,27 @@ _LICENSE_RULES = ", ".join(
 )
 
 SQL = {
+    "op4_near_dedup": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, [w FOR w IN regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+') IF w <> ''] AS ws FROM documents
+        ), i AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 3))) AS k FROM d WHERE len(ws) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 3], ' ') AS shingle FROM i),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.doc_id)
+        SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(root) AS component_id, r.doc_id = min(root) AS kept
+        FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+    """,
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+        h AS (SELECT *, [CAST('0x' || substr(sha1(t), 5 * g + 1, 5) AS BIGINT) FOR g IN range(8)] AS bits FROM p)
+        SELECT page_id, strlen(t) AS payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((bits[c // 4 + 1] >> (15 - 5 * (c % 4))) & 31 AS INTEGER) + 1, 1) FOR c IN range(32)], '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM h
+    """,
     "op8_mixing": f"""
         WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, '') AS s, text, length(coalesce(text, '')) AS chars, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
         z AS (SELECT s, sqrt(greatest(1, sum(chars))) AS w FROM d GROUP BY s),
