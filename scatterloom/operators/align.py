@@ -2,9 +2,10 @@
 
 The input is *tagged* coordinates: ``frame, atom_id, x, y, z, mass`` and one boolean
 column per selection (``selections.tag_atoms`` on the atoms, joined once by
-``atom_id``). Each step is then a partial aggregation to one row per frame and a join
-of that small table back by ``frame``; the coordinates themselves are not shuffled
-when the per-frame table is small enough to broadcast.
+``atom_id``). Each step is a partial aggregation to one row per frame, which is done
+when the step is called, and a join of that table back by ``frame``. So what a chain of steps
+leaves in the plan is one scan and a join per step, and the coordinates themselves are not shuffled
+when the per-frame tables are small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scatterloom.functions import vec
-from scatterloom.operators.frames import join_per_frame
-from scatterloom.operators.params import localize, on_driver
+from scatterloom.operators.params import PART_ROWS, localize, on_driver
 from scatterloom.operators.selections import SYSTEM, is_in
+from scatterloom.scratch import write_and_reread
 
 def tagged(coords: DataFrame, atoms: DataFrame) -> DataFrame:
     """Coordinates with the mass and the selection flags of their atom."""
@@ -33,6 +34,17 @@ def _shipped(params: DataFrame) -> DataFrame:
     return params if on_driver(params) is None else F.broadcast(params)
 
 
+def join_per_frame(df: DataFrame, per_frame: DataFrame, n_frames: int | None = None) -> DataFrame:
+    """Join with a table of one row per frame, which is evaluated here.
+
+    Up to ``PART_ROWS`` frames it is broadcast, after a look at its size; a larger one is written to
+    the scratch folder and joined as the optimizer likes, which splits a frame with too many rows.
+    """
+    if n_frames is None or n_frames > PART_ROWS:
+        per_frame = write_and_reread(per_frame, "per-frame")
+    return df.join(_shipped(localize(per_frame)), "frame", "left")
+
+
 def _centre_sums(member, prefix="c"):
     """Aggregates for the weighted centre of the rows where ``member`` holds."""
     m = F.when(member, F.col("mass"))

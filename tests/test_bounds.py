@@ -148,6 +148,19 @@ def test_reference_reads_one_frame(spark, tmp_path):
         assert [r["ux"] for r in rows] == [want, want + 0.1]
     fitted = align.align_fitrottrans(df, align.reference_coords(df, 0), n_frames=30)
     plan = fitted._jdf.queryExecution().executedPlan().toString()
-    # the reference travels with the plan: one scan for the sums of the frames and one for the rows that move
-    assert len(re.findall("FileScan parquet", plan)) == 2 and "SortMergeJoin" not in plan
+    # the reference and the sums of the frames travel with the plan
+    assert len(re.findall("FileScan parquet", plan)) == 1 and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("n_frames", [30, None])
+def test_chains_of_steps_plan_one_scan(spark, tmp_path, n_frames):
+    path = str(tmp_path / "t")
+    table(spark, path, frames=30)
+    df = spark.read.parquet(path).withColumn("mass", F.lit(1.0)).withColumn("in_first", F.col("atom_id") == 0)
+    for k in range(1, 6):
+        df = align.align_center(df, reference_selection="first" if k % 2 else "system", n_frames=n_frames)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall("FileScan parquet", plan)) == 1 and plan.count("BroadcastHashJoin") == k
+    rows = {(r["frame"], r["atom_id"]): r["x"] for r in df.collect()}
+    assert len(rows) == 60 and all(np.allclose((rows[f, 0], rows[f, 1]), (0.0, 0.1)) for f in range(30))
 
