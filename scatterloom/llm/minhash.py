@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import write_and_reread
-from .common import map_texts, partitions, whole_text
+from .common import kept, map_texts, partitions, whole_text
 from .components import components
 
 #: Bands of a signature and coordinates of a band. A pair at 0.8 is missed by all bands with probability (1 - 0.8^5)^32 = 3e-6.
@@ -23,7 +23,8 @@ MARGIN = 0.17
 #: Documents to verify whose ids are broadcast at most; beyond, texts are picked by a shuffle.
 BROADCAST_ROWS = 200_000
 
-_words: dict[bytes, int] = {}
+#: Hashes of words kept by a worker.
+WORDS = 500_000
 
 
 def word_list(text: str) -> list[bytes]:
@@ -35,9 +36,9 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     """Distinct 64-bit hashes of the shingles of k words, ascending; fewer words make one shingle."""
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > 1_000_000:
-        _words.clear()
-    known, digest = _words, xxhash.xxh3_64_intdigest
+    known, digest = kept("word hashes", dict), xxhash.xxh3_64_intdigest
+    if len(known) > WORDS:
+        known.clear()
     h = np.empty(len(words), np.uint64)
     for i, w in enumerate(words):
         x = known.get(w)
@@ -140,65 +141,50 @@ def verified(pairs: DataFrame, df: DataFrame, k: int, percent: int, id_col: str,
     return both.select("u", "v", "u_text", "v_text").mapInArrow(run, "u bigint, v bigint")
 
 
-def likely_pairs(members: DataFrame, similarity: float, most: int) -> DataFrame:
-    """``u, v`` (u < v) and ``picker``: for each member of a bucket its ``most`` likeliest partners of other components.
+def sets_of(need: DataFrame, df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, hashes``: the full shingle sets of the rows named by ``need`` (column ``id``), as ascending 64-bit hashes."""
+    need = write_and_reread(need.distinct(), "need")
+    if need.count() <= BROADCAST_ROWS:
+        need = F.broadcast(need)
+    texts = df.select(df[id_col].cast("bigint").alias("id"), whole_text(df, text_col).alias("text")).join(need, "id", "left_semi")
+    texts = texts.groupBy("id").agg(F.min("text").alias("text"))
+    return map_texts(texts, "id", "text", {"hashes": "binary"}, lambda found: [[shingle_hashes(word_list(t), k).tobytes() for t in found]])
+
 
-    ``members`` has ``key, id, component, n, sketch, picked``; partners in ``picked`` (what this member picked before) are left out, and so are pairs whose sizes or sketches rule out the similarity.
-    A bucket is cut into cells of about CELL rows, and each two cells meet in a group of their own, so no task holds a bucket and only picked pairs leave it.
+def in_cells(members: DataFrame, work, out: str) -> DataFrame:
+    """``work`` on each two cells of each bucket: a function of an Arrow table of their rows, sorted by id, that returns columns or nothing.
+
+    ``members`` has ``key, id`` and other columns. A bucket (``key``) is cut into cells of about CELL rows, and each two cells, or the only one with itself, meet
+    in a group of their own with a column ``cell``; so no task holds a bucket.
     """
     tasks = partitions(members.sparkSession)
     sizes = members.groupBy("key").agg(F.count("*").alias("m"))
-    cut = members.join(sizes, "key").withColumn("cells", F.ceil(F.col("m") / CELL).cast("int"))
+    cut = members.join(sizes, "key").withColumn("cells", F.ceil(F.col("m") / CELL).cast("int")).drop("m")
     cut = cut.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    cut = cut.select("key", F.least("cell", "other").alias("a"), F.greatest("cell", "other").alias("b"), "cell", "id", "component", "n", "sketch", "picked")
-    cut = cut.repartition(tasks, "key", "a", "b").sortWithinPartitions("key", "a", "b")
-
-    def best(rows: pa.Table) -> tuple[list, list]:
-        ids, comp, n = (rows.column(c).to_numpy() for c in ("id", "component", "n"))
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-        cell, picked = rows.column("cell").to_numpy(), rows.column("picked").to_pylist()
-        two = cell.min() != cell.max()
-        out = [], []
-        for i in range(len(ids)):
-            may = (comp != comp[i]) & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]))
-            if two:
-                may &= cell != cell[i]
-            at = np.flatnonzero(may)
-            if not len(at):
-                continue
-            equal = np.count_nonzero(sketch[at] == sketch[i], axis=1)
-            fair = equal >= (similarity - MARGIN) * sketch.shape[1]
-            at, equal = at[fair], equal[fair]
-            if picked[i]:
-                new = ~np.isin(ids[at], picked[i])
-                at, equal = at[new], equal[new]
-            if len(at) > most:
-                at = at[np.argpartition(-equal, most - 1)[:most]]
-            out[0].extend([ids[i]] * len(at))
-            out[1].extend(ids[at])
-        return out
+    cut = cut.withColumns({"a": F.least("cell", "other"), "b": F.greatest("cell", "other")}).drop("cells", "other")
+    cut = cut.repartition(tasks, "key", "a", "b").sortWithinPartitions("key", "a", "b", "id")
+    names, fields = ("key", "a", "b"), [x.split()[0] for x in out.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
 
         def finished(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            marks = [table.column(c).to_numpy() for c in ("key", "a", "b")]
+            marks = [table.column(c).to_numpy() for c in names]
             edges = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(table)], strict=True):
-                if hi - lo > 1:
-                    left, right = best(table.slice(lo, hi - lo))
-                    if left:
-                        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["picker", "partner"])
+                found = work(table.slice(lo, hi - lo)) if hi - lo > 1 else None
+                if found is not None and len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], fields)
 
         for b in batches:
             if not len(b):
                 continue
             # the last group may go on in the next batch
-            marks = [b.column(c).to_numpy() for c in ("key", "a", "b")]
+            marks = [b.column(c).to_numpy() for c in names]
             changes = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
             at = int(changes[-1]) if len(changes) else 0
-            if waiting and any(waiting[-1].column(c)[len(waiting[-1]) - 1] != b.column(c)[0] for c in ("key", "a", "b")):
+            if waiting and any(waiting[-1].column(c)[len(waiting[-1]) - 1] != b.column(c)[0] for c in names):
                 yield from finished(pa.Table.from_batches(waiting))
                 waiting = []
             if at:
@@ -208,8 +194,71 @@ def likely_pairs(members: DataFrame, similarity: float, most: int) -> DataFrame:
         if waiting:
             yield from finished(pa.Table.from_batches(waiting))
 
-    found = cut.mapInArrow(run, "picker bigint, partner bigint")
-    return found.select("picker", F.least("picker", "partner").alias("u"), F.greatest("picker", "partner").alias("v")).distinct()
+    return cut.mapInArrow(run, out)
+
+
+class Rows:
+    """Rows of a group with what rules out pairs: components, sizes, earlier bands and sketches."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        self.key, self.ids, self.component, self.cell, self.n = (table.column(c).to_numpy() for c in ("key", "id", "component", "cell", "n"))
+        self.component = self.component.copy()
+        self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(self.ids), -1)
+        self.bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(self.ids), -1)
+        self.here = int(np.argmax(self.bands[0] == self.key[0]))
+        self.percent, self.two = percent, self.cell.min() != self.cell.max()
+
+    def partners(self, i: int) -> np.ndarray:
+        """Later rows that may be similar to row i and share no earlier band with it, the likeliest first."""
+        rest = slice(i + 1, None)
+        may = (self.component[rest] != self.component[i]) & (100 * np.minimum(self.n[rest], self.n[i]) >= self.percent * np.maximum(self.n[rest], self.n[i]))
+        if self.two:
+            may &= self.cell[rest] != self.cell[i]
+        at = np.flatnonzero(may) + i + 1
+        if len(at) and self.here:
+            at = at[~np.any(self.bands[at, : self.here] == self.bands[i, : self.here], axis=1)]
+        equal = np.count_nonzero(self.sketch[at] == self.sketch[i], axis=1)
+        fair = equal >= (self.percent / 100 - MARGIN) * self.sketch.shape[1]
+        return at[fair][np.argsort(-equal[fair], kind="stable")]
+
+
+def links_between(members: DataFrame, nodes: DataFrame, sets, percent: int) -> DataFrame:
+    """``u, v``: verified links that join the components of each bucket as far as its members' sets allow.
+
+    ``members`` has ``key, id, component``, ``nodes`` has ``id, n, bands, sketch``, and ``sets`` is a function from ids to ``id, hashes``. A pair is looked at in the first band that it
+    shares, unless its components are joined by then. Sizes and sketches rule out most pairs, so full sets are sent only for members that have any left. Only links that
+    join components leave a task, fewer than it has rows.
+    """
+
+    def needed(table: pa.Table) -> tuple:
+        rows = Rows(table, percent)
+        hit = np.zeros(len(rows.ids), bool)
+        for i in range(len(hit) - 1):
+            at = rows.partners(i)
+            hit[at] = True
+            hit[i] |= len(at) > 0
+        return rows.key[hit], rows.ids[hit]
+
+    def joined(table: pa.Table) -> tuple:
+        rows = Rows(table, percent)
+        found: tuple[list, list] = [], []
+        full = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        for i in range(len(rows.ids) - 1):
+            for j in rows.partners(i):
+                if rows.component[i] == rows.component[j]:
+                    continue
+                one, two = full[i], full[j]
+                common = int(np.count_nonzero(one[np.minimum(np.searchsorted(one, two), len(one) - 1)] == two))
+                if 100 * common >= percent * (len(one) + len(two) - common):
+                    found[0].append(rows.ids[i])
+                    found[1].append(rows.ids[j])
+                    rows.component[rows.component == rows.component[j]] = rows.component[i]
+        return found
+
+    known = members.join(nodes.select("id", "n", "bands", "sketch"), "id")
+    left = write_and_reread(in_cells(known, needed, "key bigint, id bigint").distinct(), "needed")
+    full = sets(left.select("id"))
+    return in_cells(known.join(left, ["key", "id"]).join(full, "id"), joined, "u bigint, v bigint")
 
 
 def cluster(df: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,11 +270,9 @@ def cluster(df: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, ro
     the smallest is compared. Other columns are left out.
 
     Texts with equal sets form a class; only its smallest id goes on. Classes that share a band key form a bucket. First every
-    class is verified against the smallest of each of its buckets, which settles groups of copies of any size with as many pairs as rows. In buckets that
-    still hold several components, members then pick their likeliest partners of other components by sketch, twice as many every round times four, until no pair is left that
-    could be similar. So links are lost only where no band agrees, see BANDS; pairs within a component are not made.
+    class is verified against the smallest of each of its buckets, which settles groups of copies of any size with about as many pairs as rows. In buckets that
+    still hold several components the pairs between these are then looked at, see `links_between`. So links are lost only where no band agrees, see BANDS.
     """
-    spark = df.sparkSession
     all_rows = write_and_reread(signatures(df, k, bands, rows, id_col, text_col).withColumn("id", F.col("id").cast("bigint")), "signatures")
     sets = all_rows.where("n > 0 and id is not null")
     nodes = sets.groupBy("digest").agg(F.min(F.struct("id", "n", "bands", "sketch")).alias("r"), F.count("*").alias("copies"))
@@ -233,25 +280,14 @@ def cluster(df: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, ro
     keys = nodes.select("id", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub")
     buckets = write_and_reread(keys.join(hubs, "key"), "buckets")
-    tested = write_and_reread(buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct(), "pairs")
-    links = write_and_reread(verified(tested, df, k, percent, id_col, text_col), "links")
+    pairs = write_and_reread(buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct(), "pairs")
+    links = write_and_reread(verified(pairs, df, k, percent, id_col, text_col), "links")
     label = components(links)
-    picks = spark.createDataFrame([], "picker bigint, partner bigint")
-    most = 8
-    while True:
-        named = buckets.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("component"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        before = picks.groupBy(F.col("picker").alias("id")).agg(F.collect_set("partner").alias("picked"))
-        members = named.join(mixed, "key").join(nodes.select("id", "n", "sketch"), "id").join(before, "id", "left")
-        found = write_and_reread(likely_pairs(members, percent / 100, most), "likely")
-        if found.isEmpty():
-            break
-        picks = write_and_reread(picks.unionAll(found.select("picker", F.when(F.col("u") == F.col("picker"), F.col("v")).otherwise(F.col("u")).alias("partner"))), "picks")
-        new = write_and_reread(found.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
-        tested = write_and_reread(tested.unionAll(new), "tested")
-        links = write_and_reread(links.unionAll(verified(new, df, k, percent, id_col, text_col)), "links")
-        label = components(links)
-        most *= 8
+    named = buckets.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("component"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    members = write_and_reread(named.join(mixed, "key"), "members")
+    more = links_between(members, nodes, lambda ids: sets_of(ids, df, k, id_col, text_col), percent)
+    label = components(links.unionAll(write_and_reread(more, "links")))
     named = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 or label is not null")
     named = named.select("digest", F.coalesce("label", "id").alias("component_id"))
     out = all_rows.select("id", "n", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
