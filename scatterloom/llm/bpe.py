@@ -12,10 +12,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import kept, map_texts
 
 #: Pre-tokens kept per generation of a worker's cache; two generations are alive.
-CACHE = 600_000
+CACHE = 400_000
+#: Ranks of pairs kept by a worker.
+PAIRS = 500_000
 
 
 class Pairs(dict):
@@ -26,7 +28,7 @@ class Pairs(dict):
         self.words, self.ranks = words, ranks
 
     def __missing__(self, pair: tuple[int, int]) -> int:
-        if len(self) > 2_000_000:
+        if len(self) >= PAIRS:
             self.clear()
         rank = self[pair] = self.ranks.get(self.words[pair[0]] + self.words[pair[1]], -1)
         return rank
@@ -173,15 +175,9 @@ class Codec:
         return b"".join(out)
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(rank_file: str, pattern: str) -> Codec:
     """A codec, built once per worker."""
-    key = rank_file, pattern
-    if key not in _codecs:
-        _codecs[key] = Codec(rank_file, pattern)
-    return _codecs[key]
+    return kept((rank_file, pattern), lambda: Codec(rank_file, pattern))
 
 
 def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, whole_text
+from .common import kept, map_texts, whole_text
 
 #: Words share this many vectors by hash, so the vectors of any corpus take BUCKETS x DIMS numbers.
 BUCKETS, DIMS = 1 << 14, 32
@@ -21,7 +21,9 @@ NONZERO, REACH = 4, 2
 #: Labelled rows that the network is fitted on at most; of more, those with the smallest hashes of their ids.
 SAMPLE = 20_000
 #: How a token can look.
-UPPER, MARKS = 0, 1
+PLAIN, UPPER, MARKS = 0, 1, 2
+#: Tokens whose codes a worker keeps.
+TOKENS_KEPT = 500_000
 
 #: The tokens of a text: runs of letters and digits, and runs of signs.
 TOKENS = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+").findall
@@ -34,42 +36,30 @@ def fnv(data: bytes) -> int:
     return h ^ h >> 29
 
 
-class Buckets(dict):
-    """Bucket of a token; hashes are the same on every executor."""
+class Tokens(dict):
+    """Four times the bucket of a token, plus how it looks; the same on every executor."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) >= TOKENS_KEPT:
             self.clear()
-        b = self[token] = fnv(token.lower().encode()) % BUCKETS
-        return b
+        looks = UPPER if len(token) > 1 and token.isupper() else MARKS if not token[0].isalnum() else PLAIN
+        code = self[token] = fnv(token.lower().encode()) % BUCKETS * 4 + looks
+        return code
 
 
-class Shapes(dict):
-    """Bucket for the look of a token, or -1 for plain ones."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        looks = UPPER if len(token) > 1 and token.isupper() else MARKS if not token[0].isalnum() else -1
-        self[token] = looks
-        return looks
-
-
-_buckets, _shapes = Buckets(), Shapes()
-
-
-def token_buckets(found: list[str]) -> np.ndarray:
-    """Buckets of tokens in order."""
-    return np.fromiter(map(_buckets.__getitem__, found), np.int64, len(found))
+def token_codes(text: str) -> np.ndarray:
+    """Codes of the tokens of a text in order, see `Tokens`."""
+    found = TOKENS(text)
+    return np.fromiter(map(kept("tokens", Tokens).__getitem__, found), np.int64, len(found))
 
 
-def looks(found: list[str], buckets: np.ndarray) -> np.ndarray:
+def looks(codes: np.ndarray) -> np.ndarray:
     """Share of tokens in capitals, that repeat the one before, and made of signs."""
-    if not found:
+    if not len(codes):
         return np.zeros(3)
-    shape = np.fromiter(map(_shapes.__getitem__, found), np.int64, len(found))
-    again = np.count_nonzero(buckets[1:] == buckets[:-1])
-    return np.array([np.count_nonzero(shape == UPPER), again, np.count_nonzero(shape == MARKS)]) / len(found)
+    look, bucket = codes & 3, codes >> 2
+    again = np.count_nonzero(bucket[1:] == bucket[:-1])
+    return np.array([np.count_nonzero(look == UPPER), again, np.count_nonzero(look == MARKS)]) / len(codes)
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +88,7 @@ def context_sums(texts: Iterable[str], places: np.ndarray, signs: np.ndarray) ->
 
     size = 0
     for text in texts:
-        ids = token_buckets(TOKENS(text))
+        ids = token_codes(text) >> 2
         flat += [ids, gap]
         size += len(ids)
         if size > 500_000:
@@ -140,15 +130,15 @@ def pooled(texts: Iterable[str], vectors: np.ndarray, weights: np.ndarray) -> np
     """A row per text: the weighted mean of its words' vectors, how its tokens look, and its length's logarithm."""
     rows = []
     for text in texts:
-        found = TOKENS(text)
-        ids = token_buckets(found)
+        codes = token_codes(text)
+        ids = codes >> 2
         mean, weight = np.zeros(vectors.shape[1]), 0.0
         for lo in range(0, len(ids), 1 << 16):  # a very long text takes no more memory than its tokens
             w = weights[ids[lo : lo + (1 << 16)]]
             mean += w @ vectors[ids[lo : lo + (1 << 16)]]
             weight += float(w.sum())
         mean /= max(weight, 1e-9)
-        rows.append(np.concatenate((mean, looks(found, ids), [np.log1p(len(ids)) / 10])))
+        rows.append(np.concatenate((mean, looks(codes), [np.log1p(len(ids)) / 10])))
     return np.array(rows).reshape(len(rows), vectors.shape[1] + 4)
 
 
