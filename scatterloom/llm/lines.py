@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..scratch import write_and_reread
 from .common import let, whole_text
 
-#: Lines of fewer words than EXACT_WORDS are left alone; one word may differ where both lines have NEAR_WORDS or more.
-EXACT_WORDS, NEAR_WORDS = 3, 8
+#: Lines of fewer words than EXACT_WORDS are left alone, which are the empty ones; one word may differ where both lines have NEAR_WORDS or more.
+EXACT_WORDS, NEAR_WORDS = 1, 8
 #: Lines whose places are broadcast at most (a few numbers each); beyond, their texts are fetched by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -26,7 +26,7 @@ def distinct_lines(df: DataFrame) -> DataFrame:
     longer one (n - 1), which makes four halves.
     """
     rows = df.select("id", F.posexplode(F.split("text", "\n", -1)).alias("number", "raw")).select("id", "number", F.trim("raw").alias("raw"))
-    rows = rows.withColumn("n", F.length("raw") - F.length(F.replace("raw", F.lit(" "))) + 1).where((F.col("raw") != "") & (F.col("n") >= EXACT_WORDS))
+    rows = rows.withColumn("n", F.length("raw") - F.length(F.replace("raw", F.lit(" "))) + 1).where(F.col("raw") != "")
 
     def half(shorter: Column, first: bool) -> Column:
         size = F.floor(shorter / 2).cast("int")
@@ -133,7 +133,7 @@ def near_copies(rows: DataFrame) -> DataFrame:
 
 
 def kept_lines(df: DataFrame) -> DataFrame:
-    """``kept_id, numbers``: the lines of each text that stay, of those with EXACT_WORDS or more. ``df`` has ``id`` and ``text``."""
+    """``kept_id, numbers``: the lines of each text that stay, of those that are not empty. ``df`` has ``id`` and ``text``."""
     all_lines = distinct_lines(df)
     long = all_lines.where(F.col("n") >= NEAR_WORDS)
     again = near_copies(with_words(long, df))
@@ -144,7 +144,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", new_tex
     """``df`` with ``new_text`` (the text without lines that came before), ``n_lines`` and ``n_dropped`` (bigint), which replace columns of these names.
 
     Texts are cut at line feeds. Lines come in the order of the ids (null first) and then of the text. A line goes if an equal one came before, or if one came before that
-    a word's insertion, deletion or replacement away and both have NEAR_WORDS words or more; whether that one itself goes doesn't matter. Lines of fewer than EXACT_WORDS words, empty ones too,
+    a word's insertion, deletion or replacement away and both have NEAR_WORDS words or more; whether that one itself goes doesn't matter. Empty lines
     stay. Null texts count as empty and have one line. An id should stand for one text: rows that repeat one share its kept lines. Columns that begin with ``__`` are
     the operator's own; all other columns stay, and every row comes back once.
     """
@@ -153,9 +153,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", new_tex
     rows = rows.join(kept.withColumnsRenamed({"kept_id": "__kept_id", "numbers": "__numbers"}), F.col("__id").eqNullSafe(F.col("__kept_id")), "left").drop("__kept_id")
 
     def stays(lines: Column) -> Column:
-        words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1
-        short = F.filter(F.transform(lines, lambda x, i: F.when(let(F.trim(x), lambda t: (t == "") | (words(t) < EXACT_WORDS)), i)), lambda i: i.isNotNull())
-        return F.sort_array(F.concat(short, F.coalesce("__numbers", F.array().cast("array<int>"))))
+        empty = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) == "", i)), lambda i: i.isNotNull())
+        return F.sort_array(F.concat(empty, F.coalesce("__numbers", F.array().cast("array<int>"))))
 
     made = let(F.split("__text", "\n", -1), lambda lines: let(stays(lines), lambda at: F.struct(F.size(lines).cast("bigint").alias("n"), F.size(at).cast("bigint").alias("kept"), F.array_join(F.transform(at, lambda i: F.get(lines, i)), "\n").alias("text"))))
     rows = rows.withColumn("__made", made)

@@ -134,6 +134,12 @@ def test_lines_whose_hashes_agree_by_chance(spark):
     assert got == brute_dedup([(0, first), (1, other), (2, "a y a x a p q r s t")])
 
 
+def test_short_lines_go_when_they_come_again(spark):
+    page = "Read more\nhttp://a/b\n\n漢字かな\na\tb\tc\nLes."
+    got = {r.doc_id: (r.text, r.n_dropped) for r in lines.dedup(texts(spark, page, " Les. \n\nnew\n" + page, "\n")).collect()}
+    assert got == {0: (page, 0), 1: ("\nnew\n", 6), 2: ("\n", 0)}
+
+
 def test_lines_keep_other_columns_and_rows(spark):
     df = odd.documents(spark)
     got = lines.dedup(df)
