@@ -23,9 +23,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that came before; those that lost lines and have no line of some length left go. ``n_chars`` is counted anew."""
+    """Documents without lines that came before; those that lost lines and have none left but empty ones go. ``n_chars`` is counted anew."""
     rows = lines.dedup(docs, new_text="__new", n_lines="__lines", n_dropped="__dropped")
-    left = F.exists(F.split("__new", "\n", -1), lambda x: F.length(F.trim(x)) - F.length(F.replace(F.trim(x), F.lit(" "))) + 1 >= lines.EXACT_WORDS)
+    left = F.exists(F.split("__new", "\n", -1), lambda x: F.trim(x) != "")
     rows = rows.where((F.col("__dropped") == 0) | left)
     changed = F.col("__dropped") > 0
     new = {"text": F.when(changed, F.col("__new")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("__new").cast("bigint")).otherwise(F.col("n_chars"))}

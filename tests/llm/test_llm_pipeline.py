@@ -55,6 +55,12 @@ def test_line_dedup(staged):
     assert made == want
 
 
+def test_documents_with_short_lines_left_stay(spark, sf):
+    notice = "this site uses cookies to serve you well"
+    docs = spark.createDataFrame([(1, notice, 40), (2, f"漢字かな\n{notice}\na\tb", 99), (3, f"{notice}\n漢字かな\n", 99), (4, "", 0)], "doc_id bigint, text string, n_chars bigint")
+    assert by_id(pipeline.without_repeated_lines(spark, docs, sf)) == by_id(spark.createDataFrame([(1, notice, 40), (2, "漢字かな\na\tb", 8), (4, "", 0)], docs.schema))
+
+
 def test_near_dedup(staged):
     got, made = map(by_id, staged["near_dedup"])
     groups = brute_groups([(i, r["text"] or "") for i, r in got.items()], 5, 80)
