@@ -48,10 +48,21 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document as counts and digests, with a digest of the text decoded from them."""
+    """Token ids of each document as counts and digests, with a digest of the text decoded from them; files and rows come in the mixed order.
+
+    A scan of written files doesn't keep their order, so the order is made anew from the documents, which mixing has left as they were.
+    """
+    docs = mixed(spark, docs, sf_dir)
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def in_written_order(written: DataFrame) -> DataFrame:
+    """Rows of a table of written files, by the files' names and as they lie in them; scans deal files out by size."""
+    place = ["__file", "__row"]
+    rows = written.select("*", F.col("_metadata.file_name").alias(place[0]), F.col("_metadata.row_index").alias(place[1]))
+    return rows.orderBy(*place).drop(*place)
+
+
 STAGES = [
     ("quality", good_quality),
     ("line_dedup", without_repeated_lines),
@@ -65,8 +76,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from the documents of ``sf_dir`` on."""
+    """All stages, from the documents of ``sf_dir`` on; rows come in the mixed order."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = write_and_reread(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    return in_written_order(docs)

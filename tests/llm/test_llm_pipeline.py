@@ -76,6 +76,17 @@ def test_mixing_keeps_rows_and_orders_them(staged):
     assert all(p == sorted(p) for p in ranges) and all(a[-1] <= b[0] for a, b in zip(ranges, ranges[1:]))
 
 
+def test_rows_of_run_come_in_mixed_order(spark, sf, monkeypatch):
+    monkeypatch.setattr(pipeline, "STAGES", pipeline.STAGES[3:])
+    got = spark.read.parquet(f"{sf}/documents.parquet")
+    order = sorted((r.mix_slot, r.mix_start, r.doc_id) for r in mixing.mix(got, mixing.shares_by_size(got)).collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many files, also of little data
+    try:
+        assert [r.doc_id for r in pipeline.run(spark, sf).collect()] == [i for _, _, i in order]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_encoding(staged):
     got, made = map(by_id, staged["encode"])
     ranks = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).ranks
