@@ -19,7 +19,7 @@ BASE = (
 
 TABLE = r"""
 1 gpl-2.0 | gnu general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:v|version )2(?: 0)?(?: only)?
-1 gpl-2.0+ | gnu general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:v|version )2(?: 0)? or (?:at your option )?(?:any )?later(?: version)?
+1 gpl-2.0+ | gnu general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:v|version )2(?: 0)? (?:of the license )?or (?:at your option )?(?:any )?later(?: version)?
 1 gpl-3.0 | gnu general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:v|version )3(?: 0)?(?: only)?
 1 gpl-3.0+ | gnu general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:v|version )3(?: 0)? (?:of the license )?or (?:at your option )?(?:any )?later(?: version)?
 2 gpl | gnu general public licen[cs]e
@@ -65,7 +65,6 @@ TABLE = r"""
 1 apache-1.1 | apache (?:software )?licen[cs]e (?:v|version )?1 1
 1 apache-2.0 | apache (?:software )?licen[cs]e (?:v|version )?2(?: 0)?
 1 apache-2.0 | apache 2(?: 0)? licen[cs]ed?
-1 apache-2.0 | apache licen[cs]e 2 0
 1 apache-2.0 | licen[cs]ed under (?:the )?(?:terms of (?:the )?)?apache (?:software )?licen[cs]e (?:v|version )?2(?: 0)?(?: the license)?
 2 apache | licen[cs]ed under (?:the )?(?:terms of (?:the )?)?apache (?:software )?licen[cs]e
 2 apache | apache software licen[cs]e
@@ -232,7 +231,6 @@ TABLE = r"""
 2 public-domain | released into the public domain
 2 public-domain | placed in the public domain
 3 public-domain | public domain
-1 spdx | spdx license identifier [0-9a-z]+(?: [0-9]+(?: [0-9]+)?)?(?: only| or later)?
 1 apache-2.0 | spdx license identifier apache 2 0
 1 mit | spdx license identifier mit
 1 gpl-2.0 | spdx license identifier gpl 2 0(?: only)?
@@ -241,6 +239,7 @@ TABLE = r"""
 1 gpl-3.0+ | spdx license identifier gpl 3 0 or later
 1 bsd-3-clause | spdx license identifier bsd 3 clause
 1 mpl-2.0 | spdx license identifier mpl 2 0
+3 spdx | spdx license identifier [0-9a-z]+(?: [0-9]+(?: [0-9]+)?)?(?: only| or later)?
 3 proprietary | proprietary licen[cs]e
 3 proprietary | all rights reserved
 3 proprietary | confidential and proprietary

@@ -40,6 +40,46 @@ def test_license_rules_all_match_what_they_begin_with(spark):
         assert len(re.sub(r"\(\?:([^()]*?)\)\?", r"\1", r.regex).split(" ")) <= licenses.REACH
 
 
+def expanded(regex, i=0):
+    """Texts that a rule's regex matches, by its alternatives and options."""
+    out, cur = [], [""]
+    while i < len(regex) and regex[i] != ")":
+        if regex[i] == "|":
+            out, cur, i = out + cur, [""], i + 1
+            continue
+        if regex.startswith("(?:", i):
+            part, i = expanded(regex, i + 3)
+        elif regex[i] == "[":
+            end = regex.index("]", i)
+            part, i = {"[cs]": ["c", "s"], "[0-9]": ["2"], "[0-9a-z]": ["q"]}[regex[i : end + 1]], end
+        else:
+            part = [regex[i]]
+        i += 1
+        if many := re.match(r"\?|\+|\{(\d)(,\d)?\}", regex[i:]):
+            part = [*part, ""] if many[0] == "?" else [x * int(many[1] or 1) for x in part]
+            i += len(many[0])
+        cur = [c + x for c in cur for x in part]
+    return out + cur, i
+
+
+def test_every_license_rule_can_be_kept(spark):
+    rules = licenses.rules()
+    cases = [(n, t) for n, r in enumerate(rules) if not r.base for t in sorted(expanded(r.regex)[0], key=len)[:: max(1, len(expanded(r.regex)[0]) // 6)]]
+    got = licenses.scan(spark.createDataFrame(cases, "doc_id bigint, text string")).select("doc_id", "kept.rule").collect()
+    assert {n for n, r in enumerate(rules) if not r.base} == {r.doc_id for r in got if r.doc_id in r.rule}
+
+
+def test_license_notices(spark):
+    cases = {
+        "SPDX-License-Identifier: MIT": "mit",
+        "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0+",
+        "SPDX-License-Identifier: Zlib": "spdx",
+        "the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "gpl,gpl-2.0+",
+    }
+    got = {r.doc_id: r.labels for r in licenses.digest(licenses.scan(texts(spark, *cases))).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_license_scan_of_odd_rows(spark):
     df = odd.documents(spark)
     got = licenses.digest(licenses.scan(df)).collect()
