@@ -28,6 +28,8 @@ BATCH_BYTES = 8 << 20
 
 VERSION, MEMBER = b"WARC/1.", b"\x1f\x8b\x08"
 VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
+#: Digests that are checked; others are taken as they are.
+ALGORITHMS = {x: getattr(hashlib, x) for x in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 FIELDS = ("path string, start bigint, end bigint, gap string, record_type string, record_id string, target_uri string, "
@@ -54,6 +56,23 @@ def record(kind: str, record_id: str, uri: str | None, payload: bytes, refers_to
     return pack.compress(f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r\n") + pack.flush()
 
 
+def agrees(named: str, data: bytes) -> bool | None:
+    """Whether a digest of a head, ``algorithm:value`` (without algorithm: SHA-1), is that of the data; None if it can't be told, for unknown algorithms.
+
+    By its length the value is in hexadecimal, base 32 or base 64.
+    """
+    label, _, value = named.rpartition(":")
+    made = ALGORITHMS.get((label or "sha1").strip().lower().replace("-", "").replace("_", ""))
+    if made is None:
+        return None
+    want, value = made(data).digest(), value.strip().rstrip("=")
+    if len(value) == 2 * len(want):
+        return value.lower() == want.hex()
+    if len(value) == -(-8 * len(want) // 5):
+        return value.upper() == base64.b32encode(want).decode().rstrip("=")
+    return value.replace("-", "+").replace("_", "/") == base64.b64encode(want).decode().rstrip("=")
+
+
 class Damaged(Exception):
     """A check of a record failed."""
 
@@ -80,18 +99,21 @@ def parse(data: bytes, at: int) -> tuple[dict, int]:
     if len(block) < int(length) or data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("block cut short")
     named = head.get(b"warc-block-digest")
-    if named and named.startswith("sha1:") and named[5:].upper() != digest(block):
+    if named and agrees(named, block) is False:
         raise Damaged("block digest differs")
     kind = head.get(b"warc-type")
     http, gap, payload = block.partition(b"\r\n\r\n") if head.get(b"content-type", "").startswith("application/http") else (b"", b"", block)
     size = len(payload)
-    named = head.get(b"warc-payload-digest", "").removeprefix("sha1:").upper() or None
+    named = head.get(b"warc-payload-digest") or None
     if kind == "revisit":
         said = [x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
         size = int(said[0]) if said and said[0].isdigit() else None
         payload = None
-    elif kind in ("response", "resource") and named and named != digest(payload):
+    elif kind in ("response", "resource") and named and agrees(named, payload) is False:
         raise Damaged("payload digest differs")
+    if named and re.fullmatch("(?i)(sha-?1:)?([0-9a-f]{40}|[a-z2-7]{32})", named):  # SHA-1 is told in base 32, without its label
+        value = named.rpartition(":")[2].upper()
+        named = base64.b32encode(bytes.fromhex(value)).decode() if len(value) == 40 else value
     uri, refers = head.get(b"warc-target-uri"), head.get(b"warc-refers-to")
     return {
         "record_type": kind, "record_id": head.get(b"warc-record-id", "").strip("<>"), "target_uri": unquote(uri) if uri is not None else None,

@@ -49,6 +49,22 @@ def test_members_of_several_records_and_wrong_payload_digest():
     assert read(wrong + text) == (["urn:x:0"], [(0, len(wrong))])
 
 
+@pytest.mark.parametrize("name", ["sha256", "sha1", "md5", "SHA-256", "xxh3"])
+def test_digests_by_their_label(name):
+    def with_digests(made, payload, block):
+        text = gzip.decompress(warc.record("response", "urn:x:0", "http://a/", payload, None, "2024-01-01T00:00:00Z"))
+        return text.replace(f"sha1:{warc.digest(payload)}".encode(), f"{name}:{made(payload)}".encode()).replace(f"sha1:{warc.digest(block)}".encode(), f"{name}:{made(block)}".encode())
+
+    kind = name.lower().replace("-", "") if name != "xxh3" else "sha384"
+    new = lambda x: hashlib.new(kind, x)
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 4\r\n\r\npage"
+    for made in (lambda x: new(x).hexdigest(), lambda x: new(x).hexdigest().upper(), lambda x: base64.b32encode(new(x).digest()).decode(), lambda x: base64.b64encode(new(x).digest()).decode()):
+        sound = with_digests(made, b"page", block)
+        assert sound.count(f"{name}:".encode()) == 2 and read(sound) == (["urn:x:0"], [])
+        if name != "xxh3":
+            assert read(with_digests(lambda x, f=made: f(x + b"!"), b"page", block)) == ([], [(0, len(sound))])
+
+
 def test_round_trip_of_odd_pages(spark):
     html = ["<p>a</p>", "", None, "<p>a</p>", "<p>é</p>", "x" * 300_000, "<p>a</p>", None, "<p>a</p>"]
     ids = [3, 4, 5, 1, 2**60 + 1, 6, 1, None, None]
