@@ -21,8 +21,10 @@ from ..scratch import scratch_path, write_and_reread
 ARCHIVE_BYTES = 64 << 20
 #: Bytes read at once while looking for the next record.
 WINDOW = 1 << 20
-#: A head or a record beyond these many bytes counts as damage.
-MAX_HEAD, MAX_RECORD = 64 << 10, 1 << 30
+#: A record whose head or block is beyond these many bytes counts as damage.
+MAX_RECORD = 1 << 30
+#: Bytes read first, then twice as many each time up to WINDOW; inflated bytes of a member that are kept from its check to its records.
+FIRST, KEPT = 64 << 10, 16 << 20
 #: Payload bytes that a task hands on at once.
 BATCH_BYTES = 8 << 20
 
@@ -77,15 +79,66 @@ class Damaged(Exception):
     """A check of a record failed."""
 
 
-def parse(data: bytes, at: int) -> tuple[dict, int]:
-    """The record that starts at ``at`` and where it ends; raises `Damaged` unless all its checks hold."""
-    if not VERSION_LINE.match(data, at):
+CUT = "member cut short"
+
+
+class Stream:
+    """Bytes of chunks that come one by one, by their places; those before ``base`` are given up. A fault in the chunks ends them."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.data, self.base = chunks, bytearray(), 0
+
+    def more(self) -> bool:
+        try:
+            self.data += next(self.chunks)
+        except (StopIteration, Damaged):
+            return False
+        return True
+
+    def reach(self, end: int) -> bool:
+        """Whether there are bytes up to ``end``."""
+        while self.base + len(self.data) < end:
+            if not self.more():
+                return False
+        return True
+
+    def part(self, start: int, end: int) -> bytes:
+        self.reach(end)
+        return bytes(self.data[start - self.base : end - self.base])
+
+    def find(self, what: bytes, start: int, limit: int | None = None) -> int:
+        """The first place from ``start`` on that holds ``what``, or -1. Without a limit, bytes before ``start`` and those searched are given up."""
+        while True:
+            if limit is None:
+                self.drop(start)
+            at = self.data.find(what, start - self.base)
+            if at >= 0:
+                return self.base + at
+            start = max(start, self.base + len(self.data) - len(what) + 1)
+            if limit is not None and start > limit or not self.more():
+                return -1
+
+    def drop(self, end: int) -> None:
+        done = min(end - self.base, len(self.data))
+        if done > 0:
+            del self.data[:done]
+            self.base += done
+
+
+def parse(stream: Stream, at: int) -> tuple[dict, int, bool]:
+    """The record that starts at ``at``, where it ends, and whether a digest proves its block; raises `Damaged` unless all its checks hold."""
+    if not VERSION_LINE.match(stream.part(at, at + 10)):
         raise Damaged("no version line")
-    head_end = data.find(b"\r\n\r\n", at, at + MAX_HEAD)
-    if head_end < 0:
-        raise Damaged("head without an end")
-    head = {}
-    for line in data[at:head_end].split(b"\r\n")[1:]:
+    head, pos = {}, at + 10
+    while True:
+        line_end = stream.find(b"\r\n", pos, at + MAX_RECORD)
+        if line_end < 0:
+            raise Damaged("head without an end")
+        line, pos = stream.part(pos, line_end), line_end + 2
+        if not line:
+            break
+        if pos - at > MAX_RECORD:
+            raise Damaged("record too long")
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("head line without a colon")
@@ -93,13 +146,15 @@ def parse(data: bytes, at: int) -> tuple[dict, int]:
     length = head.get(b"content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise Damaged("no content length")
-    start = head_end + 4
-    end = start + int(length)
-    block = data[start:end]
-    if len(block) < int(length) or data[end : end + 4] != b"\r\n\r\n":
+    if len(length.lstrip("0")) > 18 or int(length) > MAX_RECORD:
+        raise Damaged("record too long")
+    end = pos + int(length)
+    if stream.part(end, end + 4) != b"\r\n\r\n":
         raise Damaged("block cut short")
+    block = stream.part(pos, end)
     named = head.get(b"warc-block-digest")
-    if named and agrees(named, block) is False:
+    proof = agrees(named, block) if named else None
+    if proof is False:
         raise Damaged("block digest differs")
     kind = head.get(b"warc-type")
     http, gap, payload = block.partition(b"\r\n\r\n") if head.get(b"content-type", "").startswith("application/http") else (b"", b"", block)
@@ -118,57 +173,105 @@ def parse(data: bytes, at: int) -> tuple[dict, int]:
     return {
         "record_type": kind, "record_id": head.get(b"warc-record-id", "").strip("<>"), "target_uri": unquote(uri) if uri is not None else None,
         "payload_digest": named, "payload_bytes": size, "refers_to": refers.strip("<>") if refers is not None else None, "payload": payload,
-    }, end + 4
+    }, end + 4, bool(proof)
+
 
+def until_fault(unpack, chunk: bytes) -> Iterator[bytes]:
+    """What a chunk with a fault gives before it."""
+    try:
+        for i in range(len(chunk)):
+            if piece := unpack.decompress(chunk[i : i + 1]):
+                yield piece
+    except zlib.error:
+        return
 
-def inflate(file, at: int, size: int) -> tuple[bytes, int]:
-    """The gzip member that starts at ``at`` and where it ends; its checksum is checked."""
-    unpack, out, total, pos = zlib.decompressobj(31), [], 0, at
+
+def inflated(file, at: int, size: int) -> Iterator[bytes]:
+    """Bytes of the gzip member that starts at ``at``, piece by piece; its checksum is checked. Returns where the member ends, raises `Damaged` after the last sound piece."""
+    unpack, pos, step = zlib.decompressobj(31), at, FIRST
     while not unpack.eof:
         if pos >= size:
-            raise Damaged("member cut short")
+            raise Damaged(CUT)
         file.seek(pos)
-        chunk = file.read(min(WINDOW, size - pos))
+        chunk = file.read(min(step, size - pos))
+        pos, step = pos + len(chunk), min(2 * step, WINDOW)
+        while chunk and not unpack.eof:
+            before = unpack.copy()
+            try:
+                piece = unpack.decompress(chunk, WINDOW)
+            except zlib.error as e:
+                yield from until_fault(before, chunk)
+                raise Damaged(f"member: {e}") from None
+            chunk = unpack.unconsumed_tail
+            if piece:
+                yield piece
+    return pos - len(unpack.unused_data)
+
+
+def as_is(file, at: int, size: int) -> Iterator[bytes]:
+    """Bytes of the file from ``at`` on, piece by piece."""
+    step = FIRST
+    while at < size:
+        file.seek(at)
+        yield (chunk := file.read(min(step, size - at)))
+        at, step = at + len(chunk), min(2 * step, WINDOW)
+
+
+def records_of(stream: Stream, fault: str | None) -> Iterator[dict]:
+    """Records and gaps of an inflated member. After a failed check it goes on at the next version line that holds a sound record.
+
+    If the member has a fault, its gaps are left out, and unless it is just cut, so are records that no digest of their own proves.
+    """
+    pos = 0
+    while stream.reach(pos + 1):
         try:
-            out.append(unpack.decompress(chunk, MAX_RECORD + MAX_HEAD - total))
-        except zlib.error as e:
-            raise Damaged(f"member: {e}") from None
-        total += len(out[-1])
-        if total >= MAX_RECORD + MAX_HEAD:
-            raise Damaged("record too long")
-        pos += len(chunk) - len(unpack.unused_data)
-    return b"".join(out), pos
-
-
-def plain(file, at: int, size: int) -> tuple[dict, int]:
-    """An uncompressed record that starts at ``at``; reads its head first, then as much as the head says."""
-    file.seek(at)
-    data = file.read(min(MAX_HEAD, size - at))
-    head, gap, _ = data.partition(b"\r\n\r\n")
-    said = [x.partition(b":")[2].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-    if gap and said and said[0].isdigit():
-        whole = len(head) + 8 + int(said[0])
-        if int(said[0]) > MAX_RECORD:
-            raise Damaged("record too long")
-        if whole > len(data):
-            file.seek(at)
-            data = file.read(min(whole, size - at))
-    found, end = parse(data, 0)
-    return found, at + end
+            found, end, proof = parse(stream, pos)
+        except Damaged as e:
+            place = stream.find(VERSION, pos + 1)
+            while place >= 0:
+                try:
+                    parse(stream, place)
+                    break
+                except Damaged:
+                    place = stream.find(VERSION, place + 1)
+            if fault is None:
+                yield {"gap": str(e)}
+            if place < 0:
+                return
+            pos = place
+            continue
+        if proof or fault in (None, CUT):
+            yield found | {"gap": None}
+        pos = end
+        stream.drop(pos)
 
 
-def unit(file, at: int, size: int) -> tuple[list[dict], int]:
-    """The records of the member, or the plain record, that starts at ``at``, and where it ends."""
+def unit(file, at: int, size: int) -> tuple[Iterator[dict], int | None, str | None]:
+    """The records of the member, or the plain record, that starts at ``at``, where it ends, and its fault, if it has one (then its end isn't known)."""
     file.seek(at)
     if file.read(3) != MEMBER:
-        found, end = plain(file, at, size)
-        return [found], end
-    data, end = inflate(file, at, size)
-    records, pos = [], 0
-    while pos < len(data):
-        found, pos = parse(data, pos)
-        records.append(found)
-    return records, end
+        try:
+            found, end, _ = parse(Stream(as_is(file, at, size)), 0)
+        except Damaged as e:
+            return iter(()), None, str(e)
+        return iter((found | {"gap": None},)), at + end, None
+    # the member's checksum comes last, so it is read to its end first; a long one is inflated again for its records
+    pieces, total, end, fault, chunks = [], 0, None, None, inflated(file, at, size)
+    while True:
+        try:
+            piece = next(chunks)
+        except StopIteration as e:
+            end = e.value
+            break
+        except Damaged as e:
+            fault = str(e)
+            break
+        total += len(piece)
+        if total <= KEPT:
+            pieces.append(piece)
+        else:
+            pieces.clear()
+    return records_of(Stream(iter(pieces) if total <= KEPT else inflated(file, at, size)), fault), end, fault
 
 
 def candidates(file, start: int, size: int) -> Iterator[int]:
@@ -192,25 +295,18 @@ def salvage(file, size: int) -> Iterator[dict]:
     """Records of an archive in order, with ``start`` and ``end`` of the member or plain record they lie in.
 
     Where a check fails, the bytes up to the next place that holds a sound record are passed over and told as a row with ``gap``, the
-    reason, and neither type nor payload. Recovery never joins bytes from both sides of a gap.
+    reason, and neither type nor payload. In a sound member only the record at fault is passed over. The gap of a member that is itself at fault covers it whole, and its sound records
+    come before the gap's row. Recovery never joins bytes from both sides of a gap.
     """
     pos = 0
     while pos < size:
-        try:
-            records, end = unit(file, pos, size)
-        except Damaged as e:
-            reason, after, records, end = str(e), size, [], size
-            for place in candidates(file, pos + 1, size):
-                try:
-                    records, end = unit(file, place, size)
-                except Damaged:
-                    continue
-                after = place
-                break
-            yield {"start": pos, "end": after, "gap": reason}
-            pos = after
-        for r in records:
-            yield r | {"start": pos, "end": end, "gap": None}
+        rows, end, fault = unit(file, pos, size)
+        if fault is not None:
+            end = next((p for p in candidates(file, pos + 1, size) if any(r["gap"] is None for r in unit(file, p, size)[0])), size)
+        for r in rows:
+            yield r | {"start": pos, "end": end}
+        if fault is not None:
+            yield {"start": pos, "end": end, "gap": fault}
         pos = end
 
 
@@ -265,7 +361,7 @@ def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records and gaps of the archives named in the ``path`` column, gzipped or plain: see `salvage` and `FIELDS`.
 
     A file that can't be opened raises; an empty one has no rows. ``archives`` may be empty. Null paths are skipped. Each archive is read by one task, in
-    windows; records come one at a time, so a task needs memory for the largest record.
+    windows; records come one at a time, so a task needs memory for the largest record, however long its member is.
     """
     spark = archives.sparkSession
     names = FIELDS.replace(" string", "").replace(" bigint", "").replace(" binary", "").split(", ")

@@ -49,6 +49,40 @@ def test_members_of_several_records_and_wrong_payload_digest():
     assert read(wrong + text) == (["urn:x:0"], [(0, len(wrong))])
 
 
+@pytest.mark.parametrize("kept", [0, 1 << 20])
+def test_members_are_read_record_by_record(kept, monkeypatch):
+    monkeypatch.setattr(warc, "KEPT", kept)
+    monkeypatch.setattr(warc, "WINDOW", 300)
+    monkeypatch.setattr(warc, "MAX_RECORD", 3000)
+    texts = [gzip.decompress(r) for r in records(6)]
+    ids = [f"urn:x:{i}" for i in range(6)]
+    member = gzip.compress(b"".join(texts))
+    assert sum(map(len, texts)) > 3000 and read(member) == (ids, [])  # the bound is one of records
+    long = gzip.compress(texts[0] + records_of_length(4000) + texts[1])
+    assert read(long + member) == (ids[:2] + ids, [(0, len(long))])
+    broken = bytearray(texts[2])
+    broken[-8] ^= 0xFF
+    part = gzip.compress(texts[1] + bytes(broken) + b"junk" + texts[3])
+    assert read(part + member) == ([ids[1], ids[3], *ids], [(0, len(part))])
+    wrong = bytearray(member)
+    wrong[-8] ^= 0xFF  # the checksum
+    assert read(bytes(wrong) + part) == ([*ids, ids[1], ids[3]], [(0, len(member)), (len(member), len(member) + len(part))])
+    assert read(part + member[:-9])[0] == [ids[1], ids[3], *ids]
+    unproved = gzip.compress(b"".join(texts).replace(b"WARC-Block-Digest", b"X-Block-Digest"))
+    assert read(unproved) == (ids, []) and read(unproved[:-8] + bytes(8) + part)[0] == [ids[1], ids[3]]
+
+
+def records_of_length(n):
+    return gzip.decompress(warc.record("response", "urn:x:long", "http://a/", b"x" * n, None, "2024-01-01T00:00:00Z"))
+
+
+def test_heads_of_any_length(spark):
+    uri = "http://a/" + "é" * 100_000
+    df = spark.createDataFrame([(1, uri, "a"), (2, "u", "b")], "page_id bigint, url string, html string")
+    assert sorted(r.page_id for r in warc.round_trip(spark, df).collect()) == [1, 2]
+    assert {r.target_uri for r in warc.read(warc.write(df, scratch_path(spark, "archives"))).collect()} == {uri, "u"}
+
+
 @pytest.mark.parametrize("name", ["sha256", "sha1", "md5", "SHA-256", "xxh3"])
 def test_digests_by_their_label(name):
     def with_digests(made, payload, block):
