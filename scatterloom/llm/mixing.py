@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 
-#: Characters of a block, and shares that are dealt out among the sources.
+#: Characters of a block, and shares that are dealt out among the sources, more if the smallest one gets fewer than LEAST of them, up to MAX_PERIOD.
 BLOCK_CHARS, PERIOD = 50_000, 1024
+LEAST, MAX_PERIOD = 16, 1 << 20
 #: Sources at most: their shares and the slots of a period pass through the driver.
 MAX_SOURCES = 1 << 14
 #: Leading hexadecimal digits of an id's hash that make a bucket: a source has 16^DIGITS, so no task numbers more than a small part of it.
@@ -23,13 +24,19 @@ def source_of(df: DataFrame, source_col: str) -> Column:
 
 
 def shares_by_size(df: DataFrame, source_col: str = "source", text_col: str = "text", power: float = 0.5, period: int = PERIOD) -> dict[str, int]:
-    """Whole shares, 1 at least, in proportion to each source's characters to the power of ``power``; about ``period`` in all."""
+    """Whole shares, 1 at least, in proportion to each source's characters to the power of ``power``; about ``period`` in all.
+
+    The period is doubled until the smallest source has LEAST shares or it is MAX_PERIOD, so rounding moves a weight by a part in 2 LEAST at most. Sources of a
+    smaller weight than one in MAX_PERIOD have a share of it nevertheless.
+    """
     sizes = df.groupBy(source_of(df, source_col).alias("source")).agg(F.sum(F.length(whole_text(df, text_col))).alias("size"))
     rows = sizes.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: give each a share, or join small ones")
     weights = {r["source"]: float(max(1, r["size"])) ** power for r in rows}
     total = sum(weights[s] for s in sorted(weights))
+    while weights and period * min(weights.values()) / total < LEAST and 2 * period <= MAX_PERIOD:
+        period *= 2
     return {s: max(1, int(period * weights[s] / total + 0.5)) for s in sorted(weights)}
 
 

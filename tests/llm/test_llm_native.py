@@ -203,6 +203,18 @@ def test_less_than_a_block_from_the_target(shares):
     assert done == shares
 
 
+def test_many_sources_keep_their_weights(spark):
+    df = spark.range(2001).select(F.concat(F.lit("s"), "id").alias("source"), F.repeat(F.lit("x"), F.when(F.col("id") == 0, 100_000).otherwise(100).cast("int")).alias("text"))
+    shares = mixing.shares_by_size(df)
+    hot, other = 100_000**0.5, 100**0.5
+    total = hot + 2000 * other
+    assert len(shares) == 2001
+    for s, c in shares.items():
+        want = (hot if s == "s0" else other) / total
+        assert abs(c / sum(shares.values()) - want) < want / 16
+    assert sum(shares.values()) == len(mixing.period_slots(shares))
+
+
 def test_mixing_odd_rows(spark):
     df = odd.documents(spark)
     shares = {"": 1, "s0": 2, "s1": 3, "s2": 1}
