@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, lines, minhash, mixing, ordermin, quality, secret_scan, topk, warc
+from . import bpe, licenses, lines, merkle, minhash, mixing, ordermin, quality, secret_scan, topk, warc
 from .common import LOWER, UPPER, table
 from .license_rules import REACH
 
@@ -66,7 +66,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_topk, op4_near_dedup, op5_byte_bpe, op6_fingerprints, op7_line_dedup, op8_mixing, op9_secrets, op10_warc)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a manifest by language, and whether a tampered row is found out."""
+    documents = table(spark, sf_dir, "documents")
+    doc_id, n_chars = documents["doc_id"], documents["n_chars"]
+    leaf = lambda size: merkle.leaf_of(doc_id, documents["source"], documents["lang"], size, documents["text"])
+    chosen = F.crc32(doc_id.cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(chosen, F.unhex(leaf(n_chars.cast("decimal(20,0)") + 1)))
+    rows = merkle.manifest(documents, leaf(n_chars), "doc_id", "lang", {"doc_id": doc_id, "tampered": tampered}).proofs()
+    given = F.coalesce(merkle.as_text(F.col("tampered")), F.col("leaf"))
+    rows = rows.withColumns({"proof_sha256": merkle.siblings_digest(F.col("proof")), "folded_root": merkle.folded(given, F.col("proof"))})
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_topk, op4_near_dedup, op5_byte_bpe, op6_fingerprints, op7_line_dedup, op8_mixing, op9_secrets, op10_warc, op11_merkle)}
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -200,6 +215,47 @@ SQL = {
                sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM d LEFT JOIN e ON d.doc_id = e.doc_id
     """,
+    "op11_merkle": """
+        WITH RECURSIVE v AS (
+            SELECT doc_id, coalesce('k' || lang, '') AS key, n_chars,
+                   list_reduce(list_concat([4294967295::BIGINT], [ascii(c)::BIGINT FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+                               lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) AS crc,
+                   coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                   coalesce(strlen(text) || ':' || text, '-') AS tail
+            FROM documents
+        ), r AS (
+            SELECT doc_id, key, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n,
+                   sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+                   CASE WHEN xor(crc, 4294967295) % 7 = 0
+                        THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS tampered
+            FROM v
+        ), t(key, level, pos, n, h) AS (
+            SELECT key, 0, pos, n, leaf FROM r
+            UNION ALL
+            SELECT key, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY key, level, pos // 2, n
+        ), s AS (
+            SELECT key, h, level AS height, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1
+        ), u(level, pos, n, h) AS (
+            SELECT 0, pos, n, h FROM s
+            UNION ALL
+            SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, pos // 2, n
+        ), steps AS (
+            SELECT r.doc_id, r.key, a.level, (r.pos >> a.level) % 2 AS slot, coalesce(b.h, '') AS other
+            FROM r JOIN t a ON a.key = r.key AND a.n > 1 AND a.pos = r.pos >> a.level LEFT JOIN t b ON b.key = a.key AND b.level = a.level AND b.pos = xor(a.pos, 1)
+            UNION ALL
+            SELECT r.doc_id, r.key, s.height + a.level, (s.pos >> a.level) % 2, coalesce(b.h, '')
+            FROM r JOIN s ON s.key = r.key JOIN u a ON a.n > 1 AND a.pos = s.pos >> a.level LEFT JOIN u b ON b.level = a.level AND b.pos = xor(a.pos, 1)
+        ), p AS (
+            SELECT doc_id, key, list({'slot': slot, 'other': other, 'own': ''} ORDER BY level) AS proof, string_agg(other, '' ORDER BY level) AS others FROM steps GROUP BY doc_id, key
+        ), e AS (
+            SELECT r.doc_id, r.leaf, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(coalesce(others, '')) AS proof_sha256,
+                   list_reduce(list_concat([{'slot': 0, 'other': '', 'own': coalesce(tampered, leaf)}], coalesce(proof, [])),
+                               lambda a, b: {'slot': 0, 'other': '', 'own': sha256(CASE b.slot WHEN 0 THEN a.own || b.other ELSE b.other || a.own END)}).own AS folded_root
+            FROM r JOIN s ON s.key = r.key LEFT JOIN p ON p.doc_id IS NOT DISTINCT FROM r.doc_id AND p.key = r.key
+        )
+        SELECT *, folded_root = root AS verified FROM e
+    """,
     "op3_topk": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w
