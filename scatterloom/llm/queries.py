@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, lines, merkle, minhash, mixing, ordermin, quality, secret_scan, topk, warc
+from . import align_tokens, bpe, licenses, lines, merkle, minhash, mixing, ordermin, quality, secret_scan, topk, warc
 from .common import LOWER, UPPER, table
 from .license_rules import REACH
 
@@ -79,7 +79,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_topk, op4_near_dedup, op5_byte_bpe, op6_fingerprints, op7_line_dedup, op8_mixing, op9_secrets, op10_warc, op11_merkle)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers: groups, links, and how often linked ids meet in the corpus."""
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
+    alignment = align_tokens.align(table(spark, sf_dir, "documents"), *files)
+    rows = align_tokens.scored(alignment, align_tokens.pair_counts(alignment))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_topk, op4_near_dedup, op5_byte_bpe, op6_fingerprints, op7_line_dedup, op8_mixing, op9_secrets, op10_warc, op11_merkle, op12_token_alignment)}
 
 
 def _quoted(text: str) -> str:
