@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align_tokens, bpe, licenses, lines, merkle, minhash, mixing, ordermin, quality, secret_scan, topk, warc
+from . import align_tokens, bpe, licenses, lines, merkle, minhash, mixing, ordermin, quality, rules, secret_scan, topk, warc
 from .common import LOWER, UPPER, table
 from .license_rules import REACH
 
@@ -87,7 +87,13 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_topk, op4_near_dedup, op5_byte_bpe, op6_fingerprints, op7_line_dedup, op8_mixing, op9_secrets, op10_warc, op11_merkle, op12_token_alignment)}
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document judged by fixed rules and by a list learned from two thirds of the labels."""
+    rows = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "held_out")
+
+
+QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_topk, op4_near_dedup, op5_byte_bpe, op6_fingerprints, op7_line_dedup, op8_mixing, op9_secrets, op10_warc, op11_merkle, op12_token_alignment, op13_quality_rules)}
 
 
 def _quoted(text: str) -> str:
