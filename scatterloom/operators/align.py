@@ -2,10 +2,8 @@
 
 The input is *tagged* coordinates: ``frame, atom_id, x, y, z, mass`` and one boolean
 column per selection (``selections.tag_atoms`` on the atoms, joined once by
-``atom_id``). Each step is a partial aggregation to one row per frame, which is done
-when the step is called, and a join of that table back by ``frame``. So what a chain of steps
-leaves in the plan is one scan and a join per step, and the coordinates themselves are not shuffled
-when the per-frame tables are small enough to broadcast.
+``atom_id``). The alignments are steps of `rigid`, which composes chains of them: each function here is a chain of one step,
+which reads the coordinates once when it is called and leaves a join by ``frame`` in the plan. For several steps at once use `rigid.move`.
 """
 
 from __future__ import annotations
@@ -19,30 +17,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scatterloom.functions import vec
-from scatterloom.operators.params import PART_ROWS, localize, on_driver
+from scatterloom.operators import rigid
+from scatterloom.operators.params import localize, on_driver
+from scatterloom.operators.rigid import MATRIX, best_rotations, join_per_frame
 from scatterloom.operators.selections import SYSTEM, is_in
-from scatterloom.scratch import write_and_reread
+
 
 def tagged(coords: DataFrame, atoms: DataFrame) -> DataFrame:
     """Coordinates with the mass and the selection flags of their atom."""
     extra = [c for c in atoms.columns if c == "atom_id" or c not in coords.columns]
-    return coords.join(_shipped(localize(atoms.select(*extra))), "atom_id")
-
-
-def _shipped(params: DataFrame) -> DataFrame:
-    """A table whose size has been checked is broadcast; a larger one is joined as the optimizer likes."""
-    return params if on_driver(params) is None else F.broadcast(params)
-
-
-def join_per_frame(df: DataFrame, per_frame: DataFrame, n_frames: int | None = None) -> DataFrame:
-    """Join with a table of one row per frame, which is evaluated here.
-
-    Up to ``PART_ROWS`` frames it is broadcast, after a look at its size; a larger one is written to
-    the scratch folder and joined as the optimizer likes, which splits a frame with too many rows.
-    """
-    if n_frames is None or n_frames > PART_ROWS:
-        per_frame = write_and_reread(per_frame, "per-frame")
-    return df.join(_shipped(localize(per_frame)), "frame", "left")
+    return coords.join(rigid.shipped(localize(atoms.select(*extra))), "atom_id")
 
 
 def _centre_sums(member, prefix="c"):
@@ -67,9 +51,6 @@ def translate(df: DataFrame, shift: vec.Vec, selection: str = SYSTEM) -> DataFra
     )
 
 
-MATRIX = [f"r{i}{j}" for i in range(3) for j in range(3)]
-
-
 def _row_times_matrix(v: vec.Vec, matrix=MATRIX) -> vec.Vec:
     """Row vector times the 3x3 matrix held in nine columns."""
     m = [F.col(c) for c in matrix]
@@ -147,10 +128,7 @@ def _reference_centre(reference: DataFrame) -> vec.Vec:
 
 def align_center(df, selection=SYSTEM, reference_selection=SYSTEM, n_frames=None) -> DataFrame:
     """Move ``selection`` so that the current centre of the reference selection is the origin."""
-    centres = center_of_mass(df, reference_selection)
-    joined = join_per_frame(df, centres, n_frames)
-    shift = vec.scale(-1.0, vec.columns("cx", "cy", "cz"))
-    return translate(joined, shift, selection).drop("cx", "cy", "cz")
+    return rigid.move(df, [rigid.Centre(selection, reference_selection)], n_frames)
 
 
 def align_fittrans(df, reference: DataFrame | None = None, selection=SYSTEM, n_frames=None) -> DataFrame:
@@ -158,16 +136,8 @@ def align_fittrans(df, reference: DataFrame | None = None, selection=SYSTEM, n_f
 
     Without a reference the whole current frame serves as one.
     """
-    aggs = _centre_sums(is_in(selection))
-    if reference is None:
-        aggs += _centre_sums(F.lit(True), "a")
-        target = vec.columns("ax", "ay", "az")
-    else:
-        target = _reference_centre(reference)
-    centres = df.groupBy("frame").agg(*aggs).na.fill(0.0)
-    joined = join_per_frame(df, centres, n_frames)
-    shift = vec.sub(target, vec.columns("cx", "cy", "cz"))
-    return translate(joined, shift, selection).select(*df.columns)
+    target = None if reference is None else rigid.Reference.of(reference)
+    return rigid.move(df, [rigid.Onto(target, selection)], n_frames)
 
 
 def fit_sums(df: DataFrame, reference: DataFrame) -> DataFrame:
@@ -195,19 +165,11 @@ def fit_sums(df: DataFrame, reference: DataFrame) -> DataFrame:
     )
 
 
-def _best_rotations(k: np.ndarray) -> np.ndarray:
-    """Proper rotations R that make R v closest to u, for stacked K = sum u v^T."""
-    left, _, right = np.linalg.svd(k)
-    sign = np.sign(np.linalg.det(left @ right))
-    left[:, :, 2] *= sign[:, None]
-    return left @ right
-
-
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _rotation(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for k in parts:
         m = np.array(k.to_list(), dtype=np.float64).reshape(-1, 3, 3)
-        yield pd.Series(list(_best_rotations(m).reshape(-1, 9)))
+        yield pd.Series(list(best_rotations(m).reshape(-1, 9)))
 
 
 def fit_rotations(df: DataFrame, reference: DataFrame) -> DataFrame:
@@ -224,22 +186,6 @@ def fit_rotations(df: DataFrame, reference: DataFrame) -> DataFrame:
     )
 
 
-def _fit(df, reference, selection, reference_selection, target, n_frames, apply_to):
-    joined = join_per_frame(df, fit_rotations(df, reference), n_frames)
-    v = vec.sub(vec.columns(), vec.columns("cx", "cy", "cz"))
-    m = [F.col(c) for c in MATRIX]
-    turned = vec.Vec(*(m[3 * i] * v.x + m[3 * i + 1] * v.y + m[3 * i + 2] * v.z for i in range(3)))
-    moved = vec.add(turned, target)
-    hit = is_in(selection) & F.col("r00").isNotNull()
-    if apply_to == "common":
-        hit = hit & is_in(reference_selection)
-    elif apply_to != "selection":
-        raise ValueError("apply_to is 'common' or 'selection'")
-    return joined.withColumns(
-        {c: F.when(hit, new).otherwise(F.col(c)) for c, new in zip("xyz", moved)}
-    ).select(*df.columns)
-
-
 def align_fitrottrans(
     df, reference, selection=SYSTEM, reference_selection=SYSTEM, n_frames=None, apply_to="common"
 ) -> DataFrame:
@@ -250,8 +196,8 @@ def align_fitrottrans(
     """
     if reference is None:
         return df
-    target = _reference_centre(reference)
-    return _fit(df, reference, selection, reference_selection, target, n_frames, apply_to)
+    step = rigid.Fit(rigid.Reference.of(reference), selection, reference_selection, apply_to=apply_to)
+    return rigid.move(df, [step], n_frames)
 
 
 def align_fitrot(
@@ -260,5 +206,5 @@ def align_fitrot(
     """Least-squares rotation about the own centre, which stays where it is."""
     if reference is None:
         return df
-    own = vec.columns("cx", "cy", "cz")
-    return _fit(df, reference, selection, reference_selection, own, n_frames, apply_to)
+    step = rigid.Fit(rigid.Reference.of(reference), selection, reference_selection, True, apply_to)
+    return rigid.move(df, [step], n_frames)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scatterloom.functions import draws, vec
-from scatterloom.operators import align
+from scatterloom.operators import align, rigid
 from scatterloom.operators.prefix import running_total
 from scatterloom.operators.selections import SYSTEM
 
@@ -28,10 +28,20 @@ def _direction(direction, length: float) -> tuple:
     return tuple(length * float(c) / n for c in direction)
 
 
+def linear(displace=1.0, direction=(1.0, 0.0, 0.0), sampling=1) -> vec.Vec:
+    """The shift of each frame in a steady motion: ``displace * sampling`` along ``direction`` per frame."""
+    return vec.scale(F.col("frame"), vec.literal(_direction(direction, displace * sampling)))
+
+
+def oscillation(displace=1.0, frequency=0.001, direction=(1.0, 0.0, 0.0), sampling=1) -> vec.Vec:
+    """The shift of each frame in a sine in time along ``direction``."""
+    wave = F.sin(F.col("frame") * (2 * math.pi * frequency * sampling))
+    return vec.scale(wave, vec.literal(_direction(direction, displace)))
+
+
 def motion_linear(df, displace=1.0, direction=(1.0, 0.0, 0.0), sampling=1, selection=SYSTEM) -> DataFrame:
     """Steady motion: ``displace * sampling`` along ``direction`` per frame."""
-    d = vec.literal(_direction(direction, displace * sampling))
-    return align.translate(df, vec.scale(F.col("frame"), d), selection)
+    return align.translate(df, linear(displace, direction, sampling), selection)
 
 
 def motion_fixed(df, displace=1.0, direction=(1.0, 0.0, 0.0), selection=SYSTEM) -> DataFrame:
@@ -43,9 +53,7 @@ def motion_oscillation(
     df, displace=1.0, frequency=0.001, direction=(1.0, 0.0, 0.0), sampling=1, selection=SYSTEM
 ) -> DataFrame:
     """A sine in time along ``direction``."""
-    d = vec.literal(_direction(direction, displace))
-    wave = F.sin(F.col("frame") * (2 * math.pi * frequency * sampling))
-    return align.translate(df, vec.scale(wave, d), selection)
+    return align.translate(df, oscillation(displace, frequency, direction, sampling), selection)
 
 
 # -- walks --------------------------------------------------------------------------------
@@ -180,18 +188,8 @@ def motion_rotation(df, rotations: DataFrame, selection=SYSTEM, reference=None,
 
     Without a reference the centre of ``reference_selection`` in the current frame is used.
     """
-    if reference is None:
-        df2 = align.join_per_frame(df, align.center_of_mass(df, reference_selection), n_frames)
-        centre = vec.columns("cx", "cy", "cz")
-    else:
-        df2, centre = df, align._reference_centre(reference)
-    joined = align.join_per_frame(df2, rotations.select("frame", *align.MATRIX), n_frames)
-    v = vec.sub(vec.columns(), centre)
-    moved = vec.add(align._row_times_matrix(v), centre)
-    hit = align.is_in(selection) & F.col("r00").isNotNull()
-    return joined.withColumns(
-        {c: F.when(hit, new).otherwise(F.col(c)) for c, new in zip("xyz", moved)}
-    ).select(*df.columns)
+    about = None if reference is None else rigid.Reference.of(reference)
+    return rigid.move(df, [rigid.Turn(rotations, selection, about, reference_selection)], n_frames)
 
 
 def motion_rotbrownian(df, n_frames: int, displace=1.0, seed=0, sampling=1, selection=SYSTEM,

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scatterloom.operators.params import local_table
+from scatterloom.scratch import scratch_path
 
 FRAMES_PER_FOLDER = 10_000
 ATOMS_PER_FOLDER = 10_000
@@ -31,10 +34,26 @@ def spread_frames(df: DataFrame, partitions: int | None = None) -> DataFrame:
         return df.repartition(n, "frame")
     table = local_table(df.sparkSession, large, f"frame {df.schema['frame'].dataType.simpleString()}")
     marked = df.join(F.broadcast(table.withColumn("__large", F.lit(True))), "frame", "left")
+    # numbered in order of the rows themselves: a task that is repeated on rows in another order deals them out as before
     salt = F.when(F.col("__large"), F.monotonically_increasing_id() % n)
+    marked = marked.sortWithinPartitions("__large", *df.columns)
     return marked.withColumn("__salt", salt).repartition(n, "frame", "__salt").select(*df.columns)
 
 
+def cluster_by_frame(df: DataFrame, buckets: int) -> DataFrame:
+    """``df`` written in ``buckets`` by frame, as a table of the session in the scratch folder.
+
+    What is joined or grouped by frame afterwards stays where it lies: two tables in the same number of buckets are joined without a
+    shuffle. A bucket takes whole frames, so this is for trajectories whose frames are of like size, as those of one system are.
+    """
+    spark = df.sparkSession
+    name = f"scatterloom_by_frame_{uuid.uuid4().hex}"
+    whole = df.withColumn("frame", F.col("frame").cast("bigint"))
+    writer = whole.repartition(buckets, "frame").write.bucketBy(buckets, "frame").sortBy("frame")
+    writer.option("path", scratch_path(spark, "by-frame")).saveAsTable(name)
+    return spark.table(name)
+
+
 def stage_frames(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Contiguous frame ranges per task, sorted."""
     args = ["frame", "atom_id"] if "atom_id" in df.columns else ["frame"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scatterloom.functions import constants, vec
-from scatterloom.operators import align, frames, motions, qspace, selections, staging
+from scatterloom.operators import align, frames, motions, qspace, rigid, selections, staging
 from scatterloom.operators import elements as el
 from scatterloom.operators.prefix import running_total
 from scatterloom.plans import amplitude, series
@@ -876,6 +876,31 @@ def prepare_steps(spark, sf):
     return rounded(df.select("frame", "atom_id", "r", "phi", "theta"), "r", "phi", "theta")
 
 
+@query("prepare_rigid_chain", f"""WITH {TRAJ}, z0 AS (SELECT atom_id, x, y, z, mass FROM traj WHERE frame = 0),
+ s AS (SELECT vec_id AS frame, atom_id, mass, x - CASE WHEN atom_id > 9 THEN 0.02*vec_id ELSE 0 END AS x, y, z FROM embeddings, z0),
+ c AS (SELECT frame, sum(mass*x)/sum(mass) AS cx, sum(mass*y)/sum(mass) AS cy, sum(mass*z)/sum(mass) AS cz FROM s WHERE atom_id >= 7 GROUP BY frame)
+ SELECT frame, atom_id, {r('x - cx', 'x', 5)}, {r('y - cy', 'y', 5)}, {r('z - cz', 'z', 5)} FROM s JOIN c USING (frame)""")
+def prepare_rigid_chain(spark, sf):
+    """Copies of a frame, turned and shifted, are fitted on to it by one selection, the other one drifts off, all is fitted to that
+    one and centred on the first: four steps, one map per frame."""
+    n = t.n_frames(spark, sf)
+    copies, df = turned_copies(spark, sf)
+    tail, core = (rigid.Reference.of(align.reference_coords(df, 0, name)) for name in ("tail", "core"))
+    chain = [
+        rigid.Fit(tail, "system", "tail", apply_to="selection"), rigid.Shift(motions.linear(0.02), "core"),
+        rigid.Fit(core, "system", "core", apply_to="selection"), rigid.Centre("system", "tail"),
+    ]
+    return coords_out(rigid.move(copies, chain, n), 5)
+
+
+@query("clustered_frames", f"""WITH {TRAJ}, {TAGGED}, {_com('core')} SELECT frame, atom_id, {r('CASE WHEN tail THEN x - cx ELSE x END', 'x')},
+   {r('CASE WHEN tail THEN y - cy ELSE y END', 'y')}, {r('CASE WHEN tail THEN z - cz ELSE z END', 'z')} FROM tagged JOIN com USING (frame)""")
+def clustered_frames(spark, sf):
+    """The trajectory in buckets by frame, with a table of all frames in the same buckets."""
+    df = staging.cluster_by_frame(tagged(spark, sf), 8)
+    return coords_out(rigid.move(df, [rigid.Centre("tail", "core")], None, 8))
+
+
 # == motions ==================================================================================
 
 
