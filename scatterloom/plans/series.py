@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from scatterloom.operators.frames import explode_range
 
 SERIES_IN_TASK = 1 << 18  # longest series transformed inside one task: 4 MB of values
+DIRECT_BLOCK = 1 << 16  # frames of a block of the direct sum: a pair of blocks takes 2^32 products
 TILE = 64
 
 
@@ -218,13 +219,59 @@ def _across_tasks(df: DataFrame, keys, n_frames: int, tile: int = TILE) -> DataF
     return step.applyInPandas(backward, final)
 
 
+def block_of(wanted: int, n_frames: int) -> int:
+    """Frames of a block; four blocks where a task may hold nothing at all."""
+    return wanted if wanted > 0 else -(-n_frames // 4)
+
+
+def block_pairs(frame, n_frames: int, block: int):
+    """Columns ``i, j`` (i <= j) of all pairs of blocks that a frame's block is part of, as one array column of structs."""
+    own, last = F.expr(f"{frame} div {block}"), -(-n_frames // block) - 1
+    others = F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))
+    return F.transform(others, lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+
+
+def lagged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums over k of conj(a[k]) * b[k + r] for r = -(L-1)..L-1, of two blocks of L values."""
+    return np.correlate(b, a, "full")
+
+
+def _by_pairs(df: DataFrame, keys, n_frames: int, block: int) -> DataFrame:
+    """The direct sum of series too long for one task: every pair of blocks is a task of its own.
+
+    A pair of blocks d apart gives the lags around d * block, 2 * block - 1 of them; these are added up by lag. Rows travel once for each
+    block of their series, and no task does more than ``block ** 2`` products.
+    """
+    out = _schema(df, keys, "frame bigint", "re double", "im double")
+
+    def pair(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        *series_key, i, j = key
+        frame, value = pdf["frame"].to_numpy(), pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        once_each(frame)
+        parts = []
+        for k in (i, j):
+            a = np.zeros(block, dtype=np.complex128)
+            inside = frame // block == k
+            a[frame[inside] - k * block] = value[inside]
+            parts.append(a)
+        tau = (j - i) * block + np.arange(1 - block, block)
+        keep = (tau >= 0) & (tau < n_frames)
+        tau, sums = tau[keep], lagged(*parts)[keep]
+        return pd.DataFrame({**dict(zip(keys, series_key)), "frame": tau, "re": sums.real, "im": sums.imag})
+
+    dealt = df.select(*keys, "frame", "re", "im", F.inline(block_pairs("frame", n_frames, block)))
+    sums = dealt.groupBy(*keys, "i", "j").applyInPandas(pair, out).groupBy(*keys, "frame")
+    share = F.lit(n_frames) - F.col("frame")
+    return dense(sums.agg((F.sum("re") / share).alias("re"), (F.sum("im") / share).alias("im")), keys, n_frames)
+
+
 def autocorrelate(
     df: DataFrame, keys, n_frames: int, method: str = "fft", in_task: int = SERIES_IN_TASK
 ) -> DataFrame:
     """C(tau) = 1/(n-tau) * sum over k of conj(A[k]) * A[k+tau]; the lag is in ``frame``.
 
-    ``direct`` is the quadratic sum of a series inside a task, and raises for series that a task
-    may not hold; ``fft`` pads to twice the length and is spread over tasks for these.
+    ``direct`` is the quadratic sum, ``fft`` pads to twice the length. Series that are longer than a task may hold
+    (``DIRECT_BLOCK`` frames of a direct sum) are spread over tasks.
     Frames outside 0..n_frames-1 and a frame that a series has twice raise.
     """
     keys = list(keys)
@@ -232,22 +279,25 @@ def autocorrelate(
         raise ValueError("method is 'fft' or 'direct'")
     df = in_range(df, n_frames)
     if method == "direct":
-        if n_frames > in_task:
-            raise ValueError(f"the direct sum takes series of at most {in_task} frames, not {n_frames}: use 'fft'")
+        block = min(in_task, DIRECT_BLOCK)
+        if n_frames > block:
+            return _by_pairs(df, keys, n_frames, block_of(block, n_frames))
         return _in_task(df, keys, n_frames, _correlate_direct)
     if n_frames <= in_task:
         return _in_task(df, keys, n_frames, _correlate_fft)
     return _across_tasks(df, keys, n_frames)
 
 
-def transform(df: DataFrame, keys, n_frames: int, dsp: str = "plain", method: str = "fft") -> DataFrame:
+def transform(
+    df: DataFrame, keys, n_frames: int, dsp: str = "plain", method: str = "fft", in_task: int = SERIES_IN_TASK
+) -> DataFrame:
     """Apply ``plain``, ``square`` or ``autocorrelate``."""
     if dsp == "plain":
         return df
     if dsp == "square":
         return square(df)
     if dsp == "autocorrelate":
-        return autocorrelate(df, keys, n_frames, method)
+        return autocorrelate(df, keys, n_frames, method, in_task)
     raise ValueError(f"no transform called {dsp!r}")
 
 

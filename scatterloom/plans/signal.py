@@ -102,6 +102,7 @@ def scatter(
     stage: bool = False,
     materialize: bool = False,
     check: bool = True,
+    in_task: int = series.SERIES_IN_TASK,
 ) -> Signal:
     """The signal of a trajectory.
 
@@ -113,6 +114,7 @@ def scatter(
     scattered over many files or where the input has too few parts to keep all cores busy. ``materialize`` keeps the amplitudes in the
     scratch folder, so that several outputs share them; `write_signal` does so by itself.
     Frames outside 0..n_frames-1 raise.
+    Series of more than ``in_task`` frames are spread over tasks.
     ``check`` looks for a first atom; switch it off where preparing the coordinates is
     costly, since that work would be started twice.
     """
@@ -130,7 +132,7 @@ def scatter(
         if isinstance(average, Multipole):
             raise ValueError("a self signal has no multipole expansion")
         vectors = localize(subvectors(qvectors, average))
-        sums = self_signal.self_sums(coords, factors, vectors, n_frames, dsp, method)
+        sums = self_signal.self_sums(coords, factors, vectors, n_frames, dsp, method, in_task)
         if materialize:
             sums = write_and_reread(sums, "self")
         lags = sums.where("tau >= 0")
@@ -154,7 +156,7 @@ def scatter(
         if materialize:
             amplitudes = write_and_reread(amplitudes, "amplitudes")
         keys = ["q_id", "m_id"]
-        moved = series.transform(amplitudes, keys, n_frames, dsp, method)
+        moved = series.transform(amplitudes, keys, n_frames, dsp, method, in_task)
         lags = series.reduce_series(moved)
         means = series.reduce_time(moved, keys, n_frames)
     else:
@@ -168,7 +170,7 @@ def scatter(
     scaled = means.join(table, "q_id").select(
         *Q, *((F.col(c) * F.col("norm")).alias(c) for c in PARTS)
     )
-    again = dict(kind=kind, average=average, dsp=dsp, method=method, engine=engine, stage=stage, materialize=True, check=False)
+    again = dict(kind=kind, average=average, dsp=dsp, method=method, engine=engine, stage=stage, materialize=True, check=False, in_task=in_task)
     remake = None if materialize else lambda: scatter(given, qvectors, factors, n_frames, **again)
     return Signal(q, fqt, scaled, n_frames, remake)
 

@@ -106,14 +106,14 @@ def test_coordinates_out_of_range_raise(world, kind):  # noqa: F811
             scatter(coords.withColumn("frame", moved), q, factors, NF, kind=kind).fqt.collect()
 
 
-def test_direct_runs_or_raises(spark):
+def test_direct_runs_at_any_length(spark):
     n = 9000
     a = np.random.default_rng(3).normal(size=n)
     df = local_table(spark, [(0, f, float(x), 0.0) for f, x in enumerate(a)], "q_id bigint, frame bigint, re double, im double")
-    got = series.autocorrelate(df, ["q_id"], n, "direct").where("frame in (0, 8999)").orderBy("frame").collect()
-    assert np.allclose([r["re"] for r in got], [np.mean(a * a), a[0] * a[-1]])
-    with pytest.raises(ValueError, match="direct"):
-        series.autocorrelate(df, ["q_id"], n, "direct", in_task=1000)
+    want = np.correlate(a, a, "full")[n - 1 :] / (n - np.arange(n))
+    for in_task in (series.SERIES_IN_TASK, 1000):
+        got = series.autocorrelate(df, ["q_id"], n, "direct", in_task=in_task).orderBy("frame").collect()
+        assert np.allclose([r["re"] for r in got], want)
 
 
 def test_resume_from_nothing_to_nothing_left(world, tmp_path):  # noqa: F811

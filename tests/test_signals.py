@@ -175,7 +175,7 @@ def test_autocorrelation_ways(spark, n):
     a = rng.normal(size=(2, n)) + 1j * rng.normal(size=(2, n))
     rows = [(k, f, float(a[k, f].real), float(a[k, f].imag)) for k in range(2) for f in range(n)]
     df = local_table(spark, rows, "q_id bigint, frame bigint, re double, im double")
-    for options in ({}, {"method": "direct"}, {"in_task": 0}):
+    for options in ({}, {"method": "direct"}, {"in_task": 0}, {"method": "direct", "in_task": 0}, {"method": "direct", "in_task": 90}):
         got = np.zeros((2, n), complex)
         found = series.autocorrelate(df, ["q_id"], n, **options).collect()
         assert len(found) == 2 * n
@@ -188,7 +188,7 @@ def test_autocorrelation_ways(spark, n):
 def test_missing_frames_count_as_zero(spark):
     df = local_table(spark, [(0, 1, 2.0, 0.0), (0, 3, 4.0, 0.0)], "q_id bigint, frame bigint, re double, im double")
     want = correlate(np.array([0, 2, 0, 4, 0], complex)).real
-    for options in ({}, {"in_task": 0}):
+    for options in ({}, {"in_task": 0}, {"method": "direct", "in_task": 1}):
         rows = series.autocorrelate(df, ["q_id"], 5, **options).orderBy("frame").collect()
         assert np.allclose([r["re"] for r in rows], want)
 
@@ -238,12 +238,45 @@ def test_factors_must_cover_all_vectors(world):
         amplitude.amplitude_all(coords, factors.where("not (q_id = 1 and species = 'B')"), qspace.subvectors_none(q))
 
 
-def test_long_self_series(world):
+@pytest.mark.parametrize("dsp", ["plain", "square", "autocorrelate"])
+@pytest.mark.parametrize("method", ["fft", "direct"])
+def test_long_self_series(world, dsp, method):
     coords, q, factors, *_ = world
-    sub = qspace.subvectors_none(q)
-    a = {tuple(r)[:2]: (r["re"], r["im"]) for r in self_signal.self_sums(coords, factors, sub, NF).collect()}
-    b = {tuple(r)[:2]: (r["re"], r["im"]) for r in self_signal.self_sums(coords, factors, sub, NF, in_task=0).collect()}
-    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+    sub = qspace.subvectors_sphere(q, qspace.orient_sphere(q.sparkSession, 3, 2))
+    short = coords.where("not (atom_id = 1 and frame > 2)")  # frames that lack an atom
+    for rows, sizes in ((coords.repartition(3), (0, 3)), (short, (NF - 1,)), (short.where("frame < 2"), (3,))):
+        a = {tuple(r)[:2]: (r["re"], r["im"]) for r in self_signal.self_sums(rows, factors, sub, NF, dsp, method).collect()}
+        for in_task in sizes:
+            b = {tuple(r)[:2]: (r["re"], r["im"]) for r in self_signal.self_sums(rows, factors, sub, NF, dsp, method, in_task).collect()}
+            assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-9) for k in a)
+
+
+def test_self_series_of_half_a_million_frames(spark):
+    n = 1 << 19
+    at = lambda k, a: F.sin(F.col("frame") * (0.001 * k + 0.01 * a)) * 2 + F.cos(F.col("frame") * 0.37 * k)
+    atom = lambda a: F.struct(F.lit(a).cast("bigint").alias("atom_id"), *(at(k + 1, a).alias(c) for k, c in enumerate("xyz")))
+    coords = spark.range(n).select(F.col("id").alias("frame")).select("frame", F.inline(F.array(atom(0), atom(1)))).withColumn("species", F.lit("A"))
+    q = np.array([[0.3, 0.1, 0.0], [0.0, 0.5, 0.2]])
+    vectors = local_table(spark, [(i, 0, *map(float, v)) for i, v in enumerate(q)], "q_id bigint, m_id bigint, qx double, qy double, qz double")
+    factors = local_table(spark, [(i, "A", 2.0) for i in range(len(q))], "q_id bigint, species string, f double")
+    sums = self_signal.self_sums(coords, factors, vectors, n, in_task=1 << 17)
+    plan = sums._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1  # no table of single-atom series
+    got = sums.toPandas()
+    assert len(got) == len(q) * (n + 2)
+    f = np.arange(n)
+    want = np.zeros((len(q), n), complex)
+    mean, mean2 = np.zeros(len(q), complex), np.zeros(len(q))
+    for a in range(2):
+        xyz = np.array([np.sin(f * (0.001 * k + 0.01 * a)) * 2 + np.cos(f * 0.37 * k) for k in (1, 2, 3)])
+        c = series._correlate_fft(2.0 * np.exp(1j * (q @ xyz)).T).T
+        want += c
+        mean += c.mean(1)
+        mean2 += np.abs(c.mean(1)) ** 2
+    for i in range(len(q)):
+        rows = got[got.q_id == i].set_index("tau")
+        assert np.allclose((rows.re + 1j * rows.im).loc[f], want[i], atol=1e-8)
+        assert np.isclose(rows.re[self_signal.MEAN], mean[i].real, atol=1e-9) and np.isclose(rows.re[self_signal.MEAN_SQUARED], mean2[i], atol=1e-9)
 
 
 def test_guards(world):

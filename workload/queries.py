@@ -1147,6 +1147,13 @@ def autocorrelate_long(spark, sf):
     return _amp_out(series.autocorrelate(_emb_amp(spark, sf), ["q_id", "m_id"], t.n_frames(spark, sf), in_task=0))
 
 
+@query("autocorrelate_direct_blocks", CORR)
+def autocorrelate_direct_blocks(spark, sf):
+    """The quadratic sum with each series cut into blocks, a task for every pair of them."""
+    n = t.n_frames(spark, sf)
+    return _amp_out(series.autocorrelate(_emb_amp(spark, sf), ["q_id", "m_id"], n, "direct", in_task=-(-n // 5)))
+
+
 @query("square_series", f"WITH {EMB_AMP} SELECT q_id, m_id, frame, {r('re*re + im*im', 're', 5)}, 0.0::DOUBLE AS im FROM amp")
 def square_series(spark, sf):
     """D2."""
@@ -1253,6 +1260,18 @@ def signal_self_means(spark, sf):
     return _fq_out(incoherent(spark, sf).summary)
 
 
+@query("signal_self_blocks", f"WITH {SELF_AMP}, {_corr_sql('q_id, m_id, atom_id')} {_fqt_sql('corr', '1')}")
+def signal_self_blocks(spark, sf):
+    """The same by pairs of blocks of frames, as for series too long for a task."""
+    return _fqt_out(incoherent(spark, sf, in_task=-(-t.n_frames(spark, sf) // 3)).fqt)
+
+
+@query("signal_self_blocks_means", f"WITH {SELF_AMP}, {_corr_sql('q_id, m_id, atom_id')}, {_fq_sql('corr', '1', 'q_id, m_id, atom_id')}")
+def signal_self_blocks_means(spark, sf):
+    """An atom's mean from its parts of all pairs of blocks."""
+    return _fq_out(incoherent(spark, sf, in_task=-(-t.n_frames(spark, sf) // 3)).summary)
+
+
 @query("signal_self_plain", f"WITH {SELF_AMP}, {_fq_sql('amp', '1', 'q_id, m_id, atom_id')}")
 def signal_self_plain(spark, sf):
     """The incoherent elastic part."""
