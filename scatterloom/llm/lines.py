@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..scratch import write_and_reread
 from .common import let, whole_text
 
-#: Lines of fewer words than EXACT_WORDS are left alone, which are the empty ones; one word may differ where both lines have NEAR_WORDS or more.
-EXACT_WORDS, NEAR_WORDS = 1, 8
+#: Empty lines are left alone, exact repeats go at any length; one word may differ where both lines have NEAR_WORDS or more.
+NEAR_WORDS = 8
 #: Lines whose places are broadcast at most (a few numbers each); beyond, their texts are fetched by a shuffle.
 BROADCAST_ROWS = 500_000
 

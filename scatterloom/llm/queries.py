@@ -161,7 +161,7 @@ SQL = {
         l AS (SELECT doc_id, unnest(generate_series(1, len(raws))) AS k, raws FROM d),
         x AS (SELECT doc_id, k, raws[k] AS raw, trim(raws[k], ' ') AS line FROM l),
         w AS (SELECT *, len(string_split(line, ' ')) AS n FROM x),
-        u AS (SELECT line, n, min((doc_id, k)) AS pos FROM w WHERE line <> '' AND n >= {lines.EXACT_WORDS} GROUP BY line, n),
+        u AS (SELECT line, n, min((doc_id, k)) AS pos FROM w WHERE line <> '' GROUP BY line, n),
         v AS (
             SELECT line, n, pos, i, list_concat(string_split(line, ' ')[1:i - 1], string_split(line, ' ')[i + 1:]) AS rest
             FROM (SELECT *, unnest(generate_series(1, n)) AS i FROM u WHERE n >= {lines.NEAR_WORDS})
@@ -170,7 +170,7 @@ SQL = {
             UNION SELECT v.line FROM v JOIN u ON array_to_string(v.rest, ' ') = u.line AND u.n = v.n - 1 AND u.n >= {lines.NEAR_WORDS} AND u.pos < v.pos
             UNION SELECT u.line FROM v JOIN u ON array_to_string(v.rest, ' ') = u.line AND u.n = v.n - 1 AND u.n >= {lines.NEAR_WORDS} AND v.pos < u.pos
         ), s AS (
-            SELECT w.*, w.line = '' OR w.n < {lines.EXACT_WORDS} OR (u.pos = (w.doc_id, w.k) AND g.line IS NULL) AS stays
+            SELECT w.*, w.line = '' OR (u.pos = (w.doc_id, w.k) AND g.line IS NULL) AS stays
             FROM w LEFT JOIN u ON w.line = u.line LEFT JOIN gone g ON w.line = g.line
         ), t AS (
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, coalesce(string_agg(raw, chr(10) ORDER BY k) FILTER (stays), '') AS text

@@ -138,7 +138,7 @@ def brute_dedup(rows):
         kept = []
         for line in text.split("\n"):
             words = line.strip(" ").split(" ")
-            if line.strip(" ") and len(words) >= lines.EXACT_WORDS:
+            if line.strip(" "):
                 if any(words == s or min(len(words), len(s)) >= lines.NEAR_WORDS and near(words, s) for s in seen):
                     seen.append(words)
                     continue
