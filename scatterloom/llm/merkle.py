@@ -48,8 +48,8 @@ def siblings_digest(proof: Column) -> Column:
     return F.sha2(F.array_join(F.transform(proof, lambda step: as_text(step["others"])), ""), 256)
 
 
-def _numbered(rows: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with ``pos``, the place from 0 within ``key`` by ``order``, and a table of each key's number ``n`` of rows.
+def _numbered(rows: DataFrame, order: Sequence[str], fanout: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``pos``, the place from 0 within ``key`` by ``order``, and the ``height`` of its key's tree; and ``key, n, height`` of each key.
 
     Rows are dealt by ranges of (key, order), so a key with most of the rows spreads over many tasks, and are numbered in the task that
     writes them. What is joined back has a row per key and range.
@@ -58,11 +58,14 @@ def _numbered(rows: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFra
     dealt = write_and_reread(dealt.withColumn("__at", F.monotonically_increasing_id()), "merkle-sorted")
     place = dealt.withColumns({"__range": F.shiftright("__at", ROW_BITS), "__row": F.col("__at").bitwiseAND((1 << ROW_BITS) - 1)})
     ranges = place.groupBy("key", "__range").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
-    before = Window.partitionBy("key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("__shift", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first"))
-    ranges = write_and_reread(ranges, "merkle-ranges")
-    sizes = ranges.groupBy("key").agg(F.sum("__n").alias("n"))
-    numbered = place.join(ranges.select("key", "__range", "__shift"), ["key", "__range"]).withColumn("pos", F.col("__row") + F.col("__shift"))
+    of_key = Window.partitionBy("key")
+    before = of_key.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # the least height at which a node takes all rows; in whole numbers, as logarithms of large counts may round
+    powers = F.array(*(F.lit(fanout**h).cast("bigint") for h in range(63) if fanout**h < 2**62))
+    ranges = ranges.withColumns({"__shift": F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first"), "n": F.sum("__n").over(of_key)})
+    ranges = write_and_reread(ranges.withColumn("height", F.size(F.filter(powers, lambda p: p < F.col("n")))), "merkle-ranges")
+    sizes = ranges.select("key", "n", "height").distinct()
+    numbered = place.join(ranges.select("key", "__range", "__shift", "height"), ["key", "__range"]).withColumn("pos", F.col("__row") + F.col("__shift"))
     return numbered.drop("__at", "__range", "__row", "__shift"), sizes
 
 
@@ -96,13 +99,9 @@ def _levels(row: DataFrame, base: int, fanout: int, depth: int) -> tuple[DataFra
 
 def _tree(rows: DataFrame, order: Sequence[str], carried: Sequence[str], fanout: int, depth: int) -> Tree:
     """Trees over ``rows`` (``key, digest``, columns of ``order`` and ``carried``), one for each key."""
-    numbered, sizes = _numbered(rows, order)
-    # the least height at which a node takes all rows; in whole numbers, as logarithms of large counts may round
-    powers = [fanout**h for h in range(64) if fanout**h < 2**62]
-    height = F.size(F.filter(F.array(*(F.lit(p).cast("bigint") for p in powers)), lambda p: p < F.col("n")))
-    sizes = write_and_reread(sizes.withColumn("height", height), "merkle-sizes")
+    numbered, sizes = _numbered(rows, order, fanout)
     highest = sizes.agg(F.max("height")).first()[0] or 0
-    level = numbered.join(sizes.select("key", "height"), "key").select("key", "pos", "height", F.struct("digest", *carried).alias("node"))
+    level = numbered.select("key", "pos", "height", F.struct("digest", *carried).alias("node"))
     pivots, base, width = [], 0, fanout**depth
     while base < highest or not pivots:
         spread = [F.expr(f"first(if(pos % {width} = {s}, node, null), true) as c{s}") for s in range(width)]
@@ -116,7 +115,7 @@ def _tree(rows: DataFrame, order: Sequence[str], carried: Sequence[str], fanout:
 
 
 def _proofs(tree: Tree, above: DataFrame) -> DataFrame:
-    """Down from ``above`` (``key, proof``: the steps over each tree's top): ``key, node, proof`` of each row of the tree.
+    """Down from ``above`` (``key, subroot, proof``: the steps over each tree's top): ``key, subroot, node, proof`` of each row of the tree.
 
     A step is ``slot`` and ``others``: the digests of the run's other nodes, that is its columns without the own slot's.
     """
@@ -135,8 +134,8 @@ def _proofs(tree: Tree, above: DataFrame) -> DataFrame:
                 others = ", ".join(f"coalesce({c}, x'')" for i, c in enumerate(run) if i != own)
                 steps.append(f"if(height > {base + j}, named_struct('slot', {own}, 'others', concat({others})), null)")
             children.append(f"named_struct('s', {s}, 'node', c{s}, 'proof', concat(array_compact(array({', '.join(steps)})), proof))")
-        each = row.selectExpr("key", "parent", f"explode(filter(array({', '.join(children)}), c -> c.node is not null)) as c")
-        down = each.selectExpr("key", f"parent * {width} + c.s as parent", "c.node as node", "c.proof as proof")
+        each = row.selectExpr("key", "subroot", "parent", f"explode(filter(array({', '.join(children)}), c -> c.node is not null)) as c")
+        down = each.selectExpr("key", "subroot", f"parent * {width} + c.s as parent", "c.node as node", "c.proof as proof")
         if k:
             down = down.drop("node")
     return down.drop("parent")
@@ -162,9 +161,9 @@ class Manifest:
 
     def proofs(self) -> DataFrame:
         """``leaf, subroot, root`` as text, ``proof`` (steps from the leaf to the root) and the carried columns of each row."""
-        crown = self.crown.tops.select("key", F.array().cast("array<struct<slot:int,others:binary>>").alias("proof"))
+        crown = self.crown.tops.select("key", F.lit(b"").alias("subroot"), F.array().cast("array<struct<slot:int,others:binary>>").alias("proof"))
         above = _proofs(self.crown, crown).select(F.col("node.name").alias("key"), F.col("node.digest").alias("subroot"), "proof")
-        rows = _proofs(self.trees, above.select("key", "proof")).join(above.select("key", "subroot"), "key")
+        rows = _proofs(self.trees, above)
         found = self.root().first()
         root = F.lit(found and found["root"]).cast("string")
         return rows.select(
