@@ -31,9 +31,9 @@ def resolve(path: str):
     return pafs.LocalFileSystem(), path
 
 
-def open_file(path: str) -> io.BufferedReader:
+def open_file(path: str, buffer: int = 1 << 20) -> io.BufferedReader:
     fs, name = resolve(path)
-    return io.BufferedReader(fs.open_input_file(name), 1 << 20)
+    return io.BufferedReader(fs.open_input_file(name), buffer)
 
 
 def file_size(path: str) -> int:

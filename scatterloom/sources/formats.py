@@ -116,6 +116,28 @@ def dcd_frames(f, first_at: int, n: int, layout: DcdLayout) -> list[np.ndarray]:
     return [p.view("<f4").ravel() for p in parts]
 
 
+def pdb_xyz(data: bytes) -> list[np.ndarray]:
+    """x, y and z of the atom lines of a frame's bytes, up to its END line; columns are cut out of all lines at once."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    breaks = np.flatnonzero(raw == ord("\n"))
+    starts = np.concatenate(([0], breaks + 1))
+    stops = np.concatenate((breaks, [len(raw)]))
+
+    def columns(rows, lo, width):
+        """Bytes lo.. of some lines, blanks beyond a line's end."""
+        at = starts[rows][:, None] + np.arange(lo, lo + width)
+        inside = at < stops[rows][:, None]
+        return np.where(inside, raw[np.minimum(at, max(len(raw) - 1, 0))], ord(" ")) if len(raw) else np.zeros((0, width), np.uint8)
+
+    begins = lambda word, rows: (columns(rows, 0, len(word)) == np.frombuffer(word, np.uint8)).all(axis=1)
+    rows = np.arange(len(starts))
+    ends = np.flatnonzero(begins(END, rows))
+    rows = rows[: ends[0]] if len(ends) else rows
+    rows = rows[begins(ATOM, rows)]
+    cut = (columns(rows, ATOM_COLUMNS[c][0] - 1, ATOM_COLUMNS[c][1]) for c in "xyz")
+    return [np.char.strip(np.ascontiguousarray(c, np.uint8).view(f"S{c.shape[1]}").ravel()).astype(np.float64) for c in cut]
+
+
 def dcd_cell(f, frame_at: int, layout: DcdLayout) -> tuple:
     """Nine numbers: three cell vectors (lower triangle of the six stored values)."""
     if layout.cell < 0:

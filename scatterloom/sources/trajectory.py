@@ -157,39 +157,44 @@ def _of_a_file(batches, most: int = 4096):
         yield path, rows
 
 
-def _read_dcd(index: DataFrame) -> DataFrame:
-    schema = pa.schema(
-        [("frame", pa.int64()), ("atom_id", pa.int64())] + [(c, pa.float64()) for c in "xyz"]
-    )
+COORDINATES = pa.schema([("frame", pa.int64()), ("atom_id", pa.int64())] + [(c, pa.float64()) for c in "xyz"])
+
+
+def _coordinates(frames, atoms, xyz) -> pa.RecordBatch:
+    whole = (pa.array(np.asarray(v, dtype=np.int64)) for v in (frames, atoms))
+    return pa.RecordBatch.from_arrays([*whole, *(pa.array(v.astype(np.float64)) for v in xyz)], schema=COORDINATES)
 
-    def rows(frames, atoms, xyz):
-        whole = (pa.array(np.asarray(v, dtype=np.int64)) for v in (frames, atoms))
-        return pa.RecordBatch.from_arrays([*whole, *(pa.array(v.astype(np.float64)) for v in xyz)], schema=schema)
 
-    def frames_at_once(f, d, run):
+def dcd_rows(f, d: formats.DcdLayout, found):
+    """Coordinates of the frames ``found`` (frame, byte offset) of an open file, neighbouring ones in one read."""
+
+    def at_once(run):
         """Frames that lie next to each other, as one batch; a frame beyond RUN_BYTES in slices of atoms."""
         if d.size > RUN_BYTES:
             for frame, at in run:
                 for lo in range(0, d.n_atoms, SLICE_ATOMS):
                     hi = min(lo + SLICE_ATOMS, d.n_atoms)
                     xyz = [formats.dcd_block(f, at, b, lo, hi) for b in (d.x, d.y, d.z)]
-                    yield rows(np.full(hi - lo, frame), np.arange(lo, hi), xyz)
+                    yield _coordinates(np.full(hi - lo, frame), np.arange(lo, hi), xyz)
             return
         xyz = formats.dcd_frames(f, run[0][1], len(run), d)
-        yield rows(np.repeat([frame for frame, _ in run], d.n_atoms), np.tile(np.arange(d.n_atoms), len(run)), xyz)
+        yield _coordinates(np.repeat([frame for frame, _ in run], d.n_atoms), np.tile(np.arange(d.n_atoms), len(run)), xyz)
+
+    most, waiting = max(1, RUN_BYTES // d.size), []
+    for frame, at in found:
+        if waiting and (at != waiting[-1][1] + d.size or len(waiting) >= most):
+            yield from at_once(waiting)
+            waiting = []
+        waiting.append((frame, at))
+    if waiting:
+        yield from at_once(waiting)
 
+
+def _read_dcd(index: DataFrame) -> DataFrame:
     def run(batches):
         for path, found in _of_a_file(batches):
-            d = formats.dcd_layout(path)
-            most = max(1, RUN_BYTES // d.size)
             with formats.open_file(path) as f:
-                waiting = found[:1]
-                for frame, at in found[1:]:
-                    if at != waiting[-1][1] + d.size or len(waiting) >= most:
-                        yield from frames_at_once(f, d, waiting)
-                        waiting = []
-                    waiting.append((frame, at))
-                yield from frames_at_once(f, d, waiting)
+                yield from dcd_rows(f, formats.dcd_layout(path), found)
 
     return _work(index).mapInArrow(
         run, "frame bigint, atom_id bigint, x double, y double, z double"

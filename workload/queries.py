@@ -17,7 +17,7 @@ from scatterloom.plans.signal import (
     Multipole, Vectors, check_length, read_signal, resume, scatter, write_meta,
 )
 from scatterloom.scratch import scratch_path
-from scatterloom.sources import files, tables as readers, trajectory
+from scatterloom.sources import datasource, files, tables as readers, trajectory
 from workload import tables as t
 from workload.sql import (
     ELEMENTS, FACTORS, LI, NATION_Q, ORIENT, PI, SCAN_Q, SUPPLIER_Q, TRAJ, VOLUME,
@@ -116,6 +116,15 @@ def dcd_trajectory(spark, sf):
     return coords_out(trajectory.read_frames(spark, _dcd_files(spark, sf), "dcd"), 4)
 
 
+@query("dcd_data_source", f"""WITH {TRAJ} SELECT frame, atom_id,
+  {r('CAST(CAST(x AS FLOAT) AS DOUBLE)', 'x', 4)}, {r('CAST(CAST(y AS FLOAT) AS DOUBLE)', 'y', 4)},
+  {r('CAST(CAST(z AS FLOAT) AS DOUBLE)', 'z', 4)} FROM traj""")
+def dcd_data_source(spark, sf):
+    """S3: the same through ``spark.read.format``."""
+    datasource.register(spark)
+    return coords_out(spark.read.format("trajectory").load(_dcd_files(spark, sf)), 4)
+
+
 @query("detect_formats", f"""SELECT 'dcd' AS format, max(vec_id) // {t.DCD_FRAMES} + 1 AS n FROM embeddings
  UNION ALL SELECT 'pdb', count(DISTINCT p_brand) FROM part
  UNION ALL SELECT 'other', count(DISTINCT p_size) FROM part""")
