@@ -13,16 +13,45 @@ from scatterloom.functions import constants
 from scatterloom.operators.params import fan_out, localize
 
 
+def _patterns(elements: DataFrame) -> DataFrame:
+    """``label, __re, __prefix``: patterns for whole names, and the letters that every match begins with.
+
+    These are the plain letters in front, without the last one if a quantifier follows it; none where a pattern has alternatives.
+    """
+    regex = F.col("name_regex")
+    plain = F.regexp_extract(regex, "^[A-Za-z0-9 ]*", 0)
+    after = F.substring(regex, F.length(plain) + 1, F.lit(1))
+    sure = F.when(after.isin("?", "*", "+", "{"), F.substring(plain, F.lit(1), F.length(plain) - 1)).otherwise(plain)
+    prefix = F.when(F.contains(regex, F.lit("|")), F.lit("")).otherwise(sure)
+    return elements.select("label", F.concat(F.lit("^(?:"), regex, F.lit(")$")).alias("__re"), prefix.alias("__prefix"))
+
+
+def _matches(names: DataFrame, elements: DataFrame) -> DataFrame:
+    """``__name, label``: the patterns that match each of the distinct ``__name``.
+
+    A pattern meets only the names that begin with its letters, by an equality join; patterns without such letters meet all names.
+    """
+    patterns = _patterns(elements)
+    starts = F.transform(F.sequence(F.lit(1), F.length("__name")), lambda n: F.substring(F.col("__name"), F.lit(1), n))
+    begun = names.where("__name <> ''").select("__name", F.explode(starts).alias("__prefix"))
+    keyed = begun.join(patterns.where("__prefix <> ''"), "__prefix").where("__name rlike __re")
+    free = names.join(patterns.where("__prefix = ''"), F.expr("__name rlike __re"))
+    return keyed.select("__name", "label").unionAll(free.select("__name", "label"))
+
+
+def _match_table(names: DataFrame, elements: DataFrame) -> DataFrame:
+    """``__name, __n, __label``: how many patterns match each name, and the first label of these."""
+    found = _matches(names, elements).groupBy("__name").agg(F.count("label").alias("__n"), F.min("label").alias("__label"))
+    return names.join(found, "__name", "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+
+
 def resolve_labels(atoms: DataFrame, elements: DataFrame, name: str = "pdb_name") -> DataFrame:
     """Add ``label``: the one element whose pattern matches the whole atom name.
 
     Patterns are tried on distinct names only, and at once: a name with no match or with
     several is an error. The names found are few and joined back without moving the atoms.
     """
-    names = atoms.select(F.col(name).alias("__name")).distinct()
-    patterns = elements.select("label", F.concat(F.lit("^(?:"), "name_regex", F.lit(")$")).alias("__re"))
-    hits = names.join(patterns, F.expr("__name rlike __re"), "left")
-    found = hits.groupBy("__name").agg(F.count("label").alias("__n"), F.min("label").alias("__label"))
+    found = _match_table(atoms.select(F.col(name).alias("__name")).distinct(), elements)
     problem = F.concat(
         F.lit("atom name matches "), F.col("__n").cast("string"), F.lit(" elements: "), "__name"
     )
@@ -33,12 +62,8 @@ def resolve_labels(atoms: DataFrame, elements: DataFrame, name: str = "pdb_name"
 
 def match_counts(names: DataFrame, elements: DataFrame, name: str) -> DataFrame:
     """Number of matching elements for each distinct name: anything but 1 is a fault."""
-    patterns = elements.select("label", F.concat(F.lit("^(?:"), "name_regex", F.lit(")$")).alias("__re"))
-    return (
-        names.select(name).distinct()
-        .join(patterns, F.expr(f"`{name}` rlike __re"), "left")
-        .groupBy(name).agg(F.count("label").alias("n_elements"))
-    )
+    found = _match_table(names.select(F.col(name).alias("__name")).distinct(), elements)
+    return found.select(F.col("__name").alias(name), F.col("__n").alias("n_elements"))
 
 
 def with_constants(atoms: DataFrame, elements: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scatterloom.functions import draws, vec
 from scatterloom.operators import align, rigid
-from scatterloom.operators.prefix import running_total
+from scatterloom.operators.prefix import PLACES, running_total, within
 from scatterloom.operators.selections import SYSTEM
 
 PRODUCT_BLOCK = 1 << 14
@@ -77,9 +77,9 @@ def brownian_steps(spark: SparkSession, n_frames: int, displace=1.0, seed=0, sam
     )
 
 
-def walk(steps: DataFrame, block: int | None = None) -> DataFrame:
+def walk(steps: DataFrame, block: int | None = None, n_frames: int = PLACES) -> DataFrame:
     """``(frame, tx, ty, tz)``: steps ``(frame, dx, dy, dz)`` summed up to and including the frame."""
-    options = {} if block is None else {"block": block}
+    options = {"n": n_frames} if block is None else {"block": block}
     summed = running_total(steps, "frame", ["dx", "dy", "dz"], **options)
     return summed.select("frame", *(F.col(f"d{c}").alias(f"t{c}") for c in "xyz"))
 
@@ -93,12 +93,12 @@ def motion_walk(df, shifts: DataFrame, selection=SYSTEM, n_frames=None) -> DataF
 
 def motion_randomwalk(df, n_frames: int, displace=1.0, seed=0, sampling=1, selection=SYSTEM) -> DataFrame:
     steps = randomwalk_steps(df.sparkSession, n_frames, displace, seed, sampling)
-    return motion_walk(df, walk(steps), selection, n_frames)
+    return motion_walk(df, walk(steps, n_frames=n_frames), selection, n_frames)
 
 
 def motion_brownian(df, n_frames: int, displace=1.0, seed=0, sampling=1, selection=SYSTEM) -> DataFrame:
     steps = brownian_steps(df.sparkSession, n_frames, displace, seed, sampling)
-    return motion_walk(df, walk(steps), selection, n_frames)
+    return motion_walk(df, walk(steps, n_frames=n_frames), selection, n_frames)
 
 
 # -- rotations ------------------------------------------------------------------------------
@@ -141,34 +141,43 @@ def _flat(frames, matrices) -> pd.DataFrame:
     return out
 
 
-def rotation_walk(steps: DataFrame, block: int = PRODUCT_BLOCK) -> DataFrame:
+def rotation_walk(steps: DataFrame, block: int = PRODUCT_BLOCK, n_frames: int | None = None) -> DataFrame:
     """``(frame, r00..r22)``: the ordered product of the turns of all frames so far.
 
-    Products inside blocks of frames run in parallel; the block totals are multiplied
-    up in a table with one row per block and put in front.
+    A tree of blocks: products inside blocks of frames, and the blocks' own products multiplied up in the same way, level by
+    level, until one block holds a level. ``n_frames`` is looked up where it isn't known.
     """
+    if n_frames is None:
+        n_frames = (steps.agg(F.max("frame")).first()[0] or 0) + 1
     ddl = "frame BIGINT, " + ", ".join(f"{c} DOUBLE" for c in align.MATRIX)
+    turns = within(steps, "frame", n_frames).select("frame", F.array("a1", "a2", "a3").alias("__a"))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
-        return _flat(pdf["frame"], _chain(_turns(pdf[["a1", "a2", "a3"]].to_numpy())))
+        return _flat(pdf["frame"], _chain(_turns(np.stack(pdf["__a"].to_list()))))
 
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        totals = _chain(pdf[align.MATRIX].to_numpy().reshape(-1, 3, 3))
-        return _flat(pdf["frame"] + 1, totals)  # what a block passes on to the next one
+    return _products(turns, inside, ddl, max(2, block), n_frames)
+
+
+def _across(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Running products of matrices, inside a block."""
+    pdf = pdf.sort_values("frame")
+    return _flat(pdf["frame"], _chain(pdf[align.MATRIX].to_numpy().reshape(-1, 3, 3)))
 
+
+def _products(rows: DataFrame, inside, ddl: str, block: int, n: int) -> DataFrame:
+    """Inclusive running products along ``frame``; ``inside`` makes those of one block."""
     number = F.expr(f"frame div {int(block)}")
-    local = steps.groupBy(number.alias("__block")).applyInPandas(lambda pdf: inside(pdf), ddl)
+    local = rows.groupBy(number.alias("__block")).applyInPandas(lambda pdf: inside(pdf), ddl)
+    if n <= block:
+        return local
     local = local.withColumn("__block", number)
-    # last row of each block; one row per block remains, so a single group is small
     ends = local.groupBy("__block").agg(
         *(F.max_by(c, "frame").alias(c) for c in align.MATRIX)
     ).withColumnRenamed("__block", "frame")
-    before = ends.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(lambda pdf: across(pdf), ddl)
-    before = before.select(
-        F.col("frame").alias("__block"), *(F.col(c).alias(f"p{c}") for c in align.MATRIX)
-    )
+    upto = _products(ends, _across, ddl, block, -(-n // block))
+    # what a block passes on to the next one
+    before = upto.select((F.col("frame") + 1).alias("__block"), *(F.col(c).alias(f"p{c}") for c in align.MATRIX))
     joined = local.join(before, "__block", "left")
 
     def product(i, j):
@@ -196,5 +205,5 @@ def motion_rotbrownian(df, n_frames: int, displace=1.0, seed=0, sampling=1, sele
                        reference=None, reference_selection=SYSTEM) -> DataFrame:
     steps = rotation_steps(df.sparkSession, n_frames, displace, seed, sampling)
     return motion_rotation(
-        df, rotation_walk(steps), selection, reference, reference_selection, n_frames
+        df, rotation_walk(steps, n_frames=n_frames), selection, reference, reference_selection, n_frames
     )

@@ -19,6 +19,7 @@ from scatterloom.plans import amplitude, self_signal, series
 from scatterloom.scratch import write_and_reread
 
 Q_PER_FOLDER = 64
+LAGS_PER_TASK = 1 << 16  # of a block of vectors, when they are written
 Q = ["q_id", "qx", "qy", "qz"]
 
 
@@ -207,27 +208,70 @@ def _multipole(coords, factors, qvectors, average: Multipole):
 def write_signal(signal: Signal, path: str, meta: dict | None = None) -> str:
     """Append a signal to the result at ``path``; returns the id of this append.
 
-    The summary is written last. Rows of an append that did not get that far are not
-    seen by :func:`read_signal`, so a broken run can simply be repeated. Amplitudes are kept in the
+    An append counts from the moment its one row of the manifest is there, which is written last; until then :func:`read_signal` sees
+    none of its rows, so a broken run can simply be repeated. Amplitudes are kept in the
     scratch folder first, so that both tables come from one pass over the trajectory. A result whose series have
-    another length raises, and nothing is written. Each block of vectors is one file of a table.
+    another length raises, and so do vectors that it has already; nothing is written then. If another append brings
+    the same vectors in the meantime, the earlier one of the two counts, and the later one raises. Files hold a block of vectors and
+    of lags, so a few vectors with very many lags are written by many tasks.
     """
     spark = signal.qvectors.sparkSession
-    wrong = check_length(read_signal(spark, path)[0], signal.n_frames).first()
+    found = read_signal(spark, path)
+    wrong = check_length(found[0], signal.n_frames).first()
     if wrong is not None:
         raise ValueError(f"the result at {path} has series of {wrong['n_lags']} lags, not {signal.n_frames}")
+    known = found[1].join(signal.qvectors.select("q_id"), "q_id", "left_semi").select("q_id").limit(10).collect()
+    if known:
+        raise ValueError(f"the result at {path} has vectors {sorted(r['q_id'] for r in known)} already")
     if signal.remake is not None:
         signal = signal.remake()
     run = uuid.uuid4().hex
+    blocks = {"fqt": ["q_block", F.expr(f"tau div {LAGS_PER_TASK}")], "fq": ["q_block"]}
     for name, df in (("fqt", signal.fqt), ("fq", signal.summary)):
         (
             df.withColumn("run_id", F.lit(run))
             .withColumn("q_block", F.expr(f"q_id div {Q_PER_FOLDER}"))
-            .repartition("q_block")
+            .repartition(*blocks[name])
             .write.mode("append").partitionBy("q_block").parquet(f"{path}/{name}")
         )
         if name == "fqt" and meta is not None:
-            write_meta(signal.qvectors.sparkSession, path, run, {**meta, "n_frames": signal.n_frames})
+            write_meta(spark, path, run, {**meta, "n_frames": signal.n_frames})
+    _commit(spark, path, run)
+    lost = superseded(spark, path).where(F.col("run_id") == run).limit(10).collect()
+    if lost:
+        raise RuntimeError(f"another append has brought vectors {sorted(r['q_id'] for r in lost)} first; its rows count")
+    return run
+
+
+def _commit(spark: SparkSession, path: str, run: str) -> None:
+    """The row that makes an append count: one file, which is there as a whole or not at all."""
+    row = spark.range(1).select(F.lit(run).alias("run_id"), F.current_timestamp().alias("written"))
+    row.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def _claims(spark: SparkSession, path: str) -> DataFrame:
+    """``q_id, run_id, counts``: the appends that brought each vector, and which one counts: the earliest by the manifest, of equal times the smaller id."""
+    runs = spark.read.parquet(f"{path}/manifest").groupBy("run_id").agg(F.min("written").alias("written"))
+    claims = spark.read.parquet(f"{path}/fq").select("q_id", "run_id").distinct().join(runs, "run_id")
+    first = claims.groupBy("q_id").agg(F.min_by("run_id", F.struct("written", "run_id")).alias("__first"))
+    return claims.join(first, "q_id").select("q_id", "run_id", (F.col("run_id") == F.col("__first")).alias("counts"))
+
+
+def superseded(spark: SparkSession, path: str) -> DataFrame:
+    """``q_id, run_id``: vectors of appends that came second."""
+    return _claims(spark, path).where("not counts").select("q_id", "run_id")
+
+
+def compact_signal(spark: SparkSession, path: str, to: str, n_files: int = 1) -> str:
+    """The result at ``path``, without rows that don't count, as one append to a new result ``to``, each table in ``n_files`` files sorted
+    by vector; returns the id of the append."""
+    if _exists(spark, f"{to}/fq"):
+        raise ValueError(f"there is a result at {to} already")
+    run = uuid.uuid4().hex
+    for name, df, order in zip(("fqt", "fq"), read_signal(spark, path), (["q_id", "tau"], ["q_id"])):
+        df = df.withColumns({"run_id": F.lit(run), "q_block": F.expr(f"q_id div {Q_PER_FOLDER}")})
+        df.repartitionByRange(n_files, *order).sortWithinPartitions("q_block", *order).write.mode("append").partitionBy("q_block").parquet(f"{to}/{name}")
+    _commit(spark, to, run)
     return run
 
 
@@ -244,14 +288,13 @@ PARTS = [f"{name}_{c}" for name in ("fq0", "fq", "fq2") for c in ("re", "im")]
 
 def read_signal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(fqt, fq)`` of all complete appends; without rows if nothing was written yet."""
-    if not _exists(spark, f"{path}/fq"):
+    if not _exists(spark, f"{path}/manifest"):
         q = "q_id bigint, qx double, qy double, qz double, "
         empty = (q + "tau bigint, re double, im double", q + ", ".join(f"{c} double" for c in PARTS))
         return tuple(spark.createDataFrame([], ddl) for ddl in empty)
-    fq = spark.read.parquet(f"{path}/fq")
-    runs = fq.select("run_id").distinct()
-    fqt = spark.read.parquet(f"{path}/fqt").join(runs, "run_id", "left_semi")
-    return fqt.drop("run_id", "q_block"), fq.drop("run_id", "q_block")
+    counted = _claims(spark, path).where("counts").select("q_id", "run_id")
+    both = (spark.read.parquet(f"{path}/{name}").join(counted, ["q_id", "run_id"], "left_semi") for name in ("fqt", "fq"))
+    return tuple(df.drop("run_id", "q_block") for df in both)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scatterloom.operators.frames import clone_frames, concat_framesets, explode_range, keep_frames, trim_frames
 from scatterloom.operators.params import localize
-from scatterloom.operators.prefix import running_total
+from scatterloom.operators.prefix import PLACES, running_total
 from scatterloom.scratch import write_and_reread
 from scatterloom.sources import files, formats
 
@@ -114,7 +114,7 @@ def join_files(
         return index.where(F.lit(False))
     cut = trim_frames(index, first, last, stride)
     sizes = cut.groupBy("ord").agg(F.count("*").alias("n")).withColumn("upto", F.col("n"))
-    starts = running_total(sizes, "ord", ["upto"]).select(
+    starts = running_total(sizes, "ord", ["upto"], n=PLACES).select(
         "ord", "n", (F.col("upto") - F.col("n")).alias("before")
     )
     copied = cut.join(starts, "ord").withColumn(
@@ -130,7 +130,7 @@ def frameset_list(spark: SparkSession, path: str) -> DataFrame:
     lines = lines.where(~F.col("value").startswith("#"))
     numbered = files.number_lines(lines, "line")
     named = numbered.select("line", F.split(F.trim("value"), r"\s+").alias("names"))
-    upto = running_total(named.withColumn("upto", F.size("names")), "line", ["upto"])
+    upto = running_total(named.withColumn("upto", F.size("names")), "line", ["upto"], n=PLACES)
     before = F.col("upto") - F.size("names")
     names = upto.select(before.alias("before"), F.posexplode("names").alias("pos", "path"))
     return names.select((F.col("before") + F.col("pos")).cast("bigint").alias("ord"), "path")

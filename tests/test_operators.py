@@ -241,3 +241,39 @@ def test_scratch_folder_comes_from_the_session(spark, tmp_path):
         assert scratch_root(spark) == scratch_root(spark)
         spark.sparkContext.setCheckpointDir(str(tmp_path / "shared"))
         assert str(tmp_path / "shared") in scratch_root(spark)
+
+
+def test_totals_are_a_tree_without_one_task_for_all(spark):
+    n = 300
+    df = spark.range(n).select(F.col("id").alias("i"), (F.col("id") % 7).cast("double").alias("v"))
+    out = running_total(df, "i", ["v"], block=4, n=n)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Window [") == 5 and "SinglePartition" not in plan  # 300, 75, 19, 5 and 2 places
+    assert np.allclose([r["v"] for r in out.orderBy("i").collect()], np.cumsum(np.arange(n) % 7))
+    sparse = running_total(df.where("i % 50 = 3"), "i", ["v"], block=4, n=n).orderBy("i").collect()
+    assert np.allclose([r["v"] for r in sparse], np.cumsum([i % 7 for i in range(3, n, 50)]))
+    with pytest.raises(Exception, match="in an order of 299"):
+        running_total(df, "i", ["v"], n=n - 1).collect()
+
+
+def test_rotations_multiply_up_in_a_tree(spark):
+    steps = motions.rotation_steps(spark, 50, 20.0, seed=4)
+    want = {tuple(r)[0]: tuple(r)[1:] for r in motions.rotation_walk(steps, 64, 50).collect()}
+    walked = motions.rotation_walk(steps, 3, 50)
+    plan = walked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FlatMapGroupsInPandas") >= 4
+    got = {tuple(r)[0]: tuple(r)[1:] for r in walked.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in got)
+
+
+def test_patterns_with_letters_in_front_meet_names_by_these(spark):
+    patterns = {"H": "H.*", "HE": "HE", "C": "C[A-Z]?", "CL": "CL+", "N": "N?", "X": "A|B", "O": "O{2}", "one": "[0-9]H"}
+    names = ["H", "HE", "H1", "C", "CA", "CL", "CLL", "CLLL", "", "N", "A", "B", "OO", "O", "1H", "H|", "CAA"]
+    table = spark.createDataFrame(list(patterns.items()), "label string, name_regex string")
+    atoms = spark.createDataFrame([(n,) for n in [*names, None]], "pdb_name string")
+    import re
+
+    want = {n: sum(re.fullmatch(p, n) is not None for p in patterns.values()) for n in names} | {None: 0}
+    assert {r["pdb_name"]: r["n_elements"] for r in elements.match_counts(atoms, table, "pdb_name").collect()} == want
+    begun = elements._patterns(table).where("__prefix <> ''")
+    assert {r["label"]: r["__prefix"] for r in begun.collect()} == {"H": "H", "HE": "HE", "C": "C", "CL": "C"}
