@@ -77,13 +77,20 @@ def clone_frames(df: DataFrame, copies: int, n_frames: int | None = None) -> Dat
 def locate_frames(df: DataFrame, framesets: DataFrame) -> DataFrame:
     """Add ``frameset`` and ``local_frame`` from ``framesets(frameset, offset, n)``.
 
-    The ranges are written out as one row per frame, which turns the range lookup
-    into an equality join.
+    A range lookup by blocks of as many frames as a set has on average: a set has a row for each block that it reaches into, about two in
+    all, a frame meets the sets of its block, and those that hold it are kept.
     """
-    places = explode_range(framesets, F.lit(0), F.col("n") - 1, "local_frame").select(
-        (F.col("offset") + F.col("local_frame")).cast("bigint").alias("frame"), "frameset", "local_frame"
+    held = framesets.where("n > 0")
+    sets, total = held.agg(F.count("*"), F.sum("n")).first()
+    block = max(1, (total or 0) // max(1, sets))
+    ends = (F.expr(f"offset div {block}"), F.expr(f"(offset + n - 1) div {block}"))
+    reach = explode_range(held, *ends, "__block").select(
+        "__block", "frameset", F.col("offset").cast("bigint").alias("__first"), F.col("n").alias("__n")
     )
-    return df.join(places, "frame")
+    met = df.withColumn("__block", F.expr(f"frame div {block}")).join(reach, "__block")
+    local = (F.col("frame") - F.col("__first")).cast("bigint")
+    rest = [c for c in df.columns if c != "frame"]
+    return met.where((local >= 0) & (local < F.col("__n"))).select("frame", *rest, "frameset", local.alias("local_frame"))
 
 
 def keep_frames(df: DataFrame, chosen: DataFrame) -> DataFrame:

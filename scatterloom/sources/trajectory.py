@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scatterloom.operators.frames import clone_frames, concat_framesets, explode_range, keep_frames, trim_frames
-from scatterloom.operators.params import localize
+from scatterloom.operators.params import local_table, localize
 from scatterloom.operators.prefix import PLACES, running_total
+from scatterloom.operators.rigid import shipped
 from scatterloom.scratch import write_and_reread
 from scatterloom.sources import files, formats
 
@@ -258,14 +259,39 @@ def read_frames(
         paths = [paths] if isinstance(paths, str) else list(paths)
         if not paths:
             raise FileNotFoundError("no tables are named")
-        cut = [trim_frames(spark.read.parquet(p), first, last, stride) for p in paths]
-        return concat_framesets([clone_frames(df, clones) for df in cut])
+        return _read_tables(spark, paths, first, last, stride, clones)
     index = build_frame_index(spark, paths, fmt, signed=False)
     if fmt == "pdb":
         index = write_and_reread(index, "frame-index")  # finding the frames reads whole files
     return read_indexed(join_files(index, first, last, stride, clones), fmt)
 
 
+def _read_tables(spark: SparkSession, paths: list[str], first: int, last: int | None, stride: int, clones: int) -> DataFrame:
+    """Parquet tables one after another, each cut alike and cloned, as one scan: the offset of a row's frame comes with its file.
+
+    Tables of unlike columns, or cut into folders by a column, are read one by one.
+    """
+    tables = [spark.read.parquet(p) for p in paths]
+    files_of = [t.inputFiles() for t in tables]
+    shape = tables[0].schema
+    in_folders = any("=" in f.rsplit("/", 2)[-2] for found in files_of for f in found)
+    if len(paths) == 1 or in_folders or clones < 1 or any(t.schema != shape for t in tables):
+        cut = [trim_frames(t, first, last, stride) for t in tables]
+        return concat_framesets([clone_frames(df, clones) for df in cut])
+    bare = lambda name: F.regexp_replace(name, "^([A-Za-z0-9]+):/+", "$1:/")  # the two are not spelled alike
+    named = local_table(spark, [(f, n) for n, found in enumerate(files_of) for f in found], "__file string, __set bigint")
+    named = named.withColumn("__file", bare("__file")).distinct()
+    scan = spark.read.schema(shape).parquet(*dict.fromkeys(paths))
+    rows = scan.select("*", bare("_metadata.file_path").alias("__file")).join(shipped(localize(named)), "__file")
+    cut = trim_frames(rows, first, last, stride)
+    sizes = localize(cut.groupBy("__set").agg((F.max("frame") + 1).alias("__n")))
+    before = running_total(sizes.withColumn("__before", F.col("__n") * clones), "__set", ["__before"], n=len(paths))
+    before = localize(before.select("__set", "__n", (F.col("__before") - F.col("__n") * clones).alias("__before")))
+    copied = cut.join(shipped(before), "__set").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(clones - 1))))
+    number = F.col("__before") + F.col("__copy") * F.col("__n") + F.col("frame")
+    return copied.withColumn("frame", number.cast("bigint")).select(*(f.name for f in shape))
+
+
 def read_frame_list(spark: SparkSession, list_path: str, fmt: str, **cut) -> DataFrame:
     """Trajectory of all the files named in a list file."""
     return read_frames(spark, frameset_list(spark, list_path), fmt, **cut)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scatterloom.operators import align, qspace
+from scatterloom.operators import align, frames, qspace
 from scatterloom.operators.params import local_table
 from scatterloom.plans import self_signal, series
 from scatterloom.plans.signal import read_signal, resume, scatter, write_signal
@@ -78,6 +78,35 @@ def test_formats_are_told_from_blocks(tmp_path):
             assert formats.is_pdb(str(path), block) is found
 
 
+def test_many_tables_are_one_scan(spark, tmp_path):
+    sizes = [3, 1, 4, 1, 5, 2]
+    for k, n in enumerate(sizes):
+        table(spark, str(tmp_path / f"t{k}"), frames=n, shift=100.0 * k)
+    paths = [str(tmp_path / f"t{k}") for k in (0, 1, 2, 3, 4, 5, 2)]
+    for cut in ({}, {"first": 1}, {"first": 1, "last": 3, "stride": 2, "clones": 2}):
+        df = trajectory.read_frames(spark, paths, "parquet", **cut)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1
+        first, last, stride, clones = (cut.get(k, d) for k, d in (("first", 0), ("last", 99), ("stride", 1), ("clones", 1)))
+        want, frame = [], 0
+        for k in (0, 1, 2, 3, 4, 5, 2):
+            kept = [f for f in range(sizes[k]) if first <= f <= last and f % stride == 0]
+            for _ in range(clones):
+                want += [(frame + i, a, f + a / 10 + 100.0 * k) for i, f in enumerate(kept) for a in range(2)]
+                frame += len(kept)
+        got = sorted((r["frame"], r["atom_id"], r["x"]) for r in df.collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
+def test_frames_are_looked_up_by_ranges(spark):
+    sets = [(0, 0, 3), (1, 3, 0), (2, 3, 400), (3, 403, 1), (4, 500, 7)]
+    table = local_table(spark, sets, "frameset bigint, offset bigint, n bigint")
+    df = spark.range(0, 520, 3).select(F.col("id").alias("frame"), F.lit("x").alias("offset"))
+    got = sorted(tuple(r) for r in frames.locate_frames(df, table).collect())
+    assert got == [(f, "x", s, f - o) for f in range(0, 520, 3) for s, o, n in sets if o <= f < o + n]
+    assert frames.locate_frames(df, table.where("n = 0")).isEmpty()
+
+
 @pytest.mark.parametrize("frame", [-1, 5])
 @pytest.mark.parametrize("in_task", [0, 1 << 18])
 def test_frames_out_of_range_raise(spark, frame, in_task):
