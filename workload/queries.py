@@ -11,7 +11,7 @@ from scatterloom.functions import constants, vec
 from scatterloom.operators import align, frames, motions, qspace, rigid, selections, staging
 from scatterloom.operators import elements as el
 from scatterloom.operators.prefix import running_total
-from scatterloom.plans import amplitude, series
+from scatterloom.plans import amplitude, grid, series
 from scatterloom.plans.coordinates import prepare_coordinates
 from scatterloom.plans.signal import (
     Multipole, Vectors, check_length, read_signal, resume, scatter, write_meta,
@@ -1039,6 +1039,19 @@ def amplitude_single(spark, sf):
     return _amp_out(amplitude.amplitude_all(t.li_traj(spark, sf), t.factors(spark, q), qspace.subvectors_none(q)))
 
 
+@query("amplitude_grid", f"""WITH {TRAJ}, q AS (SELECT j AS q_id, 0.05 + 0.11*(j // 256) AS qx, 0.02*(j // 256) + 0.13*(j // 16 % 16) AS qy, 0.03*(j // 16 % 16) + 0.17*(j % 16) AS qz,
+   sqrt(pow(0.05 + 0.11*(j // 256), 2) + pow(0.02*(j // 256) + 0.13*(j // 16 % 16), 2) + pow(0.03*(j // 16 % 16) + 0.17*(j % 16), 2)) AS ql FROM range(4096) r(j)),
+ {LI_FACTORS}, c AS (SELECT q_id, frame, sum(f*cos(x*qx + y*qy + z*qz)) AS re, sum(f*sin(x*qx + y*qy + z*qz)) AS im FROM traj JOIN factors USING (label) JOIN q USING (q_id) GROUP BY ALL)
+ SELECT q_id, count(*) AS n_frames, {r('avg(re)', 're', 5)}, {r('avg(im)', 'im', 5)}, {r('avg(re*re + im*im)', 'power', 4)} FROM c GROUP BY q_id""")
+def amplitude_grid(spark, sf):
+    """amplitudes of every frame on a grid of 16 x 16 x 16 vectors, as means over the frames."""
+    g = grid.Grid(((0.11, 0.02, 0.0), (0.0, 0.13, 0.03), (0.0, 0.0, 0.17)), (16, 16, 16), (0.05, 0.0, 0.0))
+    amplitudes = grid.amplitude_grid(t.emb_traj(spark, sf), t.factors(spark, grid.grid_vectors(spark, g)), g)
+    power = F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power")
+    means = amplitudes.groupBy("q_id").agg(F.count("*").alias("n_frames"), F.avg("re").alias("re"), F.avg("im").alias("im"), power)
+    return rounded(rounded(means, "re", "im", digits=5), "power", digits=4)
+
+
 @query("amplitude_self", f"""WITH {TRAJ}, {SCAN_Q}, {LI_FACTORS}, {SUB1}
  SELECT q_id, m_id, atom_id, frame, {r('f*cos(x*qx + y*qy + z*qz)', 're')}, {r('f*sin(x*qx + y*qy + z*qz)', 'im')}
  FROM traj JOIN factors USING (label) JOIN sub USING (q_id)""")
