@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from scatterloom.deploy import ship
 from scatterloom.sources import files, formats
-from scatterloom.sources.trajectory import COORDINATES, _coordinates, dcd_rows
+from scatterloom.sources.trajectory import COORDINATES, dcd_rows, pdb_rows
 
 NAME = "trajectory"
 #: Bytes of frames that a task reads, unless ``partition_bytes`` says otherwise.
@@ -128,25 +128,11 @@ class TrajectoryReader(DataSourceReader):
         for path, found in by_file.items():
             with files.open_file(path, BUFFER) as f:
                 if self.options.get("files") == "pdb":
-                    for frame, at in found:
-                        xyz = formats.pdb_xyz(_frame_bytes(f, at))
-                        yield _coordinates([frame] * len(xyz[0]), range(len(xyz[0])), xyz)
+                    yield from pdb_rows(f, found)
                 else:
                     yield from dcd_rows(f, formats.dcd_layout(path), found)
 
 
-def _frame_bytes(f, at: int, block: int = 1 << 16) -> bytes:
-    """A text frame's bytes from ``at`` to its END line or the end of the file."""
-    f.seek(at)
-    data = b""
-    while more := f.read(block):
-        seen = max(0, len(data) - len(formats.END))
-        data += more
-        if data.startswith(formats.END) or data.find(b"\n" + formats.END, seen) >= 0:
-            break
-    return data
-
-
 class TrajectorySource(DataSource):
     """Options: ``path`` (a file or a folder) or ``paths`` (a list as JSON) of binary trajectory files; or ``index``, a stored frame index
     (`trajectory.build_frame_index`, also joined, cut or renumbered) with ``files`` = ``dcd`` or ``pdb`` and ``frames_per_task``. ``first`` and ``last`` (both included) and

@@ -116,8 +116,8 @@ def dcd_frames(f, first_at: int, n: int, layout: DcdLayout) -> list[np.ndarray]:
     return [p.view("<f4").ravel() for p in parts]
 
 
-def pdb_xyz(data: bytes) -> list[np.ndarray]:
-    """x, y and z of the atom lines of a frame's bytes, up to its END line; columns are cut out of all lines at once."""
+def _pdb_part(data: bytes) -> tuple[list[np.ndarray], int]:
+    """x, y and z of the atom lines up to the first END line, and where that starts (-1 without); columns are cut out of all lines at once."""
     raw = np.frombuffer(data, dtype=np.uint8)
     breaks = np.flatnonzero(raw == ord("\n"))
     starts = np.concatenate(([0], breaks + 1))
@@ -125,17 +125,41 @@ def pdb_xyz(data: bytes) -> list[np.ndarray]:
 
     def columns(rows, lo, width):
         """Bytes lo.. of some lines, blanks beyond a line's end."""
+        if not len(raw):
+            return np.full((len(rows), width), ord(" "), dtype=np.uint8)
         at = starts[rows][:, None] + np.arange(lo, lo + width)
-        inside = at < stops[rows][:, None]
-        return np.where(inside, raw[np.minimum(at, max(len(raw) - 1, 0))], ord(" ")) if len(raw) else np.zeros((0, width), np.uint8)
+        return np.where(at < stops[rows][:, None], raw[np.minimum(at, len(raw) - 1)], ord(" ")).astype(np.uint8)
 
     begins = lambda word, rows: (columns(rows, 0, len(word)) == np.frombuffer(word, np.uint8)).all(axis=1)
     rows = np.arange(len(starts))
     ends = np.flatnonzero(begins(END, rows))
     rows = rows[: ends[0]] if len(ends) else rows
     rows = rows[begins(ATOM, rows)]
-    cut = (columns(rows, ATOM_COLUMNS[c][0] - 1, ATOM_COLUMNS[c][1]) for c in "xyz")
-    return [np.char.strip(np.ascontiguousarray(c, np.uint8).view(f"S{c.shape[1]}").ravel()).astype(np.float64) for c in cut]
+    cut = (np.ascontiguousarray(columns(rows, ATOM_COLUMNS[c][0] - 1, ATOM_COLUMNS[c][1])) for c in "xyz")
+    xyz = [np.char.strip(c.view(f"S{c.shape[1]}").ravel()).astype(np.float64) for c in cut]
+    return xyz, int(starts[ends[0]]) if len(ends) else -1
+
+
+def pdb_xyz(data: bytes) -> list[np.ndarray]:
+    """x, y and z of the atom lines of a frame's bytes, up to its END line."""
+    return _pdb_part(data)[0]
+
+
+def pdb_blocks(f, frame_at: int, guess: int = 1 << 16, most: int = 8 << 20):
+    """Yield (bytes of the frame so far, [x, y, z]) for blocks of a frame's lines; ``guess`` is how long the frame may be, later blocks are longer."""
+    f.seek(frame_at)
+    held, done = b"", 0
+    while True:
+        data = f.read(guess)
+        part = held + data
+        cut = part.rfind(b"\n") + 1 if data else len(part)
+        part, held = part[:cut], part[cut:]
+        xyz, end = _pdb_part(part)
+        done += len(part) if end < 0 else end
+        yield done, xyz
+        if end >= 0 or not data:
+            return
+        guess = min(2 * guess, most)
 
 
 def dcd_cell(f, frame_at: int, layout: DcdLayout) -> tuple:

@@ -107,6 +107,30 @@ def validate_frame_index(index: DataFrame) -> DataFrame:
     return index
 
 
+def index_changes(index: DataFrame, paths) -> DataFrame:
+    """``(path, state)``: what has become of the files of an index, or of those named now: ``same``, ``changed``, ``new`` or ``gone``."""
+    known = index.groupBy("path").agg(F.first("signature").alias("known"))
+    now = files.signatures(files.paths_table(index.sparkSession, paths)).select("path", F.col("signature").alias("found")).distinct()
+    state = F.when(F.col("found").isNull(), "gone").when(F.col("known").isNull(), "new").when(F.col("known") != F.col("found"), "changed").otherwise("same")
+    return known.join(now, "path", "full").select("path", state.alias("state"))
+
+
+def refresh_frame_index(index: DataFrame, paths, fmt: str, chunk_bytes: int = files.CHUNK_BYTES) -> DataFrame:
+    """The index of the files named now, made from a stored one: frames of files with the signature they had are taken over,
+    those of gone files are left out, and only new and changed files are scanned.
+
+    Of an unchanged file only the ends are read, for its signature. ``index`` holds whole files, as `build_frame_index` makes them.
+    """
+    spark = index.sparkSession
+    now = write_and_reread(files.signatures(files.paths_table(spark, paths)), "signatures")
+    known = index.select("path", "signature").distinct()
+    taken = index.drop("ord").join(now, ["path", "signature"]).select(*INDEX, "signature")
+    rest = localize(now.join(known, ["path", "signature"], "left_anti").select("ord", "path"))
+    if rest.isEmpty():
+        return taken
+    return taken.unionByName(build_frame_index(spark, rest, fmt, chunk_bytes=chunk_bytes))
+
+
 def join_files(
     index: DataFrame, first: int = 0, last: int | None = None, stride: int = 1, clones: int = 1
 ) -> DataFrame:
@@ -202,41 +226,43 @@ def _read_dcd(index: DataFrame) -> DataFrame:
     )
 
 
-def pdb_records(index: DataFrame) -> DataFrame:
-    """``(frame, atom_id, value)``: the atom lines of the indexed frames."""
+def pdb_rows(f, found):
+    """Coordinates of the frames ``found`` (frame, byte offset) of an open text file, many small frames in a batch."""
+    numbers, atoms, parts, held = [], [], [], 0
 
-    def run(batches):
-        def out(numbers, atoms, found):
-            whole = (pa.array(np.array(v, dtype=np.int64)) for v in (numbers, atoms))
-            return pa.RecordBatch.from_arrays([*whole, pa.array(found)], ["frame", "atom_id", "value"])
+    def out():
+        return _coordinates(np.concatenate(numbers), np.concatenate(atoms), [np.concatenate(c) for c in zip(*parts)])
 
-        for path, rows in _of_a_file(batches):
+    guess = 1 << 16
+    for frame, at in found:
+        first = size = 0
+        for size, xyz in formats.pdb_blocks(f, at, guess):
+            n = len(xyz[0])
+            numbers.append(np.full(n, frame))
+            atoms.append(np.arange(first, first + n))
+            parts.append(xyz)
+            first, held = first + n, held + n
+            if held >= files.BATCH_LINES:
+                yield out()
+                numbers, atoms, parts, held = [], [], [], 0
+        guess = max(256, size + 64)  # the next frame is about as long
+    if held:
+        yield out()
+
+
+def _read_pdb(index: DataFrame) -> DataFrame:
+    def run(batches):
+        for path, found in _of_a_file(batches):
             with formats.open_file(path) as f:
-                numbers, atoms, found = [], [], []
-                for frame, at in rows:
-                    for n, line in enumerate(formats.pdb_frame(f, at, formats.ATOM)):
-                        numbers.append(frame)
-                        atoms.append(n)
-                        found.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
-                        if len(found) == files.BATCH_LINES:
-                            yield out(numbers, atoms, found)
-                            numbers, atoms, found = [], [], []
-                if found:
-                    yield out(numbers, atoms, found)
+                yield from pdb_rows(f, found)
 
-    return _work(index).mapInArrow(run, "frame bigint, atom_id bigint, value string")
+    return _work(index).mapInArrow(run, "frame bigint, atom_id bigint, x double, y double, z double")
 
 
 def _field(name: str, columns=formats.ATOM_COLUMNS):
     return F.trim(F.substring("value", *columns[name]))
 
 
-def _read_pdb(index: DataFrame) -> DataFrame:
-    return pdb_records(index).select(
-        "frame", "atom_id", *(_field(c).cast("double").alias(c) for c in "xyz")
-    )
-
-
 def read_indexed(index: DataFrame, fmt: str) -> DataFrame:
     """``(frame, atom_id, x, y, z)`` of the frames in an index."""
     if fmt not in ("dcd", "pdb"):
@@ -340,19 +366,20 @@ def read_unit_cells(index: DataFrame, fmt: str) -> DataFrame:
         return _work(index).mapInArrow(run, out)
 
     def lines(batches):
-        known, default = None, None
         for path, rows in _of_a_file(batches):
-            found = []
             with formats.open_file(path) as f:
-                for frame, at in rows:
-                    own = list(formats.pdb_frame(f, at, formats.CELL))
-                    if not own and path != known:
-                        f.seek(0)
-                        known, default = path, next((x for x in f if x.startswith(formats.CELL)), b"")
-                    found.append({"frame": frame, "value": (own[-1] if own else default).decode("utf-8", "replace")})
-            yield pa.RecordBatch.from_pylist(found)
-
-    return cell_vectors(_work(index).mapInArrow(lines, "frame bigint, value string"))
+                found = [(frame, next(iter(list(formats.pdb_frame(f, at, formats.CELL))[-1:]), None)) for frame, at in rows]
+            yield pa.RecordBatch.from_pylist(
+                [{"path": path, "frame": frame, "own": line and line.decode("utf-8", "replace")} for frame, line in found],
+                schema=pa.schema([("path", pa.string()), ("frame", pa.int64()), ("own", pa.string())]),
+            )
+
+    own = _work(index).mapInArrow(lines, "path string, frame bigint, own string")
+    # the first cell of each file, found in one scan of byte ranges by many tasks
+    paths = index.groupBy("path").agg(F.min("ord").alias("ord"))
+    firsts = files.scan_lines(paths.select("ord", "path"), files.line_pattern(formats.CELL))
+    firsts = firsts.groupBy("path").agg(F.min_by("value", "offset").alias("first"))
+    return cell_vectors(own.join(firsts, "path", "left").select("frame", F.coalesce("own", "first", F.lit("")).alias("value")))
 
 
 def cell_vectors(lines: DataFrame) -> DataFrame:

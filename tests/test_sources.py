@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scatterloom.operators.params import local_table
-from scatterloom.sources import files, tables, trajectory
+from scatterloom.sources import files, formats, tables, trajectory
 from workload.tables import dcd_bytes
 
 FRAMES = np.array(
@@ -167,3 +167,47 @@ def test_elements_from_json(spark, tmp_path):
     again = tables.element_table(spark, out)
     assert again.exceptAll(df).isEmpty() and again.count() == len(ELEMENT_ROWS)
     assert df.where(F.size("sf_params") == 15).count() == 1
+
+
+@pytest.mark.parametrize("guess", [1, 50, 1 << 16])
+def test_text_frames_in_blocks_of_lines(spark, tmp_path, guess):
+    (tmp_path / "a.pdb").write_text(pdb_text())
+    index = trajectory.build_frame_index(spark, [str(tmp_path / "a.pdb")], "pdb").orderBy("frame").collect()
+    with formats.open_file(str(tmp_path / "a.pdb")) as f:
+        for r in index[:3]:
+            parts = [xyz for _, xyz in formats.pdb_blocks(f, r["byte_offset"], guess)]
+            got = np.stack([np.concatenate(c) for c in zip(*parts)], axis=1)
+            assert np.allclose(got, FRAMES[r["frame"]])
+
+
+def test_cells_at_slanted_angles_and_without(spark, tmp_path):
+    atom = "ATOM      1 CA   MOL     1       1.000   2.000   3.000\n"
+    cell = "CRYST1   11.000   20.000   30.000  80.00  70.00  60.00 P 1\n"
+    (tmp_path / "a.pdb").write_text(atom + "END\n" + atom + cell + "END\n" + atom + "END\n")
+    (tmp_path / "b.pdb").write_text(atom + "END\n" + atom)
+    index = trajectory.join_files(trajectory.build_frame_index(spark, [str(tmp_path / n) for n in ("a.pdb", "b.pdb")], "pdb"))
+    cells = {r["frame"]: tuple(r)[1:] for r in trajectory.read_unit_cells(index, "pdb").collect()}
+    al, be, ga = np.deg2rad([80, 70, 60])
+    slanted = (11, 0, 0, 20 * np.cos(ga), 20 * np.sin(ga), 0, 30 * np.cos(be), 30 * np.cos(al) * np.sin(be), 30 * np.sin(al) * np.sin(be))
+    assert len(cells) == 5 and all(np.allclose(cells[f], slanted) for f in range(3)) and all(np.allclose(cells[f], 0) for f in (3, 4))
+
+
+def test_only_new_and_changed_files_are_scanned(spark, tmp_path, monkeypatch):
+    paths = [str(tmp_path / f"{n}.pdb") for n in "abcd"]
+    for p in paths[:3]:
+        open(p, "w").write(pdb_text())
+    trajectory.build_frame_index(spark, paths[:3], "pdb").write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    open(paths[1], "w").write(pdb_text() + pdb_text())
+    open(paths[3], "w").write(pdb_text(False))
+    now = [paths[3], paths[1], paths[0]]
+    scanned, build = [], trajectory.build_frame_index
+    monkeypatch.setattr(trajectory, "build_frame_index", lambda s, table, *a, **k: scanned.extend(r["path"] for r in table.collect()) or build(s, table, *a, **k))
+    got = trajectory.refresh_frame_index(index, now, "pdb")
+    assert sorted(scanned) == [paths[1], paths[3]]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, build(spark, now, "pdb").collect()))
+    states = {r["path"]: r["state"] for r in trajectory.index_changes(index, now).collect()}
+    assert states == dict(zip(paths, ("same", "changed", "gone", "new")))
+    scanned.clear()
+    again = trajectory.refresh_frame_index(build(spark, now, "pdb"), now, "pdb")
+    assert not scanned and again.count() == got.count()

@@ -16,7 +16,7 @@ from scatterloom.plans.coordinates import prepare_coordinates
 from scatterloom.plans.signal import (
     Multipole, Vectors, check_length, read_signal, resume, scatter, write_meta,
 )
-from scatterloom.scratch import scratch_path
+from scatterloom.scratch import scratch_path, write_and_reread
 from scatterloom.sources import datasource, files, tables as readers, trajectory
 from workload import tables as t
 from workload.sql import (
@@ -125,6 +125,16 @@ def dcd_data_source(spark, sf):
     return coords_out(spark.read.format("trajectory").load(_dcd_files(spark, sf)), 4)
 
 
+@query("refresh_index", """SELECT vec_id // {n} AS ord, 'same' AS state, count(*) AS frames, sum(vec_id % {n}) AS numbers FROM embeddings WHERE vec_id // {n} % 2 = 0 GROUP BY ALL
+ UNION ALL SELECT vec_id // {n}, 'new', count(*), sum(vec_id % {n}) FROM embeddings WHERE vec_id // {n} % 2 = 1 GROUP BY ALL""".format(n=t.DCD_FRAMES))
+def refresh_index(spark, sf):
+    """The index of every other file, brought up to date with all of them."""
+    paths = files.list_folder(_dcd_files(spark, sf))
+    index = write_and_reread(trajectory.build_frame_index(spark, paths[::2], "dcd"), "index")
+    rows = trajectory.refresh_frame_index(index, paths, "dcd").join(trajectory.index_changes(index, paths), "path")
+    return rows.groupBy("ord", "state").agg(F.count("*").alias("frames"), F.sum("frame").alias("numbers"))
+
+
 @query("detect_formats", f"""SELECT 'dcd' AS format, max(vec_id) // {t.DCD_FRAMES} + 1 AS n FROM embeddings
  UNION ALL SELECT 'pdb', count(DISTINCT p_brand) FROM part
  UNION ALL SELECT 'other', count(DISTINCT p_size) FROM part""")
