@@ -125,8 +125,8 @@ def dcd_data_source(spark, sf):
     return coords_out(spark.read.format("trajectory").load(_dcd_files(spark, sf)), 4)
 
 
-@query("refresh_index", """SELECT vec_id // {n} AS ord, 'same' AS state, count(*) AS frames, sum(vec_id % {n}) AS numbers FROM embeddings WHERE vec_id // {n} % 2 = 0 GROUP BY ALL
- UNION ALL SELECT vec_id // {n}, 'new', count(*), sum(vec_id % {n}) FROM embeddings WHERE vec_id // {n} % 2 = 1 GROUP BY ALL""".format(n=t.DCD_FRAMES))
+@query("refresh_index", """SELECT vec_id // {n} AS ord, 'same' AS state, count(*) AS frames, CAST(sum(vec_id % {n}) AS BIGINT) AS numbers FROM embeddings WHERE vec_id // {n} % 2 = 0 GROUP BY ALL
+ UNION ALL SELECT vec_id // {n}, 'new', count(*), CAST(sum(vec_id % {n}) AS BIGINT) FROM embeddings WHERE vec_id // {n} % 2 = 1 GROUP BY ALL""".format(n=t.DCD_FRAMES))
 def refresh_index(spark, sf):
     """The index of every other file, brought up to date with all of them."""
     paths = files.list_folder(_dcd_files(spark, sf))
