@@ -7,6 +7,7 @@ next stage's documents. Columns of ``docs`` other than those that a stage is abo
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from scatterloom.llm import bpe, lines, minhash, mixing, quality
 from scatterloom.llm.common import table
 from scatterloom.scratch import write_and_reread
 
+#: Columns that tell a row's place in the mixed order.
+PLACE = ["mix_file", "mix_row"]
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier, learned on these ones, finds bad (score under 0.5)."""
@@ -33,12 +37,22 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (shingles of five words, similarity 0.8), the one with the smallest id. Of rows that repeat an id one stays, of documents without an id all."""
+    """One document of each group of near duplicates (shingles of five words, similarity 0.8), the one with the smallest id.
+
+    Rows that repeat an id and its text are one document. An id with unlike texts names several, which its group doesn't tell apart: all of
+    these stay. Documents without an id all stay.
+    """
     kept = minhash.cluster(docs, k=5, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text")))
-    rows = docs.join(kept, docs["doc_id"] == kept["__id"], "left").where(F.col("__id").isNotNull() | F.col("doc_id").isNull())
-    rows = rows.withColumn("__turn", turn).where((F.col("__turn") == 1) | F.col("doc_id").isNull())
-    return rows.select(*docs.columns)
+    print_of = F.md5(F.coalesce(F.concat(F.lit("t"), docs["text"]), F.lit("")).cast("binary"))
+    prints = docs.select(docs["doc_id"].alias("__id"), print_of.alias("__print")).where("__id is not null").groupBy("__id")
+    told = prints.agg(F.min("__print").alias("__first"), F.max("__print").alias("__last"), F.count("*").alias("__n"))
+    told = told.join(kept.withColumn("__kept", F.lit(True)), "__id", "left").where("__kept or __first <> __last")
+    rows = docs.withColumn("__print", print_of).join(told, docs["doc_id"] == told["__id"], "left").where("__id is not null or doc_id is null")
+    # ids are numbered only where they repeat, so the window holds few rows
+    turn = F.row_number().over(Window.partitionBy("doc_id", "__print").orderBy("doc_id"))
+    once = rows.where("coalesce(__n, 1) = 1")
+    again = rows.where("__n > 1").withColumn("__turn", turn).where("__turn = 1")
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,19 +62,23 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document as counts and digests, with a digest of the text decoded from them; files and rows come in the mixed order.
+    """Token ids of each document as counts and digests, with a digest of the text decoded from them, and its place in the order that the
+    files of ``docs`` were written in: ``mix_file, mix_row``, the number of its part file and the row there (null if ``docs`` isn't read from such files).
 
-    A scan of written files doesn't keep their order, so the order is made anew from the documents, which mixing has left as they were.
+    Scans deal files out by size, so rows carry the order that mixing gave them.
     """
-    docs = mixed(spark, docs, sf_dir)
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-
-
-def in_written_order(written: DataFrame) -> DataFrame:
-    """Rows of a table of written files, by the files' names and as they lie in them; scans deal files out by size."""
-    place = ["__file", "__row"]
-    rows = written.select("*", F.col("_metadata.file_name").alias(place[0]), F.col("_metadata.row_index").alias(place[1]))
-    return rows.orderBy(*place).drop(*place)
+    try:
+        files = docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        files = None
+    if files is None:
+        place = [F.lit(None).cast("bigint").alias(c) for c in PLACE]
+    else:
+        number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("bigint")
+        place = [number.alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1])]
+    rows = docs.select(F.struct("doc_id", *place).alias("row"), "text")
+    made = bpe.digests(rows, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, id_col="row")
+    return made.select("row.*", *(c for c in made.columns if c != "row"))
 
 
 STAGES = [
@@ -80,4 +98,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = write_and_reread(stage(spark, docs, sf_dir), f"stage-{name}")
-    return in_written_order(docs)
+    return docs.orderBy(*PLACE)
