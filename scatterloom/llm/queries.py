@@ -133,7 +133,10 @@ SQL = {
     "op8_mixing": f"""
         WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, '') AS s, text, length(coalesce(text, '')) AS chars, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
         z AS (SELECT s, sqrt(greatest(1, sum(chars))) AS w FROM d GROUP BY s),
-        c AS (SELECT s, CAST(greatest(1, floor({mixing.PERIOD} * w / (SELECT sum(w ORDER BY s) FROM z) + 0.5)) AS BIGINT) AS share FROM z),
+        y AS (SELECT min(w) AS least, sum(w ORDER BY s) AS total FROM z),
+        x AS (SELECT min(whole) AS whole FROM (SELECT {mixing.PERIOD}::BIGINT << k AS whole FROM range(40) r(k)), y
+              WHERE whole * least / total >= {mixing.LEAST} OR 2 * whole > {mixing.MAX_PERIOD}),
+        c AS (SELECT s, CAST(greatest(1, floor(whole * w / total + 0.5)) AS BIGINT) AS share FROM z, y, x),
         p AS (SELECT list(share ORDER BY s) AS cs, list(s ORDER BY s) AS names, CAST(sum(share) AS BIGINT) AS period FROM c),
         e(t, done, pick) AS (
             SELECT CAST(-1 AS BIGINT), [CAST(0 AS BIGINT) FOR x IN cs], CAST(0 AS BIGINT) FROM p

@@ -48,3 +48,14 @@ def test_lines_of_odd_rows(spark):
 def test_mixing_of_odd_rows(spark):
     df, want = of_odd_rows(spark, "op8_mixing")
     assert same(mixing.mix(df, mixing.shares_by_size(df)), want)
+
+
+def test_mixing_of_many_sources(spark):
+    """The smallest of a hundred sources needs a longer period."""
+    rows = [(i, odd.sentence(i, 5 + 60 * (i % 100 == 0)), f"s{i % 100}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    shares = mixing.shares_by_size(df)
+    assert sum(shares.values()) > 1.5 * mixing.PERIOD
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([r.asDict() for r in df.collect()]))
+    assert same(mixing.mix(df, shares), check.ordered(con.execute(queries.SQL["op8_mixing"]).df()))
