@@ -1310,6 +1310,19 @@ def signal_self_plain(spark, sf):
     return _fq_out(incoherent(spark, sf, "plain").summary)
 
 
+@query("signal_multipole_debye", f"""WITH {TRAJ}, q AS (SELECT j AS q_id, 0.05 + 0.2*j AS qx, 0.0::DOUBLE AS qy, 0.0::DOUBLE AS qz, 0.05 + 0.2*j AS ql FROM range(3) r(j)), {LI_FACTORS},
+ d AS (SELECT a.frame, a.label AS la, b.label AS lb, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d FROM traj a JOIN traj b USING (frame)),
+ s AS (SELECT q.q_id, qx, qy, qz, frame, sum(fa.f * fb.f * CASE WHEN d = 0 THEN 1.0 ELSE sin(q.ql*d) / (q.ql*d) END) AS v
+  FROM d JOIN factors fa ON fa.label = la JOIN factors fb ON fb.label = lb AND fb.q_id = fa.q_id JOIN q ON q.q_id = fa.q_id GROUP BY ALL)
+ SELECT q_id, qx, qy, qz, frame AS tau, {r('v', 're', 4)}, 0.0::DOUBLE AS im FROM s""")
+def signal_multipole_debye(spark, sf):
+    """Multipoles up to order 8 add up to the average over all orientations, which is a sum over pairs of atoms."""
+    q = qspace.q_from_scans(spark, [qspace.scan((1.0, 0.0, 0.0), 0.05, 0.45, 3, 1.0)])
+    s = scatter(t.emb_traj(spark, sf), q, t.factors(spark, q), t.n_frames(spark, sf),
+                average=Multipole(qspace.moments_sphere(spark, 8)), dsp="square")
+    return _fqt_out(s.fqt, 4)
+
+
 @query("signal_multipole_sphere", f"""WITH {TRAJ}, {SCAN_Q}, {LI_FACTORS}, {BALL}, sq AS (SELECT q_id, m_id, frame, re*re + im*im AS re, 0.0::DOUBLE AS im FROM amp)
  {_fqt_sql('sq', f'(1/(4*{PI}))', 4)}""")
 def signal_multipole_sphere(spark, sf):
