@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import write_and_reread
-from .common import whole_text
+from .common import let, whole_text
 
 #: Rows that the broadcast table of candidates has at most (two numbers each); beyond, candidates are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -126,15 +126,37 @@ def spans(text: Column, rule: Rule) -> Column:
         F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)).alias("part"),
     )
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+    return F.when(text.rlike(rule.regex), let(parts, lambda p: _placed(p, rule.least))).otherwise(none)
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["before"])
-        end = start + F.coalesce(F.length(p["found"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(p["part"]) >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(rule.regex), F.aggregate(parts, begin, step, lambda acc: acc["out"])).otherwise(none)
+def _placed(parts: Column, least: int) -> Column:
+    """Spans of the matches of ``parts`` (text before each one, the match, its part that counts).
+
+    Places are sums of lengths in two steps, within runs of about the cube root of all matches and over the runs' totals, so that no array
+    is copied for every match: n matches take about n^(4/3) steps.
+    """
+    zero = F.lit(0).cast("bigint")
+    length = lambda p: F.length(p["before"]) + F.coalesce(F.length(p["found"]), F.lit(0))
+    size = F.greatest(F.lit(16), F.ceil(F.cbrt(F.size(parts)))).cast("int")
+    one = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end")))
+
+    def inside(run: Column, at: Column) -> Column:
+        begin = F.struct(at.alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
+
+        def step(acc: Column, p: Column) -> Column:
+            start, end = acc["at"] + F.length(p["before"]), acc["at"] + length(p)
+            out = F.when(F.length(p["part"]) >= least, F.concat(acc["out"], one(start, end))).otherwise(acc["out"])
+            return F.struct(end.alias("at"), out.alias("out"))
+
+        return F.aggregate(run, begin, step, lambda acc: acc["out"])
+
+    def in_runs(runs: Column) -> Column:
+        totals = F.transform(runs, lambda r: F.aggregate(r, zero, lambda acc, p: acc + length(p)))
+        starts = F.aggregate(totals, F.array(zero), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + t)))
+        return let(starts, lambda at: F.flatten(F.transform(runs, lambda r, k: inside(r, at[k]))))
+
+    cut = F.transform(F.sequence(F.lit(1), F.size(parts), size), lambda lo: F.slice(parts, lo, size))
+    return let(cut, in_runs)
 
 
 def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -244,3 +244,15 @@ def test_native_plans_hold_no_python(spark):
     table = spark.createDataFrame([], df.schema)
     for made in (licenses.scan(table), secret_scan.scan(table), lines.dedup(table), mixing.mix(table, {"a": 1})):
         assert not re.search(PLAN, made._jdf.queryExecution().executedPlan().toString())
+
+
+def test_secrets_in_a_text_with_very_many(spark):
+    """A quarter of a million matches in one text, in seconds."""
+    import time
+
+    n = 256_000
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.expr(f"array_join(transform(sequence(1, {n}), i -> concat('token=abc', lpad(i, 6, '0'))), ' ')").alias("text"))
+    start = time.monotonic()
+    got = secret_scan.scan(df).select(F.size("spans"), F.col("spans")[n - 1]["start"], F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")).first()
+    assert time.monotonic() - start < 60
+    assert tuple(got) == (n, (n - 1) * 16, n * 15)
