@@ -15,13 +15,11 @@ from pyspark.sql import types as T
 from .common import kept, map_texts, whole_text
 
 #: Words share this many vectors by hash, so the vectors of any corpus take BUCKETS x DIMS numbers.
-BUCKETS, DIMS = 1 << 14, 32
+BUCKETS, DIMS = 1 << 14, 64
 #: Nonzero entries of an index vector, and how far a word's context reaches to either side.
 NONZERO, REACH = 4, 2
 #: Labelled rows that the network is fitted on at most; of more, those with the smallest hashes of their ids.
 SAMPLE = 20_000
-#: How a token can look.
-PLAIN, UPPER, MARKS = 0, 1, 2
 #: Tokens whose codes a worker keeps.
 TOKENS_KEPT = 500_000
 
@@ -37,31 +35,21 @@ def fnv(data: bytes) -> int:
 
 
 class Tokens(dict):
-    """Four times the bucket of a token, plus how it looks; the same on every executor."""
+    """The bucket of a token; the same on every executor."""
 
     def __missing__(self, token: str) -> int:
         if len(self) >= TOKENS_KEPT:
             self.clear()
-        looks = UPPER if len(token) > 1 and token.isupper() else MARKS if not token[0].isalnum() else PLAIN
-        code = self[token] = fnv(token.lower().encode()) % BUCKETS * 4 + looks
-        return code
+        bucket = self[token] = fnv(token.lower().encode()) % BUCKETS
+        return bucket
 
 
-def token_codes(text: str) -> np.ndarray:
-    """Codes of the tokens of a text in order, see `Tokens`."""
+def buckets_of(text: str) -> np.ndarray:
+    """Buckets of the tokens of a text in order."""
     found = TOKENS(text)
     return np.fromiter(map(kept("tokens", Tokens).__getitem__, found), np.int64, len(found))
 
 
-def looks(codes: np.ndarray) -> np.ndarray:
-    """Share of tokens in capitals, that repeat the one before, and made of signs."""
-    if not len(codes):
-        return np.zeros(3)
-    look, bucket = codes & 3, codes >> 2
-    again = np.count_nonzero(bucket[1:] == bucket[:-1])
-    return np.array([np.count_nonzero(look == UPPER), again, np.count_nonzero(look == MARKS)]) / len(codes)
-
-
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the nonzero entries of each bucket's index vector."""
     draw = np.random.default_rng(20)
@@ -88,7 +76,7 @@ def context_sums(texts: Iterable[str], places: np.ndarray, signs: np.ndarray) ->
 
     size = 0
     for text in texts:
-        ids = token_codes(text) >> 2
+        ids = buckets_of(text)
         flat += [ids, gap]
         size += len(ids)
         if size > 500_000:
@@ -127,19 +115,17 @@ def word_vectors(df: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.
 
 
 def pooled(texts: Iterable[str], vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """A row per text: the weighted mean of its words' vectors, how its tokens look, and its length's logarithm."""
+    """A row per text: the weighted mean of its words' vectors, zeros without words."""
     rows = []
     for text in texts:
-        codes = token_codes(text)
-        ids = codes >> 2
+        ids = buckets_of(text)
         mean, weight = np.zeros(vectors.shape[1]), 0.0
         for lo in range(0, len(ids), 1 << 16):  # a very long text takes no more memory than its tokens
             w = weights[ids[lo : lo + (1 << 16)]]
             mean += w @ vectors[ids[lo : lo + (1 << 16)]]
             weight += float(w.sum())
-        mean /= max(weight, 1e-9)
-        rows.append(np.concatenate((mean, looks(codes), [np.log1p(len(ids)) / 10])))
-    return np.array(rows).reshape(len(rows), vectors.shape[1] + 4)
+        rows.append(mean / max(weight, 1e-9))
+    return np.array(rows).reshape(len(rows), vectors.shape[1])
 
 
 @dataclass
@@ -224,7 +210,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = map_texts(sampled, "row", "text", {"x": "array<double>"}, lambda texts: [list(pooled(texts, vectors, weights))])
     # a labelled text that repeats counts once, so the sample bounds this table, too
     known = known.groupBy("row.id").agg(F.min(F.struct("row.y", "x")).alias("r")).select("id", "r.y", "r.x").toPandas().sort_values("id", ignore_index=True)
-    x = np.array(known["x"].tolist()).reshape(len(known), DIMS + 4)
+    x = np.array(known["x"].tolist()).reshape(len(known), DIMS)
     return Model(vectors, weights, fit(x, known["y"].to_numpy(np.float64)))
 
 
