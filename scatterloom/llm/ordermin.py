@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import let, whole_text
 
 #: Words of a k-mer, and entries of a fingerprint; an entry takes two k-mers.
 K, ENTRIES = 3, 64
-#: Low bits of a number that hold a place; the others hold a hash. Later places share the last number.
-PLACE = (1 << 24) - 1
-#: Rows of a block of neighbouring ids, while there are at most MAX_BLOCKS; the bounds of blocks are all that reaches the driver.
+#: In a run of more characters without a space every character is a word: scripts without spaces, minified code, encoded data.
+LONG = 48
+#: Low bits of a number that hold a place, enough for any text; the others hold a hash.
+PLACE_BITS = 31
+PLACE = (1 << PLACE_BITS) - 1
+#: Rows of a block of neighbouring ids, while there are at most MAX_BLOCKS; the bounds of blocks are all that reaches the driver. Larger blocks are sorted and
+#: read row by row, and spill.
 BLOCK_ROWS, MAX_BLOCKS = 1000, 1 << 16
 
 
@@ -30,21 +34,30 @@ def steps_of(array: Column) -> Column:
     return F.transform(F.sequence(top, F.lit(0), F.lit(-1)), lambda e: F.call_function("shiftleft", F.lit(1), e))
 
 
-def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with ``name``, an array of ENTRIES numbers (none for a text without words).
+def place_of(v: Column) -> Column:
+    return v.bitwiseAND(F.lit(PLACE))
 
-    Words lie between characters up to U+0020. The k-mers of a text, K words each (all words, if fewer), get a hash, repeated ones from the second on a
-    hash of their own and their number. Entry b takes the two smallest in the order of hashes rotated by b / ENTRIES of their range, puts them into text order and hashes them as a pair.
-    Rotations need one sorted array per text: entry b's minima are the elements that follow its bound, cyclically.
-    Columns that begin with ``__`` are the operator's own.
+
+def hash_of(v: Column) -> Column:
+    return F.shiftright(v, PLACE_BITS)
+
+
+def packed(h: Column, place: Column) -> Column:
+    return h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(place)
+
+
+def with_kmers(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with ``name``, an array of the hash and place of each k-mer of a text (none for a text without words).
+
+    Words lie between characters up to U+0020; runs of more than LONG characters count each character as a word. K-mers are K words each (all words, if
+    fewer); those that repeat get, from the second on, a hash of their own and their number. Columns that begin with ``__`` are the operator's own.
     """
-    place = lambda v: v.bitwiseAND(F.lit(PLACE))
-    pack = lambda h, at: h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(at)
-    hash_of = lambda v: F.shiftright(v, 24)
-    df = df.withColumn("__words", F.array_remove(F.split(df[text], r"[\x00-\x20]+", -1), ""))
+    runs = F.array_remove(F.split(df[text], r"[\x00-\x20]+", -1), "")
+    cut = let(runs, lambda ws: F.when(F.exists(ws, lambda w: F.length(w) > LONG), F.flatten(F.transform(ws, lambda w: F.when(F.length(w) > LONG, F.split(w, "", -1)).otherwise(F.array(w))))).otherwise(ws))
+    df = df.withColumn("__words", cut)
     words = F.col("__words")
     last = F.greatest(F.size(words) - K, F.least(F.size(words) - 1, F.lit(0)))
-    kmer = lambda i: pack(F.xxhash64(*(F.get(words, i + j) for j in range(K))), F.least(i, F.lit(PLACE)).cast("bigint"))
+    kmer = lambda i: packed(F.xxhash64(*(F.get(words, i + j) for j in range(K))), i.cast("bigint"))
     # every step refers to its array more than once, so that the optimizer keeps the steps apart and each array is made once
     df = df.withColumn("__kmers", F.when(F.size(words) > 0, F.sort_array(F.transform(F.sequence(F.lit(0), last), kmer))).otherwise(F.array().cast("array<bigint>"))).drop("__words")
     df = df.withColumn("__steps", steps_of(F.col("__kmers")))
@@ -53,20 +66,29 @@ def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     def numbered(v: Column, j: Column) -> Column:
         again = hash_of(F.get(kmers, j - 1)) == hash_of(v)
         first = lower_bound(kmers, v.bitwiseAND(F.lit(~PLACE)), steps)
-        return F.when(again, pack(F.xxhash64(hash_of(v), j - first), place(v))).otherwise(v)
+        return F.when(again, packed(F.xxhash64(hash_of(v), j - first), place_of(v))).otherwise(v)
+
+    return df.withColumn(name, F.transform(kmers, numbered)).drop("__kmers", "__steps")
 
-    df = df.withColumn("__sorted", F.sort_array(F.transform(kmers, numbered))).drop("__kmers")
-    chosen, n = F.col("__sorted"), F.size("__sorted")
 
-    starts = F.transform(F.sequence(F.lit(-(ENTRIES // 2)).cast("bigint"), F.lit(ENTRIES // 2 - 1).cast("bigint")), lambda b: lower_bound(chosen, b * F.lit((1 << 64) // ENTRIES), steps))
+def fingerprints(df: DataFrame, keys: list[str], kmers: str, name: str) -> DataFrame:
+    """``keys`` and ``name``, an array of ENTRIES numbers, of the k-mers of each row (none if it has none). ``keys`` must tell rows apart.
 
-    def entry(start: Column) -> Column:
-        one, two = (F.get(chosen, (start + j) % n) for j in (0, 1))
-        pair = F.when(place(one) <= place(two), F.xxhash64(hash_of(one), hash_of(two))).otherwise(F.xxhash64(hash_of(two), hash_of(one)))
+    Every entry has a hash order of its own and takes the first and the last k-mer of it, puts them into text order and hashes them as a pair. First and
+    last agree between two texts exactly as often as the two first would: where both ends of the joint order are common k-mers.
+    K-mers become rows and orders aggregates, so all is compiled code; where ``df`` is distributed by some of the keys, nothing is shuffled.
+    """
+    rows = df.select(*keys, F.explode_outer(kmers).alias("__kmer"))
+    kmer = F.col("__kmer")
+    rows = rows.select(*keys, *(packed(F.xxhash64(hash_of(kmer), F.lit(e)), place_of(kmer)).alias(f"__v{e}") for e in range(ENTRIES)))
+    ends = rows.groupBy(*keys).agg(*(end(f"__v{e}").alias(f"__{end.__name__}{e}") for e in range(ENTRIES) for end in (F.min, F.max)))
+
+    def entry(one: Column, two: Column) -> Column:
+        pair = F.when(place_of(one) <= place_of(two), F.xxhash64(hash_of(one), hash_of(two))).otherwise(F.xxhash64(hash_of(two), hash_of(one)))
         return F.shiftright(pair, 32).cast("int")
 
-    entries = F.transform(starts, entry)
-    return df.withColumn(name, F.when(n > 0, entries).otherwise(F.array().cast("array<int>"))).drop("__sorted", "__steps")
+    entries = F.array(*(entry(F.col(f"__min{e}"), F.col(f"__max{e}")) for e in range(ENTRIES)))
+    return ends.select(*keys, F.when(F.col("__min0").isNotNull(), entries).otherwise(F.array().cast("array<int>")).alias(name))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -80,58 +102,63 @@ def listed(entries: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.lpad(F.hex(e.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
-def with_next(df: DataFrame, id_col: str, carried: list[str], ids: DataFrame, firsts_of) -> DataFrame:
-    """``df`` with ``__next``, a struct of ``carried`` columns from the row with the next id; the last row gets the first one's.
+def in_blocks(df: DataFrame, id_col: str, carried: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``__block, __row`` and ``__next`` (``carried`` of the row with the next id, of the last row of a block null), and a table of ``__block,
+    __head_id``: the id of the first row of the block that follows, after the last block the first one.
 
-    Null ids come first; rows of the same id are ordered by the carried columns. Rows are dealt into blocks of neighbouring ids by bounds taken from quantiles of
-    ``ids``, so one shuffle brings neighbours together and no task holds more than its blocks. The last row of a block gets the first row of the next block:
-    ``firsts_of`` makes ``df`` for a few given ids.
+    Null ids come first; rows of the same id are ordered by ``carried``. Rows are dealt into blocks of neighbouring ids by bounds taken from quantiles of
+    ``ids``, so one shuffle brings neighbours together and no task holds more than its blocks. Rows that tie are equal, so numbers are the same after a retry.
     """
     spark = df.sparkSession
     rows = ids.count()
     blocks = min(MAX_BLOCKS, max(1, rows // BLOCK_ROWS))
     shares = [i / blocks for i in range(1, blocks)]
     bounds = sorted(set(ids.agg(F.percentile_approx(id_col, shares, 10 * max(1000, blocks))).first()[0] or [])) if shares else []
-    array = F.array(*map(F.lit, bounds)).cast("array<bigint>")
+    array = F.from_json(F.lit(str(bounds)), "array<bigint>")  # one value in the plan
     key = F.col(id_col).cast("bigint") + 0
     steps = F.lit([1 << e for e in range(len(bounds).bit_length(), -1, -1)])
-    block = F.when(F.col(id_col).isNull(), -1).otherwise(F.transform(F.array(array), lambda a: lower_bound(a, key, steps))[0])
+    block = F.when(F.col(id_col).isNull(), -1).otherwise(let(array, lambda a: lower_bound(a, key, steps)))
     ring = [r for r in ids.groupBy(block.alias("block")).agg(F.min(id_col).alias("id")).collect()]  # a row per block
     ring.sort(key=lambda r: r["block"])
-    before = [(ring[i - 1]["block"], r["id"]) for i, r in enumerate(ring)]
-    id_kind = ids.schema[id_col].dataType.simpleString()
-    heads = spark.createDataFrame(before, f"__block int, __first {id_kind}")
-    first = firsts_of(F.broadcast(heads.select("__first").distinct())).groupBy(F.col(id_col).alias("__first")).agg(F.min(F.struct(*carried)).alias("__head"))
-    first = heads.join(first, heads["__first"].eqNullSafe(first["__first"])).select(F.col("__block"), "__head")
-    near = Window.partitionBy("__block").orderBy(F.asc_nulls_first(id_col), *carried)
-    out = df.withColumn("__block", block).withColumn("__lead", F.lead(F.struct(*carried)).over(near))
-    out = out.join(first.hint("shuffle_hash"), "__block", "left")
-    return out.withColumn("__next", F.coalesce("__lead", "__head")).drop("__block", "__lead", "__head")
+    heads = spark.createDataFrame([(ring[i - 1]["block"], r["id"]) for i, r in enumerate(ring)], f"__block int, __head_id {ids.schema[id_col].dataType.simpleString()}")
+    near = Window.partitionBy("__block").orderBy(F.asc_nulls_first(id_col), carried)
+    return df.withColumn("__block", block).withColumns({"__row": F.row_number().over(near), "__next": F.lead(carried).over(near)}), heads
 
 
 def compare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every whole text (null: empty) and of its edited text, and their likeness.
 
-    The edited text has the last half of the characters (rounded down) replaced by as many from the start of the next row's text by ``id_col``, see `with_next`.
+    The edited text has the last half of the characters (rounded down) replaced by as many from the start of the next row's text by ``id_col``, see `in_blocks`.
     Returns ``id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``, a row for each row; other columns are left out. ``id_col`` must be a whole number.
-    """
 
-    def prepared(rows: DataFrame) -> DataFrame:
-        return fingerprint(rows.select(rows[id_col].alias("id"), whole_text(rows, text_col).alias("text")), "text", "prints")
-
-    def firsts(ids: DataFrame) -> DataFrame:
-        return prepared(df.join(ids, df[id_col].eqNullSafe(ids["__first"]), "left_semi"))
-
-    rows = with_next(prepared(df), "id", ["text", "prints"], df.select(df[id_col].alias("id")), firsts)
+    Texts are shuffled once, by block; k-mers, fingerprints and neighbours stay in the tasks that hold the block.
+    """
+    texts = df.select(df[id_col].alias("id"), whole_text(df, text_col).alias("text"))
+    rows, heads = in_blocks(texts, "id", "text", texts.select("id"))
+    wanted = F.broadcast(heads.select("__head_id").distinct())
+    first = texts.join(wanted, F.col("id").eqNullSafe(F.col("__head_id")), "left_semi").groupBy("id").agg(F.min("text").alias("__head"))
+    prints = fingerprints(with_kmers(first, "__head", "kmers"), ["id"], "kmers", "__head_prints")
+    first = first.join(prints.withColumnRenamed("id", "again"), F.col("id").eqNullSafe(F.col("again"))).drop("again")
+    first = heads.join(first, F.col("id").eqNullSafe(F.col("__head_id"))).select("__block", "__head", "__head_prints")
+
+    rows = rows.join(first.select("__block", "__head").hint("shuffle_hash"), "__block", "left").withColumn("__next", F.coalesce("__next", "__head")).drop("__head")
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("__next")["text"], F.lit(1), half))
-    rows = fingerprint(rows.withColumn("edited", edited), "edited", "edited_prints")
+    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("__next"), F.lit(1), half))
+    rows = with_kmers(rows.withColumn("edited", edited), "text", "own_kmers")
+    rows = with_kmers(rows, "edited", "edited_kmers")
+    told = ["__block", "__row", "id", "n_chars", "edited_sha256"]
+    rows = rows.select("__block", "__row", "id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own_kmers", "edited_kmers")
+    both = rows.select(*told, F.posexplode(F.array("own_kmers", "edited_kmers")).alias("kind", "kmers"))
+    both = fingerprints(both, [*told, "kind"], "kmers", "entries")
+    rows = both.groupBy(*told).agg(F.max(F.when(F.col("kind") == 0, F.col("entries"))).alias("prints"), F.max(F.when(F.col("kind") == 1, F.col("entries"))).alias("edited_prints"))
+    rows = rows.withColumn("__next", F.lead("prints").over(Window.partitionBy("__block").orderBy("__row")))
+    rows = rows.join(first.select("__block", "__head_prints").hint("shuffle_hash"), "__block", "left").withColumn("__next", F.coalesce("__next", "__head_prints"))
     return rows.select(
         F.col("id").alias(id_col),
-        F.length("text").cast("bigint").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "n_chars",
+        "edited_sha256",
         listed(F.col("prints")).alias("fingerprint"),
         listed(F.col("edited_prints")).alias("edited_fingerprint"),
         likeness(F.col("prints"), F.col("edited_prints")).alias("near_edited"),
-        likeness(F.col("prints"), F.col("__next")["prints"]).alias("near_next"),
+        likeness(F.col("prints"), F.col("__next")).alias("near_next"),
     )
