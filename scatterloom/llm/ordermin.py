@@ -9,6 +9,8 @@ from .common import let, whole_text
 
 #: Words of a k-mer, and entries of a fingerprint; an entry takes two k-mers.
 K, ENTRIES = 3, 64
+#: Entries that one row of the aggregation makes: code for all at once is too long to be compiled well.
+ORDERS = 8
 #: In a run of more characters without a space every character is a word: scripts without spaces, minified code, encoded data.
 LONG = 48
 #: Low bits of a number that hold a place, enough for any text; the others hold a hash.
@@ -79,16 +81,20 @@ def fingerprints(df: DataFrame, keys: list[str], kmers: str, name: str) -> DataF
     K-mers become rows and orders aggregates, so all is compiled code; where ``df`` is distributed by some of the keys, nothing is shuffled.
     """
     rows = df.select(*keys, F.explode_outer(kmers).alias("__kmer"))
-    kmer = F.col("__kmer")
-    rows = rows.select(*keys, *(packed(F.xxhash64(hash_of(kmer), F.lit(e)), place_of(kmer)).alias(f"__v{e}") for e in range(ENTRIES)))
-    ends = rows.groupBy(*keys).agg(*(end(f"__v{e}").alias(f"__{end.__name__}{e}") for e in range(ENTRIES) for end in (F.min, F.max)))
+    rows = rows.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(ENTRIES - ORDERS), F.lit(ORDERS))).alias("__from"), "__kmer")
+    kmer, start = F.col("__kmer"), F.col("__from")
+    rows = rows.select(*keys, "__from", *(packed(F.xxhash64(hash_of(kmer), start + e), place_of(kmer)).alias(f"__v{e}") for e in range(ORDERS)))
+    ends = rows.groupBy(*keys, "__from").agg(*(end(f"__v{e}").alias(f"__{end.__name__}{e}") for e in range(ORDERS) for end in (F.min, F.max)))
 
-    def entry(one: Column, two: Column) -> Column:
-        pair = F.when(place_of(one) <= place_of(two), F.xxhash64(hash_of(one), hash_of(two))).otherwise(F.xxhash64(hash_of(two), hash_of(one)))
-        return F.shiftright(pair, 32).cast("int")
+    def entry(pair: Column) -> Column:
+        one, two = pair["one"], pair["two"]
+        first, last = (F.when((place_of(one) <= place_of(two)) == straight, hash_of(one)).otherwise(hash_of(two)) for straight in (F.lit(True), F.lit(False)))
+        return F.shiftright(F.xxhash64(first, last), 32).cast("int")
 
-    entries = F.array(*(entry(F.col(f"__min{e}"), F.col(f"__max{e}")) for e in range(ENTRIES)))
-    return ends.select(*keys, F.when(F.col("__min0").isNotNull(), entries).otherwise(F.array().cast("array<int>")).alias(name))
+    pairs = F.array(*(F.struct(F.col(f"__min{e}").alias("one"), F.col(f"__max{e}").alias("two")) for e in range(ORDERS)))
+    some = F.when(F.col("__min0").isNotNull(), F.transform(pairs, entry)).otherwise(F.array().cast("array<int>"))
+    parts = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__from", some.alias("some")))).alias("__parts"))
+    return parts.select(*keys, F.flatten(F.col("__parts.some")).alias(name))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -102,27 +108,29 @@ def listed(entries: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.lpad(F.hex(e.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
-def in_blocks(df: DataFrame, id_col: str, carried: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``df`` with ``__block, __row`` and ``__next`` (``carried`` of the row with the next id, of the last row of a block null), and a table of ``__block,
-    __head_id``: the id of the first row of the block that follows, after the last block the first one.
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (``id, text``) with ``__block, __more, __row, __next``: blocks of neighbouring ids, the place in the block, and the text of the next row.
 
-    Null ids come first; rows of the same id are ordered by ``carried``. Rows are dealt into blocks of neighbouring ids by bounds taken from quantiles of
-    ``ids``, so one shuffle brings neighbours together and no task holds more than its blocks. Rows that tie are equal, so numbers are the same after a retry.
+    Null ids come first; rows of the same id are ordered by text. Rows are dealt into blocks by bounds taken from quantiles of the ids, so one shuffle brings
+    neighbours together and no task holds more than its blocks. Every block ends with a copy (``__more``) of the first row of the block that follows, after the last block of
+    the first one. Rows that tie are equal, so places are the same after a retry.
     """
-    spark = df.sparkSession
-    rows = ids.count()
-    blocks = min(MAX_BLOCKS, max(1, rows // BLOCK_ROWS))
+    spark = rows.sparkSession
+    ids = rows.select("id")
+    blocks = min(MAX_BLOCKS, max(1, ids.count() // BLOCK_ROWS))
     shares = [i / blocks for i in range(1, blocks)]
-    bounds = sorted(set(ids.agg(F.percentile_approx(id_col, shares, 10 * max(1000, blocks))).first()[0] or [])) if shares else []
+    bounds = sorted(set(ids.agg(F.percentile_approx("id", shares, 10 * max(1000, blocks))).first()[0] or [])) if shares else []
     array = F.from_json(F.lit(str(bounds)), "array<bigint>")  # one value in the plan
-    key = F.col(id_col).cast("bigint") + 0
+    key = F.col("id").cast("bigint") + 0
     steps = F.lit([1 << e for e in range(len(bounds).bit_length(), -1, -1)])
-    block = F.when(F.col(id_col).isNull(), -1).otherwise(let(array, lambda a: lower_bound(a, key, steps)))
-    ring = [r for r in ids.groupBy(block.alias("block")).agg(F.min(id_col).alias("id")).collect()]  # a row per block
+    block = F.when(F.col("id").isNull(), -1).otherwise(let(array, lambda a: lower_bound(a, key, steps)))
+    ring = [r for r in ids.groupBy(block.alias("block")).agg(F.min("id").alias("id")).collect()]  # a row per block
     ring.sort(key=lambda r: r["block"])
-    heads = spark.createDataFrame([(ring[i - 1]["block"], r["id"]) for i, r in enumerate(ring)], f"__block int, __head_id {ids.schema[id_col].dataType.simpleString()}")
-    near = Window.partitionBy("__block").orderBy(F.asc_nulls_first(id_col), carried)
-    return df.withColumn("__block", block).withColumns({"__row": F.row_number().over(near), "__next": F.lead(carried).over(near)}), heads
+    heads = spark.createDataFrame([(ring[i - 1]["block"], r["id"]) for i, r in enumerate(ring)], f"__block int, __head {ids.schema['id'].dataType.simpleString()}")
+    copies = rows.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("__head"))).groupBy("__block", "id").agg(F.min("text").alias("text"))
+    every = rows.select(block.alias("__block"), F.lit(False).alias("__more"), "id", "text").unionAll(copies.select("__block", F.lit(True), "id", "text"))
+    near = Window.partitionBy("__block").orderBy("__more", F.asc_nulls_first("id"), "text")
+    return every.withColumns({"__row": F.row_number().over(near), "__next": F.lead("text").over(near)})
 
 
 def compare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,26 +141,17 @@ def compare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Texts are shuffled once, by block; k-mers, fingerprints and neighbours stay in the tasks that hold the block.
     """
-    texts = df.select(df[id_col].alias("id"), whole_text(df, text_col).alias("text"))
-    rows, heads = in_blocks(texts, "id", "text", texts.select("id"))
-    wanted = F.broadcast(heads.select("__head_id").distinct())
-    first = texts.join(wanted, F.col("id").eqNullSafe(F.col("__head_id")), "left_semi").groupBy("id").agg(F.min("text").alias("__head"))
-    prints = fingerprints(with_kmers(first, "__head", "kmers"), ["id"], "kmers", "__head_prints")
-    first = first.join(prints.withColumnRenamed("id", "again"), F.col("id").eqNullSafe(F.col("again"))).drop("again")
-    first = heads.join(first, F.col("id").eqNullSafe(F.col("__head_id"))).select("__block", "__head", "__head_prints")
-
-    rows = rows.join(first.select("__block", "__head").hint("shuffle_hash"), "__block", "left").withColumn("__next", F.coalesce("__next", "__head")).drop("__head")
+    rows = in_blocks(df.select(df[id_col].alias("id"), whole_text(df, text_col).alias("text")))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("__next"), F.lit(1), half))
     rows = with_kmers(rows.withColumn("edited", edited), "text", "own_kmers")
     rows = with_kmers(rows, "edited", "edited_kmers")
-    told = ["__block", "__row", "id", "n_chars", "edited_sha256"]
-    rows = rows.select("__block", "__row", "id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own_kmers", "edited_kmers")
+    told = ["__block", "__row", "__more", "id", "n_chars", "edited_sha256"]
+    rows = rows.withColumns({"n_chars": F.length("text").cast("bigint"), "edited_sha256": F.sha2("edited", 256)})
     both = rows.select(*told, F.posexplode(F.array("own_kmers", "edited_kmers")).alias("kind", "kmers"))
     both = fingerprints(both, [*told, "kind"], "kmers", "entries")
     rows = both.groupBy(*told).agg(F.max(F.when(F.col("kind") == 0, F.col("entries"))).alias("prints"), F.max(F.when(F.col("kind") == 1, F.col("entries"))).alias("edited_prints"))
-    rows = rows.withColumn("__next", F.lead("prints").over(Window.partitionBy("__block").orderBy("__row")))
-    rows = rows.join(first.select("__block", "__head_prints").hint("shuffle_hash"), "__block", "left").withColumn("__next", F.coalesce("__next", "__head_prints"))
+    rows = rows.withColumn("__next", F.lead("prints").over(Window.partitionBy("__block").orderBy("__row"))).where("not __more")
     return rows.select(
         F.col("id").alias(id_col),
         "n_chars",
