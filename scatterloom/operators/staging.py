@@ -23,21 +23,50 @@ def spread_frames(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
     For work that adds up per frame and can add up its parts later. A frame counts as
     very large when it holds more than a quarter of a task's share of all rows; there are
-    fewer than four times as many of those as tasks, so they can be broadcast.
+    fewer than four times as many of those as tasks, so they can be broadcast. It is dealt out
+    in parts of about that quarter, so all of them together have at most eight times as many parts as tasks.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or _tasks(df)
+    large = _large_frames(df, n)
+    if large is None:
+        return df.repartition(n, "frame")
+    return _deal(df.join(F.broadcast(large), "frame", "left"), n).select(*df.columns)
+
+
+def split_frames(df: DataFrame, partitions: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of `spread_frames` in two tables: frames that are whole in their task, and very large ones, if there are any.
+
+    What is added up per frame is final for the first table as it leaves the task; only that of the second is still in parts.
+    """
+    n = partitions or _tasks(df)
+    large = _large_frames(df, n)
+    if large is None:
+        return df.repartition(n, "frame"), None
+    whole = df.join(F.broadcast(large), "frame", "left_anti").repartition(n, "frame")
+    return whole.select(*df.columns), _deal(df.join(F.broadcast(large), "frame"), n).select(*df.columns)
+
+
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _large_frames(df: DataFrame, n: int) -> DataFrame | None:
+    """``frame, __parts``: the very large frames for ``n`` tasks, and how many quarters of a task's share each one makes."""
     most = SHARES * n
     largest = df.groupBy("frame").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "frame").limit(most).collect()
     total = df.count() if largest else 0
-    large = [(r["frame"],) for r in largest if r["rows"] * most > total]
+    large = [(r["frame"], -(-r["rows"] * most // total)) for r in largest if r["rows"] * most > total]
     if not large:
-        return df.repartition(n, "frame")
-    table = local_table(df.sparkSession, large, f"frame {df.schema['frame'].dataType.simpleString()}")
-    marked = df.join(F.broadcast(table.withColumn("__large", F.lit(True))), "frame", "left")
+        return None
+    return local_table(df.sparkSession, large, f"frame {df.schema['frame'].dataType.simpleString()}, __parts bigint")
+
+
+def _deal(marked: DataFrame, n: int) -> DataFrame:
+    """Rows of frames with ``__parts`` dealt out in as many parts, other frames whole."""
     # numbered in order of the rows themselves: a task that is repeated on rows in another order deals them out as before
-    salt = F.when(F.col("__large"), F.monotonically_increasing_id() % n)
-    marked = marked.sortWithinPartitions("__large", *df.columns)
-    return marked.withColumn("__salt", salt).repartition(n, "frame", "__salt").select(*df.columns)
+    salt = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__parts")))
+    marked = marked.sortWithinPartitions("__parts", *(c for c in marked.columns if c != "__parts"))
+    return marked.withColumn("__salt", salt).repartition(n, "frame", "__salt")
 
 
 def cluster_by_frame(df: DataFrame, buckets: int) -> DataFrame:

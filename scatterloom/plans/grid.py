@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scatterloom.functions import vec
 from scatterloom.operators.params import localize, union_all
-from scatterloom.operators.staging import spread_frames
+from scatterloom.operators.staging import split_frames
 from scatterloom.plans import kernel
 
 WIDTH = 10  # points that an atom is spread over along an axis: errors of about 1e-9 of the sum of factors
@@ -125,21 +125,25 @@ def _frames_of(batches):
 def amplitude_grid(coords: DataFrame, factors: DataFrame, grid: Grid) -> DataFrame:
     """``q_id, m_id, frame, re, im`` with ``m_id`` 0: the same as `amplitude.amplitude_all` for the vectors of `grid_vectors`.
 
-    Rows of a frame are brought together first; a very large frame is dealt to several tasks, whose parts are added up. Grids of more than
-    ``kernel.PASS_ROWS`` vectors are worked off in slabs.
+    Rows of a frame are brought together first, so its amplitudes leave the task whole and are not shuffled; a very large frame is dealt
+    to several tasks, and only its parts are shuffled and added up. Grids of more than ``kernel.PASS_ROWS`` vectors are worked off in slabs.
     """
     spark = coords.sparkSession
     every = grid_vectors(spark, grid)
     needed = coords.select(F.col("frame").cast("bigint").alias("frame"), "species", *(F.col(c).cast("double").alias(c) for c in "xyz"))
-    staged = spread_frames(needed).sortWithinPartitions("frame")
-    passes = []
+    whole, dealt = split_frames(needed)
+    whole, dealt = whole.sortWithinPartitions("frame"), None if dealt is None else dealt.sortWithinPartitions("frame")
+    passes, parts = [], []
     for first, part in _slabs(grid, kernel.pass_rows(factors)):
         n = int(np.prod(part.counts))
         vectors = localize(every.where(F.col("q_id").between(first, first + n - 1)), n)
         table, f = kernel.to_driver(vectors, factors)
         if f is not None:
-            passes.append(staged.mapInArrow(_pass(part, table["q_id"].to_numpy(), f), kernel.PARTIAL))
-    return union_all(passes).groupBy("q_id", "m_id", "frame").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+            work = _pass(part, table["q_id"].to_numpy(), f)
+            passes.append(whole.mapInArrow(work, kernel.PARTIAL))
+            if dealt is not None:
+                parts.append(dealt.mapInArrow(work, kernel.PARTIAL))
+    return union_all([*passes, kernel.add_up(union_all(parts))] if parts else passes)
 
 
 def _pass(grid: Grid, q_id: np.ndarray, factors: kernel.Factors):

@@ -45,6 +45,29 @@ def test_amplitudes_of_frames(spark, monkeypatch):
         assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
 
 
+def test_whole_frames_are_not_shuffled_again(spark, monkeypatch):
+    rows = spark.range(400 * 5).select(F.expr("id div 5").alias("frame"), *((F.sin(F.col("id") * k) * 9).alias(c) for c, k in zip("xyz", (1.0, 2.0, 3.0))))
+    rows = rows.withColumn("species", F.when(F.col("x") > 0, "A").otherwise("B"))
+    twice = rows.unionByName(rows.where("frame = 8"))
+    hot = twice.unionByName(spark.range(3000).select(F.lit(3).cast("bigint").alias("frame"), *(F.lit(1.0 + k).alias(c) for k, c in enumerate("xyz")), F.lit("A").alias("species")))
+    g = grid.Grid(SKEW, (3, 2, 4))
+    q = grid.grid_vectors(spark, g).withColumn("m_id", F.lit(0).cast("bigint"))
+    factors = local_table(spark, [(i, s, (i + 1) * w) for i in range(24) for s, w in (("A", 1.0), ("B", -0.5))], "q_id bigint, species string, f double")
+    add_up = kernel.add_up
+    for some in (twice, hot):
+        added = []
+        monkeypatch.setattr(kernel, "add_up", lambda df: added.append(df) or add_up(df))
+        found = grid.amplitude_grid(some, factors, g)
+        if some is twice:
+            assert not added and "hashpartitioning(q_id" not in found._jdf.queryExecution().toString()
+        else:  # only the parts of the large frame are added up
+            assert len(added) == 1 and {r["frame"] for r in added[0].select("frame").distinct().collect()} == {3}
+        got = [tuple(r) for r in found.select("q_id", "m_id", "frame", "re", "im").collect()]
+        assert len(got) == len({r[:3] for r in got}) == 400 * 24
+        want = amplitude.amplitude_all(some, factors, q).select("q_id", "m_id", "frame", "re", "im").collect()
+        assert np.allclose(sorted(got), sorted(map(tuple, want)), atol=1e-4)
+
+
 def test_bad_grids():
     for bad in (dict(steps=SKEW[:2], counts=(1, 1, 1)), dict(steps=SKEW, counts=(0, 1, 1)), dict(steps=SKEW, counts=(1, 1))):
         with pytest.raises(ValueError):

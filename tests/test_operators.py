@@ -129,6 +129,30 @@ def test_spread_frames_splits_a_hot_frame(spark):
     assert out.groupBy("p").count().agg(F.max("count")).first()[0] < 2 * 30000 / 16
 
 
+def test_spread_frames_deals_a_frame_in_few_parts(spark):
+    # twenty frames, all of them larger than a quarter of a task's share
+    df = spark.range(20000).select(F.expr("id % 20").alias("frame"), F.col("id").alias("atom_id"))
+    for out in (staging.spread_frames(df, 16), staging.split_frames(df, 16)[1]):
+        assert out.exceptAll(df).isEmpty() and out.count() == 20000
+        parts = out.withColumn("p", F.spark_partition_id()).select("frame", "p").distinct()
+        assert 20 < parts.count() <= 8 * 16
+
+
+def test_split_frames_keeps_frames_whole_or_deals_them(spark):
+    df = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 1000 == 5, None).otherwise(F.col("id") % 1000).cast("bigint").alias("frame"),
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("atom_id"),
+    )
+    whole, dealt = staging.split_frames(df, 16)
+    assert whole.unionByName(dealt).exceptAll(df).isEmpty() and whole.count() + dealt.count() == 30000
+    assert {r["frame"] for r in dealt.select("frame").distinct().collect()} == {7}
+    places = [tuple(r) for r in whole.withColumn("p", F.spark_partition_id()).select("frame", "p").distinct().collect()]
+    assert len(places) == len({frame for frame, _ in places}) and None in {frame for frame, _ in places}
+    assert dealt.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 8
+    even, rest = staging.split_frames(df.where("frame > 7"), 16)
+    assert rest is None and even.exceptAll(df.where("frame > 7")).isEmpty() and even.count() == df.where("frame > 7").count()
+
+
 def test_frame_ranges_are_contiguous_and_sorted(spark, small):
     rows = staging.stage_frames(coords(spark, small), 3).withColumn("p", F.spark_partition_id()).collect()
     got = [(r["p"], r["frame"], r["atom_id"]) for r in rows]
